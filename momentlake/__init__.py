@@ -1,0 +1 @@
+"""Moments on Spark: time grids, transcripts, answers, vectors and live observations as DataFrames."""

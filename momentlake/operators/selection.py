@@ -1,0 +1,135 @@
+"""The selection language: what of a recording goes into an answer.
+
+    transcript | * | question[a,b] | sampler:question | sampler:*
+
+joined by `+` into one input, inputs separated by `,`, each with an optional `label=` in front.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from momentlake.errors import Refused, UnknownOption
+from momentlake.functions import text as T
+
+_SOURCE = re.compile(r"^(?P<head>[A-Za-z0-9_.*-]+(?::[A-Za-z0-9_.*-]+)?)(?:\[(?P<fields>[^\]]*)\])?$")
+
+
+@dataclass(frozen=True)
+class Source:
+    sampler: str | None
+    question: str | None
+    fields: tuple[str, ...] = ()
+    transcript: bool = False
+
+    def predicate(self) -> Column:
+        """Whether an answer row (sampler, question) is meant."""
+        if self.transcript:
+            return F.lit(False)
+        out = F.lit(True)
+        if self.sampler is not None:
+            out = out & (F.col("sampler") == self.sampler)
+        if self.question is not None:
+            out = out & (F.col("question") == self.question)
+        return out
+
+
+@dataclass(frozen=True)
+class Input:
+    sources: tuple[Source, ...]
+    label: str | None = None
+
+    @property
+    def slug(self) -> str:
+        raw = self.label or "-".join("transcript" if s.transcript else f"{s.sampler or ''}-{s.question or ''}" for s in self.sources)
+        return re.sub("[^a-z0-9]+", "-", raw.lower()).strip("-")[:48] or "all"
+
+
+def _split(text: str, at: str) -> list[str]:
+    """Split outside of brackets."""
+    out, depth, held = [], 0, ""
+    for c in text:
+        depth += (c == "[") - (c == "]")
+        if c == at and depth == 0:
+            out.append(held)
+            held = ""
+        else:
+            held += c
+    return [*out, held]
+
+
+def parse(selection: str) -> list[Input]:
+    inputs = []
+    for part in _split(selection, ","):
+        label, sign, rest = part.partition("=")
+        rest = rest if sign else label
+        sources = []
+        for text in _split(rest, "+"):
+            m = _SOURCE.match(text.strip())
+            if not m:
+                raise Refused(f"{text.strip()!r} is no selection")
+            fields = tuple(f.strip() for f in (m["fields"] or "").split(",") if f.strip())
+            head = m["head"]
+            if head == "transcript":
+                if fields:
+                    raise Refused("a transcript has no fields")
+                sources.append(Source(None, None, (), True))
+            elif head == "*":
+                sources.append(Source(None, None, fields))
+            elif ":" in head:
+                s, q = head.split(":")
+                sources.append(Source(s, None if q == "*" else q, fields))
+            else:
+                sources.append(Source(None, head, fields))
+        inputs.append(Input(tuple(sources), label.strip() if sign else None))
+    labels = [i.slug for i in inputs]
+    if len(set(labels)) != len(labels):
+        raise Refused("two inputs have one label")
+    return inputs
+
+
+def check(inputs: list[Input], vocabulary: dict[str, list[str]]) -> None:
+    """Questions must be in the vocabulary, and fields in their question's."""
+    for s in (s for i in inputs for s in i.sources if not s.transcript and s.question):
+        if s.question not in vocabulary:
+            raise UnknownOption("question", s.question, vocabulary)
+        for f in s.fields:
+            if f.split(".")[0] not in vocabulary[s.question]:
+                raise UnknownOption("field", f, vocabulary[s.question])
+
+
+def rendered(source: Source) -> Column:
+    """What an answer says: all of it, or the fields asked for (`top.key` goes into a list of objects)."""
+    if not source.fields:
+        return T.plain(F.array(F.coalesce(F.col("description"), F.lit(""))))
+    said = [F.trim(F.regexp_replace(F.coalesce(F.get_json_object("structured", "$." + f.replace(".", "[*].")), F.lit("")), r'[\[\]"]', " ")) for f in source.fields]
+    parts = [F.when(v != "", F.concat(F.lit(f"{f}: "), v)) for f, v in zip(source.fields, said, strict=True)]
+    return F.concat_ws(" | ", *parts)
+
+
+def excerpt(one: Input, grid: DataFrame, answers: DataFrame, transcript: DataFrame) -> DataFrame:
+    """video_id, chunk_id, start_ts, end_ts and text: the parts of each chunk in the order of the selection; chunks
+    with nothing to say are left out."""
+    parts = None
+    for k, s in enumerate(one.sources):
+        if s.transcript:
+            rows = transcript.select("video_id", "chunk_id", F.lit(k).alias("k"), F.lit("transcript").alias("who"), F.col("text").alias("said"))
+        else:
+            rows = answers.filter(s.predicate()).select("video_id", "chunk_id", F.lit(k).alias("k"), T.answer_id(F.col("sampler"), F.col("question")).alias("who"), rendered(s).alias("said"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    parts = parts.filter(F.trim(F.coalesce("said", F.lit(""))) != "")
+    g = parts.groupBy("video_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("k", "who", "said"))).alias("p"))
+    line = F.array_join(F.transform("p", lambda e: F.concat(e["who"], F.lit(": "), e["said"])), "  ")
+    return grid.join(g.select("video_id", "chunk_id", line.alias("text")), ["video_id", "chunk_id"])
+
+
+def mentions_of(answers: DataFrame, field: str, keys: list[str]) -> DataFrame:
+    """One row per element of a list field: its index and a signature of its non-blank identity keys."""
+    shape = "array<map<string,string>>"
+    rows = answers.select("video_id", "chunk_id", T.answer_id(F.col("sampler"), F.col("question")).alias("sampler_id"), F.posexplode(F.from_json(F.get_json_object("structured", f"$.{field}"), shape)).alias("index", "entry"))
+    signature = F.concat_ws("; ", *[F.when(F.trim(F.col("entry")[k]) != "", F.trim(F.col("entry")[k])) for k in keys])
+    return rows.withColumn("signature", signature).filter(F.col("signature") != "")
