@@ -1,0 +1,275 @@
+"""The engine's operators on small tables that can be worked by hand."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from momentlake import schemas
+from momentlake.errors import MissingArtifact, Refused, UnknownOption, Unsupported
+from momentlake.functions import text as T
+from momentlake.operators import aggregates, combine, grid, linking, sampling, search, segments, selection, speech, units
+from momentlake.sources import documents, store
+from momentlake.streaming import live
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_uniform_grid_merges_a_short_tail(spark):
+    d = spark.createDataFrame([("a", 44.0), ("b", 45.0), ("c", 3.0)], "video_id string, duration_s double")
+    g = rows(grid.uniform(d, 20.0), "video_id", "chunk_id", "start_ts", "end_ts")
+    assert g == [("a", 0, 0.0, 20.0), ("a", 1, 20.0, 44.0), ("b", 0, 0.0, 20.0), ("b", 1, 20.0, 40.0), ("b", 2, 40.0, 45.0), ("c", 0, 0.0, 3.0)]
+    with pytest.raises(Refused):
+        grid.uniform(d, 0)
+
+
+def test_grids_from_cuts_are_contiguous_and_cover(spark):
+    r = random.Random(1)
+    d = [(str(v), 100.0 + v) for v in range(20)]
+    cuts = [(v, r.uniform(-5, n + 5)) for v, n in d for _ in range(r.randint(0, 15))]
+    g = grid.from_cuts(spark.createDataFrame(cuts, "video_id string, at double"), spark.createDataFrame(d, "video_id string, duration_s double"), 5.0, 30.0)
+    by = {}
+    for v, c, s, e in rows(g, "video_id", "chunk_id", "start_ts", "end_ts"):
+        by.setdefault(v, []).append((c, s, e))
+    for v, n in d:
+        own = by[v]
+        assert [c for c, *_ in own] == list(range(len(own))) and own[0][1] == 0 and own[-1][2] == n
+        assert all(a[2] == b[1] for a, b in zip(own, own[1:]))  # noqa: B905
+    with pytest.raises(UnknownOption):
+        grid.build("nothing", None)
+
+
+def test_times_in_chunks(spark):
+    g = spark.createDataFrame([("a", 0, 0.0, 10.0), ("a", 1, 10.0, 25.0)], "video_id string, chunk_id long, start_ts double, end_ts double")
+    t = spark.createDataFrame([("a", x) for x in (-1.0, 0.0, 10.0, 24.9, 25.0, 26.0)], "video_id string, at double")
+    assert rows(grid.with_chunk(t, g, "at"), "at", "chunk_id") == [(0.0, 0), (10.0, 1), (24.9, 1), (25.0, 1)]
+    assert rows(grid.nearest_chunk(t, g, "at"), "at", "chunk_id") == [(-1.0, 0), (0.0, 0), (10.0, 1), (24.9, 1), (25.0, 1), (26.0, 1)]
+    assert "BroadcastNestedLoopJoin" not in grid.with_chunk(t, g, "at")._jdf.queryExecution().executedPlan().toString()
+    m = spark.createDataFrame([("a", "x", [0, 7]), ("a", "y", [9]), ("a", "z", [])], "video_id string, item string, ids array<long>")
+    assert rows(grid.span_of(m, ["item"], "ids", g), "item", "start_ts", "end_ts") == [("x", 0.0, 10.0), ("y", None, None), ("z", None, None)]
+    assert rows(grid.span_of(m, ["item"], "ids", g, F.lit(0.0)), "item", "start_ts") == [("x", 0.0), ("y", 0.0), ("z", 0.0)]
+
+
+def test_upper_median(spark):
+    d = spark.createDataFrame([("a", float(x)) for x in (4, 1, 3, 2)] + [("b", 5.0)], "k string, x double")
+    assert rows(aggregates.upper_median(d, ["k"], "x"), "k", "median") == [("a", 3.0), ("b", 5.0)]
+
+
+def test_speech(spark):
+    t = spark.createDataFrame(
+        [("v", 0, "a", 0.0, 2.0, "x"), ("v", 1, "a", 2.0, 3.0, "y"), ("v", 2, None, 5.0, 6.0, "z"), ("v", 3, None, 6.0, 7.0, " w"), ("v", 4, "b", 6.5, 9.0, "q")],
+        "video_id string, position long, speaker string, start double, end double, text string",
+    )
+    assert rows(speech.silence_cuts(t, 2.0), "at", "score") == [(4.0, 2.0)]
+    assert rows(speech.speaker_cuts(t), "at", "score") == [(4.0, 2.0), (6.5, 0.0)]
+    assert rows(speech.islands(t, ["video_id"], ["position"]), "turn", "speaker", "start", "end", "text") == [(0, "a", 0.0, 3.0, "xy"), (1, None, 5.0, 7.0, "z w"), (2, "b", 6.5, 9.0, "q")]
+    assert rows(aggregates.handovers(t), "handovers", "turns") == [(1, 3)]
+
+
+def test_decimator_and_clock_equal_their_loops(spark):
+    r = random.Random(4)
+    raw, out = [], []
+    for v in "abc":
+        t = 0.0
+        for i in range(80):
+            t = t + r.uniform(0, 3) if r.random() < 0.9 else max(0.0, t - r.uniform(0, 20))
+            raw.append((v, i, t))
+    for v in "abc":
+        own = [x for x in raw if x[0] == v]
+        origin, last, offset, n = own[0][2], own[0][2], 0.0, 0
+        seen = None
+        for _, i, x in own:
+            if x < last:
+                offset += last - x
+                n += 1
+            gap = x < last or x - last > 2.0
+            last = x
+            ts = x - origin + offset
+            b = int(ts * 0.5)
+            out.append((v, i, round(ts, 6), n, gap, seen is None or b > seen))
+            seen = b if seen is None else max(seen, b)
+    df = spark.createDataFrame(raw, "video_id string, arrival long, raw double")
+    c = sampling.media_clock(df, gap_s=2.0)
+    assert rows(c.withColumn("m", F.round("media_ts", 6)), "video_id", "arrival", "m", "rewinds", "gap_before") == [x[:5] for x in out]
+    kept = sampling.decimate(c.withColumnRenamed("arrival", "frame_index"), 0.5)
+    assert rows(kept, "video_id", "frame_index") == [x[:2] for x in out if x[5]]
+
+
+def test_samplers():
+    s = sampling.ScalarSampler(1.0, max_per_chunk=3, min_interval_s=2.0)
+    assert [s.offer(float(t), v) for t, v in enumerate([0, 5, 5, 5.5, 9, 9, 20, 30])] == [True, False, True, False, True, False, False, False]
+    d = sampling.DetectionSampler(0.3)
+    box = ("cup", (0, 0, 10, 10))
+    assert [d.offer(0, x) for x in ([], [box], [box], [], [box], [("cup", (50, 50, 60, 60))])] == [True, True, False, False, False, True]
+    assert sampling.iou((0, 0, 2, 2), (1, 0, 3, 2)) == pytest.approx(1 / 3)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    r = random.Random(9)
+    data = [("v" + str(i % 2), i, float(i // 2), r.uniform(0, 10)) for i in range(200)]
+    df = spark.createDataFrame(data, "video_id string, arrival long, raw double, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    make = lambda: [sampling.ScalarSampler(4.0, max_per_chunk=3, min_interval_s=2.0)]
+    kept = live.live_frames(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), make, 1.0, 20.0)
+    st = store.ParquetStore(spark, str(tmp_path / "store"))
+    lost = []
+    query = live.pump(kept, str(tmp_path / "cp"), 1000, lambda b: st.write("observations", b.withColumnRenamed("sampler", "sampler_id").withColumn("embedder", F.lit("e"))), lambda b: lost.append(b.count()))
+    query.awaitTermination(120)
+    batch = df.select("video_id", F.floor(F.col("raw") / 20).alias("chunk_id"), F.floor(F.col("arrival") / 2).alias("frame_index"), F.col("raw").alias("media_ts"), "value")
+    want = rows(sampling.sample(batch, make, "value"), "video_id", "chunk_id", "frame_index")
+    assert want and rows(st.read("observations"), "video_id", "chunk_id", "frame_index") == want and sum(lost) == 0
+
+
+def test_shedding_keeps_the_newest(spark):
+    d = spark.createDataFrame([("a", i) for i in range(5)], "video_id string, t long")
+    keep, lost = live.shed(d, "video_id", ["t"], 2)
+    assert rows(keep, "t") == [(3,), (4,)] and rows(lost, "t") == [(0,), (1,), (2,)]
+
+
+def test_answers_survive_failures(spark):
+    def model(pdf):
+        if (pdf["t"] == 3).any():
+            raise ValueError("no three")
+        return [str(x) for x in pdf["t"]]
+
+    got = live.answer(spark.range(5).select(F.col("id").alias("t")).coalesce(1), model, "t long")
+    assert rows(got, "t", "description", "error") == [(0, "0", None), (1, "1", None), (2, "2", None), (3, None, "no three"), (4, "4", None)]
+
+
+def test_search(spark):
+    u = spark.createDataFrame(
+        [("a", 0, "s1", [1.0, 0.0], '{"k": "x"}'), ("a", 0, "s2", [0.9, 0.1], '{"k": ["x", "y"]}'), ("b", 0, "s1", [0.0, 1.0], "{}"), ("b", 1, "s1", [0.0, 0.0], None), ("b", 2, "s1", None, None)],
+        "video_id string, chunk_id long, sampler_id string, vector array<double>, structured string",
+    )
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    out = search.search(u, q, search.SearchRequest(limit=2)).collect()
+    assert [(r.video_id, r.chunk_id, r.hits) for r in out] == [("a", 0, 2), ("b", 0, 1)] and out[0].score == pytest.approx(1 / 61 + 0.5 / 62)
+    assert rows(search.candidates(u, search.SearchRequest(structured={"k": "x"})), "sampler_id") == [("s1",), ("s2",)]
+    assert rows(search.candidates(u, search.SearchRequest(video_ids=[])), "video_id") == [("a",)] * 2 + [("b",)] * 3
+    with pytest.raises(Refused):
+        search.SearchRequest(limit=0)
+    plan = search.vector_rank(u, q, search.UNIT, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def test_depths_equal_their_loop(spark):
+    r = random.Random(3)
+    data = [(str(v), i, float(r.randint(0, 5))) for v in range(20) for i in range(r.randint(1, 15))]
+    want = []
+    for v in {x[0] for x in data}:
+        s = [x[2] for x in data if x[0] == v]
+        for i, x in enumerate(s):
+            a = i
+            while a > 0 and s[a - 1] >= s[a]:
+                a -= 1
+            b = i
+            while b < len(s) - 1 and s[b + 1] >= s[b]:
+                b += 1
+            want.append((v, i, s[a] + s[b] - 2 * x))
+    df = spark.createDataFrame(data, "video_id string, position long, similarity double")
+    assert rows(segments.depths(df), "video_id", "position", "depth") == sorted(want)
+    assert segments.merge_segments([10, 100, 100, 5], [0.1, 0.9, 0.2], 20, 12) == [0, 0, 1, 1]
+    assert segments.merge_segments([100, 100, 100], [0.1, 0.9], 20, 2) == [0, 1, 1]
+
+
+def test_linking_never_joins_what_is_apart():
+    r = random.Random(8)
+    items = list(range(60))
+    answers = [i // 3 for i in items]
+    links = [(r.random(), i, j) for i in items for j in range(i) if r.random() < 0.2]
+    g = linking.merge_greedily(items, answers, links)
+    by = {}
+    for i in items:
+        by.setdefault(g[i], []).append(answers[i])
+    assert all(len(x) == len(set(x)) for x in by.values()) and len(by) < 60
+    assert linking.merge_greedily([1, 2, 3], ["p", "q", "p"], [(0.9, 1, 2), (0.8, 2, 3)]) == {1: 1, 2: 1, 3: 3}
+
+
+def test_combination(spark):
+    g = spark.createDataFrame([("a", 0, 0.0, 10.0), ("a", 1, 10.0, 15.0), ("b", 0, 0.0, 4.0)], "video_id string, chunk_id long, start_ts double, end_ts double")
+    m = combine.offsets(g, "ab")
+    assert rows(combine.combined_grid(g, m), "chunk_id", "start_ts", "end_ts") == [(0, 0.0, 10.0), (1, 10.0, 15.0), (2, 15.0, 19.0)]
+    assert rows(combine.origin(combine.combined_grid(g, m), m), "chunk_id", "member", "member_chunk_id") == [(0, "a", 0), (1, "a", 1), (2, "b", 0)]
+    with pytest.raises(Refused):
+        combine.combination_id(["a", "a"])
+
+
+def test_units(spark):
+    old = units.with_hash(spark.createDataFrame([(1, "a", [1.0]), (2, "b", [2.0])], "id long, content string, vector array<double>"))
+    new = units.with_hash(spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "id long, content string"))
+    assert rows(units.carry_over(new, old, ["id"]), "id", "reused", "vector") == [(1, True, [1.0]), (2, False, None), (3, False, None)]
+    assert rows(units.stale(old, new.filter("id = 1"), ["id"]), "id") == [(2,)]
+
+
+def test_selection():
+    one, two = selection.parse("all=transcript+scene[summary,people.role], clip:*")
+    assert one.label == "all" and one.sources[0].transcript and one.sources[1].fields == ("summary", "people.role")
+    assert two.sources[0] == selection.Source("clip", None) and two.slug == "clip"
+    for bad in ("", "a b", "transcript[x]", "scene,scene"):
+        with pytest.raises(Refused):
+            selection.parse(bad)
+    selection.check([one], {"scene": ["summary", "people"]})
+    with pytest.raises(UnknownOption):
+        selection.check([one], {"scene": ["people"]})
+
+
+def test_excerpts_and_mentions(spark):
+    g = spark.createDataFrame([("v", 0, 0.0, 1.0), ("v", 1, 1.0, 2.0), ("v", 2, 2.0, 3.0)], "video_id string, chunk_id long, start_ts double, end_ts double")
+    a = spark.createDataFrame([("v", 0, "scene", "scene", "A man", '{"people": [{"name": "Bo", "role": ""}, {"name": " ", "role": ""}]}'), ("v", 1, "clip", "scene", "", "{}")], "video_id string, chunk_id long, sampler string, question string, description string, structured string")
+    t = spark.createDataFrame([("v", 0, "hello"), ("v", 1, "bye"), ("v", 2, " ")], "video_id string, chunk_id long, text string")
+    one = selection.parse("transcript+scene")[0]
+    assert rows(selection.excerpt(one, g, a, t), "chunk_id", "text") == [(0, "transcript: hello  scene: A man"), (1, "transcript: bye")]
+    assert rows(selection.mentions_of(a, "people", ["name", "role"]), "chunk_id", "sampler_id", "index", "signature") == [(0, "scene", 0, "Bo")]
+
+
+def test_schemas():
+    spec = {"mood": {"type": "text", "one_of": ["calm", "loud"]}, "people": {"type": "list", "of": ["name"]}}
+    assert schemas.fields_to_structtype(spec).simpleString() == "struct<mood:string,people:array<struct<name:string>>>"
+    assert schemas.json_schema(spec)["required"] == ["mood", "people"]
+    assert len(schemas.check_fields({"Bad": {"type": "int"}})) == 2
+    assert schemas.mint_id("a", {"a", "a-2"}) == "a-3"
+    for bad in ("_a", "..", "a/b", ""):
+        with pytest.raises(Refused):
+            schemas.check_id(bad)
+
+
+def test_documents_and_store(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"document": "timeline", "video_id": "v", "fingerprint": "f",\n "chunks": [{"chunk_id": 0, "start_ts": 0, "end_ts": 5}]}')
+    got = documents.timeline_chunks(documents.read(spark, str(tmp_path / "t.json"), "timeline"))
+    assert rows(got, "video_id", "chunk_id", "end_ts") == [("v", 0, 5.0)]
+    with pytest.raises(Exception, match="not a cuts"):
+        documents.read(spark, str(tmp_path / "t.json"), "cuts").collect()
+    with pytest.raises(MissingArtifact):
+        documents.read(spark, str(tmp_path / "none.json"), "cuts")
+    assert documents.maybe(spark, str(tmp_path / "none.json"), "cuts").count() == 0
+    (tmp_path / "o.jsonl").write_text('{"video_id": "v", "media_ts": 1.5}\n{"video_id": "w", "med')
+    assert rows(documents.observations(spark, str(tmp_path / "o.jsonl")), "video_id", "media_ts") == [("v", 1.5)]
+    st = store.ParquetStore(spark, str(tmp_path / "store"))
+    one = spark.createDataFrame([("n", 1, "x")], "name string, version int, text string")
+    for t, want in (("prompts", "x"), ("sources", "y")):
+        keyed = one.withColumn("source_id", F.lit("s"))
+        st.write(t, keyed)
+        st.write(t, keyed.withColumn("text", F.lit("y")))
+        assert [r.text for r in st.read(t).collect()] == [want]
+    assert store.export(st, {"nothing": one})[0].startswith("nothing")
+    st.wipe()
+    with pytest.raises(MissingArtifact):
+        st.read("prompts")
+    with pytest.raises(Unsupported):
+        store.Store().read("prompts")
+    assert st.implements("write") and not store.Store().implements("write")
+
+
+def test_text():
+    assert T.split_pieces("One. Two two. Three", 9) == ["One.", "Two two.", "Three"]
+    assert T.split_pieces("abcdefgh ijk", 5) == ["abcde", "fgh", "ijk"]
+    long = "word " * 100
+    assert "".join(T.split_pieces(long, 33)).replace(" ", "") == long.replace(" ", "")
+
+
+def test_fold_reduces_in_layers(spark):
+    d = spark.createDataFrame([("v", i, str(i)) for i in range(60)], "video_id string, position long, text string")
+    layers = [df.collect() for _, df in aggregates.fold(d, "video_id", "position", "text", lambda x: x.withColumn("text", F.array_join("texts", "+")))]
+    assert [len(x) for x in layers] == [3, 1] and layers[1][0].text == "+".join(map(str, range(60)))
