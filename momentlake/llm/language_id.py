@@ -97,7 +97,7 @@ def fit(docs: DataFrame, where: F.Column, max_fit: int = MAX_FIT) -> tuple[list[
             names, which = np.unique(langs.astype(str), return_inverse=True) if len(langs) else ([], None)
             sums = np.zeros((len(names), BUCKETS), np.int64)
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            for a, z in slices(off, 1_000_000):
+            for a, z in slices(off, 300_000):
                 g, of, _ = ngrams(texts[a:z])
                 sums += np.bincount(which[a:z][of].astype(np.int64) * BUCKETS + g, minlength=sums.size).reshape(sums.shape)
             for k, name in enumerate(names):
@@ -119,7 +119,7 @@ def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str],
     best = np.full(len(texts), -1)
     p = np.zeros(len(texts))
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    for a, z in slices(off, 1_000_000):
+    for a, z in slices(off, 300_000):
         g, of, has = ngrams(texts[a:z])
         if not langs or not has.any():
             continue

@@ -125,7 +125,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             raw, off = utf8(b.column(1))
-            for a, z in slices(off, 1_000_000):
+            for a, z in slices(off, 300_000):
                 h, at = shingles(raw[off[a] : off[z]], off[a : z + 1] - off[a], words)
                 size = np.diff(at)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (_mix(h + _C[3]), _mix(h * _C[4] + _C[0]))]
@@ -227,7 +227,7 @@ def links(docs: DataFrame, family: DataFrame, words: int, percent: int, chunk: i
     def sets(batches):
         for b in batches:
             raw, off = utf8(b.column(1))
-            for a, z in slices(off, 1_000_000):
+            for a, z in slices(off, 300_000):
                 h, at = shingles(raw[off[a] : off[z]], off[a : z + 1] - off[a], words)
                 sig = signatures(h, at)
                 part = [b.column(k).slice(a, z - a) for k in (0, 2, 3, 4)]

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import extended, ship, table
+from momentlake.llm.common import extended, ship, slices, table
 
 MARK = "▁"
+#: Characters of whole texts whose words are held at a time.
+PART = 3_000_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _models: dict[str, PieceModel] = {}
 
@@ -49,7 +51,7 @@ def model(path: str) -> PieceModel:
 class PieceModel:
     """Pieces with scores, and the two directions between text and ids."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, bpe: bool, plain: set[int], add_prefix: bool = True, remembered: int = 400_000):
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, bpe: bool, plain: set[int], add_prefix: bool = True, remembered: int = 200_000):
         self.pieces, self.scores, self.bpe, self.unknown, self.add_prefix = pieces, scores, bpe, unknown, add_prefix
         self.byte_ids = byte_ids
         self.by_byte = {i: b for b, i in byte_ids.items()}
@@ -178,6 +180,12 @@ class PieceModel:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for a, b in slices(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]), PART):
+            out += self._encode(texts[a:b])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         gc.disable()
         try:
             split: list[list[str]] = []

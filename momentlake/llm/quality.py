@@ -98,7 +98,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _features(raw, off):
-    for a, z in slices(off, 1_000_000):
+    for a, z in slices(off, 300_000):
         yield measures(raw[off[a] : off[z]], off[a : z + 1] - off[a])
 
 
