@@ -6,11 +6,13 @@
 2. Equal sets become one class, represented by its least doc_id.
 3. Classes that agree in all values of a band are candidates.  Buckets are turned into families: the components of the
    links from every member of a bucket to the bucket's least member; no pairs are written.
-4. A family is split into chunks of at most CHUNK classes, every two of which (and each with itself) are one group, so
-   a large family goes to many tasks.  In a group, pairs that share a band are compared by batches of BATCH values;
-   a pair is pruned as soon as the posterior probability that its similarity reaches the threshold, from a uniform
-   prior and the agreements so far, is below MISS.  Survivors are verified exactly on the full sets, in descending
-   order of estimated similarity, unless they are already connected.  Only a spanning forest of links is written.
+4. A family of at most CHUNK classes is one group.  In a larger one each class is first compared with the one hub with
+   which it shares most buckets, which joins near copies of one text in work linear in their number; then chunks of
+   CHUNK classes are compared with each other, a group a pair of chunks, but no two of classes joined already.  In a
+   group, pairs that share a band are compared by batches of BATCH values; a pair is pruned as soon as the posterior
+   probability that its similarity reaches the threshold, from a uniform prior and the agreements so far, is below
+   MISS.  Survivors are verified exactly on the full sets, in descending order of estimated similarity, unless they
+   are already connected.  Only a spanning forest of links is written.
 5. The forests' components are the result.
 
 A pair of similarity 0.8 misses all bands with a probability of 3e-6, and is pruned wrongly with one below MISS a batch.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, ship, slices, small_side, table, utf8, word_bounds
+from momentlake.llm.common import cut, extended, ship, slices, small_side, table, utf8, word_bounds
 from momentlake.llm.components import components
 from momentlake.llm.embedding_dedup import _Union
 
@@ -206,49 +208,108 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel().astype(np.int64)), pa.array(ids)], ["band", "node"])
 
 
-def families(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component of every class representative that shares a band with another."""
+def families(sketches: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, component of every class representative that shares a band with another; and node, hub, n: how many
+    buckets the node shares with a hub, the least member of each."""
     reps = small_side(classes.select(F.col("rep").alias("doc_id")))
     own = sketches.filter(F.col("n_shingles") > 0).join(reps, "doc_id", "left_semi")
     bands = own.select("doc_id", "sig").mapInArrow(_bands, "band long, node long")
     buckets = cut(bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter(F.col("hub") < F.col("top")).select("band", "hub"), "buckets")
-    links = bands.join(small_side(buckets), "band").filter(F.col("node") != F.col("hub"))
-    return cut(components(links.select(F.col("node").alias("u"), F.col("hub").alias("v"))), "families")
+    hubs = cut(bands.join(small_side(buckets), "band").filter(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count("*").alias("n")), "hubs")
+    return cut(components(hubs.select(F.col("node").alias("u"), F.col("hub").alias("v"))), "families"), hubs
 
 
-def links(docs: DataFrame, family: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
-    """u, v: a spanning forest of the verified links of every group."""
-    large = family.groupBy("component").agg(F.count("*").alias("m")).filter(F.col("m") > chunk)
-    sized = family.join(small_side(cut(large, "large")), "component", "left")
-    chunks = F.coalesce(F.ceil(F.col("m") / chunk), F.lit(1)).cast("int")
-    sized = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), chunks.alias("k")).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small_side(cut(sized, "chunks")), "doc_id")
+def with_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members (doc_id and others) with sig and set, the MinHash values and the sorted set of the document."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small_side(cut(members, "members")), "doc_id").select("text", *members.columns)
+    schema = extended(src.drop("text"), sig="binary", set="binary")
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
-            raw, off = utf8(b.column(1))
+            raw, off = utf8(b.column(0))
             for a, z in slices(off, 300_000):
                 h, at = shingles(raw[off[a] : off[z]], off[a : z + 1] - off[a], words)
-                sig = signatures(h, at)
-                part = [b.column(k).slice(a, z - a) for k in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part, pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    ["doc_id", "family", "k", "c", "sig", "set"],
-                )
+                part = [b.column(k).slice(a, z - a) for k in range(1, b.num_columns)]
+                sig = pa.array([x.tobytes() for x in signatures(h, at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part, sig, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], [f.name for f in schema])
+
+    return src.mapInArrow(run, schema)
+
 
-    rows = src.select("doc_id", "text", "family", "k", "c").mapInArrow(sets, "doc_id long, family long, k int, c int, sig binary, set binary")
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "doc_id", "sig", "set")
+def linked(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """u, v: a spanning forest of the verified links between the rows with l and those with r of each group.
 
-    def run(key, t):
-        node, c = t["doc_id"].to_numpy(), t["c"].to_numpy()
+    rows: doc_id, l, r, sig, set and the columns in by."""
+
+    def run(t):
+        node, l, r = (t[c].to_numpy() for c in ("doc_id", "l", "r"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, N_HASHES)
         own = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
-        found = link_group(sig, own, np.flatnonzero(c == key[1].as_py()), np.flatnonzero(c == key[2].as_py()), percent)
+        found = link_group(sig, own, np.flatnonzero(l), np.flatnonzero(r), percent)
         u, v = (node[[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
+    return rows.groupBy(*by).applyInArrow(run, "u long, v long")
+
+
+def star_links(docs: DataFrame, hubs: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
+    """Links of nodes to the hub with which they share the most buckets: each set goes to one group, a hub's to one a chunk."""
+    best = cut(hubs.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "hub"))["hub"].alias("hub")), "best")
+    chunks = cut(best.groupBy("hub").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k")), "chunks")
+    salt = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    nodes = best.join(small_side(chunks), "hub").select(F.col("node").alias("doc_id"), "hub", salt.alias("first"), salt.alias("last"))
+    centres = chunks.select(F.col("hub").alias("doc_id"), "hub", F.lit(0).alias("first"), (F.col("k") - 1).alias("last"))
+    rows = with_sets(docs, nodes.unionByName(centres), words).withColumn("salt", F.explode(F.sequence("first", "last")))
+    hub = F.col("doc_id") == F.col("hub")
+    return linked(rows.select("hub", "salt", "doc_id", hub.alias("l"), (~hub).alias("r"), "sig", "set"), ["hub", "salt"], percent)
+
+
+def links(docs: DataFrame, family: DataFrame, hubs: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
+    """u, v: verified links that connect all that any link of a family connects.
+
+    A family of at most chunk classes is one group.  In a larger one, stars come first; then only members of different
+    stars are compared: a star of at least chunk members is cut into chunks of its own, the others' members share
+    chunks, and every two chunks are a group unless they are of one star.
+    """
+    family = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    large = cut(family.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m") > chunk).select("family"), "large")
+    pooled = [F.lit(1).alias("pool"), F.col("family").alias("unit")]
+    if large.isEmpty():
+        rows = with_sets(docs, family, words)
+        return linked(rows.select("family", "doc_id", F.lit(True).alias("l"), F.lit(True).alias("r"), "sig", "set"), ["family"], percent)
+    big = cut(family.join(small_side(large), "family", "left_semi").select("doc_id", "family"), "big")
+    in_big = hubs.join(small_side(big.select(F.col("doc_id").alias("node"))), "node", "left_semi")
+    stars = cut(star_links(docs, in_big, words, percent, chunk), "stars")
+    found = cut(components(stars), "found")
+    big = cut(big.join(small_side(found), F.col("doc_id") == F.col("node"), "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("star")), "star-members")
+    sizes = cut(big.groupBy("family", "star").agg(F.count("*").alias("m")), "star-sizes")
+    chunks = F.ceil(F.col("m") / chunk).cast("int").alias("k")
+    units = sizes.filter(F.col("m") >= chunk).select("family", F.lit(0).alias("pool"), F.col("star").alias("unit"), chunks)
+    rest = sizes.filter(F.col("m") < chunk).groupBy("family").agg(F.sum("m").alias("m")).select("family", *pooled, chunks)
+    units = cut(units.unionByName(rest), "units")
+    own = small_side(units.filter("pool = 0").select("family", F.col("unit").alias("star"), F.col("k").alias("k0")))
+    pool = small_side(units.filter("pool = 1").select("family", F.col("k").alias("k1")))
+    big = big.join(own, ["family", "star"], "left").join(pool, "family", "left")
+    big = big.select(
+        "doc_id",
+        "family",
+        F.lit(1).alias("large"),
+        F.when(F.col("k0").isNull(), 1).otherwise(0).alias("pool"),
+        F.when(F.col("k0").isNull(), F.col("family")).otherwise(F.col("star")).alias("unit"),
+        F.pmod(F.xxhash64("doc_id"), F.coalesce("k0", "k1")).cast("int").alias("salt"),
+    )
+    few = family.join(small_side(large), "family", "left_anti").select("doc_id", "family", F.lit(0).alias("large"), *pooled, F.lit(0).alias("salt"))
+    others = units.select(F.col("family").alias("f"), F.col("pool").alias("p"), F.col("unit").alias("u"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+    one_star = (F.col("pool") == 0) & (F.col("p") == 0) & (F.col("unit") == F.col("u"))
+    rows = with_sets(docs, few.unionByName(big), words).join(small_side(cut(others, "others")), (F.col("family") == F.col("f")) & ~one_star, "left")
+    rows = rows.filter((F.col("large") == 0) | F.col("f").isNotNull())
+    mine = F.struct("pool", "unit", "salt")
+    other = F.when(F.col("f").isNull(), mine).otherwise(F.struct(F.col("p").alias("pool"), F.col("u").alias("unit"), F.col("s").alias("salt")))
+    rows = rows.select("family", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("mine"), "doc_id", "sig", "set")
+    rows = rows.select("family", "i", "j", "doc_id", (F.col("mine") == F.col("i")).alias("l"), (F.col("mine") == F.col("j")).alias("r"), "sig", "set")
+    flat = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ij" for c in ("pool", "unit", "salt")]
+    names = [f"{x}_{c}" for x in "ij" for c in ("pool", "unit", "salt")]
+    return stars.unionByName(linked(rows.select("family", *flat, "doc_id", "l", "r", "sig", "set"), ["family", *names], percent))
 
 
 def duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -256,7 +317,7 @@ def duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chun
     sketches = cut(sketch(docs, words), "sketches")
     full = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(docs, families(sketches, classes), words, percent, chunk))
+    found = components(links(docs, *families(sketches, classes), words, percent, chunk))
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
     out = sketches.join(small_side(cut(known, "known")), ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))

@@ -260,6 +260,36 @@ def test_minhash(spark, docs, empty, words):
     assert minhash_dedup.duplicates(empty).count() == 0
 
 
+def test_minhash_large_families(spark):
+    """Stars of one text, a chain whose ends aren't similar, and texts that share bands without a link, in small chunks."""
+    r = random.Random(11)
+    rows, base = [], sentence(r, 90).split()
+    for k in range(40):  # near copies of one text, linked with it or only with each other
+        x = list(base)
+        for at in r.sample(range(90), k % 6):
+            x[at] = f"w{k}x{at}"
+        rows.append((1000 - k, " ".join(x), "en", "a", 1))
+    chain = list(base)
+    for k in range(40):  # each differs from the one before by a word
+        chain[(2 * k) % 90] = f"c{k}"
+        rows.append((2000 + (k * 7) % 40, " ".join(chain), "en", "a", 1))
+    other = base[:60] + sentence(r, 40).split()
+    for k in range(20):  # a star of its own that shares two thirds with the first
+        x = list(other)
+        x[r.randrange(70, 100)] = f"o{k}"
+        rows.append((3000 + k, " ".join(x), "en", "a", 1))
+    sets = plain_sets(rows, 5)
+    ids = sorted(i for i, _ in sets)
+    pos = {i: k for k, i in enumerate(ids)}
+    linked = [(pos[i], pos[j]) for i, a in sets for j, b in sets if i < j and 100 * len(a & b) >= 80 * len(a | b)]
+    comp = components_of(len(ids), linked)
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    for chunk in (3, 8):
+        got = {x.doc_id: x.component_id for x in minhash_dedup.duplicates(df, chunk=chunk).collect()}
+        assert got == {i: ids[comp[pos[i]]] for i in ids}
+    assert len(set(comp)) > 1
+
+
 def test_minhash_cutoffs():
     """No pair of similarity 0.8 is pruned with more than the chosen chance in a batch."""
     from math import comb
