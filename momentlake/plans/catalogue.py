@@ -33,7 +33,7 @@ def _grid(frames: DataFrame) -> DataFrame:
 GRID = f"""durations AS (SELECT video_id, max(media_ts) + 1 AS duration_s FROM frames GROUP BY video_id),
 counted AS (SELECT *, greatest(ceil(duration_s / {X.CHUNK_S}), 1)::BIGINT AS n0 FROM durations),
 tailed AS (SELECT video_id, duration_s, CASE WHEN n0 > 1 AND duration_s - (n0 - 1) * {X.CHUNK_S} < 0.25 * {X.CHUNK_S} THEN n0 - 1 ELSE n0 END AS n FROM counted),
-grid AS (SELECT video_id, chunk_id, chunk_id * {X.CHUNK_S} AS start_ts, CASE WHEN chunk_id = n - 1 THEN duration_s ELSE (chunk_id + 1) * {X.CHUNK_S} END AS end_ts
+grid AS (SELECT video_id, chunk_id, (chunk_id * {X.CHUNK_S})::DOUBLE AS start_ts, CASE WHEN chunk_id = n - 1 THEN duration_s ELSE (chunk_id + 1) * {X.CHUNK_S} END AS end_ts
   FROM (SELECT *, unnest(range(n)) AS chunk_id FROM tailed))"""
 FG = f"WITH {X.FRAMES}, {GRID}"
 PLACED = f"""{FG}, placed AS (SELECT f.*, g.chunk_id FROM frames f JOIN (SELECT *, chunk_id = max(chunk_id) OVER (PARTITION BY video_id) AS last FROM grid) g
@@ -310,7 +310,7 @@ def top_crops(spark, d):
 TG = f"""WITH {X.TURNS}, durations AS (SELECT video_id, max("end") AS duration_s FROM turns GROUP BY video_id),
 counted AS (SELECT *, greatest(ceil(duration_s / {X.TURN_CHUNK}), 1)::BIGINT AS n0 FROM durations),
 tailed AS (SELECT video_id, duration_s, CASE WHEN n0 > 1 AND duration_s - (n0 - 1) * {X.TURN_CHUNK} < 0.25 * {X.TURN_CHUNK} THEN n0 - 1 ELSE n0 END AS n FROM counted),
-grid AS (SELECT video_id, chunk_id, chunk_id * {X.TURN_CHUNK} AS start_ts, CASE WHEN chunk_id = n - 1 THEN duration_s ELSE (chunk_id + 1) * {X.TURN_CHUNK} END AS end_ts FROM (SELECT *, unnest(range(n)) AS chunk_id FROM tailed)),
+grid AS (SELECT video_id, chunk_id, (chunk_id * {X.TURN_CHUNK})::DOUBLE AS start_ts, CASE WHEN chunk_id = n - 1 THEN duration_s ELSE (chunk_id + 1) * {X.TURN_CHUNK} END AS end_ts FROM (SELECT *, unnest(range(n)) AS chunk_id FROM tailed)),
 {X.WORDS},
 cut AS (SELECT w.*, g.chunk_id FROM words w JOIN (SELECT *, chunk_id = max(chunk_id) OVER (PARTITION BY video_id) AS last FROM grid) g
   ON w.video_id = g.video_id AND (w.start + w."end") / 2 >= g.start_ts AND ((w.start + w."end") / 2 < g.end_ts OR g.last AND (w.start + w."end") / 2 = g.end_ts)),
