@@ -18,6 +18,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: Words too common to count as a detail that two descriptions share.
+DETAIL_STOP_WORDS = "a an the and with of on in none nothing no".split()
+
+
 def slug(text: Column, default: str = "all", most: int = 48) -> Column:
     """Lower case, other characters than letters and digits as one dash, trimmed, at most 48 characters."""
     s = F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, most)
@@ -25,9 +29,9 @@ def slug(text: Column, default: str = "all", most: int = 48) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Distinct lower-case words without stop words."""
+    """Distinct lower-case words but for those too common to be a detail."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in DETAIL_STOP_WORDS]))
 
 
 def stem(word: Column) -> Column:

@@ -144,24 +144,21 @@ def iou(a, b) -> float:
 
 
 def sample(frames: DataFrame, make: Callable[[], list[Sampler]], value: str) -> DataFrame:
-    """The frames that each sampler keeps, of all samplers in one pass over every recording; they start anew with
-    every chunk."""
+    """The frames that each sampler keeps, of all samplers in one pass; they start anew with every chunk, so a chunk is
+    a group of its own and a long recording spreads over tasks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_index")
         out = []
         for s in make():
-            now = None
+            s.reset()
             for video, chunk, index, ts, v in zip(pdf["video_id"], pdf["chunk_id"], pdf["frame_index"], pdf["media_ts"], pdf["value"], strict=True):
-                if chunk != now:
-                    s.reset()
-                    now = chunk
                 if s.offer(ts, v):
                     out.append((video, chunk, s.name, index, ts, s.last_score))
         return pd.DataFrame(out, columns=["video_id", "chunk_id", "sampler", "frame_index", "media_ts", "change"])
 
     small = frames.select("video_id", "chunk_id", "frame_index", "media_ts", F.col(value).alias("value"))
-    return small.groupBy("video_id").applyInPandas(run, "video_id string, chunk_id long, sampler string, frame_index long, media_ts double, change double")
+    return small.groupBy("video_id", "chunk_id").applyInPandas(run, "video_id string, chunk_id long, sampler string, frame_index long, media_ts double, change double")
 
 
 def context(frames: DataFrame, before: int, after: int) -> DataFrame:

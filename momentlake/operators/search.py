@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,14 +84,40 @@ def postings(units: DataFrame, keys: list[str], content: str = "content") -> Dat
     return words.groupBy(*keys, "lexeme").agg(F.count("*").alias("tf"), F.min("position").alias("first_position"))
 
 
+def parse_query(text: str) -> list[tuple[list[str], bool]]:
+    """The terms of a query as (lexemes, negated): words, "phrases", and either with a dash before it to exclude it."""
+    out = []
+    for dash, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
+        found = [w for w in re.findall(r"[^\W_]+", (phrase or word).lower()) if w not in T.STOP_WORDS]
+        out += [(found, bool(dash))] if phrase and found else [([w], bool(dash)) for w in found]
+    return out
+
+
 def text_rank(units: DataFrame, query: str, keys: list[str], limit: int, content: str = "content") -> DataFrame:
-    """Units with at least min(2, query lexemes) of the query's lexemes, by matched lexemes, then occurrences."""
-    spark = units.sparkSession
-    wanted = spark.range(1).select(F.explode(F.array_distinct(T.lexemes(F.lit(query)))).alias("lexeme"))
-    n = spark.range(1).select(F.size(F.array_distinct(T.lexemes(F.lit(query)))).alias("n_query"))
-    hits = postings(units, keys, content).join(F.broadcast(wanted), "lexeme").groupBy(*keys).agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
-    hits = hits.join(F.broadcast(n)).filter(F.col("matched") >= F.least(F.lit(2), F.col("n_query"))).select(*keys, "matched", "tf")
-    return _ranked(hits, [F.desc("matched"), F.desc("tf"), *map(F.col, keys)], limit, "text_rank")
+    """Units that match any term of the query and hold at least min(2, query lexemes) of its lexemes, by how often the
+    terms that aren't negated occur (each occurrence is a cover of its own, as terms are alternatives).
+
+    The query is a value of the driver: units are scored in place, nothing but the best is shuffled."""
+    terms = parse_query(query)
+    lexemes = list(dict.fromkeys(w for found, _ in terms for w in found))
+    if not lexemes:
+        return units.select(*keys, F.lit(0).alias("matched"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("text_rank")).filter(F.lit(False))
+    at = F.transform(F.col("w"), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    wanted = F.array(*map(F.lit, lexemes))
+
+    def occurrences(found: list[str]) -> Column:
+        if len(found) == 1:
+            return F.size(F.filter("w", lambda w: w == found[0]))
+        phrase = F.array(*map(F.lit, found))
+        return F.size(F.filter(at, lambda x: (x["w"] == found[0]) & (F.slice(F.col("w"), x["i"] + 1, len(found)) == phrase)))
+
+    rows = units.select(*keys, T.lexemes(F.coalesce(F.col(content), F.lit(""))).alias("w"))
+    matched = F.size(F.array_intersect("w", wanted)).cast("long")
+    tf = sum((occurrences(f) for f, negated in terms if not negated), F.lit(0)).cast("long")
+    absent = reduce(lambda x, y: x | y, [occurrences(f) == 0 for f, negated in terms if negated], F.lit(False))
+    hits = rows.select(*keys, matched.alias("matched"), tf.alias("tf"), absent.alias("absent"))
+    hits = hits.filter((F.col("matched") >= min(2, len(lexemes))) & ((F.col("tf") > 0) | F.col("absent"))).drop("absent")
+    return _ranked(hits, [F.desc("tf"), *map(F.col, keys)], limit, "text_rank")
 
 
 def fuse(by_vector: DataFrame, by_text: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from momentlake import fixtures as X
 from momentlake.functions import text as T
 from momentlake.functions import vectors as V
 from momentlake.models import reduce_with, stub_reduce, stub_sentiment
-from momentlake.operators import aggregates, combine, grid, linking, sampling, search, segments, speech, units
+from momentlake.operators import aggregates, answers, attributes, combine, grid, linking, sampling, search, segments, speech, units
+from momentlake.session import ship
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -17,7 +21,12 @@ ORACLE: dict = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -92,6 +101,7 @@ def chunks_widened(spark, d):
 
 TEXT = "ration the and that ononble"
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+DETAIL_STOPS = ", ".join(f"'{w}'" for w in T.DETAIL_STOP_WORDS)
 POSTINGS = f"""{X.UNITS}, words AS (SELECT video_id, chunk_id, sampler_id, unnest(w) AS lexeme, unnest(range(len(w))) AS position FROM (
   SELECT *, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({STOPS})) AS w FROM units)),
 postings AS (SELECT video_id, chunk_id, sampler_id, lexeme, count(*) AS tf, min(position) AS first_position FROM words GROUP BY ALL)"""
@@ -105,7 +115,7 @@ def postings(spark, d):
 QUERY_TEXT = "thonor ention then tion"
 TEXT_RANKED = f"""{POSTINGS}, wanted AS (SELECT unnest(['thonor', 'ention', 'tion']) AS lexeme),
 hits AS (SELECT video_id, chunk_id, sampler_id, count(*) AS matched, sum(tf)::BIGINT AS tf FROM postings JOIN wanted USING (lexeme) GROUP BY ALL HAVING count(*) >= 2),
-by_text AS (SELECT *, row_number() OVER (ORDER BY matched DESC, tf DESC, video_id, chunk_id, sampler_id) AS text_rank FROM hits QUALIFY text_rank <= 40)"""
+by_text AS (SELECT *, row_number() OVER (ORDER BY tf DESC, video_id, chunk_id, sampler_id) AS text_rank FROM hits QUALIFY text_rank <= 40)"""
 
 
 @query(f"WITH {TEXT_RANKED} SELECT video_id, chunk_id, sampler_id, matched, tf, text_rank FROM by_text")
@@ -414,8 +424,8 @@ coalesce(a.sources, '') AS sources FROM grid g LEFT JOIN a USING (video_id, chun
 def coverage(spark, d):
     t = X.turns(spark, d)
     g = _turn_grid(t)
-    answers = t.filter("speaker = 'assistant'").select("video_id", F.floor(F.col("start") / X.TURN_CHUNK).cast("long").alias("chunk_id"), F.col("speaker").alias("sampler"))
-    return aggregates.coverage(g, answers, speech.transcript_chunks(X.words(spark, d), g))
+    answered = t.filter("speaker = 'assistant'").select("video_id", F.floor(F.col("start") / X.TURN_CHUNK).cast("long").alias("chunk_id"), F.col("speaker").alias("sampler"))
+    return aggregates.coverage(g, answered, speech.transcript_chunks(X.words(spark, d), g))
 
 
 @query(
@@ -656,7 +666,7 @@ def hash_embedding(spark, d):
     return v.select("item_id", F.posexplode("vector").alias("slot", "weight")).filter("weight > 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.round("weight", 6).alias("weight"))
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN ({STOPS}))))::INT AS n_words FROM documents")
+@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN ({DETAIL_STOPS}))))::INT AS n_words FROM documents")
 def word_sets(spark, d):
     return _docs(spark, d).select("doc_id", F.size(T.words(F.col("content"))).alias("n_words"))
 
@@ -666,6 +676,74 @@ def sentence_pieces(spark, d):
     return T.pieces(_docs(spark, d), ["doc_id"], "content", 400)
 
 
+# -- answers
+
+BANDS = "CASE WHEN value < 50 THEN 'low' WHEN value < 150 THEN 'mid' WHEN value < 250 THEN 'unclear' ELSE 'high' END"
+
+
+@query(
+    f"""WITH m AS (SELECT user_id::VARCHAR AS video_id, event_id AS mention, floor(value / 50)::BIGINT AS chunk, event_type AS kind, {BANDS} AS band FROM events),
+p AS (SELECT a.video_id, a.mention AS i, b.mention AS j, a.chunk = b.chunk AS different,
+  CASE WHEN a.kind = b.kind THEN 0 WHEN least(a.kind, b.kind) = 'click' AND greatest(a.kind, b.kind) = 'view' THEN 0.5 ELSE 1 END
+  + 2 * CASE WHEN a.band = 'unclear' OR b.band = 'unclear' OR a.band = b.band THEN 0 ELSE 1 END AS cost,
+  (a.kind = b.kind)::INT + (a.band = b.band AND a.band <> a.kind)::INT AS in_common
+  FROM m a JOIN m b ON a.video_id = b.video_id AND a.mention < b.mention)
+SELECT video_id, i, j, different, (0.25 * in_common - cost)::DOUBLE AS similarity FROM p"""
+)
+def attribute_scores(spark, d):
+    e = X.table(spark, d, "events")
+    m = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("mention"), F.floor(F.col("value") / 50).alias("chunk"), F.col("event_type").alias("kind"), F.expr(BANDS).alias("band"))
+    m = m.withColumn("tags", F.array("kind", "band"))
+    return attributes.attribute_similarity(m, ["video_id"], "chunk", {"kind": 1.0, "band": 2.0}, {"tags": 0.25}, [("view", "click")])
+
+
+@query(
+    f"""{PLACED}, q AS (SELECT DISTINCT sampler, unnest([sampler, 'people']) AS question FROM frames),
+c AS (SELECT video_id, chunk_id, p.sampler, question, CASE WHEN p.sampler = question THEN question ELSE p.sampler || ':' || question END AS sampler_id, count(DISTINCT frame_index)::INT AS frame_count, min(frame_index) AS first_frame
+  FROM placed p JOIN q ON p.sampler = q.sampler GROUP BY ALL)
+SELECT video_id, chunk_id, sampler_id, frame_count, first_frame FROM c WHERE NOT (question = 'people' AND chunk_id % 2 = 0)"""
+)
+def describe_plan(spark, d):
+    placed = _placed(spark, d)
+    configs = placed.select("sampler").distinct().withColumn("questions", F.array("sampler", F.lit("people")))
+    planned = answers.calls(placed, answers.questions_of_configs(configs))
+    done = planned.filter("question = 'people' AND chunk_id % 2 = 0")
+    return answers.due(planned, done).select(*answers.CALL, "frame_count", F.col("frame_indexes")[0].alias("first_frame"))
+
+
+def _capitalised(texts: list[str]) -> list[list[tuple[str, str]]]:
+    """A deterministic recogniser: capitalised words, labelled by their length."""
+    return [[(w, "long" if len(w) > 6 else "short") for w in re.findall(r"[A-Z][a-z]+", t)] for t in texts]
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS "text" FROM conversations),
+g AS (SELECT conv_id, "text", CASE WHEN length("text") > 6 THEN 'long' ELSE 'short' END AS label, count(*) AS mentions, count(DISTINCT turn)::INT AS chunks FROM w GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY mentions DESC, lower("text"), "text", label) AS rank FROM g"""
+)
+def ner_mentions(spark, d):
+    found = answers.ner(X.table(spark, d, "conversations"), "conv_id", "turn", "text", _capitalised)
+    return found.select("conv_id", "text", "label", "mentions", F.size("chunk_ids").alias("chunks"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT event_id, 'event-' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS item_id FROM events")
+def item_numbers(spark, d):
+    return answers.item_ids(X.table(spark, d, "events"), ["user_id"], "events", ["ts", "event_id"]).select("event_id", "item_id")
+
+
+@query("SELECT doc_id, 'de' || '/' || source || '/' || lang AS leaves FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def json_leaves(spark, d):
+    doc = F.to_json(F.struct(F.struct(F.lit("de").alias("x"), F.lit(3).alias("n")).alias("a"), F.array(F.array("source")).alias("b"), F.col("lang").alias("c")))
+    rows = X.table(spark, d, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    return rows.select("doc_id", F.array_join(answers.string_leaves(doc), "/").alias("leaves"))
+
+
+@query("SELECT event_id, props->>'$.k' AS k FROM events")
+def fenced_replies(spark, d):
+    fence = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone {}."))).otherwise(F.concat(F.lit("It is "), "props", F.lit(".")))
+    return X.table(spark, d, "events").select("event_id", F.get_json_object(answers.fenced(fence), "$.k").alias("k"))
+
+
 # -- general relational coverage over the star schema
 
 

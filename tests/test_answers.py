@@ -1,0 +1,98 @@
+"""Plans of calls, attributes, query syntax, registries and whole runs, by hand-worked cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from momentlake.errors import Refused, UnknownOption
+from momentlake.operators import answers, attributes, search
+from momentlake.plans import batch
+from momentlake.plans.library import Entry, Library, instruction
+from momentlake.sources.store import ParquetStore
+
+
+def test_attributes(spark):
+    rows = [
+        (1, 0, "red", "short", "a red scarf", ["hat"]),
+        (2, 0, "dark_red", "covered", "scarf, red and torn", ["hat", "bag"]),
+        (3, 1, "blue", "long", None, None),
+    ]
+    m = spark.createDataFrame([("v", *r) for r in rows], "video_id string, mention long, chunk int, color string, hair string, note string, things array<string>")
+    got = attributes.attribute_similarity(m, ["video_id"], "chunk", {"color": 2.0, "hair": 1.0}, {"note": 0.5, "things": 0.25}, [("dark_red", "red")])
+    assert {(r.i, r.j): (r.similarity, r.different) for r in got.collect()} == {(1, 2): (-1.0 + 0.5 + 0.25, True), (1, 3): (-3.0, False), (2, 3): (-2.0, False)}
+
+
+def test_keyed_similarity(spark):
+    m = spark.createDataFrame([("v", 1, [1.0, 0.0], [1.0, 0.0]), ("v", 2, [0.0, 1.0], [1.0, 0.0]), ("v", 3, [1.0, 0.0], None)], "video_id string, mention long, a array<double>, b array<double>")
+    got = attributes.keyed_similarity(m, ["video_id"], {"a": 1.0, "b": 3.0})
+    assert {(r.i, r.j): r.similarity for r in got.collect()} == {(1, 2): 0.75, (1, 3): 1.0, (2, 3): 0.0}
+
+
+def test_query_syntax(spark):
+    assert search.parse_query('red "old house" -dog the') == [(["red"], False), (["old", "house"], False), (["dog"], True)]
+    texts = ["red red old house", "house old red", "red dog house", "nothing here", None]
+    u = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = search.text_rank(u, '"old house" red', ["id"], 10).collect()
+    assert [(r.id, r.matched, r.tf, r.text_rank) for r in got] == [(0, 3, 3, 1), (1, 3, 1, 2), (2, 2, 1, 3)]
+    assert search.text_rank(u, "the of", ["id"], 10).count() == 0
+    assert [r.id for r in search.text_rank(u, "house -red", ["id"], 10).collect()] == [0, 1, 2]
+
+
+def test_plan_of_calls_resumes(spark):
+    s = spark.createDataFrame([("v", c, "uniform", f) for c in (0, 1) for f in (2, 1)], "video_id string, chunk_id long, sampler string, frame_index long")
+    q = answers.questions_of_configs(spark.createDataFrame([("uniform", ["scene", "uniform"])], "sampler string, questions array<string>"))
+    planned = answers.calls(s, q)
+    assert {(r.chunk_id, r.sampler_id, tuple(r.frame_indexes)) for r in planned.collect()} == {(c, i, (1, 2)) for c in (0, 1) for i in ("uniform:scene", "uniform")}
+    done = planned.filter("chunk_id = 0 AND question = 'scene'")
+    assert [(r.chunk_id, r.sampler_id) for r in answers.due(planned, done, 2).collect()] == [(0, "uniform"), (1, "uniform")]
+
+
+def test_replies(spark):
+    rows = ['x\n```json\n{"a": {"b": 1}}\n```\n', 'say {"a": 2} so', "none", None]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(answers.fenced(F.col("t"))).collect()
+    assert [r[0] for r in got] == ['{"a": {"b": 1}}', '{"a": 2}', None, None]
+    docs = spark.createDataFrame([('{"a": ["x", {"b": "y"}], "c": 1}',), ("{",), (None,)], "t string")
+    assert [r[0] for r in docs.select(answers.string_leaves(F.col("t"))).collect()] == [["x", "y"], [], []]
+
+
+def test_library(spark):
+    lib = Library(Entry("scene", "question", "What is seen?", {"summary": {"type": "text"}}))
+    version = lib.add(Entry("cars", "question", "Which cars?", {"cars": {"type": "list"}}))
+    assert lib.names() == ["cars", "scene"] and len(version) == 12 and lib.rows(spark).count() == 2
+    with pytest.raises(Refused):
+        lib.remove("scene")
+    with pytest.raises(Refused):
+        lib.add(Entry("cars", "question", "Again", {"cars": {"type": "list"}}))
+    with pytest.raises(UnknownOption):
+        lib.get("boats")
+    lib.remove("cars")
+    assert lib.names() == ["scene"]
+    assert instruction("{n} frames of {vocabulary}, {x}", n=3, vocabulary=["a", "b"]) == "3 frames of a, b, {x}"
+
+
+def test_runs(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    durations = spark.createDataFrame([("v", 50.0)], "video_id string, duration_s double")
+    frames = spark.createDataFrame([("v", i, float(i), 1.0) for i in range(50)], "video_id string, frame_index long, media_ts double, score double")
+    questions = spark.createDataFrame([("uniform", "uniform", 0)], "sampler string, question string, position int")
+    asked = []
+
+    def describe(calls):
+        asked.append(calls.count())
+        return calls.withColumn("description", F.concat(F.lit("frames "), F.col("frame_count")))
+
+    work = {"durations": durations, "frames": frames, "questions": questions, "describe": describe}
+    how = batch.Extraction(limit=2)
+    batch.extract(store, how=how, **work)
+    batch.extract(store, how=how, **work)
+    assert asked == [2, 1] and store.read("descriptions").count() == 3 and store.read("embeddings").count() == 3
+
+    def record(s):
+        return batch.Record(s.read("chunks"), frames.withColumn("sampler", F.lit("uniform")), answers=s.read("descriptions"))
+
+    got = batch.workflow(store, record, tier="llm", **work)
+    assert asked[-1] == 0 and set(got.tables) == {"stats", "summary"} and got.skipped == {"coverage": "needs spoken", "speakers": "needs turns"}
+    assert got.tables["stats"].first().frames_sampled == 50 and got.tables["summary"].count() == 1
+    assert batch.validate(batch.Extraction(policy="scene", chunk_s=0), False) == ["policy scene needs cuts", "chunk_s and per_second are positive"]
+    assert batch.validate_aggregate(["stats", "stats", "x"]) == ["no aggregator 'x'", "'stats' is asked twice"]
+    with pytest.raises(Refused):
+        batch.aggregate(record(store), ["x"])
