@@ -127,6 +127,12 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_leaves_out_articles_that_are_none():
+    page = """<body><article class="post has-comments"><p>Story</p><article class="comment"><p>Nice</p></article><p>End</p></article>
+<article class="teaser related"><p>More</p></article></body>"""
+    assert html_text.main_text(html_text.parse(page)) == "Story\nEnd"
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
