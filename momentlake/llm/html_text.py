@@ -1,14 +1,14 @@
 """HTML extraction (3) by site template removal.
 
-1. Every page is parsed into a tree.  Each element subtree outside the article is hashed (tag, attributes, text and
-   the hashes of its children), and Spark counts per host on how many pages each hash occurs.
-2. Subtrees that occur on at least MIN_PAGES pages and MIN_SHARE of all pages of their host are the site's template
+1. Every page is parsed into a tree.  Each block's subtree, inside the article or outside, is hashed (tag, attributes,
+   text and the hashes of its children), and Spark counts per host in how many different bodies each hash occurs: a
+   body is the text that is read of a page, without the subtree itself.
+2. Subtrees that occur in at least MIN_PAGES bodies and MIN_SHARE of all pages of their host are the site's template
    and are deleted, as are elements that are boilerplate by what they are: navigation, headers, footers, sidebars,
    notices, adverts, forms, scripts, styles and reader comments, by tag, role, class or id.
 3. What is left of the article (or of the body, where a page has no article or main element) is read as blocks.
 
-The content of article and main elements is not subject to the count: a text that a host publishes on many pages is
-no template.
+A story that a host publishes on many pages is no template: around each of its parts the body is the same.
 
 Defined results: null or empty html gives an empty text; a null url makes a host of its own; repeated rows count as
 pages of their own; unclosed and stray tags are repaired as browsers do in the common cases; character references are
@@ -30,6 +30,8 @@ from momentlake.llm.common import BROADCAST_ROWS, cut, ship, table
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: Prose and blocks without a name are counted if they have so many characters.
+MIN_CHARS = 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -40,6 +42,9 @@ _BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "legend", "figcaption"}
+#: Blocks that may be template as a whole; those of prose are only counted if they are long enough.
+_UNITS = _BLOCK - set("html body article main h1 h2 h3 h4 h5 h6 hgroup hr caption td th tr tbody thead tfoot li dt dd figcaption legend summary".split())
+_PROSE = {"p", "pre", "blockquote", "address", "center"}
 #: An opening tag ends these if one is open within the given bounds.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _DROP_TAGS = set("head nav header footer aside form script style noscript template iframe svg math canvas button select input textarea option dialog object embed audio video applet map menu noembed noframes xmp title".split())
@@ -144,29 +149,8 @@ def aside(node: _Node) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or not _DROP_WORDS.isdisjoint(names)
 
 
-def subtree_hashes(root: _Node) -> dict[int, int]:
-    """id(node) -> hash of each element subtree outside article and main elements."""
-    found: dict[int, int] = {}
-
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        if node.tag not in ("article", "main"):
-            todo += [x for x in node.items if isinstance(x, _Node)]
-    for node in reversed(order):  # children before parents
-        h = xxhash.xxh64(f"<{node.tag} {node.attrs}>")
-        for x in node.items:
-            h.update(x if isinstance(x, str) else found.get(id(x), 0).to_bytes(8, "little"))
-        found[id(node)] = h.intdigest()
-    for node in order:
-        if node.tag in ("", "html", "body", "article", "main"):
-            del found[id(node)]
-    return found
-
-
-def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, int] | None = None) -> str:
-    """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
+def heads_of(root: _Node) -> list[_Node]:
+    """The outermost article and main elements that are read; none where the page is read as a whole."""
     heads: list[_Node] = []
     todo = [root]
     while todo:
@@ -177,6 +161,69 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, i
             heads.append(node)
             continue
         todo += [x for x in reversed(node.items) if isinstance(x, _Node)]
+    return heads
+
+
+def subtrees(root: _Node) -> dict[int, tuple[int, int]]:
+    """id(node) -> (hash, hash of the surrounding body) of each element subtree that the count may delete.
+
+    These are whole blocks, no phrases, headings, cells or items: a term set in italics, a section title or a table's
+    zero recurs in different articles without being template.  Prose is to have MIN_CHARS characters, as do blocks
+    without class and id.  The body is the text that is read of the page, without what is boilerplate by its name and
+    without the subtree; its hash is a sum over its strings, from which a subtree's own part can be taken away.
+    """
+    heads = heads_of(root)
+    order: list[tuple[_Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if node is not root and boilerplate(node):
+            continue
+        inside = inside or any(node is x for x in heads)
+        order.append((node, inside))
+        todo += [(x, inside) for x in node.items if isinstance(x, _Node)]
+    found: dict[int, tuple[int, int, int]] = {}  # hash, sum over the strings, characters
+    holds: set[int] = set()
+    candidates: list[tuple[_Node, bool]] = []
+    for node, inside in reversed(order):  # children before parents
+        h = xxhash.xxh64(f"<{node.tag} {node.attrs}>")
+        total = size = 0
+        for x in node.items:
+            if isinstance(x, str):
+                t = " ".join(x.split())
+                if t:
+                    one = xxhash.xxh64_intdigest(t)
+                    total, size = total + one, size + len(t)
+                    h.update(one.to_bytes(8, "little"))
+            elif id(x) in found:
+                part = found[id(x)]
+                total, size = total + part[1], size + part[2]
+                h.update(part[0].to_bytes(8, "little"))
+                if id(x) in holds or x.tag in ("article", "main"):
+                    holds.add(id(node))
+        found[id(node)] = h.intdigest(), total, size
+        if size and id(node) not in holds and _counted(node, size, inside):
+            candidates.append((node, inside))
+    body = sum(found[id(x)][1] for x in heads or [root])
+    out = {}
+    for node, inside in candidates:
+        h, total, _ = found[id(node)]
+        out[id(node)] = h, (body - (total if inside or not heads else 0)) % 2**64
+    return out
+
+
+def _counted(node: _Node, size: int, inside: bool) -> bool:
+    if node.tag == "li":  # an entry of a menu
+        return not inside and all(x.tag == "a" if isinstance(x, _Node) else not x.strip() for x in node.items)
+    if node.tag not in _UNITS:
+        return False
+    if size >= MIN_CHARS:
+        return True
+    return node.tag not in _PROSE and bool(node.attrs) and not {"class", "id"}.isdisjoint(attributes(node))
+
+
+def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
+    """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -186,7 +233,7 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, i
             blocks.append(text)
         run.clear()
 
-    for head in heads or [root]:
+    for head in heads_of(root) or [root]:
         stack: list = [iter((head,))]
         ends: list[bool] = [False]
         while stack:
@@ -199,7 +246,7 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, i
                 run.append(x)
             elif x.tag == "br":
                 run.append(" ")
-            elif x is not root and (boilerplate(x) or (template and hashes.get(id(x)) in template)):
+            elif x is not root and (boilerplate(x) or (template and hashes.get(id(x), (None,))[0] in template)):
                 if x.tag in _BLOCK:
                     close()
             else:
@@ -222,28 +269,31 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """key of every subtree that recurs on many pages of its host."""
+    """key of every subtree that recurs in many different bodies of its host."""
     ship(pages.sparkSession)
 
-    def run(batches):
+    def packed(batches):
+        host_, keys, bodies = [], [], []
+        names = ["host", "key", "body"]
+
+        def full():
+            return pa.RecordBatch.from_arrays([pa.array(host_, pa.string()), pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], names)
+
         for b in batches:
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys = [_key(host, h) for h in set(subtree_hashes(parse(text or "")).values())]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(keys, pa.int64())], ["host", "key"])
-
-    def packed(batches):
-        waiting, rows = [], 0
-        for b in run(batches):
-            waiting.append(b)
-            rows += b.num_rows
-            if rows > 50_000:
-                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                waiting, rows = [], 0
-        if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                for h, body in set(subtrees(parse(text or "")).values()):
+                    host_.append(host)
+                    keys.append(_key(host, h))
+                    bodies.append(body - 2**63)
+                if len(keys) > 50_000:
+                    yield full()
+                    host_, keys, bodies = [], [], []
+        if keys:
+            yield full()
 
     src = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    seen = src.mapInArrow(packed, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    # a row for each different body first, so that no key of a large host is one task's
+    seen = src.mapInArrow(packed, "host string, key long, body long").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
     totals = src.groupBy("host").agg(F.count("*").alias("pages"))
     return seen.join(totals, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("key")
 
@@ -260,8 +310,8 @@ def extract(pages: DataFrame) -> DataFrame:
         out = []
         for k, (host, text) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)):
             root = parse(text or "")
-            hashes = subtree_hashes(root)
-            hit = {h for h in set(hashes.values()) if _key(host, h) in sets(k)}
+            hashes = subtrees(root)
+            hit = {h for h in {h for h, _ in hashes.values()} if _key(host, h) in sets(k)}
             out.append(main_text(root, hit, hashes))
         return pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names)
 
@@ -277,7 +327,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # more templates than may be broadcast: each page gets its own by two joins
     def keys(batches):
         for b in batches:
-            rows = [[_key(host, h) for h in set(subtree_hashes(parse(text or "")).values())] for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+            rows = [[_key(host, h) for h in {h for h, _ in subtrees(parse(text or "")).values()}] for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page"), pa.array(rows, pa.list_(pa.int64()))], ["page", "keys"])
 
     src = src.withColumn("page", F.xxhash64("page_id", "url", "html"))

@@ -133,6 +133,16 @@ def test_html_leaves_out_articles_that_are_none():
     assert html_text.main_text(html_text.parse(page)) == "Story\nEnd"
 
 
+def test_html_counts_templates_inside_articles(spark):
+    page = '<body><{0}><div class="x7">Subscribe now</div><p>Story {1} with <i>in vitro</i> data</p><p>This text stands under all of them.</p><h2>Results</h2><p>Yes.</p></{0}></body>'
+    rows = [(i, f"http://h.org/{i}", page.format(("article", "main")[i % 2], i)) for i in range(24)]
+    story = "<article><div>Once upon a time there was a story.</div><p>It was told on every page of a host.</p></article><div>{}</div>"
+    rows += [(100 + i, f"http://copies.org/{i}", story.format(i)) for i in range(24)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} with in vitro data\nResults\nYes." for i in range(24))
+    assert all(got[100 + i] == "Once upon a time there was a story.\nIt was told on every page of a host." for i in range(24))
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
