@@ -5,7 +5,8 @@
    body is the text that is read of a page, without the subtree itself.
 2. Subtrees that occur in at least MIN_PAGES bodies and MIN_SHARE of all pages of their host are the site's template
    and are deleted, as are elements that are boilerplate by what they are: navigation, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments, by tag, role, class or id.
+   notices, adverts, forms, scripts, styles and reader comments, by tag, role, or a whole class or id.  No name drops
+   what holds the page's main, its only articles or most of its text.
 3. What is left of the article (or of the body, where a page has no article or main element) is read as blocks.
 
 A story that a host publishes on many pages is no template: around each of its parts the body is the same.
@@ -54,14 +55,36 @@ _DROP_WORDS = set(
     "header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget pagination pager toolbar skip".split()
 )
+#: Words of what readers write, which may well be longer than the article.
+_REPLIES = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "items")
+    """size: characters of text, without what is boilerplate by its tag; holds: 2 a main, 1 an article, 0 neither."""
+
+    __slots__ = ("tag", "attrs", "items", "size", "holds")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.items = tag, attrs, []
+        self.size = self.holds = 0
+
+
+def _measured(root: _Node) -> _Node:
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.items if isinstance(x, _Node)]
+    for node in reversed(order):  # children before parents
+        node.holds = {"main": 2, "article": 1}.get(node.tag, 0)
+        for x in node.items:
+            if isinstance(x, str):
+                node.size += len(" ".join(x.split()))
+            elif x.tag not in _DROP_TAGS or x.tag == "form":
+                node.size += x.size
+                node.holds = max(node.holds, x.holds)
+    return root
 
 
 def parse(text: str) -> _Node:
@@ -120,48 +143,65 @@ def parse(text: str) -> _Node:
             node.items.append(text[at:])
             break
         stack.append(node)
-    return root
+    return _measured(root)
 
 
 def attributes(node: _Node) -> dict[str, str]:
     return {k.lower(): H.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(node.attrs)}
 
 
-def boilerplate(node: _Node) -> bool:
-    """Whether the element is none of the article by its tag, role, class, id or being hidden."""
-    if node.tag in _DROP_TAGS:
+def named(names: str) -> bool:
+    """Whether a class or id of these is a listed word as a whole, or made of such words only (cookie-banner)."""
+    for token in names.lower().split():
+        parts = [x for x in _SPLIT.split(token) if x]
+        if parts and _DROP_WORDS.issuperset(parts):
+            return True
+    return False
+
+
+def boilerplate(node: _Node, root: _Node, spare: bool = False) -> bool:
+    """Whether the element is none of the article by its tag, role, class, id or being hidden.
+
+    No name drops an element that holds a main or more than half of the page's text (readers' comments may be more
+    than half), nor, with spare, one that holds an article.  A form may be around a whole page, so it counts as a name.
+    """
+    if node.tag in _DROP_TAGS and node.tag != "form":
         return True
-    if not node.attrs or node.tag in ("html", "body", "main"):
+    a = attributes(node) if node.attrs else {}
+    if node.tag in ("html", "body", "main"):
         return False
-    if node.tag == "article":
-        return aside(node)
-    a = attributes(node)
-    if a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden") == "true":
+    if "hidden" in a or a.get("aria-hidden") == "true":
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return not _DROP_WORDS.isdisjoint(_SPLIT.split(names))
-
+    names = f"{a.get('class', '')} {a.get('id', '')}"
+    role = a.get("role", "").lower()
+    if node.tag == "article":  # a comment, a teaser or an advert
+        by_name = named(f"{role} {names}")
+    else:
+        by_name = node.tag == "form" or role in _DROP_ROLES or named(names)
+    if not by_name or node.holds == 2 or spare and node.holds:
+        return False
+    return 2 * node.size <= root.size or not _REPLIES.isdisjoint(_SPLIT.split(names.lower()))
 
-def aside(node: _Node) -> bool:
-    """Whether an article element is a comment, a teaser or an advert by its whole role or a whole class or id."""
-    a = attributes(node)
-    names = f"{a.get('role', '')} {a.get('class', '')} {a.get('id', '')}".lower().split()
-    return "hidden" in a or a.get("aria-hidden") == "true" or not _DROP_WORDS.isdisjoint(names)
 
+def heads_of(root: _Node) -> tuple[list[_Node], bool]:
+    """The outermost article and main elements that are read, and whether names had to spare what holds an article.
 
-def heads_of(root: _Node) -> list[_Node]:
-    """The outermost article and main elements that are read; none where the page is read as a whole."""
-    heads: list[_Node] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node is not root and boilerplate(node):
-            continue
-        if node.tag in ("article", "main"):
-            heads.append(node)
-            continue
-        todo += [x for x in reversed(node.items) if isinstance(x, _Node)]
-    return heads
+    They have to where there would be no article or main else.  Without any the page is read as a whole.
+    """
+    for spare in (False, True):
+        heads: list[_Node] = []
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node is not root and boilerplate(node, root, spare):
+                continue
+            if node.tag in ("article", "main"):
+                heads.append(node)
+                continue
+            todo += [x for x in reversed(node.items) if isinstance(x, _Node)]
+        if heads or not root.holds:
+            break
+    return heads, spare
 
 
 def subtrees(root: _Node) -> dict[int, tuple[int, int]]:
@@ -172,12 +212,12 @@ def subtrees(root: _Node) -> dict[int, tuple[int, int]]:
     without class and id.  The body is the text that is read of the page, without what is boilerplate by its name and
     without the subtree; its hash is a sum over its strings, from which a subtree's own part can be taken away.
     """
-    heads = heads_of(root)
+    heads, spare = heads_of(root)
     order: list[tuple[_Node, bool]] = []
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        if node is not root and boilerplate(node):
+        if node is not root and boilerplate(node, root, spare):
             continue
         inside = inside or any(node is x for x in heads)
         order.append((node, inside))
@@ -224,6 +264,7 @@ def _counted(node: _Node, size: int, inside: bool) -> bool:
 
 def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
     """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
+    heads, spare = heads_of(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -233,7 +274,7 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, t
             blocks.append(text)
         run.clear()
 
-    for head in heads_of(root) or [root]:
+    for head in heads or [root]:
         stack: list = [iter((head,))]
         ends: list[bool] = [False]
         while stack:
@@ -246,7 +287,7 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, t
                 run.append(x)
             elif x.tag == "br":
                 run.append(" ")
-            elif x is not root and (boilerplate(x) or (template and hashes.get(id(x), (None,))[0] in template)):
+            elif x is not root and (boilerplate(x, root, spare) or (template and hashes.get(id(x), (None,))[0] in template)):
                 if x.tag in _BLOCK:
                     close()
             else:

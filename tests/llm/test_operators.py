@@ -133,6 +133,20 @@ def test_html_leaves_out_articles_that_are_none():
     assert html_text.main_text(html_text.parse(page)) == "Story\nEnd"
 
 
+def test_html_names_are_whole_and_spare_the_main_text():
+    read = lambda x: html_text.main_text(html_text.parse(x))
+    story = "<article><p>The story of the day</p></article>"
+    for wrapper in ('div class="page with-sidebar"', 'div id="content" class="no-sidebar"', 'div class="sidebar"', 'div class="widget" role="dialog"', "form id=aspnetForm", 'section class="header"'):
+        assert read(f"<body><div {wrapper.split(' ', 1)[1]}>{story}</div></body>") == read(f"<body><{wrapper}>{story}</{wrapper.split()[0]}></body>") == "The story of the day"
+        assert read(f"<body><{wrapper}>{story.replace('article', 'main')}</{wrapper.split()[0]}></body>") == "The story of the day"
+    inner = '<section id="related-work"><p>A</p></section><h2 id="sharing-data">B</h2><div class="article-notice-text">C</div>'
+    assert read(f"<article>{inner}</article>") == "A\nB\nC"
+    assert read('<article><div class="widget"><p>Most of the text is here</p></div><p>End</p></article>') == "Most of the text is here\nEnd"
+    assert read('<article class="post widget"><p>The only one</p></article><p>Much more text than there is in the article</p>') == "The only one"
+    small = '<div class="cookie-banner">x</div><div class="nav main">y</div><div id="sidebar"><article>z</article></div><div class="comments">' + "Nice! " * 20 + "</div>"
+    assert read(f"<body>{story}{small}</body>") == read(f"<body><main>{story}{small}</main></body>") == "The story of the day"
+
+
 def test_html_counts_templates_inside_articles(spark):
     page = '<body><{0}><div class="x7">Subscribe now</div><p>Story {1} with <i>in vitro</i> data</p><p>This text stands under all of them.</p><h2>Results</h2><p>Yes.</p></{0}></body>'
     rows = [(i, f"http://h.org/{i}", page.format(("article", "main")[i % 2], i)) for i in range(24)]
