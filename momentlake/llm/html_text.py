@@ -3,16 +3,18 @@
 1. Every page is parsed into a tree.  Each block's subtree, inside the article or outside, is hashed (tag, attributes,
    text and the hashes of its children), and Spark counts per host in how many different bodies each hash occurs: a
    body is the text that is read of a page, without the subtree itself.
-2. Subtrees that occur in at least MIN_PAGES bodies and MIN_SHARE of all pages of their host are the site's template
-   and are deleted, as are elements that are boilerplate by what they are: navigation, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments, by tag, role, or a whole class or id.  No name drops
+2. Subtrees that occur in at least MIN_BODIES different bodies of their host are the site's template and are deleted,
+   as are elements that are boilerplate by what they are: navigation, headers, footers, sidebars, notices, adverts,
+   forms, scripts, styles and reader comments, by tag, role, or a whole class or id.  No name drops
    what holds the page's main, its only articles or most of its text.
 3. What is left of the article (or of the body, where a page has no article or main element) is read as blocks.
 
-A story that a host publishes on many pages is no template: around each of its parts the body is the same.
+A story that a host publishes on many pages is no template: around each of its parts the body is the same.  Near copies
+of it, such as with a counter of readers, have different bodies; so a page of which the template would take nearly all
+of a long text keeps it.  A page whose own text is short beside long notices so keeps these as well.
 
-Defined results: null or empty html gives an empty text; a null url makes a host of its own; repeated rows count as
-pages of their own; unclosed and stray tags are repaired as browsers do in the common cases; character references are
+Defined results: null or empty html gives an empty text; a null url makes a host of its own; repeated rows count
+once; unclosed and stray tags are repaired as browsers do in the common cases; character references are
 decoded once; other columns are ignored.
 """
 
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from momentlake.llm.common import BROADCAST_ROWS, cut, ship, table
 
-MIN_PAGES = 5
-MIN_SHARE = 0.2
+#: A subtree is template if it occurs in so many different bodies of its host, whatever the host's size.
+MIN_BODIES = 10
+#: Deletions of MUCH characters that leave less than LEAST of a page's text are taken back, see near copies above.
+LEAST, MUCH = 0.2, 500
 #: Prose and blocks without a name are counted if they have so many characters.
 MIN_CHARS = 20
 
@@ -262,8 +266,7 @@ def _counted(node: _Node, size: int, inside: bool) -> bool:
     return node.tag not in _PROSE and bool(node.attrs) and not {"class", "id"}.isdisjoint(attributes(node))
 
 
-def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
-    """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
+def _read(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
     heads, spare = heads_of(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -300,6 +303,16 @@ def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, t
     return "\n".join(blocks)
 
 
+def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
+    """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
+    text = _read(root, template, hashes)
+    if template:
+        whole = _read(root)
+        if len(whole) - len(text) >= MUCH and len(text) < LEAST * len(whole):
+            return whole
+    return text
+
+
 def _key(host: str | None, h: int) -> int:
     """A hash of host and subtree as a signed 64-bit integer."""
     return int(np.uint64(xxhash.xxh64_intdigest(f"{host}|{h}")).astype(np.int64))
@@ -314,29 +327,26 @@ def templates(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
 
     def packed(batches):
-        host_, keys, bodies = [], [], []
-        names = ["host", "key", "body"]
+        keys, bodies = [], []
 
         def full():
-            return pa.RecordBatch.from_arrays([pa.array(host_, pa.string()), pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], ["key", "body"])
 
         for b in batches:
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for h, body in set(subtrees(parse(text or "")).values()):
-                    host_.append(host)
                     keys.append(_key(host, h))
                     bodies.append(body - 2**63)
                 if len(keys) > 50_000:
                     yield full()
-                    host_, keys, bodies = [], [], []
+                    keys, bodies = [], []
         if keys:
             yield full()
 
     src = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     # a row for each different body first, so that no key of a large host is one task's
-    seen = src.mapInArrow(packed, "host string, key long, body long").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-    totals = src.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(totals, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("key")
+    seen = src.mapInArrow(packed, "key long, body long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return seen.filter(F.col("n") >= MIN_BODIES).select("key")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -157,6 +157,20 @@ def test_html_counts_templates_inside_articles(spark):
     assert all(got[100 + i] == "Once upon a time there was a story.\nIt was told on every page of a host." for i in range(24))
 
 
+def test_html_templates_by_different_bodies_whatever_the_hosts_size(spark):
+    rows = [(i, f"http://copies.org/{i % 2}", "<body><div><p>One page that was stored more than once</p></div></body>") for i in range(25)]
+    rows += [(100 + i, None, "<body><div><p>A page without any address at all</p></div></body>") for i in range(25)]
+    menu = '<body><div class="x7">A notice of one section</div>{}</body>'
+    rows += [(200 + i, f"http://large.org/{i}", (menu if i < 30 else "<body>{}</body>").format(f"<p>The text of page {i} of a large host</p>")) for i in range(400)]
+    counter = "<body><div><p>" + "</p><p>".join(f"Sentence {k} of a long story with a counter" for k in range(40)) + "</p></div><p>{} have read it up to now</p></body>"
+    rows += [(1000 + i, f"http://near.org/{i}", counter.format(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One page that was stored more than once" for i in range(25))
+    assert all(got[100 + i] == "A page without any address at all" for i in range(25))
+    assert all(got[200 + i] == f"The text of page {i} of a large host" for i in range(400))
+    assert all(len(got[1000 + i].split("\n")) == 41 for i in range(30))
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
