@@ -135,7 +135,7 @@ def hybrid_rrf(spark, d):
 
 def _observations(spark, d):
     e = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    f = X.frames(spark, d).withColumn("slot", F.col("event_id") % 500)
+    f = X.frames(spark, d).withColumn("slot", F.col("event_id") % e.select(F.max("vec_id") + 1).scalar())  # every vector has its events
     return f.join(e, F.col("slot") == F.col("vec_id")).select("video_id", F.col("sampler").alias("sampler_id"), "frame_index", "media_ts", F.col("pts").alias("seen_at"), "vector", "score")
 
 

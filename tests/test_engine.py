@@ -273,3 +273,16 @@ def test_fold_reduces_in_layers(spark):
     d = spark.createDataFrame([("v", i, str(i)) for i in range(60)], "video_id string, position long, text string")
     layers = [df.collect() for _, df in aggregates.fold(d, "video_id", "position", "text", lambda x: x.withColumn("text", F.array_join("texts", "+")))]
     assert [len(x) for x in layers] == [3, 1] and layers[1][0].text == "+".join(map(str, range(60)))
+
+
+def test_all_vectors_are_observed(spark, tmp_path):
+    import datetime
+
+    from momentlake.plans import catalogue
+
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, i % 7, at + datetime.timedelta(seconds=i), "view", 1.0, "{}") for i in range(1400)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(700)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = catalogue._observations(spark, str(tmp_path))
+    assert seen.count() == 1400 and {r.vector[0] for r in seen.collect()} == set(map(float, range(700)))
