@@ -5,10 +5,13 @@ vectors are dealt into blocks, and every pair of a block of queries and a block
 
 * for each dimension the block's vectors are sorted once, a list read from its top for queries with a positive
   component there and from its bottom for the others;
-* all lists are read to the same depth, which doubles each round.  A vector's lower bound is the sum of what was read
-  of it plus the worst that each other list holds; its upper bound takes the list's place of reading instead;
-* vectors whose upper bound is under the k-th lower bound can't qualify.  Reading stops when few others are left;
-  these get their final scores.
+* all lists are read to the same depth, which doubles each round up to the middle; from there each round reads half of
+  what is left.  A vector's lower bound is the sum of what was read of it plus the worst that each other list holds;
+  its upper bound takes the list's place of reading instead;
+* vectors whose upper bound is under the k-th lower bound can't qualify and don't come back.  Reading stops when few
+  others are left, or few of each list; these get their final scores.
+
+On vectors without structure the bounds leave nearly all until more than half of each list is read.
 
 The block results, k rows a query and block, are ranked once more.  Bounds of a whole block are matrix products.
 
@@ -40,8 +43,11 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, first: float = FIRST, few: int = FEW):
-    """Of each query the k best of this block: arrays of query index, vector index and score."""
+def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, first: float = FIRST, few: int = FEW, scored: list | None = None):
+    """Of each query the k best of this block: arrays of query index, vector index and score.
+
+    scored: gets how many candidates of each query were left when their final scores were summed.
+    """
     n, dims = v.shape
     exact = max(np.abs(q).max(initial=0), 1) * max(np.abs(v).max(initial=0), 1) * dims < 2.0**52
     order = np.argsort(v, 0, kind="stable")
@@ -53,24 +59,23 @@ def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     for a in range(0, len(q), 256):
         todo = np.arange(a, min(a + 256, len(q)))
         depth = max(4 * k, int(n * first))
+        alive = qid[todo][:, None] != vid[None, :]
         while len(todo):
-            if depth * 2 >= n or not exact:
-                alive = np.ones((len(todo), n), bool)
-            else:
+            last = not exact or n - depth <= max(few, 1)
+            if not last:
                 top, bottom = rank >= n - depth, rank < depth
                 u, d = up[todo], down[todo]
-                seen = u @ np.where(top, v, 0).T + d @ np.where(bottom, v, 0).T
-                worst = u @ np.where(top, 0, ascending[0]).T + d @ np.where(bottom, 0, ascending[-1]).T
-                place = u @ np.where(top, 0, ascending[n - depth]).T + d @ np.where(bottom, 0, ascending[depth - 1]).T
-                lower = seen + worst
+                lower = u @ np.where(top, v, ascending[0]).T + d @ np.where(bottom, v, ascending[-1]).T
+                upper = u @ np.where(top, v, ascending[n - depth]).T + d @ np.where(bottom, v, ascending[depth - 1]).T
                 lower[qid[todo][:, None] == vid[None, :]] = -np.inf
                 bar = np.partition(lower, n - k, 1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
-                alive = seen + place >= bar[:, None]
-            alive &= qid[todo][:, None] != vid[None, :]
+                alive &= upper >= bar[:, None]
             left = alive.sum(1)
-            ready = (left <= max(few, k)) | (depth * 2 >= n) | (not exact)
+            ready = (left <= max(few, k)) | last
             for r in np.flatnonzero(ready):
                 c = np.flatnonzero(alive[r])
+                if scored is not None:
+                    scored.append(len(c))
                 if exact:
                     score = (v[c] @ q[todo[r]]).astype(np.int64)
                 else:
@@ -79,8 +84,8 @@ def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
                 out_q.append(np.full(len(best), todo[r]))
                 out_v.append(c[best])
                 out_s.append(score[best])
-            todo = todo[~ready]
-            depth *= 2
+            todo, alive = todo[~ready], alive[~ready]
+            depth = min(2 * depth, (n + depth) // 2)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return join(out_q), join(out_v), join(out_s)
 

@@ -227,6 +227,19 @@ def test_topk_block_reads_lists_and_stops():
         assert sorted(zip((-s[a == k]).tolist(), b[a == k].tolist(), strict=True)) == full
 
 
+def test_topk_block_scores_only_what_the_bounds_leave():
+    g = np.random.default_rng(4)
+    v = np.floor(256 * g.normal(size=(3000, 2)))
+    v[1000:1100] = 2000.0  # more equal ones than FEW: no bound can leave fewer
+    scored = []
+    _, b, s = topk.search_block(np.array([9000]), np.array([[3.0, 5.0]]), np.arange(3000), v, 5, scored=scored)
+    assert b.tolist() == [1000, 1001, 1002, 1003, 1004] and set(s) == {16000} and scored == [100]
+    v = np.floor(256 * g.normal(size=(2000, 64)))
+    scored = []
+    topk.search_block(np.arange(40), v[:40], np.arange(2000), v, 5, scored=scored)
+    assert len(scored) == 40 and max(scored) <= topk.FEW  # before, all 1,999
+
+
 def components_of(n, links):
     up = list(range(n))
 
