@@ -5,6 +5,10 @@ and 3-grams of what is left are hashed into BUCKETS.  `fit` sums n-gram counts o
 documents in Spark; the log-probability matrix (BUCKETS x languages) is broadcast, and `predict` adds up its columns
 for the n-grams that a text has, a batch of whole texts at a time in numpy.
 
+The posterior says which of the learned languages a text is in if it is in one of them: over a sentence it is near 1
+whatever the text.  Whether it is in one at all, the stage of the pipeline tells by the mean log-probability of its
+n-grams beside that of the training texts (see `Clear`).
+
 Defined results: a text that is null or has no letter gets `und` and score 0; equal scores go to the language that
 comes first by code point; repeated rows are each predicted alike; without any labelled row all is `und`.  Only the
 columns named are read, whatever else the table holds.
@@ -25,6 +29,9 @@ BUCKETS = 1 << 15
 #: At most about so many labelled documents are counted for the model; they are chosen by a hash of their id.
 MAX_FIT = 20_000
 SMOOTHING = 0.1
+#: A text is clearly of its language if no more than about this share of its n-grams is as unlike it as any, and more
+#: by so many standard errors for short texts.
+UNLIKE, ERRORS = 0.2, 3.0
 
 _letter: np.ndarray | None = None
 _lower: np.ndarray | None = None
@@ -115,9 +122,31 @@ def fit(docs: DataFrame, where: F.Column, max_fit: int = MAX_FIT) -> tuple[list[
     return langs, m
 
 
-def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
+class Clear:
+    """Whether a text's mean log-probability per n-gram is near enough to that of its language's training texts.
+
+    The model gives the mean and spread over the n-grams of the training texts themselves, and the mean over all
+    buckets, which is that of n-grams which have nothing to do with the language.
+    """
+
+    def __init__(self, m: np.ndarray):
+        p = np.exp(m)
+        self.own = (p * m).sum(0)
+        self.spread = np.sqrt(np.maximum((p * m * m).sum(0) - self.own**2, 0))
+        self.any = m.mean(0)
+
+    def __call__(self, best: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if not len(self.own):
+            return np.zeros(len(best), bool)
+        least = self.own - UNLIKE * (self.own - self.any)
+        return (best >= 0) & (mean >= least[best] - ERRORS * self.spread[best] / np.sqrt(np.maximum(n, 1)))
+
+
+def evidence(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the best language's number (-1: none), its posterior, its mean log-probability an n-gram, and n-grams."""
     best = np.full(len(texts), -1)
-    p = np.zeros(len(texts))
+    p, mean = np.zeros(len(texts)), np.zeros(len(texts))
+    n = np.zeros(len(texts), np.int64)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     for a, z in slices(off, 300_000):
         g, of, has = ngrams(texts[a:z])
@@ -128,26 +157,36 @@ def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str],
         share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
         best[a:z] = np.where(has, top, -1)
         p[a:z] = np.where(has, share, 0.0)
+        n[a:z] = np.bincount(of, minlength=z - a)
+        mean[a:z] = sums.max(1) / np.maximum(n[a:z], 1)
+    return best, p, mean, n
+
+
+def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
+    best, p, _, _ = evidence(texts, langs, m)
     return [langs[k] if k >= 0 else "und" for k in best.tolist()], p
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, then lang_pred and score (the posterior of that language)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text", clear: bool = False) -> DataFrame:
+    """The columns in keep, then lang_pred and score (the posterior of that language); with clear also __clear."""
     ship(docs.sparkSession)
     langs, m = model
     # float32 columns: BUCKETS x languages x 4 bytes, whatever the corpus
-    sent = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(m, np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(m, np.float32), Clear(m)))
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__text"))
-    schema = extended(src.drop("__text"), lang_pred="string", score="double")
+    schema = extended(src.drop("__text"), lang_pred="string", score="double", **({"__clear": "boolean"} if clear else {}))
 
     def run(batches):
-        langs, m = sent.value
+        langs, m, is_clear = sent.value
         for b in batches:
-            names, p = score([x or "" for x in b.column("__text").to_pylist()], langs, m)
+            best, p, mean, n = evidence([x or "" for x in b.column("__text").to_pylist()], langs, m)
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(p)], [f.name for f in schema])
+            cols += [pa.array([langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string()), pa.array(p)]
+            if clear:
+                cols.append(pa.array(is_clear(best, mean, n)))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
-    return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", *(["__clear"] if clear else []))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +196,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter, or of no clear language, go."""
+    """Documents whose language is recognised; those without a letter, of no learned language, or of no clear one, go."""
     model = fit(docs, ~held_out())
-    found = predict(docs, model, docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = predict(docs, model, docs.columns, clear=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & F.col("__clear")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op6_language_id": op6_language_id}

@@ -296,6 +296,17 @@ def test_language_id(spark, docs, empty):
     assert set(language_id.predict(docs, language_id.fit(empty, F.lit(True)), ["doc_id"]).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_language_stage_rejects_languages_that_were_not_learned(spark):
+    r = random.Random(2)
+    words = {k: ["".join(r.choice(s) for s in (c, v, c, v)[: r.randint(2, 4)]) for _ in range(200)] for k, c, v in (("aa", "bdgklmnprst", "aeiou"), ("bb", "cfhjqvwxz", "äéíöü"))}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(r.choice((3, 40)))), k, None, 1) for i in range(300) for k in [("aa", "bb")[i % 2]]]
+    foreign = ["Это предложение написано на русском языке, и его никто не должен принять за другой.", "これは日本語で書かれた文章です。誰も他の言語と間違えてはいけません。", "strengths thy rhythm crypt pschtt hymns nymphs " * 5]
+    foreign.append(" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)))
+    rows += [(1000 + i, t, None, None, 1) for i, t in enumerate(foreign)] + [(2000, "12 ?", None, None, 1)]
+    kept = {x.doc_id for x in language_id.stage_language_id(spark, spark.createDataFrame(rows, DOC), "").collect()}
+    assert kept == set(range(300))
+
+
 def plain_sets(rows, words):
     out = []
     for i, t, *_ in rows:
