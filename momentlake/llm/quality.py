@@ -9,6 +9,9 @@
    Sparse sites so shrink towards their host, and sparse hosts towards the global rate.
 3. The posterior of a document combines its ratio with the rate of its path, from which its own count is left out.
 
+Documents have no url: in the query and the pipeline `source` stands for the host and `lang` for the path, the one
+column that divides a source further, so the path level is the rate of a language within a source.
+
 Defined results: a null or empty text has the measures of an empty text; a null host or path is a site of its own;
 labels that are null or of unknown documents are ignored, and a document labelled more than once counts once, as bad
 if one label is bad; repeated rows are scored alike; without both kinds of labels the ratio is 0 and the rate 1/2.
