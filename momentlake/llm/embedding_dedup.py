@@ -33,6 +33,8 @@ COSINE = 0.98
 DIRECTIONS = 8
 BLOCK, LEAF = 1024, 128
 MAX_FIT = 20_000
+#: So many lengths of vectors, the commonest, get directions of their own; others go by their first coordinates.
+FITTED = 1000
 
 
 def directions(rows: DataFrame, dims: int, k: int = DIRECTIONS, max_fit: int = MAX_FIT) -> np.ndarray:
@@ -118,7 +120,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
     # -0.0 and 0.0 are one value
     src = src.withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0))))
     classes = cut(src.filter("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    lengths = [r.d for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
+    lengths = [r.d for r in classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(FITTED).collect()]
     turn = spark.sparkContext.broadcast({d: directions(classes, d) for d in lengths})
     eps = float(np.sqrt(2 - 2 * cosine))
 
@@ -128,7 +130,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
             cells, coords = [], []
             for z in k.to_pylist():
                 z = np.array(z)
-                p = (z / np.linalg.norm(z)) @ turn.value[len(z)]
+                p = z / np.linalg.norm(z)
+                p = p @ turn.value[len(z)] if len(z) in turn.value else p[:DIRECTIONS]
                 coords.append(p.tolist())
                 cells.append(np.floor(p / eps).astype(int).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coords, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "p", "cell"])

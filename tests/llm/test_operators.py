@@ -276,6 +276,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], E)).count() == 0
 
 
+def test_embedding_dedup_of_more_lengths_than_get_directions(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FITTED", 1)
+    g = np.random.default_rng(3)
+    rows = []
+    for d in (3, 12, 20):
+        v = g.normal(size=(30, d))
+        v[10:20] = v[:10] * 2 + 0.001
+        rows += [(100 * d + i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, E), block=8).collect()}
+    ids = [i for i, *_ in rows]
+    unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for _, v, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    comp, deg = components_of(len(rows), links), Counter(x for p in links for x in p)
+    assert len(links) >= 30 and got == {ids[i]: (deg[i], ids[comp[i]]) for i in range(len(rows))}
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(1)
     words = {"en": ["the", "house", "with", "nothing"], "fr": ["été", "maison", "rien", "avec"]}
