@@ -15,9 +15,11 @@ On vectors without structure the bounds leave nearly all until more than half of
 
 The block results, k rows a query and block, are ranked once more.  Bounds of a whole block are matrix products.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component take no part, as query or
-candidate, nor do rows without vec_id; scores are between vectors of one length; a vec_id that occurs more than once
-stands for the least of its vectors; fewer than k candidates are all returned; equal scores go to the smaller vec_id.
+Defined results: vectors that are null or hold a null or non-finite component take no part, as query or candidate;
+scores are between vectors of one length, also of none.  Every row stands for itself: all rows but the query's own are
+its candidates, so repeated rows are candidates of each other, and a repeated query row gets its ranks once for each
+time that it occurs; rows without vec_id are candidates, the last among equal scores, and are no queries.  Fewer than k
+candidates are all returned; equal scores go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import ship, table
+from momentlake.llm.common import cut, ship, table
 
 K, EVERY = 5, 50
 Q_BLOCK, V_BLOCK = 2048, 16384
@@ -37,15 +39,17 @@ FIRST, FEW = 1 / 32, 64
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
+    """row (a number of its own), vec_id and v (array<double>) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(v.isNotNull() & ~bad)
+    return own.withColumn("row", F.monotonically_increasing_id())
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, first: float = FIRST, few: int = FEW, scored: list | None = None):
-    """Of each query the k best of this block: arrays of query index, vector index and score.
+def search_block(q_row: np.ndarray, q: np.ndarray, row: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, first: float = FIRST, few: int = FEW, scored: list | None = None):
+    """Of each query the k best of this block but its own row: arrays of query index, vector index and score.
 
+    row: the vectors' own numbers, q_row those of the queries; vid: their ids, by which equal scores are ranked.
     scored: gets how many candidates of each query were left when their final scores were summed.
     """
     n, dims = v.shape
@@ -59,7 +63,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     for a in range(0, len(q), 256):
         todo = np.arange(a, min(a + 256, len(q)))
         depth = max(4 * k, int(n * first))
-        alive = qid[todo][:, None] != vid[None, :]
+        alive = q_row[todo][:, None] != row[None, :]
         while len(todo):
             last = not exact or n - depth <= max(few, 1)
             if not last:
@@ -67,7 +71,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
                 u, d = up[todo], down[todo]
                 lower = u @ np.where(top, v, ascending[0]).T + d @ np.where(bottom, v, ascending[-1]).T
                 upper = u @ np.where(top, v, ascending[n - depth]).T + d @ np.where(bottom, v, ascending[depth - 1]).T
-                lower[qid[todo][:, None] == vid[None, :]] = -np.inf
+                lower[q_row[todo][:, None] == row[None, :]] = -np.inf
                 bar = np.partition(lower, n - k, 1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
                 alive &= upper >= bar[:, None]
             left = alive.sum(1)
@@ -98,26 +102,28 @@ def _matrix(t: pa.Table, dims: int) -> np.ndarray:
 def top_k(rows: DataFrame, is_query: F.Column, k: int = K, vector: str = "embedding", q_block: int = Q_BLOCK, v_block: int = V_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best vectors of every row where is_query holds."""
     ship(rows.sparkSession)
-    all_ = usable(rows, vector).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    n = all_.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    all_ = cut(usable(rows, vector), "vectors").withColumn("dims", F.size("v"))  # written once, so that a row keeps its number
+    asks = F.coalesce(is_query, F.lit(False)) & F.col("vec_id").isNotNull()
+    n = all_.agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).first()
     n_v, n_q = max(1, -(-n.n // v_block)), max(1, -(-n.q // q_block))
-    vb, qb = F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)).cast("int")
+    vb, qb = F.pmod(F.xxhash64("row"), F.lit(n_v)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_q)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     vectors = all_.withColumn("vb", vb).withColumn("qb", spread(n_q))
-    queries = all_.filter(is_query).withColumn("qb", qb).withColumn("vb", spread(n_v))
+    queries = all_.filter(asks).withColumn("qb", qb).withColumn("vb", spread(n_v))
 
     def run(key, left, right):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("q_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not len(left) or not len(right):
             return schema.empty_table()
         dims = int(key[0].as_py())
-        qid, vid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        a, b, s = search_block(qid, _matrix(left, dims), vid, _matrix(right, dims), k)
-        return pa.Table.from_arrays([pa.array(qid[a]), pa.array(vid[b]), pa.array(s)], schema=schema)
+        q_row, row = left["row"].to_numpy(), right["row"].to_numpy()
+        vid = right["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+        a, b, s = search_block(q_row, _matrix(left, dims), row, vid, _matrix(right, dims), k)
+        return pa.Table.from_arrays([pa.array(q_row[a]), left["vec_id"].take(pa.array(a)), pa.array(row[b]), right["vec_id"].take(pa.array(b)), pa.array(s)], schema=schema)
 
     by = ["dims", "qb", "vb"]
-    found = queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInArrow(run, "q_row long, query_id long, row long, vec_id long, score long")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -129,14 +135,13 @@ QUERIES = {"op4_topk": op4_topk}
 
 ORACLE = {
     "op4_topk": """
-WITH e AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+  SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, coalesce(list_dot_product(q.v, c.v), 0)::BIGINT AS score
+  FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, r))::INT AS rank, vec_id, score
 FROM p QUALIFY rank <= 5
 """
 }
