@@ -16,6 +16,7 @@ columns named are read, whatever else the table holds.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import numpy as np
@@ -23,45 +24,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import extended, ship, slices, table
+from momentlake.llm.common import cut, extended, ship, slices, table
 
 BUCKETS = 1 << 15
 #: At most about so many labelled documents are counted for the model; they are chosen by a hash of their id.
 MAX_FIT = 20_000
 SMOOTHING = 0.1
+#: The matrix is sent to every worker, 128 kB a language; more languages than this are an error.
+MAX_LANGS = 1000
 #: A text is clearly of its language if no more than about this share of its n-grams is as unlike it as any, and more
 #: by so many standard errors for short texts.
 UNLIKE, ERRORS = 0.2, 3.0
 
-_letter: np.ndarray | None = None
-_lower: np.ndarray | None = None
+_known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter or mark, and its lower case (if that is one character)."""
-    global _letter, _lower
-    if _letter is None:
-        n = 0x30000
-        _letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(n)), bool, n)
-        _lower = np.arange(n, dtype=np.uint32)
-        for c in np.flatnonzero(_letter).tolist():
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, whether a letter or mark, and its lower case (if that is one character)."""
+    global _known
+    if _known is None:
+        kind = np.array([unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)])
+        letter = kind == "L"
+        lower = np.arange(len(kind), dtype=np.uint32)
+        for c in np.flatnonzero(letter).tolist():
             low = chr(c).lower()
             if len(low) == 1:
-                _lower[c] = ord(low)
-    return _letter, _lower
+                lower[c] = ord(low)
+        _known = letter, letter | (kind == "M"), lower
+    return _known
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all texts, the text each one is from, and which texts have a letter."""
-    letter, lower = _tables()
+    letter, part, lower = _tables()
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cps = np.where(cps < len(letter), cps, 0)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    is_letter = letter[cps]
     has = np.zeros(len(texts), bool)
-    has[doc[is_letter]] = True
-    c = np.where(is_letter, lower[cps], 32).astype(np.uint32)
+    has[doc[letter[cps]]] = True
+    c = np.where(part[cps], lower[cps], 32).astype(np.uint32)
     first = np.ones(len(c), bool)
     first[1:] = doc[1:] != doc[:-1]
     again = np.zeros(len(c), bool)
@@ -111,7 +112,10 @@ def fit(docs: DataFrame, where: F.Column, max_fit: int = MAX_FIT) -> tuple[list[
                 at = np.flatnonzero(sums[k])
                 yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[k][at])], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    names = counts.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if names > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} different values")
     got = counts.toArrow()  # at most BUCKETS rows a language
     langs = sorted(set(got["lang"].to_pylist()))
     m = np.zeros((BUCKETS, len(langs)))
@@ -173,20 +177,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     langs, m = model
     # float32 columns: BUCKETS x languages x 4 bytes, whatever the corpus
     sent = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(m, np.float32), Clear(m)))
-    src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__text"))
+    names = [f"k{i}" for i in range(len(keep))]
+    own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
+    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], *own)
+    at = len(keep) if own else keep.index(text)
     schema = extended(src.drop("__text"), lang_pred="string", score="double", **({"__clear": "boolean"} if clear else {}))
 
     def run(batches):
         langs, m, is_clear = sent.value
         for b in batches:
-            best, p, mean, n = evidence([x or "" for x in b.column("__text").to_pylist()], langs, m)
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            cols += [pa.array([langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string()), pa.array(p)]
+            best, p, mean, n = evidence([x or "" for x in b.column(at).to_pylist()], langs, m)
+            cols = [*b.columns[: len(keep)], pa.array([langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string()), pa.array(p)]
             if clear:
                 cols.append(pa.array(is_clear(best, mean, n)))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
-    return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", *(["__clear"] if clear else []))
+    return src.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], "lang_pred", "score", *(["__clear"] if clear else []))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
