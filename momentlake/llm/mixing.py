@@ -1,61 +1,45 @@
 """Mixing sources to target weights (9): weighted sampling without replacement by exponential keys.
 
-Every document gets the key -ln(u) / w, u a hash of its id in (0, 1) and w its quality weight (the share of letters in
-its bytes).  Sources share the total by weight; a source's target stops at `most` times its size and the excess goes
-to the others by weight.  A source first gives all its documents floor(target / size) times; the rest of the target
-is filled with its documents in the order of their keys, while the sum of sizes up to the middle of the next document
-stays within it.
+Every document gets the key -ln(u) / w, u a hash of its id in (0, 1) and w its quality weight: the posterior of the
+quality classifier (2), rounded to LEAST at least.  Sources share the total by weight; a source's target stops at
+`most` times its size and the excess goes to the others by weight.  A source first gives all its documents
+floor(target / size) times; the rest of the target is filled with its documents in the order of their keys, while the
+sum of sizes up to the middle of the next document stays within it.
 
 The running sums don't put a source into one task: documents go into STEPS intervals of the key by source, the
-intervals' sums are summed first, and each interval is then sorted alone.  As the choice is "key up to that of the
+intervals' sums are summed first, and each interval is then sorted alone.  As the choice is "place up to that of the
 last chosen", it is applied to the documents by a table of one row per source.
 
 Defined results: null and empty texts have size 0 and take 0; a null doc_id hashes as an empty string; a null source
-is a source of its own, the last; ties of the key go by doc_id; repeated rows are taken alike; with no words at all
-every target is 0.
+is a source of its own, the last; ties of the key go by doc_id, then size; repeated rows are taken one by one, like
+different documents; with no words at all every target is 0; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, extended, ship, slices, small_side, table, utf8, word_bounds
+from momentlake.llm.common import cut, small_side, table
+from momentlake.llm.quality import judged
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 STEPS = 4096
 SEED = "mix"
+#: The least weight of a document, and the step to which weights are rounded, so that reruns agree.
+LEAST = 1e-4
 
-_GOOD = np.zeros(256, np.int64)
-_GOOD[128:] = 1
-_GOOD[[*range(65, 91), *range(97, 123)]] = 1
 
+def keyed(rows: DataFrame, size: Column, weight: Column) -> DataFrame:
+    """rows (doc_id, source and others) as a written table with __size, __at, the place in the order of keys, and __row.
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns __size (words of the whole text) and __key."""
-    ship(docs.sparkSession)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    src = docs.toDF(*names)
-    at = docs.columns.index(text)
-    schema = extended(src, __size="long", __w="double")
-
-    def run(batches):
-        for b in batches:
-            raw, off = utf8(b.column(at))
-            size, weight = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for a, z in slices(off):
-                part, o = raw[off[a] : off[z]], off[a : z + 1] - off[a]
-                size[a:z] = word_bounds(part, o)[2]
-                good = np.concatenate([[0], np.cumsum(_GOOD[part])])
-                weight[a:z] = (1 + np.diff(good[o])) / (1 + np.diff(o))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size), pa.array(weight)], [*names, "__size", "__w"])
-
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    out = src.mapInArrow(run, schema).toDF(*docs.columns, "__size", "__w")
-    return out.withColumn("__id", F.col("doc_id")).withColumn("__key", -F.log(u) / F.col("__w")).drop("__id", "__w")
+    Repeated rows share a place; __row numbers them."""
+    w = F.greatest(F.round(weight / LEAST) * LEAST, F.lit(LEAST))
+    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 12), 16, 10).cast("double")
+    key = -F.log((u + 0.5) / float(1 << 48)) / w
+    out = rows.withColumn("__size", size.cast("long")).withColumn("__row", F.monotonically_increasing_id())
+    return cut(out.withColumn("__at", F.struct(key.alias("k"), F.col("doc_id").cast("string").alias("d"), F.col("__size").alias("n"))), "keyed")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -82,42 +66,74 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
 
 
 def plan(narrow: DataFrame, most: int = MOST) -> DataFrame:
-    """Per source: its target, the number of complete epochs, and the last key and doc_id of the fractional one.
+    """Per source: its target, the number of complete epochs, and for the fractional one the last place, and the last
+    row of those that share it (null: all).
 
-    narrow: doc_id, source, __size, __key of all documents, read several times."""
+    narrow: source, __size, __at and __row of all documents, read several times.  Rows that share a place are one
+    item with a count before anything is sorted, so that no number of repeated rows makes a task long."""
     sizes = cut(narrow.groupBy("source").agg(F.sum("__size").alias("source_size")), "sources")
     t = targets(sizes, most=most)
     full = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0)
     t = cut(t.withColumn("epochs", full.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    step = F.floor(STEPS * (1 - F.exp(-F.col("__key"))))
-    rows = narrow.withColumn("__step", step)
-    steps = rows.groupBy("source", "__step").agg(F.sum("__size").alias("__sum"))
-    before = Window.partitionBy("source").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select("source", "__step", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("source", "__step").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.select("source", "__step", "doc_id", "__key", "__size", F.sum("__size").over(inside).alias("__run"))
+    items = narrow.groupBy("source", "__at").agg(F.count("*").alias("m"))
+    items = cut(items.withColumn("step", F.floor(STEPS * (1 - F.exp(-F.col("__at.k"))))).withColumn("sum", F.col("m") * F.col("__at.n")), "items")
+    steps = items.groupBy("source", "step").agg(F.sum("sum").alias("sum"))
+    before = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("source", "step", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source", "step").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    run = items.withColumn("run", F.coalesce(F.sum("sum").over(inside), F.lit(0)))
     s, p, q = run.alias("s"), steps.alias("p"), t.alias("q")
-    joined = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.__step") == F.col("p.__step")))
-    joined = joined.join(F.broadcast(q) if t.limit(100_001).count() <= 100_000 else q, F.col("s.source").eqNullSafe(F.col("q.source")))
-    chosen = joined.filter((F.col("p.__base") + F.col("s.__run") - F.col("s.__size") / 2 <= F.col("q.rest")) & (F.col("q.epochs") < most))
-    last = chosen.groupBy(F.col("s.source").alias("source")).agg(F.max(F.struct(F.col("s.__key").alias("k"), F.col("s.doc_id").alias("d"))).alias("last"))
+    joined = s.join(small_side(p), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.step") == F.col("p.step")))
+    joined = joined.join(small_side(q), F.col("s.source").eqNullSafe(F.col("q.source"))).filter(F.col("q.epochs") < most)
+    rest, n = F.col("q.rest") - F.col("p.base") - F.col("s.run"), F.col("s.__at.n")
+    # the copies whose middle is within the rest
+    fit = F.when(n > 0, F.floor(rest / n - 0.5) + 1).otherwise(F.when(rest >= 0, F.col("s.m")).otherwise(0))
+    chosen = joined.select(F.col("s.source").alias("source"), "s.__at", "s.m", F.least(fit, F.col("s.m")).alias("fit")).filter(F.col("fit") > 0)
+    last = cut(chosen.groupBy("source").agg(F.max(F.struct("__at", "fit", "m")).alias("last")).select("source", "last.*"), "last")
     a, b = t.alias("a"), last.alias("b")
-    return a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "a.source_size", "a.target", "a.epochs", "b.last")
+    out = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "a.source_size", "a.target", "a.epochs", F.col("b.__at").alias("last"))
+    partial = last.filter(F.col("fit") < F.col("m"))
+    if partial.isEmpty():
+        return out.withColumn("last_row", F.lit(None).cast("long"))
+    c, d = out.alias("c"), _last_rows(narrow, partial).alias("d")
+    return c.join(d, F.col("c.source").eqNullSafe(F.col("d.source")), "left").select("c.*", "d.last_row")
+
+
+def _last_rows(narrow: DataFrame, partial: DataFrame) -> DataFrame:
+    """source and last_row: the fit-th of the rows at the place of partial (source, __at, fit), by their numbers.
+
+    The rows are counted by the task that numbered them first; only those of one task are ranked."""
+    a, b = narrow.alias("a"), small_side(partial).alias("b")
+    tied = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & F.col("a.__at").eqNullSafe(F.col("b.__at")))
+    tied = cut(tied.select("a.source", "a.__row", "b.fit", F.shiftright("a.__row", 33).alias("task")), "tied")
+    up = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tied.groupBy("source", "task").agg(F.count("*").alias("n"), F.max("fit").alias("fit"))
+    tasks = tasks.withColumn("left", F.col("fit") - F.coalesce(F.sum("n").over(up), F.lit(0)))
+    tasks = tasks.filter((F.col("left") > 0) & (F.col("left") <= F.col("n")))
+    x, y = tied.alias("x"), small_side(tasks).alias("y")
+    rows = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.task") == F.col("y.task"))).select("x.source", "x.__row", "y.left")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("__row"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") == F.col("left")).select("source", F.col("__row").alias("last_row"))
 
 
 def copies(docs: DataFrame, plan_: DataFrame) -> DataFrame:
-    """docs, as measured, with __source_size, __target and __copies: how often the mix takes the document."""
-    p = small_side(plan_.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "epochs", "last"))
-    out = docs.join(p, F.col("source").eqNullSafe(F.col("__s")), "left")
-    taken = F.coalesce((F.struct(F.col("__key").alias("k"), F.col("doc_id").alias("d")) <= F.col("last")).cast("long"), F.lit(0))
-    return out.withColumn("__copies", F.coalesce(F.col("epochs"), F.lit(0)) + taken).drop("__s", "epochs", "last")
+    """docs, as keyed, with __source_size, __target and __copies: how often the mix takes the document."""
+    p = plan_.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), F.col("last").alias("__last"), F.col("last_row").alias("__last_row"))
+    out = docs.join(small_side(p), F.col("source").eqNullSafe(F.col("__s")), "left")
+    within = (F.col("__at") < F.col("__last")) | (F.col("__at") == F.col("__last")) & (F.col("__last_row").isNull() | (F.col("__row") <= F.col("__last_row")))
+    taken = F.when(F.col("__last").isNotNull() & within, 1).otherwise(0)
+    return out.withColumn("__copies", F.coalesce(F.col("__epochs"), F.lit(0)) + taken).drop("__s", "__epochs", "__last", "__last_row")
+
+
+def mix(rows: DataFrame, size: Column, weight: Column) -> DataFrame:
+    """rows (doc_id, source and others) with __size, __source_size, __target and __copies."""
+    at = keyed(rows, size, weight)
+    return copies(at, cut(plan(at.select("source", "__size", "__at", "__row")), "plan"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    narrow = cut(measured(docs).drop("text"), "measured")
-    out = copies(narrow, cut(plan(narrow), "plan"))
-    return out.select(
+    seen = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "source"])
+    return mix(seen.select("doc_id", "source", "__words", "__good"), F.col("__words"), F.col("__good")).select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
@@ -127,38 +143,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a document without words stays once an epoch."""
-    whole = measured(docs)
-    narrow = cut(whole.select("doc_id", "source", "__size", "__key"), "measured")
-    out = copies(whole, cut(plan(narrow), "plan"))
+    """Every document as often as the mix takes it; a document without words stays once an epoch.
+
+    Null and empty texts have size 0; a null source is a source of its own; repeated rows are taken one by one; an
+    empty table stays empty.
+    """
+    seen = judged(docs, table(spark, sf_dir, "labels"), docs.columns)
+    out = mix(seen, F.col("__words"), F.col("__good"))
     return out.filter(F.col("__copies") > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op9_mixing": op9_mixing}
-
-ORACLE = {
-    "op9_mixing": r"""
-WITH d AS (
-  SELECT doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (1 + strlen(regexp_replace(coalesce(text, ''), '[^a-zA-Z\x{80}-\x{10FFFF}]', '', 'g')))::DOUBLE / (1 + strlen(coalesce(text, ''))) AS w,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
-  FROM documents),
-k AS (SELECT *, -ln(u) / w AS key FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
-w AS (SELECT *, [5.0, 2.0, 1.0][(rk % 3 + 1)::INT]::DOUBLE AS wt FROM r),
-v AS (SELECT *, 3 * source_size / wt AS ratio FROM w),
-x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS lev
-      FROM v WINDOW b AS (ORDER BY ratio, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT first(lev ORDER BY ratio, rk) AS lev FROM x WHERE lev <= ratio),
-t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, l.lev * wt) AS target FROM v, l),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size + 1e-9)) ELSE 0 END AS epochs FROM t),
-c AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-             sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) AS run
-      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN epochs < 3 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c
-"""
-}

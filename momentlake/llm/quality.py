@@ -43,6 +43,8 @@ _KIND[[ord(c) for c in ".,;:'\"-?()"]] = 6
 _KIND[10] = 7
 _NAMES = 8
 N_FEATURES = 15
+#: The measure log(1 + words) / 10; doubles give the count back exactly.
+WORDS_AT = 13
 
 
 def measures(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -128,12 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT):
 
 
 def evidence(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs with the column __llr, the log-likelihood ratio of good to bad."""
+    """docs with the columns __llr, the log-likelihood ratio of good to bad, and __words, the words of the whole text."""
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     src = docs.toDF(*names)
     at = docs.columns.index(text)
-    schema = extended(src, __llr="double")
+    schema = extended(src, __llr="double", __words="long")
     mean, scale, w, prior = model
 
     def run(batches):
@@ -141,9 +143,10 @@ def evidence(docs: DataFrame, model, text: str = "text") -> DataFrame:
             x = list(_features(*utf8(b.column(at))))
             x = np.concatenate(x) if x else np.zeros((0, N_FEATURES))
             llr = np.clip((x - mean) / scale @ w[:-1] + w[-1] - prior, -20, 20)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(llr)], [*names, "__llr"])
+            words = np.rint(np.expm1(10 * x[:, WORDS_AT])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(llr), pa.array(words)], [*names, "__llr", "__words"])
 
-    return src.mapInArrow(run, schema).toDF(*docs.columns, "__llr")
+    return src.mapInArrow(run, schema).toDF(*docs.columns, "__llr", "__words")
 
 
 def _strength(rate, n, around):
@@ -194,25 +197,32 @@ def base_rate(model) -> float:
     return float(1 / (1 + np.exp(-model[3])))
 
 
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns in keep, as a written table, with __llr, __words, __host_rate, __path_rate and __good, the posterior.
+
+    Texts are measured once: what comes of them is written and then read for the sites and for the posteriors.
+    """
+    model = fit(docs, labels)
+    rate = base_rate(model)
+    more = [c for c in ("source", "lang", text) if c not in keep]
+    seen = evidence(docs.select(*[F.col(f"`{c}`") for c in [*keep, *more]]), model, text)
+    seen = cut(seen.drop(*([text] if text in more else [])), "evidence")
+    site = sites(seen.select(F.col("source").alias("host"), F.col("lang").alias("path"), "__llr"), rate)
+    return posterior(seen, site, rate, F.col("source"), F.col("lang"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    rate = base_rate(model)
-    ev = cut(evidence(docs, model).drop("text"), "evidence")
-    site = sites(ev.select(F.col("source").alias("host"), F.col("lang").alias("path"), "__llr"), rate)
-    out = posterior(ev, site, rate, F.col("source"), F.col("lang"))
+    out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", F.col("__llr").alias("llr"), F.col("__host_rate").alias("host_rate"), F.col("__path_rate").alias("path_rate"), F.col("__good").alias("score"), (F.col("__good") >= KEEP).alias("kept"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely good than bad."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    rate = base_rate(model)
-    seen = evidence(docs, model)
-    site = sites(seen.select(F.col("source").alias("host"), F.col("lang").alias("path"), "__llr"), rate)
-    out = posterior(seen, site, rate, F.col("source"), F.col("lang"))
+    """Documents that are more likely good than bad.
+
+    Null and empty texts are judged like others; repeated rows stay or go together; an empty table stays empty; without
+    labels of both kinds all stay, at a posterior of 1/2.
+    """
+    out = judged(docs, table(spark, sf_dir, "labels"), docs.columns)
     return out.filter(F.col("__good") >= KEEP).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
