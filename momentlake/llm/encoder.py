@@ -1,4 +1,4 @@
-"""A byte-level BPE encoder for whole texts: the tokenizers library, asked once for each different word of a batch.
+"""A byte-level BPE encoder for whole texts: the tokenizers library, asked once for each different word.
 
 The pre-tokenizer of such vocabularies always begins a new piece at a single space between two non-space
 characters, so a text is the sum of its words there, each but the first with its space.  Texts with other runs of
@@ -7,10 +7,16 @@ white space go to the library whole.
 
 from __future__ import annotations
 
-import gc
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from momentlake.llm.speller import Runs, Speller, joined
+
+#: Words or texts that the library gets at a time: what it returns for each is much larger than the ids.
+ASKED = 10_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -28,90 +34,64 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _regular(words: pa.Array) -> np.ndarray:
+    """Neither empty nor with white space at an end."""
+    return np.asarray(pc.and_(pc.equal(pc.utf8_trim_whitespace(words), words), pc.greater(pc.binary_length(words), 0)))
+
+
 class WordEncoder:
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.words: dict[str, bytes | None] = {}
-        self.newline = self._ids("\n")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.newline = self._one("\n")
         # words may be encoded as lines of one text only where a line break is always a token of its own
         self.by_line = len(self.newline) == 1 and all(
-            self._ids(f"{a}\n{b}") == self._ids(a) + self.newline + self._ids(b) for a in ("a", ".", "1", "'s", "é") for b in ("b", " b", "'s", " .", "1")
+            self._one(f"{a}\n{b}") == self._one(a) + self.newline + self._one(b) for a in ("a", ".", "1", "'s", "é") for b in ("b", " b", "'s", " .", "1")
         )
+        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular)
 
-    def _ids(self, text: str) -> list[int]:
+    def _one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers; null counts as empty."""
-        gc.disable()  # millions of small objects, none in a cycle
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            else:
-                split.append((i, text.split(" ")))
-        known = self.words
-        extra = self._encode_words({w for _, parts in split for w in parts[1:]}.difference(known))
-        if len(known) + len(extra) <= self.remembered:
-            known.update(extra)
-            get = known.__getitem__
-        else:  # the first words stay: frequent ones come early
-            for w in list(extra)[: max(0, self.remembered - len(known))]:
-                known[w] = extra[w]
-            get = (known | extra).__getitem__
-
-        heads = self._encode_words({parts[0] for _, parts in split}, "")
-        whole: list[int] = []
-        for i, parts in split:
-            found = [heads[parts[0]], *map(get, parts[1:])]
-            if None in found:
-                whole.append(i)
-            else:
-                out[i] = b"".join(found)
-        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def _encode_words(self, words: set[str], before: str = " ") -> dict[str, bytes | None]:
-        """The ids of each word after `before`; None if it isn't made of non-space ends and lone line breaks."""
-        found: dict[str, bytes | None] = dict.fromkeys(words)
-        plain, broken = [], {}
-        for w in words if self.by_line else ():
-            if "\n" in w:
-                rows = w.split("\n")
-                if all(r and not r[0].isspace() and not r[-1].isspace() for r in rows):
-                    broken[w] = [before + rows[0], *rows[1:]]
-            elif w and not w[0].isspace() and not w[-1].isspace():
-                plain.append(w)
-        for w, ids in zip(plain, self._encode_lines([before + w for w in plain]), strict=True):
-            found[w] = ids
-        if broken:
-            lines = list({r for rows in broken.values() for r in rows})
-            ids = dict(zip(lines, self._encode_lines(lines), strict=True))
-            newline = np.array(self.newline, "<u4").tobytes()
-            for w, rows in broken.items():
-                found[w] = newline.join([ids[r] for r in rows])
-        return found
-
-    def _encode_lines(self, lines: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(lines), 20_000):
-            some = lines[k : k + 20_000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def _texts(self, texts: list[str]) -> Runs:
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), ASKED):
+            out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[k : k + ASKED], add_special_tokens=False)]
+        return joined(out)
+
+    def _words(self, words: list[str]) -> Runs:
+        """Words without white space at their ends, but for the space that some begin with."""
+        alone = [k for k, w in enumerate(words) if "\n" in w or any(t in w for t in self.added)] if self.by_line else range(len(words))
+        rest = set(alone)
+        lines = [w for k, w in enumerate(words) if k not in rest] if rest else words
+        flat, count = [], [np.zeros(0, np.int64)]
+        for k in range(0, len(lines), ASKED):
+            some = lines[k : k + ASKED]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.newline[0])
             if len(at) != len(some) - 1:
                 raise ValueError("line breaks aren't tokens of their own in this vocabulary")
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
-        return out
+            count.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, at))
+        ids, count = np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate(count)
+        if not rest:
+            return ids, count
+        some, counts = self._texts([words[k] for k in alone])
+        line = np.ones(len(words), bool)
+        line[list(alone)] = False
+        both = np.empty(len(words), np.int64)
+        both[line], both[~line] = count, counts
+        out, by_line = np.empty(len(ids) + len(some), np.uint32), np.repeat(line, both)
+        out[by_line], out[~by_line] = ids, some
+        return out, both
+
+    def encode(self, column: pa.Array):
+        """Slices of the rows of a string array: first row, end, how many ids each has, and all ids (uint32); null counts as empty."""
+        return self.spell(column)
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """How many ids each whole text has."""
+        return np.concatenate([np.zeros(0, np.int64), *(n for _, _, n, _ in self.spell(column, ids=False))])

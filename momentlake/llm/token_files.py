@@ -134,10 +134,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
                 store.create_dir(at, recursive=True)
                 own = f"{at}/.{uuid.uuid4().hex}.tmp"
                 writer = ShardWriter(store.open_output_stream(own), width)
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                writer.write(doc_id, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
+            for a, z, count, ids in enc.encode(b.column(1)):
+                for doc_id, x in zip(b.column(0).slice(a, z - a).to_pylist(), np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                    writer.write(doc_id, np.append(x, np.uint32(end_id)))
+                n_docs, n_tokens = n_docs + z - a, n_tokens + int(count.sum()) + z - a
         if writer is not None:
             writer.close()
             store.move(own, f"{at}/shard-{shard:06d}.tok")
