@@ -9,8 +9,9 @@ every word that starts with it.  What the forward state is depends on the model:
   models, but this does: a sequence of pieces is the encoding of its text exactly if every two neighbours are the
   encoding of theirs, so of all pieces that end at a place exactly one fits the state where it starts.
 
-Characters that no piece covers become byte pieces, or the unknown piece if the model has none.  Normalisation other
-than `identity` is not offered.
+The pieces that end at a place are read off an automaton over the characters, whose state is part of what a prefix
+shares.  Characters that no piece covers become byte pieces, or the unknown piece if the model has none.
+Normalisation other than `identity` is not offered.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; the words of a batch are encoded
 once each however often they repeat, and memory of words is bounded; very long words cost time in proportion.
@@ -18,20 +19,21 @@ once each however often they repeat, and memory of words is bounded; very long w
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import extended, ship, slices, table
+from momentlake.llm.common import extended, ship, table
+from momentlake.llm.speller import Runs, Speller, joined
 
 MARK = "▁"
-#: Characters of whole texts whose words are held at a time.
-PART = 3_000_000
+#: Pairs of pieces that are remembered, and steps of the automaton; some tens of MB.
+PAIRS, STEPS = 400_000, 200_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _models: dict[str, PieceModel] = {}
 
@@ -51,22 +53,61 @@ def model(path: str) -> PieceModel:
 class PieceModel:
     """Pieces with scores, and the two directions between text and ids."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, bpe: bool, plain: set[int], add_prefix: bool = True, remembered: int = 200_000):
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, bpe: bool, plain: set[int], add_prefix: bool = True):
         self.pieces, self.scores, self.bpe, self.unknown, self.add_prefix = pieces, scores, bpe, unknown, add_prefix
         self.byte_ids = byte_ids
-        self.by_byte = {i: b for b, i in byte_ids.items()}
         self.index = {pieces[i]: i for i in plain}
-        self.longest = max(map(len, self.index), default=1)
-        # the lengths of pieces by their last two characters, longest first
-        lengths: dict[str, set[int]] = {}
-        for p in self.index:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {c: (*sorted(x, reverse=True), 1) for c, x in lengths.items()}
-        self.remembered = remembered
-        self.words: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.bad_score = min(scores, default=0.0) - 10.0
+        self._automaton()
+        raw = [p.encode("utf-8") for p in pieces]
+        for b, i in byte_ids.items():
+            raw[i] = bytes([b])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        marked = lambda words: self.encode_words([MARK + w for w in words])
+        self.spell = Speller(marked, None if add_prefix else self.encode_words, self._whole, _regular)
+
+    def _automaton(self) -> None:
+        """go: the next state by character; fail: that of the longest proper suffix; ends: (length, id) of the pieces that end here, longest first."""
+        self.go: list[dict[str, int]] = [{}]
+        self.fail, own = [0], [None]
+        for p, i in self.index.items():
+            s = 0
+            for c in p:
+                t = self.go[s].get(c)
+                if t is None:
+                    t = self.go[s][c] = len(self.go)
+                    self.go.append({})
+                    self.fail.append(0)
+                    own.append(None)
+                s = t
+            own[s] = (len(p), i)
+        self.ends: list[tuple] = [()] * len(self.go)
+        todo = list(self.go[0].values())
+        for s in todo:  # breadth first: the list grows
+            self.ends[s] = ((own[s],) if own[s] else ()) + self.ends[self.fail[s]]
+            for c, t in self.go[s].items():
+                f = self.fail[s]
+                while f and c not in self.go[f]:
+                    f = self.fail[f]
+                self.fail[t] = self.go[f].get(c, 0)
+                todo.append(t)
+        for s in self.go[0].values():
+            self.ends[s] = (own[s],) if own[s] else ()
+        self.steps = 0
+
+    def _step(self, s: int, c: str) -> int:
+        """The state after c where go has none; remembered there."""
+        f = s
+        while f and c not in self.go[f]:
+            f = self.fail[f]
+        t = self.go[f].get(c, 0)
+        if self.steps < STEPS:
+            self.steps += 1
+            self.go[s][c] = t
+        return t
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -105,62 +146,59 @@ class PieceModel:
         return symbols
 
     def _pair(self, a: int, b: int) -> bool:
-        """a = -1: whether b alone encodes to itself."""
-        key = (a, b)
+        """Whether a and b stay as they are beside each other; a = -1: whether b alone encodes to itself."""
+        key = a * len(self.pieces) + b
         known = self.fits.get(key)
         if known is None:
             q = self.pieces[b]
             p = self.pieces[a] if a >= 0 else ""
             known = self._merge(list(p + q)) == ([p, q] if p else [q])
-            if len(self.fits) < 2_000_000:
+            if len(self.fits) < PAIRS:
                 self.fits[key] = known
         return known
 
     # -- the forward pass
 
-    def encode_words(self, words) -> dict[str, bytes]:
-        """ids of each word as little-endian 32-bit integers, by a depth-first walk of the trie of the sorted words."""
-        out: dict[str, bytes] = {}
-        # per prefix length: last piece (-2: a character without piece), where it starts, best score
-        last, back, best = [-1], [0], [0.0]
-        index, lengths, fits, bpe, scores = self.index, self.lengths, self.fits, self.bpe, self.scores
-        before, one = "", (1,)
-        for w in sorted(words):
+    def encode_words(self, words: list[str]) -> Runs:
+        """ids of each word, by a depth-first walk of the trie of the sorted words."""
+        found: list[list[int]] = [[]] * len(words)
+        # per prefix length: state of the automaton, last piece (-1: a character without piece), where it starts, best score
+        state, last, back, best = [0], [-1], [0], [0.0]
+        go, ends, fits, bpe, scores, n_pieces = self.go, self.ends, self.fits, self.bpe, self.scores, len(self.pieces)
+        before = ""
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            w = words[k]
             common = 0
             for x, y in zip(before, w):  # noqa: B905
                 if x != y:
                     break
                 common += 1
-            del last[common + 1 :], back[common + 1 :], best[common + 1 :]
+            del state[common + 1 :], last[common + 1 :], back[common + 1 :], best[common + 1 :]
+            s = state[common]
             for end in range(common + 1, len(w) + 1):
-                piece, start, top = -2, end - 1, None
-                for n in lengths.get(w[end - 2 : end], one) if end > 1 else one:
-                    if n > end:
-                        continue
-                    i = index.get(w[end - n : end])
-                    if i is None:
-                        continue
-                    if bpe:
+                c = w[end - 1]
+                t = go[s].get(c)
+                if t is None:
+                    t = self._step(s, c)
+                s = t
+                state.append(s)
+                piece, start = -1, end - 1
+                if bpe:
+                    for n, i in ends[s]:
                         a = last[end - n]
-                        if a < 0:
-                            a = -1
-                        ok = fits.get((a, i))
+                        ok = fits.get(a * n_pieces + i)
                         if ok is None:
-                            ok = (self._pair(-1, i) if a >= 0 else True) and self._pair(a, i)
+                            ok = (a < 0 or self._pair(-1, i)) and self._pair(a, i)
                         if ok:
                             piece, start = i, end - n
                             break
-                    else:
+                else:
+                    top = best[end - 1] + self.bad_score
+                    for n, i in ends[s]:
                         total = best[end - n] + scores[i]
-                        if top is None or total > top:
+                        if total > top:
                             piece, start, top = i, end - n, total
-                if not bpe:
-                    none = best[end - 1] + self.bad_score
-                    if top is None or none > top:
-                        piece, start, top = -2, end - 1, none
                     best.append(top)
-                else:
-                    best.append(0.0)
                 last.append(piece)
                 back.append(start)
             ids: list[int] = []
@@ -174,61 +212,37 @@ class PieceModel:
                     ids.append(self.unknown)
                 end = back[end]
             ids.reverse()
-            out[w] = np.array(ids, "<u4").tobytes()
+            found[k] = ids
             before = w
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for a, b in slices(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]), PART):
-            out += self._encode(texts[a:b])
-        return out
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        gc.disable()
-        try:
-            split: list[list[str]] = []
-            for t in texts:
-                if not t:
-                    split.append([])
-                    continue
-                if MARK not in t and "  " not in t and t[0] != " " and t[-1] != " ":
-                    parts = t.split(" ")  # the common case: every word has one mark, which the keys leave out
-                    if not self.add_prefix:
-                        parts = _WORD.findall(t.replace(" ", MARK))
-                        split.append([p[1:] if p[0] == MARK and len(p) > 1 and p[1] != MARK else "\0" + p for p in parts])
-                    else:
-                        split.append(parts)
-                else:
-                    marked = (MARK if self.add_prefix else "") + t.replace(" ", MARK)
-                    split.append(["\0" + p for p in _WORD.findall(marked)])
-            known = self.words
-            fresh = {w for parts in split for w in parts}.difference(known)
-            whole = {w: (w[1:] if w[:1] == "\0" else MARK + w) for w in fresh}
-            found = self.encode_words(set(whole.values()))
-            extra = {w: found[m] for w, m in whole.items()}
-            if len(known) + len(extra) <= self.remembered:
-                known.update(extra)
-                get = known.__getitem__
-            else:
-                for w in list(extra)[: max(0, self.remembered - len(known))]:
-                    known[w] = extra[w]
-                get = (known | extra).__getitem__
-            return [b"".join(map(get, parts)) for parts in split]
-        finally:
-            gc.enable()
-
-    def decode(self, ids: bytes) -> str:
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum())), count
+
+    def _whole(self, texts: list[str]) -> Runs:
+        """Texts with marks of their own or odd spaces."""
+        parts = [_WORD.findall((MARK if self.add_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+        words = list({w for p in parts for w in p})
+        ids, count = self.encode_words(words)
+        own = dict(zip(words, np.split(ids, np.cumsum(count)[:-1]), strict=True)) if words else {}
+        return joined([np.concatenate([np.zeros(0, np.uint32), *map(own.__getitem__, p)]) for p in parts])
+
+    def encode(self, column: pa.Array):
+        """Slices of the rows of a string array: first row, end, how many ids each has, and all ids (uint32)."""
+        return self.spell(column)
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; undecodable bytes become U+FFFD, one each."""
-        if not hasattr(self, "raw"):
-            self.raw = [p.encode("utf-8") for p in self.pieces]
-            for i, b in self.by_byte.items():
-                self.raw[i] = bytes([b])
-        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        size = self.raw_size[ids]
+        out = np.cumsum(size) - size
+        raw = self.raw[np.repeat(self.raw_start[ids] - out, size) + np.arange(int(size.sum()))]
+        text = raw.tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.add_prefix and text[:1] == " " else text
 
 
+def _regular(words: pa.Array) -> np.ndarray:
+    """Words of one mark that stands before them."""
+    return np.asarray(pc.and_not(pc.greater(pc.binary_length(words), 0), pc.match_substring(words, MARK)))
+
+
 def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The columns in keep, then pieces: the ids of the whole text as an array of ints."""
     ship(docs.sparkSession)
@@ -239,10 +253,10 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     def run(batches):
         m = model(path)
         for b in batches:
-            ids = m.encode(b.column("__text").to_pylist())
-            off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(off), pa.array(values))], [f.name for f in schema])
+            for a, z, count, ids in m.encode(b.column("__text")):
+                off = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                some = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), some], [f.name for f in schema])
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "pieces")
 
@@ -257,7 +271,7 @@ def decode(rows: DataFrame, keep: list[str], pieces: str = "pieces", path: str |
     def run(batches):
         m = model(path)
         for b in batches:
-            texts = [m.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("__ids").to_pylist()]
+            texts = [m.decode(np.array(x or [], np.int64)) for x in b.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [f.name for f in schema])
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
@@ -273,12 +287,11 @@ def digest(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     def run(batches):
         m = model(path)
         for b in batches:
-            texts = [t or "" for t in b.column("__text").to_pylist()]
-            ids = m.encode(texts)
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            crc = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
-            same = [m.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), pa.array(crc), pa.array(same)], [f.name for f in schema])
+            for a, z, count, ids in m.encode(b.column("__text")):
+                own = np.split(ids, np.cumsum(count)[:-1])
+                crc = np.fromiter((zlib.crc32(x.astype("<u4", copy=False)) for x in own), np.int64, z - a)
+                same = [m.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(own, b.column("__text").slice(a, z - a).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), pa.array(count), pa.array(crc), pa.array(same)], [f.name for f in schema])
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_pieces", "ids_crc32", "round_trip")
 

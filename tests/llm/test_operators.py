@@ -69,11 +69,33 @@ def test_token_counts(spark, docs, empty):
     assert none.count() == 0 and token_counts.total(none) == 0 and token_counts.quantile(none, 0.5) is None
 
 
-def test_encoder_matches_the_library():
-    enc = encoder.WordEncoder(encoder.default_path(), remembered=50)
-    texts = [t for _, t, *_ in documents()] + ["a  b", " a", "a ", "it's 's", "\n", "a\nb", "a\n b", "x\r\ny", "<|endoftext|> a<|endoftext|>b"]
-    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
-    assert got == [enc.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+def spelled(spell, texts):
+    """The ids of every text, from the slices of a speller."""
+    import pyarrow as pa
+
+    return [x.tolist() for a, z, n, ids in spell(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+ODD = ["a  b", " a", "a ", "it's 's", "\n", "a\nb", "a\n b", "a \nb", "x\r\ny", "<|endoftext|> a<|endoftext|>b", "\u00a0x y\u2003", "a\u0085 b", "\x1cq \x1f r", " ", "  ", "a\tb c\t", "1 2.5 's 'll"]
+
+
+@pytest.mark.parametrize("remembered", [64_000_000, 400])
+@pytest.mark.parametrize("part", [4_000_000, 300])
+def test_encoder_matches_the_library(monkeypatch, remembered, part):
+    from momentlake.llm import speller
+
+    monkeypatch.setattr(speller, "PART", part)
+    enc = encoder.WordEncoder(encoder.default_path())
+    enc.spell.memory.most = remembered
+    r = random.Random(5)
+    mixed = ["".join(r.choice(["a", "It", "'s", " ", " ", " ", "\n", "\t", "7", ",", "é", "\u00a0", "<|endoftext|>", "日"]) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    texts = [t for _, t, *_ in documents()] + ODD + mixed
+    want = [enc.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert spelled(enc.encode, texts) == want
+    import pyarrow as pa
+
+    assert enc.lengths(pa.array(texts)).tolist() == [len(x) for x in want]
+    assert enc.lengths(pa.array([], pa.string())).tolist() == []
 
 
 def test_quality(spark, docs, empty):
@@ -203,25 +225,30 @@ def test_topk(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, E).withColumn("v", F.lit("clash")).withColumn("dims", F.lit(0))
     out = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, q_block=7, v_block=90)
-    got = {}
-    for r in out.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    ok = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
-    want = {}
-    for q in ok:
-        if q % 20 == 0:
-            s = sorted(((-int(ok[q] @ x), i) for i, x in ok.items() if i != q and len(x) == len(ok[q])))[:5]
-            want[q] = [(i, -n) for n, i in s]
-    assert got == want
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect())
+    ok = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v, _ in rows if v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for a, (q, x) in enumerate(ok):
+        if q is not None and q % 20 == 0:
+            s = sorted((-int(x @ y), i is None, i or 0, i) for b, (i, y) in enumerate(ok) if a != b and len(x) == len(y))[:5]
+            want += [(q, k + 1, t[3], -t[0]) for k, t in enumerate(s)]
+    assert got == sorted(want, key=lambda t: t[:2]) or sorted(map(repr, got)) == sorted(map(repr, want))
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_takes_every_row(spark):
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.9, 0.0]), (None, [2.0, 0.0]), (None, None), (50, [1.0, 0.0]), (0, []), (3, [])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    got = sorted((r.query_id, r["rank"], r.score, r.vec_id) for r in out.collect())
+    one = [(1, 131072, None), (2, 65536, 1), (3, 65536, 50), (4, 58880, 2), (5, 32768, 1)]
+    assert got == [(0, 1, 0, 3)] + sorted((50, k, s, v) for k, s, v in one for _ in range(2))
+
+
 def test_topk_block_reads_lists_and_stops():
     g = np.random.default_rng(4)
     v = np.floor(256 * g.normal(size=(3000, 6)))
     q = np.floor(256 * g.normal(size=(20, 6)))
-    qid = np.arange(20) + 10_000
-    a, b, s = topk.search_block(qid, q, np.arange(3000), v, 5)
+    a, b, s = topk.search_block(np.arange(20) + 10_000, q, np.arange(3000), np.arange(3000), v, 5)
     for k in range(20):
         full = sorted(zip((-(v @ q[k])).astype(int).tolist(), range(3000), strict=True))[:5]
         assert sorted(zip((-s[a == k]).tolist(), b[a == k].tolist(), strict=True)) == full
@@ -232,11 +259,11 @@ def test_topk_block_scores_only_what_the_bounds_leave():
     v = np.floor(256 * g.normal(size=(3000, 2)))
     v[1000:1100] = 2000.0  # more equal ones than FEW: no bound can leave fewer
     scored = []
-    _, b, s = topk.search_block(np.array([9000]), np.array([[3.0, 5.0]]), np.arange(3000), v, 5, scored=scored)
+    _, b, s = topk.search_block(np.array([9000]), np.array([[3.0, 5.0]]), np.arange(3000), np.arange(3000), v, 5, scored=scored)
     assert b.tolist() == [1000, 1001, 1002, 1003, 1004] and set(s) == {16000} and scored == [100]
     v = np.floor(256 * g.normal(size=(2000, 64)))
     scored = []
-    topk.search_block(np.arange(40), v[:40], np.arange(2000), v, 5, scored=scored)
+    topk.search_block(np.arange(40), v[:40], np.arange(2000), np.arange(2000), v, 5, scored=scored)
     assert len(scored) == 40 and max(scored) <= topk.FEW  # before, all 1,999
 
 
@@ -310,6 +337,18 @@ def test_language_id(spark, docs, empty):
     s = np.float32(m).astype(float)[grams].sum(0)
     assert got[0][1] == pytest.approx(1 / np.exp(s - s.max()).sum())
     assert set(language_id.predict(docs, language_id.fit(empty, F.lit(True)), ["doc_id"]).toPandas()["lang_pred"]) == {"und"}
+    assert language_id.predict(empty, model, ["doc_id"]).count() == 0
+    # marks alone are no letters; letters of late planes are
+    odd = spark.createDataFrame([(0, "\u0301\u0302 1"), (1, "\U00030000"), (2, "\U000323ac 2"), (3, "\U0001f600"), (4, "e\u0301")], "doc_id long, text string")
+    got = {x[0]: x[1] for x in language_id.predict(odd, model, ["doc_id", "text"]).select("doc_id", "lang_pred").collect()}
+    assert got[0] == got[3] == "und" and "und" not in (got[1], got[2], got[4])
+
+
+def test_language_id_refuses_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    d = spark.createDataFrame([(i, "word", str(i), None, 1) for i in range(4)], DOC)
+    with pytest.raises(ValueError):
+        language_id.fit(d, F.lit(True))
 
 
 def test_language_stage_rejects_languages_that_were_not_learned(spark):
@@ -426,10 +465,67 @@ def water(sizes):
     return target
 
 
+MIX = r"""
+WITH k AS (SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / w AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS wt FROM s),
+v AS (SELECT *, 3 * source_size / wt AS ratio FROM w),
+x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS lev
+      FROM v WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT first(lev ORDER BY ratio, source NULLS LAST) AS lev FROM x WHERE lev <= ratio),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, l.lev * wt) AS target FROM v, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size + 1e-9)) ELSE 0 END AS epochs FROM t),
+c AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id::VARCHAR NULLS FIRST, k.size, k.r ROWS UNBOUNDED PRECEDING) AS run
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs + CASE WHEN epochs < 3 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
+"""
+
+
+def mixed_by_sql(rows):
+    """What the mix is by plain SQL, one running sum a source: rows of doc_id, source, size, weight."""
+    import duckdb
+    import pandas as pd
+
+    d = pd.DataFrame([(k, *r) for k, r in enumerate(rows)], columns=["r", "doc_id", "source", "size", "w"]).astype({"doc_id": "Int64"})
+    c = duckdb.connect()
+    c.register("given", d)
+    c.execute("CREATE TABLE d AS SELECT r, doc_id, source, size::BIGINT AS size, w::DOUBLE AS w FROM given")
+    return c.execute(MIX).fetchall()
+
+
+def mixed(spark, rows):
+    df = spark.createDataFrame([r for r in rows], "doc_id long, source string, size long, w double").withColumn("target", F.lit("clash")).withColumn("last", F.lit("clash")).repartition(7)
+    out = mixing.mix(df, F.col("size"), F.col("w"))
+    return [(r.doc_id, r["size"], r["__source_size"], r["__target"], r["__copies"]) for r in out.collect()]
+
+
+def same_mix(a, b):
+    r = lambda x: sorted(repr((*t[:3], round(float(t[3]), 6), t[4])) for t in x)
+    return r(a) == r(b)
+
+
+def test_mixing_against_sql(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "b", "b", "ü", None]), r.choice([0, 1, r.randint(1, 500)]), r.choice([1.0, 0.5, round(r.random(), 4) + 1e-4])) for i in range(800)]
+    rows += rows[:40]
+    assert same_mix(mixed(spark, rows), mixed_by_sql(rows))
+    # repeated rows, and rows without an id, are taken one by one; a tie may end the mix in its middle
+    hot = [(7, "a", 10, 0.5)] * 600 + [(None, "b", 3, 1.0)] * 500 + [(i, "c", 40, 1.0) for i in range(100, 150)] + [(8, "a", 0, 1.0)] * 30
+    got = mixed(spark, hot)
+    assert same_mix(got, mixed_by_sql(hot))
+    assert {t[4] for t in got if t[0] == 7} == {0, 1} or {t[4] for t in got if t[0] == 7} == {1, 2}
+    words = lambda i: sum(t[1] * t[4] for t in got if t[0] == i)
+    assert abs(words(7) - next(t[3] for t in got if t[0] == 7)) <= 10
+    assert mixed(spark, []) == [] and all(t[4] == 0 for t in mixed(spark, [(1, "a", 0, 1.0)]) if t[1])
+
+
 def test_mixing(spark, docs, empty):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+
     def run():
-        narrow = mixing.measured(docs).drop("text").cache()
-        return mixing.copies(narrow, mixing.plan(narrow)).toPandas()
+        seen = quality.judged(docs.withColumn("__n", F.lit(0)).withColumn("source_size", F.lit("clash")), labels, ["doc_id", "source"])
+        return mixing.mix(seen, F.col("__words"), F.col("__good")).toPandas()
 
     out, again = run(), run()
     key = ["doc_id", "source", "__size", "__copies"]
@@ -447,8 +543,7 @@ def test_mixing(spark, docs, empty):
         assert part["__copies"].max() <= 3 and abs(taken - target[s]) <= part["__size"].max()
         assert part["__copies"].max() - part["__copies"].min() <= 1  # complete epochs come first
     assert len(out) == len(rows)
-    none = mixing.measured(empty)
-    assert mixing.copies(none, mixing.plan(none)).count() == 0
+    assert mixing.mix(quality.judged(empty, labels, ["doc_id", "source"]), F.col("__words"), F.col("__good")).count() == 0
 
 
 def test_mixing_prefers_heavy_documents():
@@ -463,12 +558,13 @@ def test_pieces(spark, docs, empty):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
-    rows = [t for _, t, *_ in documents()] + [" a", "a ", "  ", "x  y", "日本 語", "😀", "▁", "a▁b", "aaaa" * 30]
+    rows = [t for _, t, *_ in documents()] + ODD + [" a", "a ", "  ", "x  y", "日本 語", "😀", "▁", "a▁b", "aaaa" * 30]
     m = pieces.PieceModel.load(pieces.default_path())
-    m.remembered = 20
-    got = m.encode(rows)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [sp.encode(t or "") for t in rows]
-    assert [m.decode(x) for x in got] == [sp.decode(np.frombuffer(x, "<u4").tolist()) for x in got]
+    for remembered in (400, 64_000_000):
+        m.spell.memory.most = remembered
+        got = spelled(m.encode, rows)
+        assert got == [sp.encode(t or "") for t in rows]
+    assert [m.decode(np.array(x, np.int64)) for x in got] == [sp.decode(x) for x in got]
     out = pieces.digest(docs.withColumn("n_pieces", F.lit("clash")), ["doc_id"])
     assert out.count() == len(documents())
     back = pieces.decode(pieces.encode(docs, ["doc_id"]), ["doc_id"]).toPandas()
@@ -488,7 +584,7 @@ def test_pieces_unigram_is_the_best_sum():
         return max((plain[w[:n]] + best(w[n:])[0], [w[:n], *best(w[n:])[1]]) for n in range(1, len(w) + 1) if w[:n] in plain)
 
     for t in ("ab", "abab", "a ba bab", "babab aab"):
-        ids = np.frombuffer(m.encode([t])[0], "<u4").tolist()
+        ids = spelled(m.encode, [t])[0]
         score = sum(m.scores[i] for i in ids)
         assert "".join(names[i] for i in ids) == "▁" + t.replace(" ", "▁")
         assert score == pytest.approx(sum(best("▁" + w)[0] for w in t.split(" ")))
