@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -83,6 +84,22 @@ def slices(offsets: np.ndarray, most: int = 2_000_000):
         a = b
 
 
+_libc = None
+
+
+def release() -> None:
+    """Give memory that is free in this Python worker back to the machine: workers are many and live long."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:  # another C library
+            _libc = False
+    pa.default_memory_pool().release_unused()
+    if _libc and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 #: Bytes that separate words: the class [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, extended, ship, slices, table
+from momentlake.llm.common import cut, extended, release, ship, slices, table
 
 BUCKETS = 1 << 15
 #: At most about so many labelled documents are counted for the model; they are chosen by a hash of their id.
@@ -108,6 +108,7 @@ def fit(docs: DataFrame, where: F.Column, max_fit: int = MAX_FIT) -> tuple[list[
             for a, z in slices(off, 300_000):
                 g, of, _ = ngrams(texts[a:z])
                 sums += np.bincount(which[a:z][of].astype(np.int64) * BUCKETS + g, minlength=sums.size).reshape(sums.shape)
+            release()
             for k, name in enumerate(names):
                 at = np.flatnonzero(sums[k])
                 yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[k][at])], ["lang", "bucket", "n"])
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             cols = [*b.columns[: len(keep)], pa.array([langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string()), pa.array(p)]
             if clear:
                 cols.append(pa.array(is_clear(best, mean, n)))
+            release()
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
     return src.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], "lang_pred", "score", *(["__clear"] if clear else []))

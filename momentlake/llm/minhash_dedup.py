@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, extended, ship, slices, small_side, table, utf8, word_bounds
+from momentlake.llm.common import cut, extended, release, ship, slices, small_side, table, utf8, word_bounds
 from momentlake.llm.components import components
 from momentlake.llm.embedding_dedup import _Union
 
@@ -139,6 +139,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     [b.column(0).slice(a, z - a), pa.array(size), pa.array(f1), pa.array(f2), pa.array([flat[k * width : (k + 1) * width] if s else None for k, s in enumerate(size.tolist())], pa.binary())],
                     ["doc_id", "n_shingles", "f1", "f2", "sig"],
                 )
+            release()
 
     return src.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
@@ -232,6 +233,7 @@ def with_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 part = [b.column(k).slice(a, z - a) for k in range(1, b.num_columns)]
                 sig = pa.array([x.tobytes() for x in signatures(h, at)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part, sig, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], [f.name for f in schema])
+            release()
 
     return src.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import SPACE, cut, extended, ship, slices, small_side, table, utf8, word_bounds
+from momentlake.llm.common import SPACE, cut, extended, release, ship, slices, small_side, table, utf8, word_bounds
 
 #: At most about so many labelled documents fit the document classifier; chosen by a hash of their id.
 MAX_FIT = 20_000
@@ -144,6 +144,7 @@ def evidence(docs: DataFrame, model, text: str = "text") -> DataFrame:
             x = np.concatenate(x) if x else np.zeros((0, N_FEATURES))
             llr = np.clip((x - mean) / scale @ w[:-1] + w[-1] - prior, -20, 20)
             words = np.rint(np.expm1(10 * x[:, WORDS_AT])).astype(np.int64)
+            release()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(llr), pa.array(words)], [*names, "__llr", "__words"])
 
     return src.mapInArrow(run, schema).toDF(*docs.columns, "__llr", "__words")

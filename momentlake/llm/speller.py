@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from momentlake.llm.common import slices
+from momentlake.llm.common import release, slices
 
 #: Bytes of whole texts whose words are held at a time.
-PART = 4_000_000
+PART = 3_000_000
 #: Bytes of words and ids that are remembered from slice to slice, about.
-REMEMBERED = 64_000_000
+REMEMBERED = 32_000_000
 
 Runs = tuple[np.ndarray, np.ndarray]
 #: Words to their ids, one after another, and how many each has.
@@ -73,14 +73,14 @@ class Speller:
         """For one slice of rows after another: first row, end, ids per row, and with `ids` the ids themselves."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        column = column.fill_null("").cast(pa.large_string())
-        size = np.asarray(pc.binary_length(column)).astype(np.int64)
+        size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
         for a, z in slices(np.concatenate([[0], np.cumsum(size)]), PART):
             gc.disable()  # many small objects, none in a cycle
             try:
-                count, flat = self._spell(column.slice(a, z - a), ids)
+                count, flat = self._spell(column.slice(a, z - a).fill_null("").cast(pa.large_string()), ids)
             finally:
                 gc.enable()
+            release()
             yield a, z, count, flat
 
     def _spell(self, texts: pa.Array, wanted: bool) -> tuple[np.ndarray, np.ndarray | None]:

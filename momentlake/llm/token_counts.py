@@ -18,7 +18,7 @@ from momentlake.llm import encoder as E
 from momentlake.llm.common import cut, ship, table
 
 #: Neighbouring lengths that one task of the suffix sums holds.
-SPAN = 1024
+SPAN = 64
 
 
 def lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
