@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from momentlake.session import ship
 
-#: Rows of two longs that may be broadcast: about 50 MB in a JVM hash relation.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast, as rows of about so many bytes each in a JVM hash relation.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most bound rows; otherwise as it is, for a shuffled join."""
+def broadcast_rows(df: DataFrame) -> int:
+    """How many rows of df may be broadcast: a million of two longs, fewer of wider ones."""
+    width = {"string": 48, "binary": 64}
+    return BROADCAST_BYTES // (16 + sum(8 if kind in ("bigint", "int", "double", "boolean", "smallint", "tinyint", "float") else width.get(kind, 96) for _, kind in df.dtypes))
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is counted to be small; otherwise as it is, for a shuffled join."""
+    bound = broadcast_rows(df)
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 

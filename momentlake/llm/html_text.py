@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import BROADCAST_ROWS, cut, ship, table
+from momentlake.llm.common import broadcast_rows, cut, ship, table
 
 #: A subtree is template if it occurs in so many different bodies of its host, whatever the host's size.
 MIN_BODIES = 10
@@ -366,7 +366,7 @@ def extract(pages: DataFrame) -> DataFrame:
             out.append(main_text(root, hit, hashes))
         return pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names)
 
-    if template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if template.limit(broadcast_rows(template) + 1).count() <= broadcast_rows(template):
         sent = spark.sparkContext.broadcast(frozenset(template.toArrow()["key"].to_pylist()))
 
         def run(batches):

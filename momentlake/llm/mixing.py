@@ -6,7 +6,7 @@ quality classifier (2), rounded to LEAST at least.  Sources share the total by w
 floor(target / size) times; the rest of the target is filled with its documents in the order of their keys, while the
 sum of sizes up to the middle of the next document stays within it.
 
-The running sums don't put a source into one task: documents go into STEPS intervals of the key by source, the
+The running sums don't put a source into one task: documents go into a few times STEPS intervals of the key by source, the
 intervals' sums are summed first, and each interval is then sorted alone.  As the choice is "place up to that of the
 last chosen", it is applied to the documents by a table of one row per source.
 
@@ -65,6 +65,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _step(key: Column) -> Column:
+    """The interval of a key: even for keys of full weight, and by the logarithm for the large keys of slight weights."""
+    return F.floor(STEPS * (1 - F.exp(-key)) + STEPS / 16 * F.log2(1 + key))
+
+
 def plan(narrow: DataFrame, most: int = MOST) -> DataFrame:
     """Per source: its target, the number of complete epochs, and for the fractional one the last place, and the last
     row of those that share it (null: all).
@@ -76,7 +81,7 @@ def plan(narrow: DataFrame, most: int = MOST) -> DataFrame:
     full = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0)
     t = cut(t.withColumn("epochs", full.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
     items = narrow.groupBy("source", "__at").agg(F.count("*").alias("m"))
-    items = cut(items.withColumn("step", F.floor(STEPS * (1 - F.exp(-F.col("__at.k"))))).withColumn("sum", F.col("m") * F.col("__at.n")), "items")
+    items = cut(items.withColumn("step", _step(F.col("__at.k"))).withColumn("sum", F.col("m") * F.col("__at.n")), "items")
     steps = items.groupBy("source", "step").agg(F.sum("sum").alias("sum"))
     before = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.select("source", "step", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))

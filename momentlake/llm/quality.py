@@ -184,7 +184,7 @@ def sites(narrow: DataFrame, rate: float) -> DataFrame:
 
 def posterior(docs: DataFrame, site: DataFrame, rate: float, host: F.Column, path: F.Column) -> DataFrame:
     """docs with __llr, and __host_rate, __path_rate and __good, the posterior probability of being good."""
-    s = small_side(site.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("good").alias("__g"), F.col("n").alias("__n"), F.col("host_rate").alias("__host_rate"), F.col("strength").alias("__b")), 500_000)
+    s = small_side(site.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("good").alias("__g"), F.col("n").alias("__n"), F.col("host_rate").alias("__host_rate"), F.col("strength").alias("__b")))
     out = docs.join(s, host.eqNullSafe(F.col("__h")) & path.eqNullSafe(F.col("__p")), "left")
     own = F.lit(1.0) - 1 / (1 + rate / (1 - rate) * F.exp("__llr"))
     path_rate = (F.col("__g") - own + F.col("__b") * F.col("__host_rate")) / (F.col("__n") - 1 + F.col("__b"))

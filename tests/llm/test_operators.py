@@ -195,7 +195,7 @@ def test_html_templates_by_different_bodies_whatever_the_hosts_size(spark):
 
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
-    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(html_text, "broadcast_rows", lambda _: 0)
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Own text {i}" for i in range(20)}
 
