@@ -68,13 +68,13 @@ WORDS = """words AS (SELECT video_id, position, word_position, text, start + 10.
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unit a document: four neighbours of a source share a chunk; the vector is that of the same id, if there is one."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents").withColumn("at", F.row_number().over(w) - 1)
+    """One unit a document: four neighbouring ids of a source share a chunk; the vector is that of the same id, if there
+    is one.  No window: a filter on sampler or video_id is one on the scan of documents."""
+    d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings")
     return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("source").alias("video_id"),
-        F.floor(F.col("at") / 4).cast("long").alias("chunk_id"),
+        F.floor(F.col("doc_id") / 4).cast("long").alias("chunk_id"),
         F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("sampler_id"),
         F.col("lang").alias("sampler"),
         F.col("label").cast("string").alias("question"),
@@ -86,9 +86,8 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-UNITS = """units AS (SELECT source AS video_id, (pos // 4)::BIGINT AS chunk_id, lang || ':' || doc_id AS sampler_id, lang AS sampler, label::VARCHAR AS question,
-  text AS content, embedding AS vector, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents) d
-  LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
+UNITS = """units AS (SELECT source AS video_id, (doc_id // 4)::BIGINT AS chunk_id, lang || ':' || doc_id AS sampler_id, lang AS sampler, label::VARCHAR AS question,
+  text AS content, embedding AS vector, doc_id, n_chars FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -34,26 +35,86 @@ def words(text: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in DETAIL_STOP_WORDS]))
 
 
-def stem(word: Column) -> Column:
-    """A light English stemmer: plural and verb endings of words that stay at least three letters long."""
-    out = F.regexp_replace(word, "(?<=[a-z]{3})(sses|ies)$", "s")
-    out = F.regexp_replace(out, "(?<=[a-z]{3})(?<![su])s$", "")
-    return F.regexp_replace(out, "(?<=[a-z]{3})(ing|edly|ed|ly)$", "")
+def stems(found: Column) -> Column:
+    """The English (Porter 2) stems of an array of words, by batches; each different word is stemmed once."""
+    from momentlake.functions.stems import english
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(w: str) -> str:
+            if w not in known:
+                known[w] = english(w)
+            return known[w]
+
+        return lists.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
+    return run(found)
 
 
 def lexemes(text: Column, stemmed: bool = False) -> Column:
     """Words in order with repeats, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     kept = F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
-    return F.transform(kept, stem) if stemmed else kept
+    return stems(kept) if stemmed else kept
 
 
 def render(summary: Column, structured: Column) -> Column:
     """A summary and then `key: value` of a string map by key, blanks left out, joined by `. `."""
     pairs = F.filter(F.array_sort(F.map_entries(structured)), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")
-    said = F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    said = F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), F.trim(e["value"])))
     head = F.when(F.trim(F.coalesce(summary, F.lit(""))) != "", F.trim(summary))
-    return F.concat_ws(". ", head, F.when(F.size(said) > 0, F.concat_ws(" | ", said)))
+    return F.concat_ws(". ", head, said)
+
+
+def _value(x) -> str:
+    """A JSON value as text: lists by ` | `, objects as `key value` by key and `; `, blanks left out."""
+    if x is None or x == "" or x == []:
+        return ""
+    if isinstance(x, dict):
+        return "; ".join(f"{k} {v}" for k in sorted(x) if (v := _value(x[k])))
+    if isinstance(x, list):
+        return " | ".join(v for v in map(_value, x) if v)
+    return x.strip() if isinstance(x, str) else str(x)
+
+
+def render_json(summary: str | None, structured: str | None) -> str:
+    """As render, for a JSON object of any depth; what isn't an object says nothing."""
+    try:
+        fields = json.loads(structured) if structured else {}
+    except ValueError:
+        fields = {}
+    said = [f"{k}: {v}" for k in sorted(fields) if (v := _value(fields[k]))] if isinstance(fields, dict) else []
+    return ". ".join([*([summary.strip()] if summary and summary.strip() else []), *said])
+
+
+def rendered(summary: Column, structured: Column) -> Column:
+    """As render, of a JSON object of any depth.  Objects of plain values stay in the JVM; only deeper ones go to
+    Python, by batches."""
+
+    @F.pandas_udf("string")
+    def deep(s: pd.Series, j: pd.Series) -> pd.Series:
+        return pd.Series([render_json(a, b) for a, b in zip(s, j, strict=True)])
+
+    flat = F.from_json(structured, "map<string,string>")
+    nested = structured.rlike(r"^\s*\{.*[\[{]") | structured.rlike(r":\s*(true|false)\b")
+    return F.when(F.coalesce(nested, F.lit(False)), deep(summary, structured)).otherwise(render(summary, F.coalesce(flat, F.create_map().cast("map<string,string>"))))
+
+
+def account_text(account: Column, label: Column) -> Column:
+    """The text of an entity: the description and narrative of its account, then what else it says; without, its label."""
+    said = lambda k: F.when(F.trim(F.coalesce(account[k], F.lit(""))) != "", F.trim(account[k]))
+    prose = F.concat_ws(" ", said("description"), said("narrative"))
+    rest = F.map_filter(account, lambda k, _: ~k.isin("description", "narrative"))
+    full = render(prose, F.coalesce(rest, F.create_map().cast("map<string,string>")))
+    return F.when(account.isNotNull() & (full != ""), full).otherwise(F.coalesce(label, F.lit("")))
+
+
+def row_line(chunk_id: Column, start: Column, end: Column, text: Column) -> Column:
+    """A chunk's row as one line: its id, its seconds and what is said."""
+    whole = lambda c: F.bround(c).cast("long").cast("string")
+    return F.concat(F.lit("["), chunk_id.cast("string"), F.lit("] "), whole(start), F.lit("-"), whole(end), F.lit("s  "), text)
 
 
 def plain(parts: Column) -> Column:
@@ -73,6 +134,19 @@ def file_name(answer: Column) -> Column:
     return F.translate(answer, ":", ".")
 
 
+def answer_of_file(stem: Column) -> Column:
+    return F.translate(stem, ".", ":")
+
+
+def labelled(definition: Column, label: Column) -> Column:
+    """The id of a definition's answer for one of several inputs: `definition~label`, or the definition alone."""
+    return F.when(F.coalesce(label, F.lit("")) == "", definition).otherwise(F.concat_ws("~", definition, label))
+
+
+def definition_of(answer: Column) -> Column:
+    return F.substring_index(answer, "~", 1)
+
+
 def content_hash(text: Column) -> Column:
     """Sixteen hex digits that identify a content."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

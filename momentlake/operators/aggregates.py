@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,61 @@ def handovers(turns: DataFrame) -> DataFrame:
     return t.groupBy("video_id").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("speaker"))).alias("handovers"), F.count("*").alias("turns"))
 
 
+def counted(rows: DataFrame, by: list[str], label: str, name: str) -> DataFrame:
+    """Per group a map of how often each label occurs, by label."""
+    n = rows.groupBy(*by, label).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias(name))
+
+
+def stats(grid: DataFrame, frames: DataFrame | None = None, answers: DataFrame | None = None, spoken: DataFrame | None = None, timelines: DataFrame | None = None) -> DataFrame:
+    """One row a video, whatever is known of it: duration, chunks and their lengths, frames, answers by sampler, words.
+
+    frames: the sampled frames; answers: a row a chunk and sampler_id; spoken: a row a chunk with word_count; timelines:
+    video_id, policy and derived_from.  What isn't given counts as nothing."""
+    key, length = ["video_id"], F.col("end_ts") - F.col("start_ts")
+    g = grid.withColumn("len", length)
+    out = g.groupBy(*key).agg(F.max("end_ts").alias("d"), F.count("*").alias("chunks"), F.round(F.min("len"), 3).alias("chunk_min"), F.round(F.max("len"), 3).alias("chunk_max"))
+    out = out.join(upper_median(g, key, "len", "m").select("video_id", F.round("m", 3).alias("chunk_median")), key)
+    if timelines is not None:
+        out = out.join(timelines.select("video_id", "policy", "derived_from"), key, "left")
+    if frames is not None:
+        out = out.join(frames.groupBy(*key).agg(F.count("*").alias("frames_sampled")), key, "left")
+    if answers is not None:
+        out = out.join(counted(answers, key, "sampler_id", "descriptions_by_sampler"), key, "left")
+    if spoken is not None:
+        out = out.join(spoken.groupBy(*key).agg(F.sum("word_count").alias("words"), F.count_if(F.col("word_count") > 0).alias("chunks_with_speech")), key, "left")
+    zero = F.lit(0).cast("long")
+    have = lambda c: F.coalesce(F.col(c), zero) if c in out.columns else zero
+    by_sampler = F.coalesce("descriptions_by_sampler", F.create_map().cast("map<string,bigint>")) if answers is not None else F.create_map().cast("map<string,bigint>")
+    named = [F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ("policy", "derived_from")]
+    return out.select(
+        "video_id", F.round("d", 3).alias("duration_s"), "chunks", "chunk_min", "chunk_median", "chunk_max", *named, have("frames_sampled").alias("frames_sampled"), by_sampler.alias("descriptions_by_sampler"),
+        have("words").alias("words"), have("chunks_with_speech").alias("chunks_with_speech"), F.when(F.col("d") > 0, F.round(have("words") / (F.col("d") / 60), 1)).otherwise(0.0).alias("words_per_minute"),
+    )
+
+
+def speakers(turns: DataFrame, durations: DataFrame) -> DataFrame:
+    """One row a video: how many speak, turns, handovers, seconds and share of speech, each speaker's part by seconds,
+    and who dominates (ties: first heard).  durations: video_id, duration_s; a video without turns has a row too."""
+    said = speaker_shares(turns)
+    item = F.struct((-F.col("seconds")).alias("k"), "first", "speaker", "seconds", "share")
+    shares = said.join(turns.groupBy("video_id", "speaker").agg(F.min("position").alias("first")), ["video_id", "speaker"])
+    by = shares.groupBy("video_id").agg(F.count("*").alias("speakers"), F.sum("seconds").alias("speech"), F.array_sort(F.collect_list(item)).alias("items"))
+    out = durations.select("video_id", "duration_s").join(by, "video_id", "left").join(handovers(turns), "video_id", "left").fillna({"speakers": 0, "speech": 0.0, "handovers": 0, "turns": 0})
+    parts = F.transform(F.col("items"), lambda i: F.struct(i["speaker"].alias("speaker"), F.round(i["seconds"], 3).alias("seconds"), F.coalesce(F.round(i["share"], 4), F.lit(0.0)).alias("share")))
+    return out.select(
+        "video_id", "speakers", "turns", "handovers", ((F.col("speakers") <= 1) & (F.col("handovers") == 0)).alias("monologue"), F.round("speech", 3).alias("speech_s"),
+        F.when(F.col("duration_s") > 0, F.round(F.col("speech") / F.col("duration_s"), 4)).otherwise(0.0).alias("speech_ratio"), parts.alias("by_speaker"), F.col("items")[0]["speaker"].alias("dominant"),
+    )
+
+
+def coverage_summary(covered: DataFrame) -> DataFrame:
+    """Per video the chunks of each kind of coverage, and the ids of those that nothing covers."""
+    count = lambda kind: F.count_if(F.col("coverage") == kind).alias(kind)
+    silent = F.sort_array(F.collect_list(F.when(F.col("coverage") == "neither", F.col("chunk_id"))))
+    return covered.groupBy("video_id").agg(count("both"), count("picture_only"), count("sound_only"), count("neither"), silent.alias("silent_chunks"))
+
+
 def coverage(grid: DataFrame, answers: DataFrame, spoken: DataFrame) -> DataFrame:
     """Per chunk: whether it has an answer (an empty one counts), speech, and which sources."""
     key = ["video_id", "chunk_id"]
@@ -74,6 +131,57 @@ def weighted_mean(rows: DataFrame, by: list[str], score: str, weight: str) -> Da
     return rows.groupBy(*by).agg((F.sum(F.col(score) * F.col(weight)) / F.sum(weight)).alias("mean"), F.sum(weight).alias("weight"))
 
 
+def sentiment_chunks(pieces: DataFrame, signed: str = "signed", text: str = "piece") -> DataFrame:
+    """Per chunk the tone of its pieces, weighted by their length: label, score, signed (rounded) and how many pieces."""
+    size = F.length(text)
+    g = pieces.groupBy("video_id", "chunk_id").agg((F.sum(F.col(signed) * size) / F.sum(size)).alias("s"), F.count("*").alias("pieces"))
+    return g.select("video_id", "chunk_id", F.when(F.col("s") >= 0, "positive").otherwise("negative").alias("label"), F.round(F.abs("s"), 4).alias("score"), F.round("s", 4).alias("signed"), "pieces")
+
+
+def sentiment(per_chunk: DataFrame) -> DataFrame:
+    """Per video the mean tone of its chunks, how many are positive and negative, and where the tone turns."""
+    turns = turning_points(per_chunk, ["video_id"], "chunk_id", "signed").groupBy("video_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("turning_points"))
+    g = per_chunk.groupBy("video_id").agg(F.round(F.avg("signed"), 4).alias("mean"), F.count_if(F.col("signed") > 0).alias("positive_chunks"), F.count_if(F.col("signed") < 0).alias("negative_chunks"), F.count("*").alias("chunks_read"))
+    return g.join(turns, "video_id", "left").withColumn("turning_points", F.coalesce("turning_points", F.array().cast("array<bigint>")))
+
+
+def merged_fields(rows: DataFrame, by: list[str], order: list[str], structured: str = "structured") -> DataFrame:
+    """by and structured: several answers' JSON objects as one, by key in first-seen order.
+
+    Lists are put together without repeats; a value that all agree on stays as it is; values that differ are listed.
+    Blank values (null, "", []) say nothing.  Values are compared by their canonical JSON, that of VARIANT."""
+    spark = rows.sparkSession
+    v = rows.select(*by, F.struct(*order).alias("o"), F.try_parse_json(F.col(structured)).alias("v")).filter("v IS NOT NULL")
+    fields = v.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*by, "o", "pos", "key", F.col("value").alias("x"))
+    fields = fields.filter(~F.to_json("x").isin("null", '""', "[]")).withColumn("list", F.schema_of_variant("x").startswith("ARRAY"))
+    flat = fields.groupBy(*by, "key").agg(F.min("list").alias("flat"))
+    fields = fields.join(flat, [*by, "key"])
+    whole = fields.filter(~F.col("flat")).select(*by, "key", "flat", "o", "pos", F.lit(0).alias("at"), F.to_json("x").alias("item"))
+    listed = fields.filter("flat").select(*by, F.col("key").alias("k"), "flat", "o", F.col("pos").alias("p"), "x").lateralJoin(spark.tvf.variant_explode(F.col("x").outer()))
+    items = whole.unionByName(listed.select(*by, F.col("k").alias("key"), "flat", "o", F.col("p").alias("pos"), F.col("pos").alias("at"), F.to_json("value").alias("item")))
+    once = items.groupBy(*by, "key", "flat", "item").agg(F.min(F.struct("o", "pos", "at")).alias("first"))
+    one = once.groupBy(*by, "key", "flat").agg(F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("first", "item"))), lambda i: i["item"]).alias("items"))
+    several = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
+    said = one.withColumn("said", F.concat(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(":"), F.when(F.col("flat") | (F.size("items") > 1), several).otherwise(F.col("items")[0])))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("first", "key", "said"))), lambda i: i["said"])
+    return said.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("structured"))
+
+
+def combined_stats(stats: DataFrame, by: str, counts: list[str]) -> DataFrame:
+    """The sums, rounded to thousandths, of counts over the recordings of a combination; absent ones don't count."""
+    return stats.groupBy(by).agg(*[F.round(F.sum(c), 3).alias(c) for c in counts])
+
+
+def items_of_windows(rows: DataFrame, grid: DataFrame, ask: Callable[[DataFrame], DataFrame], size: int = 100) -> DataFrame:
+    """What a model finds in windows of `size` rows, each item on the span of the chunk that it cites, in order of time.
+
+    rows: video_id, chunk_id, line; ask: (video_id, window, lines) -> (video_id, window, chunk_id, fields ...), a DataFrame step."""
+    w = windows_of(rows, "video_id", "chunk_id", size)
+    lines = w.groupBy("video_id", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "line"))), lambda i: i["line"]).alias("lines"))
+    found = ask(lines).join(grid.select("video_id", "chunk_id", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts")), ["video_id", "chunk_id"], "left")
+    return found.withColumn("position", F.row_number().over(Window.partitionBy("video_id").orderBy("start_ts", "window", "chunk_id")) - 1)
+
+
 def fold(rows: DataFrame, by: str, order: str, text: str, reduce, batch: int = 25):
     """Hierarchical reduction: batches of 25 by position become one row each until every group has at most 25, then one.
 
@@ -100,16 +208,19 @@ def windows_of(rows: DataFrame, by: str, order: str, size: int = 100) -> DataFra
     return rows.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
-def entity_summary(mentions: DataFrame, grid: DataFrame) -> DataFrame:
-    """Per linked group: label (longest signature), appearances, first start, last end, observed seconds, and an id by
-    appearances and start."""
-    per_chunk = mentions.groupBy("video_id", "group", "chunk_id").agg(F.max_by("signature", F.struct(F.length("signature"), "signature")).alias("signature"))
-    j = per_chunk.join(grid, ["video_id", "chunk_id"])
+def entity_summary(mentions: DataFrame, grid: DataFrame, order: str = "signature") -> DataFrame:
+    """Per linked group: label (longest signature, of equals the first by chunk and `order`), appearances (chunks), their
+    ids, first start, last end, observed seconds, and an id by appearances and start.
+
+    Mentions of one chunk are reduced first, so that a group seen in very many chunks is small when it meets."""
+    best = F.min(F.struct((-F.length("signature")).alias("n"), "chunk_id", F.col(order).alias("o"), F.col("signature").alias("s")))
+    j = mentions.groupBy("video_id", "group", "chunk_id").agg(best.alias("best")).join(grid, ["video_id", "chunk_id"])
     g = j.groupBy("video_id", "group").agg(
-        F.max_by("signature", F.struct(F.length("signature"), "signature")).alias("label"), F.count("*").alias("appearances"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum(F.col("end_ts") - F.col("start_ts")).alias("observed_s")
-    )
+        F.min("best")["s"].alias("label"), F.count("*").alias("appearances"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"),
+        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum(F.col("end_ts") - F.col("start_ts")).alias("observed_s"),
+    )
     w = Window.partitionBy("video_id").orderBy(F.desc("appearances"), "start_ts", "group")
-    return g.withColumn("entity_id", F.format_string("e%03d", F.row_number().over(w)))
+    return g.withColumn("entity_id", F.format_string("e%03d", F.row_number().over(w) - 1))
 
 
 def together(mentions: DataFrame, most: int = 50) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import text as T
 from momentlake.functions import vectors as V
+from momentlake.operators.linking import all_pairs
 
 #: Answers that say nothing either way.
 UNKNOWN = ["", "unclear", "covered"]
@@ -39,18 +40,18 @@ def attribute_similarity(mentions: DataFrame, by: list[str], apart: str, attribu
     gives its weight back.  Words of free texts are split once a mention, before the pairs are made."""
     kinds, shared = dict(mentions.dtypes), shared or {}
     details = [(F.col(k) if kinds[k].startswith("array") else T.words(F.coalesce(F.col(k), F.lit("")))).alias(k) for k in shared]
-    side = mentions.select(*by, F.struct("mention", F.col(apart).alias("__apart"), *attributes, *details).alias("l"))
-    p = side.join(side.withColumnRenamed("l", "r"), by).filter(F.col("l.mention") < F.col("r.mention"))
+    side = mentions.select(*by, "mention", F.col(apart).alias("__apart"), *attributes, *details)
+    p = all_pairs(side, by, "mention")
     cost = reduce(lambda x, y: x + y, [w * _disagreement(k, list(near)) for k, w in attributes.items()], F.lit(0.0))
     gain = reduce(lambda x, y: x + y, [w * _in_common(k, kinds[k].startswith("array")) for k, w in shared.items()], F.lit(0.0))
     return p.select(*by, F.col("l.mention").alias("i"), F.col("r.mention").alias("j"), (gain - cost).alias("similarity"), (F.col("l.__apart") == F.col("r.__apart")).alias("different"))
 
 
-def keyed_similarity(mentions: DataFrame, by: list[str], weights: dict[str, float]) -> DataFrame:
-    """by, i, j and similarity: the weighted mean of the cosines of the vectors of each key; a null vector takes no part."""
-    side = mentions.select(*by, F.struct("mention", *weights).alias("l"))
-    p = side.join(side.withColumnRenamed("l", "r"), by).filter(F.col("l.mention") < F.col("r.mention"))
-    both = {k: F.col(f"l.{k}").isNotNull() & F.col(f"r.{k}").isNotNull() for k in weights}
-    total = sum((F.when(both[k], F.lit(w)).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    score = sum((F.when(both[k], w * V.cosine(F.col(f"l.{k}"), F.col(f"r.{k}"))).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return p.select(*by, F.col("l.mention").alias("i"), F.col("r.mention").alias("j"), F.when(total > 0, score / total).alias("similarity"))
+def keyed_similarity(mentions: DataFrame, by: list[str], weights: dict[str, float], unknown: list[float]) -> DataFrame:
+    """by, i, j and similarity: the weighted mean, over all keys, of the cosines of each key's vectors.
+
+    A null vector, that of a blank text, counts as `unknown`, the vector of the text that stands for it."""
+    none = F.array(*[F.lit(float(x)) for x in unknown])
+    side = mentions.select(*by, "mention", *[F.coalesce(V.as_double(F.col(k)), none).alias(k) for k in weights])
+    score = sum((w * V.cosine(F.col(f"l.{k}"), F.col(f"r.{k}")) for k, w in weights.items()), F.lit(0.0)) / float(sum(weights.values()))
+    return all_pairs(side, by, "mention").select(*by, F.col("l.mention").alias("i"), F.col("r.mention").alias("j"), score.alias("similarity"))

@@ -38,12 +38,10 @@ def merge_short(spans: DataFrame, min_s: float) -> DataFrame:
     """Spans shorter than min_s join the one before; a short first one takes in the next."""
     w = Window.partitionBy("video_id").orderBy("start_ts")
     opens = (F.col("end_ts") - F.col("start_ts") >= min_s) | (F.row_number().over(w) == 1)
-    island = F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     merged = spans.withColumn("opens", opens).withColumn("island", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = merged.groupBy("video_id", "island").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     first = F.min(F.when((F.col("island") == 1) & (F.col("end_ts") - F.col("start_ts") < min_s), 1)).over(Window.partitionBy("video_id"))
     merged = merged.withColumn("island", F.when(first.isNotNull() & (F.col("island") == 2), 1).otherwise(F.col("island")))
-    del island
     return merged.groupBy("video_id", "island").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts")).drop("island")
 
 
@@ -84,21 +82,31 @@ def build(policy: str, durations: DataFrame, cuts: DataFrame | None = None, chun
     return from_cuts(cuts, durations, min_s, max_s or chunk_s)
 
 
-def with_chunk(rows: DataFrame, grid: DataFrame, at: str, how: str = "inner") -> DataFrame:
-    """rows with the chunk_id of their time: half-open chunks, the last owns its end.  An equi-join on video_id with
-    a range condition, so the grid may be broadcast or both sides be shuffled by video."""
+def _by_bucket(rows: DataFrame, spans: DataFrame, at: str, bucket_s: float | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a bucket of time as one more join key, so that a row meets the few spans of its bucket instead of
+    all of its recording's, and a long recording is dealt out to many tasks."""
+    if not bucket_s:
+        return rows, spans, []
+    number = lambda c: F.floor(F.col(c) / bucket_s)
+    return rows.withColumn("__b", number(at)), spans.withColumn("__c", F.explode(F.sequence(number("__s"), number("__e")))), ["__b", "__c"]
+
+
+def with_chunk(rows: DataFrame, grid: DataFrame, at: str, how: str = "inner", bucket_s: float | None = None) -> DataFrame:
+    """rows with the chunk_id of their time: half-open chunks, the last owns its end.  An equi-join on video_id, and on a
+    bucket of bucket_s seconds (about a chunk's length) if given, with a range condition."""
     last = F.max("chunk_id").over(Window.partitionBy("video_id"))
     g = grid.withColumn("__last", F.col("chunk_id") == last).select(F.col("video_id").alias("__v"), "chunk_id", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"), "__last")
+    rows, g, more = _by_bucket(rows, g, at, bucket_s)
     inside = (F.col(at) >= F.col("__s")) & ((F.col(at) < F.col("__e")) | (F.col("__last") & (F.col(at) == F.col("__e"))))
-    return rows.join(g, (F.col("video_id") == F.col("__v")) & inside, how).drop("__v", "__s", "__e", "__last")
+    same = F.col("video_id") == F.col("__v")
+    return rows.join(g, (same & (F.col("__b") == F.col("__c")) if more else same) & inside, how).drop("__v", "__s", "__e", "__last", *more)
 
 
-def nearest_chunk(rows: DataFrame, grid: DataFrame, at: str) -> DataFrame:
+def nearest_chunk(rows: DataFrame, grid: DataFrame, at: str, bucket_s: float | None = None) -> DataFrame:
     """As with_chunk, but times outside of the grid go to its first or last chunk."""
-    w = Window.partitionBy("video_id")
-    g = grid.select(F.col("video_id").alias("__v"), "chunk_id", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"), (F.col("chunk_id") == F.min("chunk_id").over(w)).alias("__first"), (F.col("chunk_id") == F.max("chunk_id").over(w)).alias("__last"))
-    inside = (F.col("__first") | (F.col(at) >= F.col("__s"))) & (F.col("__last") | (F.col(at) < F.col("__e")))
-    return rows.join(g, (F.col("video_id") == F.col("__v")) & inside).drop("__v", "__s", "__e", "__first", "__last")
+    ends = grid.groupBy("video_id").agg(F.min("start_ts").alias("__low"), F.max("end_ts").alias("__high"))
+    near = rows.join(ends, "video_id").withColumn("__at", F.least(F.greatest(F.col(at), F.col("__low")), F.col("__high")))
+    return with_chunk(near, grid, "__at", bucket_s=bucket_s).drop("__at", "__low", "__high")
 
 
 def chunks_overlapping(grid: DataFrame, after: float | None, before: float | None) -> DataFrame:
@@ -113,9 +121,9 @@ def chunks_overlapping(grid: DataFrame, after: float | None, before: float | Non
 
 def widened(chunks: DataFrame, grid: DataFrame, window: int) -> DataFrame:
     """Distinct chunk ids within `window` of the given ones, up to the longest grid's end."""
-    top = grid.agg(F.max("chunk_id").alias("top"))
+    top = grid.agg(F.max("chunk_id")).scalar()
     ids = chunks.select("chunk_id").distinct().select(F.explode(F.sequence(F.col("chunk_id") - window, F.col("chunk_id") + window)).alias("chunk_id")).distinct()
-    return ids.join(F.broadcast(top)).filter((F.col("chunk_id") >= 0) & (F.col("chunk_id") <= F.col("top"))).select("chunk_id")
+    return ids.filter((F.col("chunk_id") >= 0) & (F.col("chunk_id") <= top))
 
 
 def span_of(rows: DataFrame, by: list[str], ids: str, grid: DataFrame, missing: Column | None = None) -> DataFrame:
@@ -126,12 +134,36 @@ def span_of(rows: DataFrame, by: list[str], ids: str, grid: DataFrame, missing:
 
 
 def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Per threshold: cuts, cuts per score and the upper median of gaps between cuts of a video."""
+    """Per threshold: cuts, cuts per score and the upper median of gaps between cuts of a video.
+
+    The median is read off a histogram of the gaps, so that no threshold's gaps are sorted in one task."""
     t = scores.select("video_id", "at", "score", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
     n = t.groupBy("threshold").agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= F.col("threshold")).alias("cuts"))
     w = Window.partitionBy("threshold", "video_id").orderBy("at")
     gaps = t.filter(F.col("score") >= F.col("threshold")).select("threshold", (F.col("at") - F.lag("at").over(w)).alias("gap")).filter("gap IS NOT NULL")
-    r = Window.partitionBy("threshold").orderBy("gap")
-    ranked = gaps.select("threshold", "gap", F.row_number().over(r).alias("i"), F.count("*").over(Window.partitionBy("threshold")).alias("n"))
-    median = ranked.filter(F.col("i") == F.floor(F.col("n") / 2) + 1).select("threshold", F.col("gap").alias("median_gap"))
+    counts = gaps.groupBy("threshold", "gap").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("threshold").orderBy("gap"))
+    total = F.sum("m").over(Window.partitionBy("threshold"))
+    median = counts.withColumn("upto", upto).withColumn("total", total).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("threshold").agg(F.min("gap").alias("median_gap"))
     return n.join(median, "threshold", "left").select("threshold", "cuts", (F.col("cuts") / F.col("scored")).alias("rate"), "median_gap")
+
+
+#: Thresholds that a calibration reports, on the scale of scene scores and of seconds of silence.
+SCENE_THRESHOLDS = [5.0, 10.0, 15.0, 20.0, 27.0, 35.0, 45.0, 60.0, 80.0]
+SILENCE_THRESHOLDS = [0.25, 0.5, 0.65, 1.0, 1.5, 2.0, 3.0]
+
+
+def calibrate(scores: DataFrame, source: str = "video", thresholds: list[float] | None = None) -> DataFrame:
+    """What each threshold would cut, from stored scores; reports and doesn't choose."""
+    return threshold_sweep(scores, thresholds or (SCENE_THRESHOLDS if source == "video" else SILENCE_THRESHOLDS))
+
+
+def retune(scores: DataFrame, threshold: float) -> DataFrame:
+    """The cuts (video_id, at, score) of another threshold over stored scores."""
+    return scores.filter(F.col("score") >= threshold).select("video_id", "at", "score")
+
+
+def boundary_stats(grid: DataFrame) -> DataFrame:
+    """Per video: chunks, shortest and longest chunk, duration."""
+    length = F.col("end_ts") - F.col("start_ts")
+    return grid.groupBy("video_id").agg(F.count("*").alias("chunks"), F.round(F.min(length), 3).alias("shortest_s"), F.round(F.max(length), 3).alias("longest_s"), F.round(F.max("end_ts"), 3).alias("duration_s"))

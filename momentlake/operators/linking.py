@@ -1,4 +1,9 @@
-"""Linking mentions of one thing: pair scores, calibration, mutual best, and greedy constrained merges."""
+"""Linking mentions of one thing: pair scores, calibration, mutual best, and greedy constrained merges.
+
+A block (`by`) is one recording's mentions for one profile.  Mentions are compared within one field; the bar is read
+off all fields of the block.  Two mentions differ provably if their `apart` columns are equal (entries of one answer),
+or as a table of pairs says.
+"""
 
 from __future__ import annotations
 
@@ -6,49 +11,124 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.errors import Refused, UnknownOption
 from momentlake.functions import vectors as V
 
+#: How the bar is read off the pairs that differ provably: the greatest, or a quantile.
+RULES = {"max": None, "q95": 0.95, "q90": 0.90}
+#: Mentions of a block that meet in one task; a larger block is cut and its parts are compared two by two.
+PART = 1024
 
-def pairs(mentions: DataFrame, by: list[str], apart: list[str]) -> DataFrame:
-    """Every pair i < j inside a block with its similarity and whether it is provably different (equal `apart` keys).
 
-    A block is one recording's mentions of one kind; that bounds the square."""
-    a = mentions.select(*by, F.col("mention").alias("i"), F.col("vector").alias("vi"), *[F.col(c).alias(f"{c}_i") for c in apart])
-    b = mentions.select(*by, F.col("mention").alias("j"), F.col("vector").alias("vj"), *[F.col(c).alias(f"{c}_j") for c in apart])
-    differ = F.lit(True)
-    for c in apart:
-        differ = differ & (F.col(f"{c}_i") == F.col(f"{c}_j"))
-    out = a.join(b, by).filter(F.col("i") < F.col("j"))
-    return out.select(*by, "i", "j", *[f"{c}_i" for c in apart], *[f"{c}_j" for c in apart], V.cosine(F.col("vi"), F.col("vj")).alias("similarity"), differ.alias("different"))
+def all_pairs(rows: DataFrame, by: list[str], key: str, part: int = PART) -> DataFrame:
+    """by, l, r: every pair of rows (as structs) of a block with l.key < r.key.
 
+    A block of many rows is dealt into parts, and every two parts are a join key of their own, so that no task holds
+    the square of a long recording."""
+    sizes = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / part), F.lit(1)).cast("int").alias("__k"))
+    row = F.struct(*[c for c in rows.columns if c not in by])
+    dealt = rows.join(sizes, by).select(*by, row.alias("row"), F.pmod(F.xxhash64(key), F.col("__k")).cast("int").alias("p"), "__k")
+    left = dealt.select(*by, F.col("row").alias("l"), F.col("p").alias("a"), F.explode(F.sequence(F.col("p"), F.col("__k") - 1)).alias("b"))
+    right = dealt.select(*by, F.col("row").alias("r"), F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("a"))
+    j = left.join(right, [*by, "a", "b"]).filter((F.col("a") < F.col("b")) | (F.col(f"l.{key}") < F.col(f"r.{key}")))
+    ordered = F.col(f"l.{key}") < F.col(f"r.{key}")
+    return j.select(*by, F.when(ordered, F.col("l")).otherwise(F.col("r")).alias("l"), F.when(ordered, F.col("r")).otherwise(F.col("l")).alias("r"))
 
-def standardised(scored: DataFrame, by: list[str]) -> DataFrame:
-    """similarity less the mean of the provably different pairs, in their deviations (0 counts as 1)."""
-    w = Window.partitionBy(*by)
-    known = F.when(F.col("different"), F.col("similarity"))
-    sd = F.stddev_pop(known).over(w)
-    return scored.withColumn("z", (F.col("similarity") - F.avg(known).over(w)) / F.when((sd == 0) | sd.isNull(), 1.0).otherwise(sd))
 
+def pairs(mentions: DataFrame, by: list[str], apart: list[str], field: str | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Every pair i < j of a block and field with its similarity and whether it is provably different.
 
-def threshold(scored: DataFrame, by: list[str], quantile: float | None = None) -> DataFrame:
-    """Per block the greatest, or a quantile, of the provably different pairs' similarity; none without such pairs."""
+    mask: by, i, j of pairs known to be different, in place of equal `apart` columns; then pairs of different fields
+    come too, with `candidate` false."""
+    names = [*apart, *([field] if field and field not in apart else [])]
+    block = [*by, *([field] if field and mask is None else [])]
+    p = all_pairs(mentions.select(*by, "mention", "vector", *names), block, "mention") if field in block else all_pairs(mentions.select(*by, "mention", "vector", *names), by, "mention")
+    differ = F.lit(True)
+    for c in apart:
+        a, b = (F.col(c), F.col(c)) if c in block else (F.col(f"l.{c}"), F.col(f"r.{c}"))
+        differ = differ & a.eqNullSafe(b)
+    pick = lambda c, s: (F.col(c) if c in block else F.col(f"{s}.{c}")).alias(f"{c}_{'i' if s == 'l' else 'j'}")
+    same = F.lit(True) if not field or field in block else F.col(f"l.{field}").eqNullSafe(F.col(f"r.{field}"))
+    out = p.select(
+        *by, F.col("l.mention").alias("i"), F.col("r.mention").alias("j"), *[pick(c, "l") for c in names], *[pick(c, "r") for c in names],
+        V.cosine(F.col("l.vector"), F.col("r.vector")).alias("similarity"), differ.alias("different"), same.alias("candidate"),
+    )
+    if mask is None:
+        return out
+    known = mask.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).filter("i < j").distinct().withColumn("__d", F.lit(True))
+    return out.drop("different").join(known, [*by, "i", "j"], "left").withColumn("different", F.coalesce("__d", F.lit(False))).drop("__d")
+
+
+def standardised(scored: DataFrame, by: list[str], value: str = "similarity", name: str = "z") -> DataFrame:
+    """value less the mean of the provably different pairs, in their deviations (0 counts as 1).
+
+    Without such a pair there is nothing to measure against, and the value stays as it is."""
+    known = scored.filter("different").groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    z = (F.col(value) - F.col("__m")) / F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s"))
+    return scored.join(known, by, "left").withColumn(name, F.coalesce(z, F.col(value))).drop("__m", "__s")
+
+
+def blended(scored: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """similarity as the mean of the standardised measures; without a pair that differs provably, the first as it is."""
+    out, zs = scored, [f"__z{k}" for k in range(len(measures))]
+    for m, z in zip(measures, zs, strict=True):
+        out = standardised(out, by, m, z)
+    some = out.filter("different").select(*by).distinct().withColumn("__some", F.lit(True))
+    mean = sum((F.col(z) for z in zs), F.lit(0.0)) / len(zs)
+    out = out.join(some, by, "left").withColumn("similarity", F.when(F.col("__some"), mean).otherwise(F.col(measures[0])))
+    return out.withColumn("measure", F.when(F.col("__some"), "z-blend").otherwise("cosine")).drop("__some", *zs)
+
+
+def threshold(scored: DataFrame, by: list[str], quantile: float | None = None, fixed: float | None = None) -> DataFrame:
+    """Per block the bar: the greatest, or a quantile, of the provably different pairs' similarity, and none without
+    such pairs; or a fixed one for every block."""
+    if fixed is not None:
+        return scored.groupBy(*by).agg(F.lit(float(fixed)).alias("bar"), F.count_if("different").alias("calibration_pairs"))
     known = scored.filter("different")
     value = F.max("similarity") if quantile is None else F.percentile("similarity", quantile)
-    return known.groupBy(*by).agg(value.alias("bar"))
+    return known.groupBy(*by).agg(value.alias("bar"), F.count("*").alias("calibration_pairs"))
+
+
+def over_bar(scored: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that may be one thing: of one field, not provably different, over the bar."""
+    j = scored.filter(~F.col("different")).join(bars, by).filter(F.col("similarity") > F.col("bar"))
+    return j.filter("candidate") if "candidate" in scored.columns else j
 
 
-def mutual_best(scored: DataFrame, bars: DataFrame, by: list[str], group: str) -> DataFrame:
-    """Pairs over the bar that are each other's best among the mentions of the other's group."""
-    over = scored.filter(~F.col("different")).join(bars, by).filter(F.col("similarity") > F.col("bar"))
-    a = Window.partitionBy(*by, "i", f"{group}_j").orderBy(F.desc("similarity"), "j")
-    b = Window.partitionBy(*by, "j", f"{group}_i").orderBy(F.desc("similarity"), "i")
+def mutual_best(scored: DataFrame, bars: DataFrame, by: list[str], group: str | list[str]) -> DataFrame:
+    """Pairs over the bar that are each other's best among the mentions of the other's answer (equal `group` columns)."""
+    names = [group] if isinstance(group, str) else list(group)
+    over = over_bar(scored, bars, by)
+    a = Window.partitionBy(*by, "i", *[f"{g}_j" for g in names]).orderBy(F.desc("similarity"), "j")
+    b = Window.partitionBy(*by, "j", *[f"{g}_i" for g in names]).orderBy(F.desc("similarity"), "i")
     return over.withColumn("ri", F.row_number().over(a)).withColumn("rj", F.row_number().over(b)).filter("ri = 1 AND rj = 1").select(*by, "i", "j", "similarity")
 
 
-def merge_greedily(items: list, answers: list, links: list[tuple]) -> dict:
-    """Groups by merging links (similarity, i, j), the most alike first, unless that would join two items of one answer."""
+def mutual_best_by_mask(scored: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
+    """As mutual_best, where a mention's rivals are those that the pairs `different` name."""
+    over = over_bar(scored, bars, by).select(*by, "i", "j", "similarity")
+    both = lambda d, v: d.select(*by, F.col("i").alias("x"), F.col("j").alias("y"), *v).unionByName(d.select(*by, F.col("j").alias("x"), F.col("i").alias("y"), *v))
+    rivals = both(scored.filter("different"), []).select(*by, F.col("x").alias("own"), F.col("y").alias("rival"))
+    sims = both(scored, ["similarity"]).select(*by, F.col("x").alias("of"), F.col("y").alias("rival"), F.col("similarity").alias("s"))
+
+    def beaten(of: str, own: str) -> DataFrame:
+        r = over.withColumnRenamed(of, "of").withColumnRenamed(own, "own").join(rivals, [*by, "own"]).join(sims, [*by, "of", "rival"])
+        better = (F.col("s") > F.col("similarity")) | ((F.col("s") == F.col("similarity")) & (F.col("rival") < F.col("own")))
+        return r.filter(better).select(*by, F.col("of").alias(of), F.col("own").alias(own)).distinct()
+
+    return over.join(beaten("i", "j"), [*by, "i", "j"], "left_anti").join(beaten("j", "i"), [*by, "i", "j"], "left_anti")
+
+
+def merge_greedily(items: list, answers: list, links: list[tuple], differ: list[tuple] = ()) -> dict:
+    """Groups by merging links (similarity, i, j), the most alike first, unless that would join two items of one answer
+    (None: an answer of its own) or a pair of `differ`."""
     head = {i: i for i in items}
-    own = {i: {a} for i, a in zip(items, answers, strict=True)}
+    own = {i: set() if a is None else {a} for i, a in zip(items, answers, strict=True)}
+    foes: dict = {i: set() for i in items}
+    members = {i: {i} for i in items}
+    for a, b in differ:
+        foes[a].add(b)
+        foes[b].add(a)
 
     def find(i):
         while head[i] != i:
@@ -58,27 +138,66 @@ def merge_greedily(items: list, answers: list, links: list[tuple]) -> dict:
 
     for _, i, j in sorted(links, key=lambda x: (-x[0], x[1], x[2])):
         a, b = find(i), find(j)
-        if a != b and own[a].isdisjoint(own[b]):
-            a, b = min(a, b), max(a, b)
-            head[b] = a
-            own[a] |= own.pop(b)
+        if a == b or not own[a].isdisjoint(own[b]) or not foes[a].isdisjoint(members[b]):
+            continue
+        a, b = min(a, b), max(a, b)
+        head[b] = a
+        for held in (own, foes, members):
+            held[a] |= held.pop(b)
     return {i: find(i) for i in items}
 
 
-def link(mentions: DataFrame, by: str = "video_id", apart: str = "chunk_id", quantile: float | None = None) -> DataFrame:
-    """mention and group.  Scores and candidate links are DataFrame steps; only the merges, whose order matters, run
-    over one block's links in Python."""
-    scored = pairs(mentions, [by], [apart])
-    links = mutual_best(scored, threshold(scored, [by], quantile), [by], apart)
+def grouped(mentions: DataFrame, links: DataFrame, by: str, apart: list[str], mask: DataFrame | None = None) -> DataFrame:
+    """by, mention and group (its least mention), from links (by, i, j, similarity).
+
+    Only the merges, whose order matters, run over one block's links in Python."""
+    kind = dict(mentions.dtypes)
+    answer = F.lit(None).cast("string") if mask is not None else F.to_json(F.struct(*apart), {"ignoreNullFields": "false"})
+    small = mentions.select(by, "mention", answer.alias("answer"))
+    edges = links.select(F.col(by).alias("__block"), "i", "j", "similarity")
+    if mask is not None:
+        edges = edges.unionByName(mask.select(F.col(by).alias("__block"), "i", "j", F.lit(None).cast("double").alias("similarity")))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        groups = merge_greedily(left["mention"].tolist(), left[apart].tolist(), list(zip(right["similarity"], right["i"], right["j"], strict=True)))
+        ok = right["similarity"].notna()
+        differ = list(zip(right["i"][~ok], right["j"][~ok], strict=True))
+        found = list(zip(right["similarity"][ok], right["i"][ok], right["j"][ok], strict=True))
+        groups = merge_greedily(left["mention"].tolist(), left["answer"].tolist(), found, differ)
         out = left[["mention"]].copy()
         out[by] = key[0]
         out["group"] = out["mention"].map(groups)
         return out[[by, "mention", "group"]]
 
-    kind = dict(mentions.dtypes)
-    small = mentions.select(by, "mention", apart)
-    links = links.select(F.col(by).alias("__block"), "i", "j", "similarity")
-    return small.groupBy(by).cogroup(links.groupBy("__block")).applyInPandas(run, f"{by} {kind[by]}, mention long, group long")
+    return small.groupBy(by).cogroup(edges.groupBy("__block")).applyInPandas(run, f"{by} {kind[by]}, mention long, group long")
+
+
+def link(
+    mentions: DataFrame, by: str = "video_id", apart: str | list[str] = "chunk_id", quantile: float | None = None, field: str | None = None,
+    mutual: bool = True, fixed: float | None = None, mask: DataFrame | None = None, scored: DataFrame | None = None,
+) -> DataFrame:
+    """by, mention and group.  scored: pairs with a similarity of another measure, in place of the vectors' cosine."""
+    names = [apart] if isinstance(apart, str) else list(apart)
+    names = [*names, *([field] if field and field not in names else [])]
+    if scored is None:
+        scored = pairs(mentions, [by], names, field, mask)
+    bars = threshold(scored, [by], quantile, fixed)
+    if not mutual:
+        links = over_bar(scored, bars, [by]).select(by, "i", "j", "similarity")
+    elif mask is not None:
+        links = mutual_best_by_mask(scored, bars, [by])
+    else:
+        links = mutual_best(scored, bars, [by], names)
+    return grouped(mentions, links, by, names, mask)
+
+
+def link_entries(entries: DataFrame, mask: DataFrame | None = None, fixed: float | None = None, rule: str = "max", mutual: bool = True) -> DataFrame:
+    """Which of a user's entries (entry, vector) are one thing: entry and group.
+
+    Without pairs known to be different (mask: i, j), nothing says what differs, so a fixed bar is needed."""
+    if rule not in RULES:
+        raise UnknownOption("rule", rule, RULES)
+    if mask is None and fixed is None:
+        raise Refused("nothing says which entries differ: give pairs that do, or a bar")
+    m = entries.select(F.lit("entries").alias("video_id"), F.col("entry").cast("long").alias("mention"), "vector", F.col("entry").alias("own"))
+    mask = mask.select(F.lit("entries").alias("video_id"), "i", "j") if mask is not None else None
+    return link(m, "video_id", "own", RULES[rule], mutual=mutual, fixed=fixed, mask=mask).select(F.col("mention").alias("entry"), "group")

@@ -1,41 +1,84 @@
-"""Search: filters, dense and text ranks, their fusion, and moments."""
+"""Search: filters, dense and text ranks, their fusion, moments, live observations and answers about whole recordings.
+
+The vector and the text of a query are values of the driver: they become literals of the plan, so that no unit is
+joined with a query.  Every filter comes before the ranks and reaches the scan; a rank is a top-k and a window over its
+rows; fused rows, few, are joined back to the units for their content.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.errors import Refused
+from momentlake.errors import Refused, UnknownOption
 from momentlake.functions import text as T
+from momentlake.functions import times
 from momentlake.functions import vectors as V
+from momentlake.operators import grid as G
+
+RRF_K = 60
+#: A moment's score: 1 / (MOMENT_K + best rank) + SECOND / (MOMENT_K + second rank).
+MOMENT_K, SECOND = 10, 0.5
+#: What aggregate answers are searched by, coarse to fine.
+LEVELS = ("source", "span", "entity")
+UNIT = ["video_id", "chunk_id", "sampler_id"]
+SEEN = ["video_id", "frame_index", "sampler_id"]
+ITEM = ["source_id", "aggregate_id", "item_id"]
+
 
-RRF_K, SECOND = 60, 0.5
+def scope_of(video_id: str | Iterable[str] | None) -> list[str]:
+    """The recordings to search, from one id or several; blank ones don't count, and none means every one."""
+    given = [video_id] if isinstance(video_id, str) else list(video_id or ())
+    return [v for v in given if v]
 
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """What to look for.  Empty filters don't filter."""
+    """What to look for.  Empty filters don't filter.
+
+    sampler_id is one pairing, question the question whoever asked it, sampler all that one sampler gave.  after, before
+    (media seconds) and chunk_ids name chunks, `window` adds their neighbours."""
 
     limit: int = 5
     candidates: int = 20
     embedder: str | None = None
-    video_ids: list[str] = field(default_factory=list)
+    video_ids: str | Iterable[str] = ()
     sampler_id: str | None = None
     question: str | None = None
     sampler: str | None = None
     chunk_ids: list[int] = field(default_factory=list)
     structured: dict[str, str] = field(default_factory=dict)
     mode: str = "dense"
+    after: float | None = None
+    before: float | None = None
+    window: int = 0
 
     def __post_init__(self):
-        if self.limit < 1 or self.candidates < 1:
-            raise Refused("limits are at least 1")
+        object.__setattr__(self, "video_ids", scope_of(self.video_ids))
+        if self.limit < 1 or self.candidates < 1 or self.window < 0:
+            raise Refused("limits are at least 1, a window at least 0")
         if self.mode not in ("dense", "hybrid"):
             raise Refused("mode is dense or hybrid")
+        if self.after is not None and self.before is not None and self.before <= self.after:
+            raise Refused("a window ends after it begins")
+
+    @property
+    def narrows_chunks(self) -> bool:
+        return bool(self.chunk_ids) or self.after is not None or self.before is not None
+
+    def notes(self) -> list[str]:
+        """What to know about the scores."""
+        out = []
+        if self.sampler_id or self.question or self.sampler or self.structured:
+            out.append("filters take away units that agree, so scores are lower than without them")
+        if len(self.video_ids) != 1:
+            out.append("several recordings share one ranking; a chunk id belongs to its recording's grid")
+        return out
 
 
 def structured_matches(structured: Column, wanted: dict[str, str]) -> Column:
@@ -48,16 +91,42 @@ def structured_matches(structured: Column, wanted: dict[str, str]) -> Column:
     return out
 
 
-def candidates(units: DataFrame, request: SearchRequest) -> DataFrame:
-    """The filters of a request, all before any ranking, so that they reach the scan."""
-    out = units
-    for column, value in (("embedder", request.embedder), ("sampler_id", request.sampler_id), ("question", request.question), ("sampler", request.sampler)):
+def _equal(rows: DataFrame, **wanted) -> DataFrame:
+    for column, value in wanted.items():
         if value is not None:
-            out = out.filter(F.col(column) == value)
+            rows = rows.filter(F.col(column) == value)
+    return rows
+
+
+def wanted_chunks(request: SearchRequest, grids: DataFrame) -> DataFrame:
+    """chunk_id of the chunks that a request is narrowed to: its set, those in its time window on any grid in scope, or
+    both, and then the neighbours within `window` on either side, up to the longest grid's end.
+
+    If that leaves nothing, the chunks themselves stay."""
+    known = grids.filter(F.col("video_id").isin(*request.video_ids)) if request.video_ids else grids
+    if request.after is not None or request.before is not None:
+        ids = G.chunks_overlapping(known, request.after, request.before).select("chunk_id").distinct()
+        if request.chunk_ids:
+            ids = ids.filter(F.col("chunk_id").isin(*request.chunk_ids))
+    else:
+        ids = grids.sparkSession.createDataFrame([(int(c),) for c in dict.fromkeys(request.chunk_ids)], "chunk_id long")
+    if not request.window:
+        return ids
+    wide = G.widened(ids, known, request.window)
+    return wide.unionByName(ids.filter(wide.agg(F.count("*") == 0).scalar()))
+
+
+def candidates(units: DataFrame, request: SearchRequest, grids: DataFrame | None = None) -> DataFrame:
+    """The filters of a request, all before any ranking, so that they reach the scan."""
+    out = _equal(units, embedder=request.embedder, sampler_id=request.sampler_id, question=request.question, sampler=request.sampler)
     if request.video_ids:
         out = out.filter(F.col("video_id").isin(*request.video_ids))
-    if request.chunk_ids:
+    if request.chunk_ids and request.after is None and request.before is None and not request.window:
         out = out.filter(F.col("chunk_id").isin(*request.chunk_ids))
+    elif request.narrows_chunks:
+        if grids is None:
+            raise Refused("a time window or neighbours need the grids")
+        out = out.join(wanted_chunks(request, grids), "chunk_id", "left_semi")
     if request.structured:
         out = out.filter(structured_matches(F.col("structured"), request.structured))
     return out
@@ -72,9 +141,19 @@ def _ranked(rows: DataFrame, order: list[Column], limit: int, name: str) -> Data
     return rows.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def vector_rank(units: DataFrame, query: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """keys, similarity and vector_rank of the nearest units by cosine; query: one row with q."""
-    scored = units.filter(F.col("vector").isNotNull()).join(F.broadcast(query)).withColumn("similarity", V.cosine(F.col("vector"), F.col("q"))).select(*keys, "similarity")
+def query_literal(query: DataFrame | Iterable[float]) -> Column:
+    """The query's vector as a literal.  A table of queries must have one row, with q."""
+    if isinstance(query, DataFrame):
+        found = query.select("q").limit(2).collect()
+        if len(found) != 1:
+            raise Refused("a search has one query vector")
+        query = found[0].q
+    return F.lit([float(x) for x in query])
+
+
+def vector_rank(units: DataFrame, query: DataFrame | Iterable[float], keys: list[str], limit: int) -> DataFrame:
+    """keys, similarity and vector_rank of the nearest units by cosine."""
+    scored = units.filter(F.col("vector").isNotNull()).select(*keys, V.cosine(F.col("vector"), query_literal(query)).alias("similarity"))
     return _ranked(scored, [F.desc("similarity"), *map(F.col, keys)], limit, "vector_rank")
 
 
@@ -127,51 +206,107 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, keys: list[str], k: int = RRF
     return j.withColumn("score", part("vector_rank") + part("text_rank"))
 
 
-def hybrid(units: DataFrame, query: DataFrame, text: str, keys: list[str], limit: int) -> DataFrame:
-    """The best units by fused rank; ties by vector rank, then keys."""
-    fused = fuse(vector_rank(units, query, keys, over_fetch(limit)), text_rank(units, text, keys, over_fetch(limit)), keys)
-    order = [F.desc("score"), F.asc_nulls_last("vector_rank"), *map(F.col, keys)]
-    return fused.orderBy(*order).limit(limit)
+def ranked_hits(rows: DataFrame, query: DataFrame | Iterable[float], text: str | None, keys: list[str], limit: int) -> DataFrame:
+    """keys, vector_rank, text_rank and score of the best `limit` rows; without a text the vector's ranking alone.
 
+    Ties go by vector rank, rows without one last, then by keys."""
+    by_vector = vector_rank(rows, query, keys, over_fetch(limit))
+    if text and text.strip():
+        fused = fuse(by_vector, text_rank(rows, text, keys, over_fetch(limit)), keys)
+    else:
+        fused = by_vector.select(*keys, "vector_rank", F.lit(None).cast("long").alias("text_rank"), (1.0 / (RRF_K + F.col("vector_rank"))).alias("score"))
+    return fused.orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *keys).limit(limit)
 
-def moments(hits: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
-    """Hits (video_id, chunk_id, sampler_id, rank) as chunks: the best score of a chunk and half of its second."""
-    w = Window.partitionBy("video_id", "chunk_id").orderBy("rank", "sampler_id")
-    s = hits.withColumn("s", 1.0 / (k + F.col("rank"))).withColumn("place", F.row_number().over(w))
-    g = s.groupBy("video_id", "chunk_id").agg(
-        (F.max(F.when(F.col("place") == 1, F.col("s"))) + SECOND * F.coalesce(F.max(F.when(F.col("place") == 2, F.col("s"))), F.lit(0.0))).alias("score"), F.count("*").alias("hits")
-    )
-    return g.orderBy(F.desc("score"), "video_id", "chunk_id").limit(limit)
 
+def with_content(hits: DataFrame, rows: DataFrame, keys: list[str], columns: Iterable[str]) -> DataFrame:
+    """hits with columns of the rows that they stand for; those that rows don't have are left out."""
+    own = [c for c in columns if c in rows.columns and c not in keys]
+    return hits.join(rows.select(*keys, *own), keys)
 
-UNIT = ["video_id", "chunk_id", "sampler_id"]
 
+def hybrid(units: DataFrame, query: DataFrame | Iterable[float], text: str, keys: list[str], limit: int) -> DataFrame:
+    """The best units by fused rank."""
+    return ranked_hits(units, query, text, keys, limit)
 
-def search(units: DataFrame, query: DataFrame, request: SearchRequest, text: str = "", grid: DataFrame | None = None) -> DataFrame:
-    """Moments that answer a query: one lazy plan."""
-    found = candidates(units, request)
-    if request.mode == "dense":
-        hits = vector_rank(found, query, UNIT, over_fetch(request.candidates)).withColumnRenamed("vector_rank", "rank")
-    else:
-        best = hybrid(found, query, text, UNIT, over_fetch(request.candidates))
-        hits = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT)))
+
+def hybrid_search(units: DataFrame, grids: DataFrame, query: DataFrame | Iterable[float], text: str | None, request: SearchRequest) -> DataFrame:
+    """The best units with their content and their chunk's times: request.limit rows."""
+    found = candidates(units, request, grids)
+    hits = with_content(ranked_hits(found, query, text, UNIT, request.limit), found, UNIT, ("sampler", "question", "content", "structured"))
+    return hits.join(grids.select("video_id", "chunk_id", "start_ts", "end_ts"), ["video_id", "chunk_id"], "left").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT)
+
+
+def moments(hits: DataFrame, limit: int) -> DataFrame:
+    """Hits (video_id, chunk_id, sampler_id, score, vector_rank) as chunks, by the hits' places in one ranking: the best
+    place of a chunk, and half of its second."""
+    order = [F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT]
+    place = F.row_number().over(Window.partitionBy("video_id", "chunk_id").orderBy("rank"))
+    s = hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("place", place)  # a few dozen rows
+    part = lambda n: F.max(F.when(F.col("place") == n, 1.0 / (MOMENT_K + F.col("rank"))))
+    g = s.groupBy("video_id", "chunk_id").agg((part(1) + SECOND * F.coalesce(part(2), F.lit(0.0))).alias("score"), F.count("*").alias("hits"))
+    return g.orderBy(F.desc("score"), "video_id", "chunk_id").limit(limit)
+
+
+def search(units: DataFrame, query: DataFrame | Iterable[float], request: SearchRequest, text: str = "", grid: DataFrame | None = None, visual: tuple[DataFrame, Iterable[float]] | None = None) -> DataFrame:
+    """Moments that answer a query: one lazy plan.
+
+    visual: units of another vector space, such as frames, and the query in that space.  Each space is then ranked for
+    itself and its hits are scored by their places, as scores of two spaces aren't on one scale."""
+    hits = ranked_hits(candidates(units, request, grid), query, text if request.mode == "hybrid" else None, UNIT, request.candidates)
+    if visual is not None:
+        seen = ranked_hits(candidates(visual[0], request, grid), visual[1], None, UNIT, request.candidates)
+        order = [F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT]
+        both = hits.withColumn("space", F.lit(0)).unionByName(seen.withColumn("space", F.lit(1)))
+        hits = both.withColumn("score", 1.0 / (RRF_K + F.row_number().over(Window.partitionBy("space").orderBy(*order)))).drop("space")
     out = moments(hits, request.limit)
     if grid is not None:
         out = out.join(grid.select("video_id", "chunk_id", "start_ts", "end_ts"), ["video_id", "chunk_id"], "left")
     return out
 
 
-def search_observations(observations: DataFrame, query: DataFrame, limit: int = 10, after=None, before=None, since=None, until=None) -> DataFrame:
-    """Nearest observations inside half-open windows of media time and of arrival."""
-    out = observations
+def search_observations(
+    observations: DataFrame, query: DataFrame | Iterable[float], limit: int = 10, after=None, before=None, since=None, until=None, text: str | None = None,
+    embedder: str | None = None, video_id: str | Iterable[str] | None = None, sampler_id: str | None = None, question: str | None = None, sampler: str | None = None, structured: dict[str, str] | None = None,
+) -> DataFrame:
+    """Live answers, best first, with their content, inside half-open windows of media time and of arrival.
+
+    since and until are dates or ISO 8601 (without a zone: UTC) where seen_at is text, else values of its own kind."""
+    if limit < 1:
+        raise Refused("a limit is at least 1")
+    if dict(observations.dtypes).get("seen_at") == "string":
+        since, until = times.stamp(since, "since"), times.stamp(until, "until")
+    out = _equal(observations, embedder=embedder, sampler_id=sampler_id, question=question, sampler=sampler)
+    if scope := scope_of(video_id):
+        out = out.filter(F.col("video_id").isin(*scope))
     for column, low, high in (("media_ts", after, before), ("seen_at", since, until)):
-        if low is not None and high is not None and low > high:
+        if low is not None and high is not None and low >= high:
             raise Refused("a window ends after it begins")
         if low is not None:
             out = out.filter(F.col(column) >= F.lit(low))
         if high is not None:
             out = out.filter(F.col(column) < F.lit(high))
-    return vector_rank(out, query, ["video_id", "sampler_id", "frame_index"], limit)
+    if structured:
+        out = out.filter(structured_matches(F.col("structured"), structured))
+    hits = ranked_hits(out, query, text, SEEN, limit)
+    return with_content(hits, out, SEEN, ("chunk_id", "sampler", "question", "media_ts", "frames", "description", "structured", "seen_at"))
+
+
+def search_aggregates(
+    units: DataFrame, sources: DataFrame, items: DataFrame, query: DataFrame | Iterable[float], text: str | None = None, level: str = "source", limit: int = 5,
+    embedder: str | None = None, source_ids: str | Iterable[str] | None = None,
+) -> DataFrame:
+    """Summaries (level source), chapters (span) or entities (entity) that answer a query, best first, with the label
+    of their item and the recordings of their source."""
+    if level not in LEVELS:
+        raise UnknownOption("level", level, LEVELS)
+    if limit < 1:
+        raise Refused("a limit is at least 1")
+    found = _equal(units, embedder=embedder, level=level)
+    if scope := scope_of(source_ids):
+        found = found.filter(F.col("source_id").isin(*scope))
+    hits = with_content(ranked_hits(found, query, text, ITEM, limit), found, ITEM, ("level", "content", "start_ts", "end_ts"))
+    out = hits.join(sources.select("source_id", "video_ids"), "source_id").join(items.select(*ITEM, "label"), ITEM, "left")
+    return out.orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *ITEM)
 
 
 def spaces(hits: DataFrame, space: str = "embedder", k: int = RRF_K) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.errors import Refused
 from momentlake.functions import vectors as V
 
 
@@ -26,49 +29,52 @@ def depths(gaps: DataFrame, by: str = "video_id", order: str = "position", value
     d = d.withColumn("up", F.sum(F.when(F.col(value) > F.col("p"), 1).otherwise(0)).over(run)).withColumn("down", F.sum(F.when(F.col(value) < F.col("p"), 1).otherwise(0)).over(run))
     left = F.first(value).over(Window.partitionBy(by, "up").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     right = F.last(value).over(Window.partitionBy(by, "down").orderBy(order).rowsBetween(0, Window.unboundedFollowing))
-    return d.select(by, order, value, (left + right - 2 * F.col(value)).alias("depth"))
+    return d.select(by, order, value, ((left - F.col(value)) + (right - F.col(value))).alias("depth"))
 
 
 def boundaries(deep: DataFrame, by: str = "video_id", order: str = "position", value: str = "similarity") -> DataFrame:
-    """Gaps that are local minima and at least as deep as the mean depth less half of its deviation."""
+    """Valleys (no higher than their neighbours, under at least one peak) at least as deep as the valleys' mean depth
+    less half of its deviation."""
     w = Window.partitionBy(by).orderBy(order)
     local = (F.coalesce(F.lag(value).over(w), F.col(value)) >= F.col(value)) & (F.coalesce(F.lead(value).over(w), F.col(value)) >= F.col(value))
+    valleys = deep.withColumn("valley", local & (F.col("depth") > 0)).filter("valley")
     p = Window.partitionBy(by)
     bar = F.avg("depth").over(p) - F.stddev_pop("depth").over(p) / 2
-    return deep.withColumn("local", local).withColumn("bar", bar).filter(F.col("local") & (F.col("depth") >= F.col("bar"))).select(by, order, "depth")
+    return valleys.withColumn("bar", bar).filter(F.col("depth") >= F.col("bar")).select(by, order, "depth")
 
 
-def merge_segments(lengths: list[float], likeness: list[float], shortest: float, most: int) -> list[int]:
+def merge_segments(seconds: list[float], sums: np.ndarray, rows: list[int], shortest: float = 0.0, most: int | None = None) -> list[int]:
     """Segments by number after merging: one shorter than `shortest` joins its more alike neighbour (the left of
     equals), the shortest first; then the most alike neighbours merge until at most `most` are left.
 
-    likeness[i]: how alike segments i and i + 1 are.  Returns the number of the new segment of each old one."""
-    size, alike = list(lengths), list(likeness)
+    sums, rows: of each segment the sum of its rows' unit vectors and their number, so that the centre of a merged
+    segment is that of all its rows.  Returns the number of the new segment of each old one."""
+    if most is not None and most < 1:
+        raise Refused("at least one segment is left")
+    size, total, count = list(seconds), [np.asarray(v, float) for v in sums], list(rows)
     members = [[i] for i in range(len(size))]
 
-    def merge(i: int) -> None:  # i with i + 1
-        size[i] += size.pop(i + 1)
-        members[i] += members.pop(i + 1)
-        alike.pop(i)
+    def alike(i: int) -> float:  # i and i + 1
+        a, b = total[i] / count[i], total[i + 1] / count[i + 1]
+        return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12))
+
+    def merge(i: int) -> None:
+        for held in (size, total, count, members):
+            held[i] = held[i] + held.pop(i + 1)
 
     while len(size) > 1 and min(size) < shortest:
         i = size.index(min(size))
-        if i == 0:
-            merge(0)
-        elif i == len(size) - 1 or alike[i - 1] >= alike[i]:
-            merge(i - 1)
-        else:
-            merge(i)
-    while len(size) > max(1, most):
-        merge(int(np.argmax(alike)))
-    out = [0] * len(lengths)
+        merge(0 if i == 0 else i - 1 if i == len(size) - 1 or alike(i - 1) >= alike(i) else i)
+    while most is not None and len(size) > most:
+        merge(max(range(len(size) - 1), key=alike))
+    out = [0] * len(seconds)
     for k, own in enumerate(members):
         for i in own:
             out[i] = k
     return out
 
 
-def segment(rows: DataFrame, shortest: float = 60.0, most: int = 12) -> DataFrame:
+def segment(rows: DataFrame, shortest: float = 30.0, most: int | None = None) -> DataFrame:
     """video_id, position, segment.  rows: video_id, position, seconds, vector.
 
     Gaps, depths and boundaries are windows; only the merges, over the few segments of one video, run in Python."""
@@ -76,18 +82,45 @@ def segment(rows: DataFrame, shortest: float = 60.0, most: int = 12) -> DataFram
     w = Window.partitionBy("video_id").orderBy("position")
     s = rows.join(cuts, ["video_id", "position"], "left")
     s = s.withColumn("raw", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    flat = s.select("video_id", "raw", "seconds", F.posexplode(V.unit(F.col("vector"))).alias("d", "x"))
-    means = flat.groupBy("video_id", "raw", "d").agg(F.avg("x").alias("x")).groupBy("video_id", "raw").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m"))
-    sizes = s.groupBy("video_id", "raw").agg(F.sum("seconds").alias("seconds"))
-    per = means.join(sizes, ["video_id", "raw"]).select("video_id", "raw", "seconds", F.transform("m", lambda e: e["x"]).alias("mean"))
+    flat = s.select("video_id", "raw", F.posexplode(V.unit(F.col("vector"))).alias("d", "x"))
+    sums = flat.groupBy("video_id", "raw", "d").agg(F.sum("x").alias("x")).groupBy("video_id", "raw").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m"))
+    sizes = s.groupBy("video_id", "raw").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("rows"))
+    per = sums.join(sizes, ["video_id", "raw"]).select("video_id", "raw", "seconds", "rows", F.transform("m", lambda e: e["x"]).alias("sum"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("raw").reset_index(drop=True)
-        m = np.array(pdf["mean"].tolist())
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        alike = (m[:-1] * m[1:]).sum(1).tolist()
-        pdf["segment"] = merge_segments(pdf["seconds"].tolist(), alike, shortest, most)
+        pdf["segment"] = merge_segments(pdf["seconds"].tolist(), np.array(pdf["sum"].tolist()), pdf["rows"].tolist(), shortest, most)
         return pdf[["video_id", "raw", "segment"]]
 
     final = per.groupBy("video_id").applyInPandas(run, "video_id string, raw long, segment long")
     return s.join(final, ["video_id", "raw"]).select("video_id", "position", "segment")
+
+
+def chunks_of(starts: DataFrame, grid: DataFrame) -> DataFrame:
+    """grid with the segment of every chunk: a segment goes on to the chunk before the next one's first, the first
+    begins at the grid's start.  starts: video_id, segment, chunk_id (its first row's chunk)."""
+    w = Window.partitionBy("video_id").orderBy("chunk_id")
+    first = starts.groupBy("video_id", "segment").agg(F.min("chunk_id").alias("chunk_id"))
+    g = grid.join(first, ["video_id", "chunk_id"], "left")
+    held = F.last("segment", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    g = g.withColumn("segment", F.coalesce(held, F.min("segment").over(Window.partitionBy("video_id"))))
+    return g.filter("segment IS NOT NULL").select("video_id", "chunk_id", "start_ts", "end_ts", "segment")
+
+
+def chapters(rows: DataFrame, grid: DataFrame, shortest: float = 30.0, most: int | None = None, name: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row a span: video_id, segment, chunk_ids, start_ts, end_ts, count (the video's spans), covers_all, uncovered,
+    and what `name` adds.
+
+    rows: video_id, chunk_id, position, seconds, vector and, for names, text.  name: (video_id, segment, count, texts)
+    -> (video_id, segment, fields ...), a DataFrame step behind which a model may be."""
+    found = rows.join(segment(rows, shortest, most), ["video_id", "position"])
+    placed = chunks_of(found.select("video_id", "segment", "chunk_id"), grid)
+    spans = placed.groupBy("video_id", "segment").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"), F.round(F.min("start_ts"), 3).alias("start_ts"), F.round(F.max("end_ts"), 3).alias("end_ts"))
+    missing = grid.join(placed.select("video_id", "chunk_id"), ["video_id", "chunk_id"], "left_anti").groupBy("video_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("uncovered"))
+    spans = spans.withColumn("count", F.count("*").over(Window.partitionBy("video_id"))).join(missing, "video_id", "left")
+    spans = spans.withColumn("uncovered", F.coalesce("uncovered", F.array().cast("array<bigint>"))).withColumn("covers_all", F.size("uncovered") == 0)
+    if name is None:
+        return spans
+    texts = found.groupBy("video_id", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda e: e["text"]).alias("texts"))
+    counted = texts.join(spans.select("video_id", "segment", "count"), ["video_id", "segment"])
+    return spans.join(name(counted), ["video_id", "segment"], "left")

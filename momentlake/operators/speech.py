@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.operators.grid import with_chunk
+from momentlake.operators.grid import _by_bucket, with_chunk
 
 
 def midpoint():
@@ -34,11 +34,14 @@ def speech_spans(turns: DataFrame, segments: DataFrame) -> DataFrame:
     return turns.select("video_id", "start", "end").unionByName(segments.join(has, "video_id", "left_anti").select("video_id", "start", "end"))
 
 
-def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """words with the speaker of the first turn, in list order, that holds their middle; null if none does."""
-    t = turns.select(F.col("video_id").alias("tv"), F.col("position").alias("turn"), F.col("speaker"), F.col("start").alias("ts"), F.col("end").alias("te"))
-    mid = midpoint()
-    j = words.join(t, (F.col("video_id") == F.col("tv")) & (mid >= F.col("ts")) & (mid <= F.col("te")), "left")
+def word_speakers(words: DataFrame, turns: DataFrame, bucket_s: float | None = None) -> DataFrame:
+    """words with the speaker of the first turn, in list order, that holds their middle; null if none does.
+
+    bucket_s: seconds of a bucket of time, about a turn's length, as one more key of the join."""
+    t = turns.select(F.col("video_id").alias("tv"), F.col("position").alias("turn"), F.col("speaker"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    w, t, more = _by_bucket(words.withColumn("__mid", midpoint()), t, "__mid", bucket_s)
+    holds = (F.col("video_id") == F.col("tv")) & (F.col("__mid") >= F.col("__s")) & (F.col("__mid") <= F.col("__e"))
+    j = w.join(t, (F.col("__b") == F.col("__c")) & holds if more else holds, "left")
     keys = ["video_id", "position", "word_position"]
     return j.groupBy(*keys).agg(F.first("text").alias("text"), F.first("start").alias("start"), F.first("end").alias("end"), F.min_by("speaker", "turn").alias("speaker"))
 
@@ -62,9 +65,9 @@ def islands(words: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return g.select(*by, (F.col("island") - 1).alias("turn"), "speaker", "start", F.element_at("items", -1)["end"].alias("end"), F.trim(F.array_join(F.transform("items", lambda i: i["text"]), "")).alias("text"))
 
 
-def transcript_chunks(words: DataFrame, grid: DataFrame) -> DataFrame:
+def transcript_chunks(words: DataFrame, grid: DataFrame, bucket_s: float | None = None) -> DataFrame:
     """The transcript on a grid: every chunk with its text and word_count, silent ones too."""
-    placed = with_chunk(words.withColumn("mid", midpoint()), grid, "mid")
+    placed = with_chunk(words.withColumn("mid", midpoint()), grid, "mid", bucket_s=bucket_s)
     said = placed.groupBy("video_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", "position", "word_position", "text"))).alias("w"))
     said = said.select("video_id", "chunk_id", F.trim(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("text"), F.size("w").cast("long").alias("word_count"))
     out = grid.join(said, ["video_id", "chunk_id"], "left")
@@ -76,3 +79,21 @@ def transcript_stats(words: DataFrame, grid: DataFrame) -> DataFrame:
     total = words.groupBy("video_id").agg(F.count("*").alias("words_in_transcript"))
     out = chunks.join(total, "video_id", "left").withColumn("words_in_transcript", F.coalesce("words_in_transcript", F.lit(0).cast("long")))
     return out.withColumn("words_outside_grid", F.col("words_in_transcript") - F.col("words"))
+
+
+def chunk_turns(words: DataFrame, grid: DataFrame, bucket_s: float | None = None) -> DataFrame:
+    """video_id, chunk_id, turn, speaker, start, end and text: the turns of each chunk's own words, times rounded to
+    milliseconds.  words: video_id, position, word_position, text, start, end, speaker."""
+    placed = with_chunk(words.withColumn("mid", midpoint()), grid, "mid", bucket_s=bucket_s)
+    t = islands(placed, ["video_id", "chunk_id"], ["start", "position", "word_position"])
+    return t.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3))
+
+
+def raw_transcript_stats(words: DataFrame, segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """Per video: segments, words, words with a speaker, turns, speakers, and the seconds of all turns."""
+    w = words.groupBy("video_id").agg(F.count("*").alias("words"), F.count("speaker").alias("attributed"))
+    s = segments.groupBy("video_id").agg(F.count("*").alias("segments"))
+    t = turns.groupBy("video_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("speech_s"))
+    out = s.join(w, "video_id", "full_outer").join(t, "video_id", "full_outer")
+    zero = {c: 0 for c in ("segments", "words", "attributed", "turns", "speakers")} | {"speech_s": 0.0}
+    return out.fillna(zero)

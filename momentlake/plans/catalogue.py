@@ -51,7 +51,7 @@ PLACED = f"""{FG}, placed AS (SELECT f.*, g.chunk_id FROM frames f JOIN (SELECT
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     f = X.frames(spark, d)
-    return grid.with_chunk(f, _grid(f), "media_ts")
+    return grid.with_chunk(f, _grid(f), "media_ts", bucket_s=X.CHUNK_S)
 
 
 # -- search
@@ -68,7 +68,7 @@ def vector_topk(spark, d):
     return out.withColumn("similarity", F.round("similarity", 5))
 
 
-MOMENTS = """, placed AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS s, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY rank, sampler_id) AS place FROM ranked WHERE rank <= 80)
+MOMENTS = """, placed AS (SELECT *, 1.0::DOUBLE / (10 + rank) AS s, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY rank) AS place FROM ranked WHERE rank <= 20)
 SELECT video_id, chunk_id, max(s) FILTER (place = 1) + 0.5 * coalesce(max(s) FILTER (place = 2), 0) AS score, count(*) AS hits FROM placed
 GROUP BY video_id, chunk_id ORDER BY score DESC, video_id, chunk_id LIMIT 5"""
 
@@ -136,18 +136,33 @@ def hybrid_rrf(spark, d):
 def _observations(spark, d):
     e = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     f = X.frames(spark, d).withColumn("slot", F.col("event_id") % e.select(F.max("vec_id") + 1).scalar())  # every vector has its events
-    return f.join(e, F.col("slot") == F.col("vec_id")).select("video_id", F.col("sampler").alias("sampler_id"), "frame_index", "media_ts", F.col("pts").alias("seen_at"), "vector", "score")
+    content = F.concat_ws(" ", "sampler", "structured")
+    return f.join(e, F.col("slot") == F.col("vec_id")).select("video_id", F.col("sampler").alias("sampler_id"), "frame_index", "media_ts", F.col("pts").alias("seen_at"), content.alias("content"), "vector", "structured")
+
+
+SEEN = f"""WITH {X.FRAMES}, o AS (SELECT video_id, sampler AS sampler_id, frame_index, media_ts, structured, sampler || ' ' || structured AS content, embedding AS vector
+  FROM frames JOIN embeddings ON event_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT *, list_dot_product(vector::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS similarity FROM o, q),
+byv AS (SELECT video_id, frame_index, sampler_id, row_number() OVER (ORDER BY similarity DESC, video_id, frame_index, sampler_id) AS vector_rank FROM near WHERE media_ts >= 1000 AND media_ts < 200000 QUALIFY vector_rank <= 40)"""
+
+
+@query(f"{SEEN} SELECT *, 1.0::DOUBLE / (60 + vector_rank) AS score FROM byv WHERE vector_rank <= 10")
+def search_observations(spark, d):
+    found = search.search_observations(_observations(spark, d), X.query_vector(spark, d), 10, after=1000.0, before=200_000.0)
+    return found.select(*search.SEEN, "vector_rank", "score")
 
 
 @query(
-    f"""WITH {X.FRAMES}, o AS (SELECT video_id, sampler AS sampler_id, frame_index, media_ts, embedding AS vector FROM frames JOIN embeddings ON event_id % 500 = vec_id),
-q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
-SELECT video_id, sampler_id, frame_index, round(list_dot_product(vector::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 5) AS similarity,
-row_number() OVER (ORDER BY list_dot_product(vector::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) DESC, video_id, sampler_id, frame_index) AS vector_rank
-FROM o, q WHERE media_ts >= 1000 AND media_ts < 200000 QUALIFY vector_rank <= 10"""
+    f"""{SEEN}, w AS (SELECT *, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})) AS w FROM o WHERE media_ts >= 1000 AND media_ts < 200000),
+h AS (SELECT video_id, frame_index, sampler_id, len(list_filter(w, lambda x: x IN ('purchase', 'k', '7'))) AS tf FROM w WHERE len(list_intersect(w, ['purchase', 'k', '7'])) >= 2),
+byt AS (SELECT video_id, frame_index, sampler_id, row_number() OVER (ORDER BY tf DESC, video_id, frame_index, sampler_id) AS text_rank FROM h QUALIFY text_rank <= 40)
+SELECT video_id, frame_index, sampler_id, vector_rank, text_rank, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + text_rank), 0) AS score
+FROM byv FULL JOIN byt USING (video_id, frame_index, sampler_id) ORDER BY score DESC, vector_rank NULLS LAST, video_id, frame_index, sampler_id LIMIT 10"""
 )
-def search_observations(spark, d):
-    return search.search_observations(_observations(spark, d), X.query_vector(spark, d), 10, after=1000.0, before=200_000.0).withColumn("similarity", F.round("similarity", 5))
+def search_observations_text(spark, d):
+    found = search.search_observations(_observations(spark, d), X.query_vector(spark, d), 10, after=1000.0, before=200_000.0, text="purchase k 7")
+    return found.select(*search.SEEN, "vector_rank", "text_rank", "score")
 
 
 @query(
@@ -219,7 +234,7 @@ def chunk_counts(spark, d):
 @query(f"{FG} SELECT video_id, event_id, greatest(0, least(floor((media_ts - 50000) / {X.CHUNK_S})::BIGINT, (SELECT max(chunk_id) FROM grid g WHERE g.video_id = f.video_id))) AS chunk_id FROM frames f")
 def chunk_nearest(spark, d):
     f = X.frames(spark, d)
-    return grid.nearest_chunk(f.withColumn("at", F.col("media_ts") - 50_000), _grid(f), "at").select("video_id", "event_id", "chunk_id")
+    return grid.nearest_chunk(f.withColumn("at", F.col("media_ts") - 50_000), _grid(f), "at", X.CHUNK_S).select("video_id", "event_id", "chunk_id")
 
 
 @query(
@@ -351,7 +366,7 @@ ws AS (SELECT video_id, position, word_position, first(text) AS text, first(star
 
 @query(f"{WORD_SPEAKER} SELECT * FROM ws")
 def word_speaker(spark, d):
-    return speech.word_speakers(X.words(spark, d), X.turns(spark, d))
+    return speech.word_speakers(X.words(spark, d), X.turns(spark, d), X.TURN_CHUNK)
 
 
 @query(
@@ -359,7 +374,7 @@ def word_speaker(spark, d):
 SELECT video_id, position, speaker, held FROM h QUALIFY row_number() OVER (PARTITION BY video_id, position ORDER BY held DESC, f) = 1"""
 )
 def segment_speaker(spark, d):
-    return speech.segment_speakers(speech.word_speakers(X.words(spark, d), X.turns(spark, d)), ["video_id", "position"])
+    return speech.segment_speakers(speech.word_speakers(X.words(spark, d), X.turns(spark, d), X.TURN_CHUNK), ["video_id", "position"])
 
 
 @query(
@@ -374,7 +389,7 @@ def speaker_turns(spark, d):
 @query(f"{TG} SELECT * FROM spoken")
 def cut_words(spark, d):
     t = X.turns(spark, d)
-    return speech.transcript_chunks(X.words(spark, d), _turn_grid(t))
+    return speech.transcript_chunks(X.words(spark, d), _turn_grid(t), X.TURN_CHUNK)
 
 
 @query(
@@ -425,7 +440,7 @@ def coverage(spark, d):
     t = X.turns(spark, d)
     g = _turn_grid(t)
     answered = t.filter("speaker = 'assistant'").select("video_id", F.floor(F.col("start") / X.TURN_CHUNK).cast("long").alias("chunk_id"), F.col("speaker").alias("sampler"))
-    return aggregates.coverage(g, answered, speech.transcript_chunks(X.words(spark, d), g))
+    return aggregates.coverage(g, answered, speech.transcript_chunks(X.words(spark, d), g, X.TURN_CHUNK))
 
 
 @query(
@@ -487,7 +502,7 @@ def stub_summary(spark, d):
 
 PAIRS = f"""WITH {X.MENTIONS}, pairs AS (SELECT a.video_id, a.mention AS i, b.mention AS j, a.chunk_id AS chunk_id_i, b.chunk_id AS chunk_id_j, a.chunk_id = b.chunk_id AS different,
 list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_dot_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))) AS similarity
-FROM mentions a JOIN mentions b ON a.video_id = b.video_id AND a.mention < b.mention), bars AS (SELECT video_id, quantile_cont(similarity, 0.95) AS bar FROM pairs WHERE different GROUP BY video_id)"""
+FROM mentions a JOIN mentions b ON a.video_id = b.video_id AND a.mention < b.mention), bars AS (SELECT video_id, quantile_cont(similarity, 0.95) AS bar, count(*) AS calibration_pairs FROM pairs WHERE different GROUP BY video_id)"""
 
 
 def _pairs(spark, d):
@@ -499,7 +514,7 @@ def pair_scores(spark, d):
     return _pairs(spark, d).select("video_id", "i", "j", "different", F.round("similarity", 5).alias("similarity"))
 
 
-@query(f"{PAIRS} SELECT video_id, round(bar, 5) AS bar FROM bars")
+@query(f"{PAIRS} SELECT video_id, round(bar, 5) AS bar, calibration_pairs FROM bars")
 def calibrated_threshold(spark, d):
     return linking.threshold(_pairs(spark, d), ["video_id"], 0.95).withColumn("bar", F.round("bar", 5))
 
@@ -540,15 +555,17 @@ def together(spark, d):
 
 
 @query(
-    f"""{PLACED}, l AS (SELECT video_id, sampler AS grp, chunk_id, arg_max(structured, (length(structured), structured)) AS signature FROM placed GROUP BY video_id, sampler, chunk_id),
-g AS (SELECT video_id, grp AS "group", arg_max(signature, (length(signature), signature)) AS label, count(*) AS appearances, min(start_ts) AS start_ts, max(end_ts) AS end_ts, round(sum(end_ts - start_ts), 3) AS observed_s FROM l JOIN grid USING (video_id, chunk_id) GROUP BY video_id, grp)
-SELECT *, 'e' || lpad(row_number() OVER (PARTITION BY video_id ORDER BY appearances DESC, start_ts, "group")::VARCHAR, 3, '0') AS entity_id FROM g"""
+    f"""{PLACED}, l AS (SELECT DISTINCT video_id, sampler AS grp, chunk_id FROM placed),
+n AS (SELECT video_id, sampler AS grp, first(structured ORDER BY length(structured) DESC, chunk_id, structured) AS label FROM placed GROUP BY ALL),
+g AS (SELECT video_id, grp, count(*) AS appearances, min(start_ts) AS start_ts, max(end_ts) AS end_ts, round(sum(end_ts - start_ts), 3) AS observed_s, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids FROM l JOIN grid USING (video_id, chunk_id) GROUP BY video_id, grp)
+SELECT video_id, grp AS "group", label, appearances, chunk_ids, start_ts, end_ts, observed_s, 'e' || lpad((row_number() OVER (PARTITION BY video_id ORDER BY appearances DESC, start_ts, grp) - 1)::VARCHAR, 3, '0') AS entity_id FROM g JOIN n USING (video_id, grp)"""
 )
 def entity_summary(spark, d):
     f = X.frames(spark, d)
     g = _grid(f)
-    m = grid.with_chunk(f, g, "media_ts").select("video_id", "chunk_id", F.col("sampler").alias("group"), F.col("structured").alias("signature"))
-    return aggregates.entity_summary(m, g).withColumn("observed_s", F.round("observed_s", 3))
+    m = grid.with_chunk(f, g, "media_ts", bucket_s=X.CHUNK_S).select("video_id", "chunk_id", F.col("sampler").alias("group"), F.col("structured").alias("signature"))
+    out = aggregates.entity_summary(m, g).withColumn("observed_s", F.round("observed_s", 3))
+    return out.withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ","))
 
 
 # -- segments
@@ -572,7 +589,7 @@ def gap_similarity(spark, d):
 DEEP = f"""WITH {X.FRAMES}, a AS (SELECT *, lag(score) OVER (PARTITION BY video_id ORDER BY frame_index) AS p FROM frames),
 b AS (SELECT *, sum(CASE WHEN score > p THEN 1 ELSE 0 END) OVER w AS up, sum(CASE WHEN score < p THEN 1 ELSE 0 END) OVER w AS down FROM a WINDOW w AS (PARTITION BY video_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, first(score) OVER (PARTITION BY video_id, up ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS l, last(score) OVER (PARTITION BY video_id, down ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM b),
-deep AS (SELECT video_id, frame_index, score, l + r - 2 * score AS depth FROM c)"""
+deep AS (SELECT video_id, frame_index, score, (l - score) + (r - score) AS depth FROM c)"""
 
 
 @query(f"{DEEP} SELECT video_id, frame_index, score, round(depth, 6) AS depth FROM deep")
@@ -581,8 +598,8 @@ def valley_depths(spark, d):
 
 
 @query(
-    f"""{DEEP}, k AS (SELECT *, coalesce(lag(score) OVER o, score) >= score AND coalesce(lead(score) OVER o, score) >= score AS local, avg(depth) OVER p - stddev_pop(depth) OVER p / 2 AS bar FROM deep
-WINDOW o AS (PARTITION BY video_id ORDER BY frame_index), p AS (PARTITION BY video_id)) SELECT video_id, frame_index FROM k WHERE local AND depth >= bar"""
+    f"""{DEEP}, k AS (SELECT *, coalesce(lag(score) OVER o, score) >= score AND coalesce(lead(score) OVER o, score) >= score AS local FROM deep WINDOW o AS (PARTITION BY video_id ORDER BY frame_index)),
+valleys AS (SELECT *, avg(depth) OVER p - stddev_pop(depth) OVER p / 2 AS bar FROM k WHERE local AND depth > 0 WINDOW p AS (PARTITION BY video_id)) SELECT video_id, frame_index FROM valleys WHERE depth >= bar"""
 )
 def segment_boundaries(spark, d):
     return segments.boundaries(segments.depths(X.frames(spark, d), order="frame_index", value="score"), order="frame_index", value="score").select("video_id", "frame_index")
@@ -649,7 +666,7 @@ def slugs(spark, d):
     return _docs(spark, d).select("doc_id", T.slug(F.col("content")).alias("slug"))
 
 
-@query("SELECT event_id, 'event ' || event_type || '. k: ' || (props->>'$.k') || ' | user: ' || user_id AS content FROM events")
+@query("SELECT event_id, 'event ' || event_type || '. k: ' || (props->>'$.k') || '. user: ' || user_id AS content FROM events")
 def rendered_units(spark, d):
     e = X.table(spark, d, "events")
     fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("none"), F.lit(" "))
@@ -753,9 +770,9 @@ def revenue_by_segment(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(spark, d):
-    c, o = X.table(spark, d, "customer"), X.table(spark, d, "orders")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def customers_without_large_orders(spark, d):
+    c, o = X.table(spark, d, "customer"), X.table(spark, d, "orders").filter("o_totalprice > 400000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -764,3 +781,5 @@ def pricing_summary(spark, d):
     return X.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"))
 
 
+# more queries register themselves in the same tables
+from momentlake.plans import catalogue_documents  # noqa: E402, F401

@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from momentlake.errors import MissingArtifact, Unsupported
+from momentlake.errors import EngineError, MissingArtifact, Unsupported
 from momentlake.operators.units import insert_absent, upsert
-from momentlake.sources.documents import exists
 
 #: Table -> key.  Rows of a table are replaced by key.
 TABLES = {
@@ -54,39 +54,146 @@ class Store:
 
 class ParquetStore(Store):
     """A folder of tables.  A write merges by key into a new version of the table, and the pointer to the current
-    version moves last, so that readers see the old or the new one whole."""
+    version moves last, by a rename, so that readers see the old or the new one whole.
+
+    Tables by recording or source are kept in partitions of BUCKETS buckets of that id: a merge reads and writes the
+    buckets that the new rows touch, and the new version refers to the others where they are."""
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.folder}/{table}/_current"
+    # -- the pointer: a file of one line a bucket (bucket, path); -1 marks a table that isn't bucketed
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _pointers(self, table: str) -> list[str]:
+        fs, p = self._fs(f"{self.folder}/{table}/pointer-*")
+        found = fs.globStatus(p)
+        return sorted(s.getPath().getName() for s in found or [])
 
-    def _current(self, table: str) -> str | None:
-        if not exists(self.spark, self._pointer(table)):
+    def _current(self, table: str) -> dict[int, str] | None:
+        names = self._pointers(table)
+        if not names:
             return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
+        # the newest pointer counts; older ones are deleted after it is in place
+        lines = self.spark.read.text(f"{self.folder}/{table}/{names[-1]}").collect()  # at most BUCKETS lines
+        return {int(k): at for k, _, at in (r[0].partition(" ") for r in lines if r[0])}
+
+    def _move(self, table: str, buckets: dict[int, str]) -> None:
+        old = self._pointers(table)
+        number = int(old[-1].rpartition("-")[2]) + 1 if old else 0
+        fs, tmp = self._fs(f"{self.folder}/{table}/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(tmp)
+        out.write(bytearray("\n".join(f"{k} {at}" for k, at in sorted(buckets.items())).encode()))
+        out.close()
+        if not fs.rename(tmp, self._fs(f"{self.folder}/{table}/pointer-{number:012d}")[1]):
+            fs.delete(tmp, False)
+            raise EngineError(f"another writer moved {table} meanwhile")
+        for name in old[:-1]:  # the one before stays for readers that have just looked
+            fs.delete(self._fs(f"{self.folder}/{table}/{name}")[1], False)
+
+    def vacuum(self, table: str) -> int:
+        """Delete what neither the current nor the previous state of a table refers to; how many folders went."""
+        used = set()
+        for name in self._pointers(table):
+            used |= {r[0].partition(" ")[2].partition("/")[0] for r in self.spark.read.text(f"{self.folder}/{table}/{name}").collect()}
+        fs, p = self._fs(f"{self.folder}/{table}/v-*")
+        gone = [s.getPath() for s in fs.globStatus(p) or [] if s.getPath().getName() not in used]
+        for at in gone:
+            fs.delete(at, True)
+        return len(gone)
+
+    @staticmethod
+    def _owner(table: str) -> str | None:
+        return TABLES[table][0] if TABLES[table][0] in ("video_id", "source_id") else None
+
+    def _bucketed(self, table: str, rows: DataFrame) -> DataFrame:
+        owner = self._owner(table)
+        return rows.withColumn("__bucket", F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(self.BUCKETS)).cast("int") if owner else F.lit(0))
+
+    def _read(self, table: str, buckets: dict[int, str]) -> DataFrame:
+        paths = [f"{self.folder}/{table}/{at}" for at in dict.fromkeys(buckets.values())]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
     def read(self, table: str) -> DataFrame:
-        at = self._current(table)
-        if at is None:
+        now = self._current(table)
+        if now is None:
             raise MissingArtifact(f"no rows of {table} in {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/{table}/{at}")
+        return self._read(table, now)
+
+    def _publish(self, table: str, rows: DataFrame, touched: list[int], now: dict[int, str]) -> None:
+        """rows, all of the touched buckets, as their new content."""
+        at = f"v-{uuid.uuid4().hex}"
+        self._bucketed(table, rows).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{table}/{at}")
+        fs, p = self._fs(f"{self.folder}/{table}/{at}/__bucket=*")
+        made = {int(s.getPath().getName().partition("=")[2]) for s in fs.globStatus(p) or []}
+        left = {k: x for k, x in now.items() if k not in touched}
+        if not made and not left:  # an empty table keeps its columns
+            rows.limit(0).write.parquet(f"{self.folder}/{table}/{at}/__bucket=0")
+            made = {0}
+        self._move(table, left | {k: f"{at}/__bucket={k}" for k in made})
+
+    def _staged(self, table: str, rows: DataFrame) -> tuple[DataFrame, list[int], str]:
+        """rows written once, so that a model behind them is asked once and a choice among repeated keys is one choice."""
+        at = f"{self.folder}/{table}/.staged-{uuid.uuid4().hex}"
+        self._bucketed(table, rows).write.parquet(at)
+        held = self.spark.read.parquet(at)
+        touched = [r[0] for r in held.select("__bucket").distinct().collect()]  # at most BUCKETS
+        return held.drop("__bucket"), touched, at
 
     def write(self, table: str, rows: DataFrame) -> None:
         keys = TABLES[table]
-        rows = rows.dropDuplicates(keys)
-        if self._current(table) is not None:
-            rows = insert_absent(self.read(table), rows, keys) if table in APPEND_ONLY else upsert(self.read(table), rows, keys)
-        self._publish(table, rows)
+        held, touched, at = self._staged(table, rows.dropDuplicates(keys))
+        now = self._current(table)
+        old = {k: x for k, x in (now or {}).items() if k in touched}
+        if old:
+            stored = self._read(table, old)
+            held = insert_absent(stored, held, keys) if table in APPEND_ONLY else upsert(stored, held, keys)
+        if touched or now is None:
+            self._publish(table, held, touched, now or {})
+        fs, p = self._fs(at)
+        fs.delete(p, True)
+
+    def replace(self, table: str, rows: DataFrame, scope: DataFrame, keys: list[str]) -> None:
+        """rows in place of all stored rows that have the keys of a row of scope (an answer, say), and of those of their own key."""
+        now = self._current(table) or {}
+        if now:
+            kept = self._read(table, now).join(scope.select(*keys).distinct(), keys, "left_anti")
+            rows = upsert(kept, rows.dropDuplicates(TABLES[table]), TABLES[table])
+        held, _, at = self._staged(table, rows.dropDuplicates(TABLES[table]))
+        self._publish(table, held, list(now), now)
+        fs, p = self._fs(at)
+        fs.delete(p, True)
 
     def delete_stale(self, table: str, keep: DataFrame, keys: list[str]) -> None:
-        self._publish(table, self.read(table).join(keep.select(*keys).distinct(), keys, "left_semi"))
-
-    def _publish(self, table: str, rows: DataFrame) -> None:
-        at = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.folder}/{table}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        now = self._current(table) or {}
+        self._publish(table, self.read(table).join(keep.select(*keys).distinct(), keys, "left_semi"), list(now), now)
+
+    def spans(self, video_id: str) -> DataFrame:
+        """The grid of a recording, in order."""
+        return self.read("chunks").filter(F.col("video_id") == video_id).select("chunk_id", "start_ts", "end_ts").orderBy("chunk_id")
+
+    def video_ids(self) -> DataFrame:
+        """Recordings that have something to search."""
+        return self.read("embeddings").select("video_id").distinct().orderBy("video_id")
+
+    def live_ids(self) -> DataFrame:
+        """Runs that have left observations."""
+        return self.read("observations").select("video_id").distinct().orderBy("video_id")
+
+    def declare(self, database: str | None = None) -> list[str]:
+        """The stored tables as views of the session, so that SQL finds them by name; the names."""
+        names = []
+        for table in TABLES:
+            if self._current(table) is not None:
+                name = f"{database}_{table}" if database else table
+                self.read(table).createOrReplaceTempView(name)
+                names.append(name)
+        return names
 
     def wipe(self) -> None:
         """Drop all tables, children first."""
