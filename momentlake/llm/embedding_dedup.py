@@ -4,10 +4,12 @@ Vectors of equal label and length are compared by cosine; for unit vectors a cos
 most eps = sqrt(2 - 2 c).  The unit vectors are projected on their leading principal directions, which never makes a
 distance longer, and put in epsilon grid order: sorted by the cells, of width eps, of those coordinates in turn.
 
-1. Equal vectors of one label become one class with a count, so a large group of copies is one point.
+1. Equal vectors of one label (by 128 bits of hash) become one class with a count, so a large group of copies is one
+   point; vectors themselves aren't joined with anything again.
 2. The order is cut into blocks of at most BLOCK classes, wherever the label changes or a block is full, each with the
    box of its coordinates.  Two blocks of a label are joined unless their boxes are further apart than eps in the
-   first coordinate (an equi-join on its cells) or in all (the distance of the boxes).
+   first two coordinates (an equi-join on their cells) or in all (the distance of the boxes).  A block meets its
+   neighbours in groups of GROUP, so that no block of a crowded label makes a task long, and is sent once a group.
 3. A pair of blocks is joined recursively: intervals whose boxes are provably too far apart are skipped, others are
    halved until they are small, and small ones are compared by exact cosines in double precision.
 
@@ -32,6 +34,8 @@ from momentlake.llm.components import components
 COSINE = 0.98
 DIRECTIONS = 8
 BLOCK, LEAF = 1024, 128
+#: Neighbours of a block that one group of a task compares with it.
+GROUP = 64
 MAX_FIT = 20_000
 #: So many lengths of vectors, the commonest, get directions of their own; others go by their first coordinates.
 FITTED = 1000
@@ -80,13 +84,15 @@ class _Union:
         return a != b
 
 
-def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float = COSINE, leaf: int = LEAF):
+def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float = COSINE, leaf: int = LEAF, compared: list | None = None):
     """Pairs (i, j) with cosine(x[i], y[j]) >= cosine, as two arrays; i < j if both sides are the same block.
 
-    px, py: the coordinates that the order goes by.  Yields one small piece after another."""
+    px, py: the coordinates that the order goes by.  Yields one small piece after another; compared gets how many cosines
+    were computed."""
     eps = np.sqrt(2 - 2 * cosine) + 1e-7
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     todo = [(0, len(x), 0, len(y))]
+    done = 0
     while todo:
         a, b, c, d = todo.pop()
         if same and a >= d:
@@ -95,6 +101,7 @@ def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, sa
         if gap @ gap > eps * eps:
             continue
         if b - a <= leaf and d - c <= leaf:
+            done += (b - a) * (d - c)
             hit = (x[a:b] @ y[c:d].T) / (nx[a:b, None] * ny[None, c:d]) >= cosine
             i, j = np.nonzero(hit)
             i, j = i + a, j + c
@@ -108,9 +115,11 @@ def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, sa
         else:
             m = (c + d) // 2
             todo += [(a, b, c, m), (a, b, m, d)]
+    if compared is not None:
+        compared.append(done)
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embedding", block: int = BLOCK, leaf: int = LEAF, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     ship(rows.sparkSession)
     spark = rows.sparkSession
@@ -119,7 +128,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
     src = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
     # -0.0 and 0.0 are one value
     src = src.withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0))))
-    classes = cut(src.filter("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    src = src.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
+    same = ["label", "h1", "h2"]
+    classes = cut(src.filter("good").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
     lengths = [r.d for r in classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(FITTED).collect()]
     turn = spark.sparkContext.broadcast({d: directions(classes, d) for d in lengths})
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -169,39 +180,52 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
             yield full(held, of)
 
     blocks = cut(ordered.mapInArrow(pack, "block long, label string, dims int, low array<double>, high array<double>, reps array<long>, counts array<long>, x binary, p binary"), "blocks")
-    # neighbours: blocks that share a cell of the first coordinate, widened by one on one side
+    # neighbours: blocks that share a cell of the first two coordinates, widened by one on one side
     box = blocks.select("block", "label", "dims", "low", "high")
-    cell = lambda c, by: F.floor((F.col(c)[0] + by) / eps).cast("int")
-    a = box.select(F.col("block").alias("a"), "label", "dims", F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.sequence(cell("low", -eps - 1e-7), cell("high", eps + 1e-7))).alias("cell"))
-    b = box.select(F.col("block").alias("b"), "label", "dims", F.col("low").alias("bl"), F.col("high").alias("bh"), F.explode(F.sequence(cell("low", 0.0), cell("high", 0.0))).alias("cell"))
+    cell = lambda c, k, by: F.floor((F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0.0)) + by) / eps).cast("int")
+    cells = lambda k, by: F.explode(F.sequence(cell("low", k, -by), cell("high", k, by)))
+    wide = eps + 1e-7
+    a = box.select(F.col("block").alias("a"), "label", "dims", F.col("low").alias("al"), F.col("high").alias("ah"), "low", "high").withColumn("c1", cells(1, wide)).withColumn("c2", cells(2, wide))
+    b = box.select(F.col("block").alias("b"), "label", "dims", F.col("low").alias("bl"), F.col("high").alias("bh"), "low", "high").withColumn("c1", cells(1, 0.0)).withColumn("c2", cells(2, 0.0))
+    a, b = a.drop("low", "high"), b.drop("low", "high")
     gap = F.aggregate(
         F.zip_with(F.zip_with("al", "bh", lambda x, y: x - y), F.zip_with("bl", "ah", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))),
         F.lit(0.0),
         lambda s, x: s + x * x,
     )
-    pairs = a.join(b, ["label", "dims", "cell"]).filter((F.col("a") <= F.col("b")) & (gap <= (eps + 1e-7) ** 2)).select("a", "b").distinct()
+    pairs = a.join(b, ["label", "dims", "c1", "c2"]).filter((F.col("a") < F.col("b")) & (gap <= wide**2)).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
+    pairs = cut(pairs, "pairs")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("k"))
     body = blocks.select("block", "dims", "reps", "counts", "x", "p")
-    left = body.select(F.col("block").alias("a"), "dims", F.col("reps").alias("ra"), F.col("counts").alias("ca"), F.col("x").alias("xa"), F.col("p").alias("pa"))
-    right = body.select(F.col("block").alias("b"), F.col("reps").alias("rb"), F.col("counts").alias("cb"), F.col("x").alias("xb"), F.col("p").alias("pb"))
-    work = pairs.join(left, "a").join(right, "b")
+    # a row for the block itself, b = -1, before those of its neighbours; group 0 also compares it with itself
+    own = body.join(groups.withColumnRenamed("a", "block"), "block", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    own = own.select(F.col("block").alias("a"), "salt", F.lit(-1).cast("long").alias("b"), "dims", "reps", "counts", "x", "p")
+    others = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).join(body.withColumnRenamed("block", "b"), "b").select(*own.columns)
+    work = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
 
     def compare(batches):
+        held = None
         for batch in batches:
-            for r in batch.to_pylist():
-                dims = r["dims"]
-                ra, rb, ca, cb = (np.array(r[k]) for k in ("ra", "rb", "ca", "cb"))
-                x, y = (np.frombuffer(r[k]).reshape(-1, dims) for k in ("xa", "xb"))
-                px, py = (np.frombuffer(r[k]).reshape(len(z), -1) for k, z in (("pa", x), ("pb", y)))
-                same = r["a"] == r["b"]
-                la, lb = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-                union, forest = _Union(len(x) + len(y)), []
-                for i, j in join_blocks(x, px, y, py, same, cosine):
-                    la += np.bincount(i, cb[j], len(x)).astype(np.int64)
-                    lb += np.bincount(j, ca[i], len(y)).astype(np.int64)
-                    shift = 0 if same else len(x)
-                    forest += [(int(ra[p]), int(rb[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True) if union.join(p, q + shift)]
-                rows = [(k, None, n) for k, n in zip(ra.tolist(), la.tolist(), strict=True) if n] + [(k, None, n) for k, n in zip(rb.tolist(), lb.tolist(), strict=True) if n]
-                rows += [(p, q, 0) for p, q in forest]
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                reps, counts = np.array(r["reps"]), np.array(r["counts"])
+                x = np.frombuffer(r["x"]).reshape(-1, r["dims"])
+                p = np.frombuffer(r["p"]).reshape(len(x), -1)
+                same = r["b"] < 0
+                if same:
+                    held = (reps, counts, x, p)
+                    if r["salt"]:
+                        continue
+                ra, ca, y, py = held
+                la, lb = np.zeros(len(y), np.int64), np.zeros(len(x), np.int64)
+                union, forest = _Union(len(y) + len(x)), []
+                for i, j in join_blocks(y, py, x, p, same, cosine, leaf):
+                    la += np.bincount(i, counts[j], len(y)).astype(np.int64)
+                    lb += np.bincount(j, ca[i], len(x)).astype(np.int64)
+                    shift = 0 if same else len(y)
+                    forest += [(int(ra[m]), int(reps[q])) for m, q in zip(i.tolist(), j.tolist(), strict=True) if union.join(m, q + shift)]
+                rows = [(m, None, n) for m, n in zip(ra.tolist(), la.tolist(), strict=True) if n] + [(m, None, n) for m, n in zip(reps.tolist(), lb.tolist(), strict=True) if n]
+                rows += [(m, q, 0) for m, q in forest]
                 if rows:
                     u, w, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["u", "v", "n"])
@@ -210,14 +234,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
     links = found.filter(F.col("v").isNull()).groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     comp = components(found.filter(F.col("v").isNotNull()).select("u", "v"))
     known = classes.join(links, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = cut(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
-    ids = src.select("vec_id", F.when(F.col("good"), F.col("label")).alias("label"), "v")
-    return ids.join(known, ["label", "v"], "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
-    )
+    known = cut(known.select(*same, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    linked = src.filter("good").select("vec_id", *same).join(known, same).select("vec_id", "n_links", "component_id")
+    alone = src.filter(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,9 +281,11 @@ def components_of(n, links):
     return [find(i) for i in range(n)]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize(("block", "leaf", "group"), [(40, 128, 64), (20, 4, 2)])
+def test_embedding_dedup(spark, block, leaf, group):
     rows = vectors()
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, E).withColumn("v", F.lit(1)).withColumn("rep", F.lit(1)), block=40).collect()}
+    df = spark.createDataFrame(rows, E).withColumn("v", F.lit(1)).withColumn("rep", F.lit(1)).withColumn("h1", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block=block, leaf=leaf, group=group).collect()}
     n = len(rows)
 
     def cos(a, b):
@@ -303,6 +305,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], E)).count() == 0
 
 
+def test_blocks_are_joined_recursively():
+    """Intervals that are provably far apart are skipped, others are halved down to the leaf; no pair is lost."""
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(12, 6))
+    x = np.concatenate([c + 0.05 * g.normal(size=(25, 6)) for c in centres])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    p = u[:, :3]
+    order = np.lexsort(np.floor(p / 0.2).T[::-1])
+    x, p = x[order], p[order]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.98), strict=True) if i < j}
+    compared = []
+    for leaf in (4, 32):
+        found = list(embedding_dedup.join_blocks(x, p, x, p, True, 0.98, leaf, compared))
+        assert {(int(i), int(j)) for a, b in found for i, j in zip(a, b, strict=True)} == want and len(want) > 300
+    assert 0 < compared[0] < len(x) ** 2 / 6  # of about half of all pairs, most lie in skipped intervals
+
+
 def test_embedding_dedup_of_more_lengths_than_get_directions(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "FITTED", 1)
     g = np.random.default_rng(3)
