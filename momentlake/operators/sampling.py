@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.errors import Refused
+from momentlake.errors import Refused, UnknownOption
 
 
 def media_clock(frames: DataFrame, raw: str = "raw", gap_s: float = 2.0, step: float = 0.0) -> DataFrame:
@@ -113,20 +113,22 @@ class DetectionSampler(Sampler):
     """Keeps a frame in which an object is unlike all objects of the reference, or all of one class are gone.
 
     A frame without objects leaves the reference; a reference without objects lets any frame pass.  A value is a list
-    of (class, box); likeness is the intersection over union within a class."""
+    of (class, box); likeness is that of the boxes, by overlap or by nearness, within a class or whatever the class."""
 
     name = "objects"
 
-    def __init__(self, threshold: float = 0.3, **limits):
+    def __init__(self, threshold: float = 0.3, metric: str = "iou", class_aware: bool = True, **limits):
         super().__init__(**limits)
-        self.threshold = threshold
+        if metric not in ("iou", "proximity"):
+            raise UnknownOption("metric", metric, ("iou", "proximity"))
+        self.threshold, self.alike, self.class_aware = threshold, iou if metric == "iou" else nearness, class_aware
 
     def propose(self, value) -> bool:
         if not value:
             return False
         if not self.reference:
             return True
-        best = [max((iou(b, r) if c == k else 0.0 for k, r in self.reference), default=0.0) for c, b in value]
+        best = [max((self.alike(b, r) if c == k or not self.class_aware else 0.0 for k, r in self.reference), default=0.0) for c, b in value]
         self.last_score = min(best)
         return self.last_score < self.threshold
 
@@ -134,6 +136,112 @@ class DetectionSampler(Sampler):
         if value:
             self.reference = value
 
+    def views(self, value, mode: str = "frame+crops") -> list[tuple[str, object]]:
+        """What is shown of a kept frame: (label, box), a box of None being the frame itself."""
+        if mode not in ("frame", "frame+crops", "crops"):
+            raise UnknownOption("views", mode, ("frame", "frame+crops", "crops"))
+        whole = [("frame", None)] if mode != "crops" or not value else []
+        crops = [] if mode == "frame" else [(f"{c} {k} of {len(value)}", b) for k, (c, b) in enumerate(value, 1)]
+        return whole + crops
+
+
+class LayoutSampler(ChangeSampler):
+    """Keeps a frame whose text stands elsewhere or reads otherwise: the cosine of masked pictures, see `text_layout`.
+
+    A frame without text leaves the reference."""
+
+    name = "text"
+
+    def __init__(self, threshold: float = 0.92, **limits):
+        super().__init__(threshold, **limits)
+
+    def propose(self, value) -> bool:
+        if value is None or not len(value):
+            return False
+        if self.reference is None or not len(self.reference):
+            return True
+        return super().propose(value)
+
+    def remember(self, value) -> None:
+        if value is not None and len(value):
+            self.reference = value
+
+
+# the ready samplers over detections, with their fixed thresholds
+
+
+def people(threshold: float = 0.83, **limits) -> ChangeSampler:
+    """Over the mean descriptor of the people that are seen."""
+    out = ChangeSampler(threshold, **limits)
+    out.name = "yolo"
+    return out
+
+
+def objects(threshold: float = 0.30, metric: str = "proximity", **limits) -> DetectionSampler:
+    return DetectionSampler(threshold, metric, True, **limits)
+
+
+def text(threshold: float = 0.92, **limits) -> LayoutSampler:
+    return LayoutSampler(threshold, **limits)
+
+
+def text_layout(picture: np.ndarray, boxes: list, grid: int = 128, pad: float = 0.04) -> np.ndarray:
+    """A grey picture (rows x columns) masked to its text boxes, on a grid x grid raster, centred, of norm 1; empty without boxes."""
+    if not boxes:
+        return np.zeros(0, np.float32)
+    h, w = picture.shape
+    mask = np.zeros((h, w), bool)
+    for x1, y1, x2, y2 in boxes:
+        px, py = (x2 - x1) * pad, (y2 - y1) * pad
+        mask[int(max(0, y1 - py)) : int(min(h, y2 + py)), int(max(0, x1 - px)) : int(min(w, x2 + px))] = True
+    shown = np.where(mask, picture, 0).astype(np.float64)
+    # means over the cells of the raster, from sums up to each pixel
+    total = np.zeros((h + 1, w + 1))
+    total[1:, 1:] = shown.cumsum(0).cumsum(1)
+    r, c = (np.linspace(0, n, grid + 1).round().astype(int) for n in (h, w))
+    area = np.maximum(np.outer(np.diff(r), np.diff(c)), 1)
+    small = (total[np.ix_(r[1:], c[1:])] - total[np.ix_(r[:-1], c[1:])] - total[np.ix_(r[1:], c[:-1])] + total[np.ix_(r[:-1], c[:-1])]) / area
+    v = small.ravel() - small.mean()
+    n = np.linalg.norm(v)
+    return (v / n if n > 1e-6 else np.zeros_like(v)).astype(np.float32)
+
+
+def nearness(a, b) -> float:
+    """1 for one box, falling with the distance of the centres in units of the mean diagonal, times the areas' agreement."""
+    centre = lambda x: np.array([(x[0] + x[2]) / 2, (x[1] + x[3]) / 2])
+    diagonal = lambda x: float(np.hypot(x[2] - x[0], x[3] - x[1]))
+    size = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    scale = max((diagonal(a) + diagonal(b)) / 2, 1e-9)
+    return min(size(a), size(b)) / max(size(a), size(b), 1e-9) / (1 + float(np.linalg.norm(centre(a) - centre(b))) / scale)
+
+
+def plane_change(planes, previous) -> float:
+    """The mean, over planes such as hue, saturation and value, of the mean absolute difference of their pixels."""
+    return float(np.mean([np.abs(np.asarray(a, float) - np.asarray(b, float)).mean() for a, b in zip(planes, previous, strict=True)]))
+
+
+def picture_scores(frames: DataFrame, planes: Callable[[bytes], np.ndarray], stride: int = 1) -> DataFrame:
+    """video_id, at and score: how much every stride-th picture differs from the one scored before; the first has none.
+
+    frames: video_id, frame_index, media_ts and image; planes: an image -> its planes (3 x rows x columns).  A recording's
+    pictures are read in order by one task, an Arrow batch at a time."""
+    if stride < 1:
+        raise Refused("every first frame at least")
+
+    def run(batches):
+        video = before = None
+        for b in batches:
+            out = []
+            for v, ts, image in zip(b["video_id"], b["media_ts"], b["image"], strict=True):
+                now = planes(bytes(image))
+                if v == video:
+                    out.append((v, ts, plane_change(now, before)))
+                video, before = v, now
+            yield pd.DataFrame(out, columns=["video_id", "at", "score"])
+
+    rows = frames.filter(F.col("frame_index") % stride == 0).select("video_id", "frame_index", "media_ts", "image")
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").drop("frame_index").mapInPandas(run, "video_id string, at double, score double")
+
 
 def iou(a, b) -> float:
     """Intersection over union of boxes (x1, y1, x2, y2)."""

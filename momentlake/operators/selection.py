@@ -88,8 +88,8 @@ def parse(selection: str) -> list[Input]:
             else:
                 sources.append(Source(None, head, fields))
         inputs.append(Input(tuple(sources), label.strip() if sign else None))
-    labels = [i.slug for i in inputs]
-    if len(set(labels)) != len(labels):
+    given = [i.label for i in inputs if i.label]
+    if len(set(given)) != len(given):
         raise Refused("two inputs have one label")
     return inputs
 
@@ -146,7 +146,7 @@ def check(inputs: list[Input], vocabulary: dict[str, list[str]]) -> None:
         if s.question not in vocabulary:
             raise UnknownOption("question", s.question, vocabulary)
         for f in s.fields:
-            if f.split(".")[0] not in vocabulary[s.question]:
+            if f not in (PROSE, "*") and f.split(".")[0] not in vocabulary[s.question]:
                 raise UnknownOption("field", f, vocabulary[s.question])
 
 

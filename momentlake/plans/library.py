@@ -80,3 +80,8 @@ def instruction(template: str, **values: object) -> str:
     for key, value in values.items():
         template = template.replace(f"{{{key}}}", ", ".join(map(str, value)) if isinstance(value, (list, tuple)) else str(value))
     return template
+
+
+def frame_label(number: int, media_ts: float, view: str | None = None) -> str:
+    """What stands beside an image in a question: its number, its second, and what part of the frame it shows."""
+    return f"Frame {number} at {media_ts:.1f}s" + (f": {view}" if view else "")

@@ -90,3 +90,37 @@ def mint_id(wanted: str, taken: set[str]) -> str:
         if f"{wanted}-{k}" not in taken:
             return check_id(f"{wanted}-{k}")
     raise Refused(f"{wanted!r} is taken too often")
+
+
+POLICIES = ("new", "replace", "refuse")
+
+
+def claim_id(wanted: str, taken: set[str], policy: str = "new") -> str:
+    """The id of a run: wanted, or if that is taken another one (new), the same (replace) or none (refuse)."""
+    if policy not in POLICIES:
+        raise Refused(f"a conflict is met by one of {', '.join(POLICIES)}")
+    if wanted in taken and policy == "refuse":
+        raise Refused(f"{wanted!r} is there already")
+    return check_id(wanted) if policy == "replace" else mint_id(wanted, taken)
+
+
+def validate(document: object, schema: dict, at: str = "$") -> list[str]:
+    """What of a JSON document is against a schema of the strict subset that `json_schema` makes, by path."""
+    kind = schema.get("type")
+    if kind == "string":
+        if not isinstance(document, str):
+            return [f"{at}: a text is needed"]
+        return [f"{at}: {document!r} is none of {', '.join(schema['enum'])}"] if "enum" in schema and document not in schema["enum"] else []
+    if kind == "integer":
+        return [] if isinstance(document, int) and not isinstance(document, bool) else [f"{at}: a whole number is needed"]
+    if kind == "array":
+        if not isinstance(document, list):
+            return [f"{at}: a list is needed"]
+        return [p for k, x in enumerate(document) for p in validate(x, schema["items"], f"{at}[{k}]")]
+    if not isinstance(document, dict):
+        return [f"{at}: an object is needed"]
+    known = schema.get("properties", {})
+    out = [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in document]
+    if schema.get("additionalProperties") is False:
+        out += [f"{at}.{k}: not asked for" for k in document if k not in known]
+    return out + [p for k, x in document.items() if k in known for p in validate(x, known[k], f"{at}.{k}")]

@@ -91,7 +91,7 @@ def test_runs(spark, tmp_path):
         return batch.Record(s.read("chunks"), frames.withColumn("sampler", F.lit("uniform")), answers=s.read("descriptions"))
 
     got = batch.workflow(store, record, tier="llm", **work)
-    assert asked[-1] == 0 and set(got.tables) == {"stats", "summary"} and got.skipped == {"coverage": "needs spoken", "speakers": "needs turns"}
+    assert asked[-1] == 0 and set(got.tables) == {"stats", "summary", "coverage"} and got.skipped == {"speakers": "needs turns"}
     assert got.tables["stats"].first().frames_sampled == 50 and got.tables["summary"].count() == 1
     assert batch.validate(batch.Extraction(policy="scene", chunk_s=0), False) == ["policy scene needs cuts", "chunk_s and per_second are positive"]
     assert batch.validate_aggregate(["stats", "stats", "x"]) == ["no aggregator 'x'", "'stats' is asked twice"]

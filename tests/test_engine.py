@@ -292,12 +292,14 @@ def test_selection():
     one, two = selection.parse("all=transcript+scene[summary,people.role], clip:*")
     assert one.label == "all" and one.sources[0].transcript and one.sources[1].fields == ("summary", "people.role")
     assert two.sources[0] == selection.Source("clip", None) and two.slug == "clip"
-    for bad in ("", "a b", "transcript[x]", "scene,scene"):
+    for bad in ("", "a b", "transcript[x]", "x=scene,x=clip"):
         with pytest.raises(Refused):
             selection.parse(bad)
-    selection.check([one], {"scene": ["summary", "people"]})
+    with pytest.raises(Refused):
+        selection.labels(selection.parse("scene,scene"))
+    selection.check([one], {"scene": ["people"]})
     with pytest.raises(UnknownOption):
-        selection.check([one], {"scene": ["people"]})
+        selection.check([one], {"scene": ["mood"]})
 
 
 def test_excerpts_and_mentions(spark):
