@@ -172,17 +172,17 @@ def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str],
     return [langs[k] if k >= 0 else "und" for k in best.tolist()], p
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text", clear: bool = False) -> DataFrame:
-    """The columns in keep, then lang_pred and score (the posterior of that language); with clear also __clear."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text", clear: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, then the language and its posterior, by names; with clear also __clear."""
     ship(docs.sparkSession)
     langs, m = model
     # float32 columns: BUCKETS x languages x 4 bytes, whatever the corpus
     sent = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(m, np.float32), Clear(m)))
-    names = [f"k{i}" for i in range(len(keep))]
+    held = [f"k{i}" for i in range(len(keep))]
     own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
-    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], *own)
+    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, held, strict=True)], *own)
     at = len(keep) if own else keep.index(text)
-    schema = extended(src.drop("__text"), lang_pred="string", score="double", **({"__clear": "boolean"} if clear else {}))
+    schema = extended(src.drop("__text"), __lang="string", __p="double", **({"__clear": "boolean"} if clear else {}))
 
     def run(batches):
         langs, m, is_clear = sent.value
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             release()
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
-    return src.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], "lang_pred", "score", *(["__clear"] if clear else []))
+    return src.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, held, strict=True)], F.col("__lang").alias(names[0]), F.col("__p").alias(names[1]), *(["__clear"] if clear else []))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +204,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter, of no learned language, or of no clear one, go."""
+    """Documents whose language is recognised; those without a letter, of no learned language, or of no clear one, go.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty; without a labelled document
+    none is recognised."""
     model = fit(docs, ~held_out())
-    found = predict(docs, model, docs.columns, clear=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & F.col("__clear")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = predict(docs, model, docs.columns, clear=True, names=("__lang", "__p"))
+    return found.filter((F.col("__lang") != "und") & (F.col("__p") >= 0.5) & F.col("__clear")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op6_language_id": op6_language_id}

@@ -331,17 +331,19 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id, once if its row is repeated."""
+    """One document of each group of near duplicates: the one of least doc_id, once if its row is repeated.
+
+    Null, empty and all-space texts are duplicates of nothing, nor are rows without a doc_id; an empty table stays empty."""
     found = cut(duplicates(docs.select("doc_id", "text")), "duplicates")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(small_side(cut(gone, "gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.filter("kept").groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__again"))
+    gone = small_side(cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    out = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    again = found.filter("kept").groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("again"))
     again = cut(again, "again")
     if again.isEmpty():
         return out
     twice = small_side(again)
-    once = out.join(twice, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.unionByName(out.join(twice, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = out.join(twice, out["doc_id"] == twice["again"], "left_anti")
+    return once.unionByName(out.join(twice, out["doc_id"] == twice["again"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}

@@ -301,7 +301,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: doc_id, source and the pieces of every document."""
+    """The last stage: doc_id, source and the pieces of every document; a null or empty text has none, and repeated rows each have theirs."""
     return encode(docs, ["doc_id", "source"])
 
 

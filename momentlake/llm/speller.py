@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from momentlake.llm.common import release, slices
 
 #: Bytes of whole texts whose words are held at a time.
-PART = 3_000_000
+PART = 2_000_000
 #: Bytes of words and ids that are remembered from slice to slice, about.
-REMEMBERED = 32_000_000
+REMEMBERED = 24_000_000
 
 Runs = tuple[np.ndarray, np.ndarray]
 #: Words to their ids, one after another, and how many each has.

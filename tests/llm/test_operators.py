@@ -118,6 +118,61 @@ def test_quality(spark, docs, empty):
     assert quality.base_rate(flat) == 0.5 and quality.evidence(empty, flat).count() == 0
 
 
+def plain_posteriors(rows, model):
+    """Of each row (doc_id, text, lang, source, ...) its posterior, host rate and path rate, by plain sums."""
+    mean, scale, w, prior = model
+    rate = quality.base_rate(model)
+    llr = []
+    for _, t, *_ in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        x = quality.measures(raw, np.array([0, len(raw)]))
+        llr.append(float(np.clip((x - mean) / scale @ w[:-1] + w[-1] - prior, -20, 20)[0]))
+    p = [1 - 1 / (1 + rate / (1 - rate) * np.exp(x)) for x in llr]
+
+    def strength(groups):  # (rate, n, around): the method of moments for a Beta prior
+        m = [a * (1 - a) for _, _, a in groups]
+        spread = sum(n * (r - a) ** 2 for r, n, a in groups) - sum(m)
+        v = max(spread / sum(n for _, n, _ in groups), 1e-9)
+        return min(max(np.mean(m) / v - 1, 2.0), 1000.0)
+
+    hosts, paths = {}, {}
+    for (_, _, lang, source, *_), x in zip(rows, p, strict=True):
+        hosts.setdefault(source, []).append(x)
+        paths.setdefault((source, lang), []).append(x)
+    mu = min(max(sum(p) / len(p), 1e-6), 1 - 1e-6)
+    a = strength([(np.mean(x), len(x), mu) for x in hosts.values()])
+    host_rate = {k: (sum(x) + a * mu) / (len(x) + a) for k, x in hosts.items()}
+    b = strength([(np.mean(x), len(x), host_rate[k[0]]) for k, x in paths.items()])
+    out = []
+    for (_, _, lang, source, *_), x, r in zip(rows, p, llr, strict=True):
+        own = paths[source, lang]
+        path = (sum(own) - x + b * host_rate[source]) / (len(own) - 1 + b)
+        path = min(max(path, 1e-6), 1 - 1e-6)
+        out.append((1 - 1 / (1 + path / (1 - path) * np.exp(r)), host_rate[source], path))
+    return out
+
+
+def test_quality_equals_plain_sums(spark):
+    """Hosts of one document to hundreds, so that sparse ones are pulled to the global rate and dense ones aren't."""
+    r = random.Random(14)
+    rows = []
+    for h, (n, bad) in enumerate([(1, 1.0), (1, 0.0), (2, 1.0), (3, 0.5), (40, 0.9), (150, 0.05), (60, 0.5)]):
+        for _ in range(n):
+            t = sentence(r, 40)
+            rows.append((len(rows), " ".join(w.upper() + "!" * r.randint(0, 2) for w in t.split()) if r.random() < bad else t, r.choice(["en", "de", None]), f"host{h}" if h else None, 1))
+    rows += [(1000, None, "en", "host5", 1), (1001, "", None, None, 1), rows[7], rows[7]]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int(t == t.lower()), 0) for i, t, *_ in rows[::2] if t], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    want = plain_posteriors(rows, model)
+    got = quality.judged(df.withColumn("host", F.lit("clash")).withColumn("good", F.lit("clash")), labels, ["doc_id", "host"]).collect()
+    key = lambda x: [round(float(v), 9) for v in x]
+    assert sorted((i, *key(w)) for (i, *_), w in zip(rows, want, strict=True)) == sorted((x.doc_id, *key((x["__good"], x["__host_rate"], x["__path_rate"]))) for x in got)
+    rates = {x["source"]: x["__host_rate"] for x in got}
+    assert max(rates.values()) - min(rates.values()) > 0.2  # hosts differ
+    assert {x["__words"] for x in got if x.doc_id in (1000, 1001)} == {0} and all(x["__words"] == 40 for x in got if x.doc_id < 250)
+
+
 def test_quality_measures_and_held_out_accuracy(spark):
     r = random.Random(5)
     rows = [(i, sentence(r, 60) if i % 2 else " ".join(w.upper() + "!!" for w in sentence(r, 60).split()), None, None, 1) for i in range(400)]
@@ -193,6 +248,38 @@ def test_html_templates_by_different_bodies_whatever_the_hosts_size(spark):
     assert all(len(got[1000 + i].split("\n")) == 41 for i in range(30))
 
 
+def test_html_count_equals_plain_sets(spark):
+    """The whole operator against counts in plain dictionaries; and the count changes what is returned."""
+    r = random.Random(21)
+    block = lambda k: f'<div class="x{k}"><p>Notice number {k} stands on many pages.</p></div>'
+    rows = []
+    for i in range(160):
+        host = r.choice(["a.org", "b.org", "c.org"])
+        parts = [f"<p>Sentence {r.random()} of page {i} alone.</p>" for _ in range(r.randint(1, 4))] + [block(k) for k in range(6) if r.random() < (0.3 if host == "a.org" else 0.08)]
+        r.shuffle(parts)
+        rows.append((i, f"https://{host}/{i}", f"<html><body><article>{''.join(parts)}</article></body></html>"))
+    rows += [(900 + k, "https://b.org/same", rows[0][2]) for k in range(20)] + [(950, None, None), (951, "", ""), (952, "https://a.org/x", None)]
+    hosts, seen = {}, {}
+    for i, url, h in rows:
+        host = (url or "").partition("://")[2].partition("/")[0]
+        trees = html_text.subtrees(html_text.parse(h or ""))
+        hosts[i] = host
+        for t, body in trees.values():
+            seen.setdefault((host, t), set()).add(body)
+    template = {k for k, bodies in seen.items() if len(bodies) >= html_text.MIN_BODIES}
+    want, plain = {}, {}
+    for i, _, h in rows:
+        root = html_text.parse(h or "")
+        trees = html_text.subtrees(root)
+        want[i] = html_text.main_text(root, {t for t, _ in trees.values() if (hosts[i], t) in template}, trees)
+        plain[i] = html_text.main_text(root)
+    got = {x.page_id: x for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("key", F.lit(1)).repartition(6)).collect()}
+    assert {i: x.text for i, x in got.items()} == want and all(x.n_chars == len(x.text) for x in got.values())
+    changed = {i for i in want if want[i] != plain[i]}
+    notes = lambda texts, host: sum("Notice" in t for i, t in texts.items() if hosts[i] == host)
+    assert len(changed) > 20 and notes(want, "a.org") < notes(plain, "a.org") / 4 and notes(want, "c.org") > 0
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
     monkeypatch.setattr(html_text, "broadcast_rows", lambda _: 0)
@@ -621,6 +708,73 @@ def test_components(spark):
     assert got == {i: comp[i] for i in touched}
 
 
+def plain_pipeline(spark, rows, labels):
+    """What the pipeline returns, by plain loops, the library and one SQL statement."""
+    import sentencepiece
+
+    frame = lambda x: spark.createDataFrame(x, DOC)
+    langs, m = language_id.fit(frame(rows), ~language_id.held_out())
+    m = np.asfortranarray(m, np.float32)
+    best, p, mean, n = language_id.evidence([t or "" for _, t, *_ in rows], langs, m)
+    ok = (best >= 0) & (p >= 0.5) & language_id.Clear(m)(best, mean, n)
+    first = [x for x, k in zip(rows, ok, strict=True) if k]
+    good = plain_posteriors(first, quality.fit(frame(first), labels))
+    second = [x for x, (g, *_) in zip(first, good, strict=True) if g >= quality.KEEP]
+    sets = [s for _, s in plain_sets(second, 5)]
+    links = [(a, b) for a in range(len(second)) for b in range(a) if sets[a] and sets[b] and (second[a][0] == second[b][0] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))]
+    links = [(a, b) for a, b in links if second[a][0] is not None and second[b][0] is not None]
+    comp = components_of(len(second), links)
+    groups = {}
+    for k, c in enumerate(comp):
+        groups.setdefault(c, []).append(k)
+    third = [second[min(g, key=lambda k: (second[k][0] is None, second[k][0] or 0))] for g in groups.values()]
+    weights = plain_posteriors(third, quality.fit(frame(third), labels))
+    size = [len((t or "").encode().split()) for _, t, *_ in third]
+    rounded = [max(np.floor(g / mixing.LEAST + 0.5) * mixing.LEAST, mixing.LEAST) for g, *_ in weights]
+    copies = {(r[0], r[1]): r[4] for r in mixed_by_sql([(x[0], x[3], s, w) for x, s, w in zip(third, size, rounded, strict=True)])}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    return [(x[0], x[3], sp.encode(x[1] or "")) for x, s in zip(third, size, strict=True) for _ in range(copies[x[0], s])]
+
+
+def test_pipeline_equals_plain_loops(spark, tmp_path):
+    import corpus_pipeline
+
+    d = f"file://{tmp_path}"
+    r = random.Random(31)
+    rows = [x for x in documents() if x[0] not in (300, 301)] + [(400 + k, " ".join(w.upper() + "!!" for w in sentence(r, 50).split()), "en", r.choice(["a", "b", "ü"]), 1) for k in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(400 + k, 0, 0) for k in range(15)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(rows, DOC).repartition(4).write.parquet(f"{d}/documents.parquet")
+    got = [(x.doc_id, x.source, list(x.pieces)) for x in corpus_pipeline.run(spark, d).collect()]
+    want = plain_pipeline(spark, rows, labels)
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and 0 < len({x[0] for x in got}) < len(rows)
+    assert not {200, 201, 202, 205} & {x[0] for x in got}  # no letter, no language
+    assert not {400 + k for k in range(30)} & {x[0] for x in got}  # shouting, as the labels say
+    assert {100, 101, 102} & {x[0] for x in got} == {100}
+
+
+def test_stages_handle_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    names = ["c0", "k0", "source_size", "target", "score", "lang_pred", "n_shingles", "component_id", "kept", "rank", "step", "host", "path", "__gone"]
+    r = random.Random(2)
+    rows = [(None if i % 9 == 0 else i, None if i % 11 == 0 else sentence(r, 30), "en", None if i % 7 == 0 else "s", 1) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], DOC)
+    for n in names:
+        df = df.withColumn(n, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, df.limit(0), d)
+        assert none.count() == 0, name
+        out = stage(spark, df, d)
+        if name != "pieces":
+            assert out.columns == df.columns and none.columns == df.columns and set(out.select("target").distinct().toPandas()["target"]) <= {"clash"}, name
+        assert out.filter("doc_id IS NULL").count() > 0, name  # rows without an id go their way
+    once = corpus_pipeline.STAGES[2][1](spark, df, d).filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").count()
+    assert once == 0
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
