@@ -1,7 +1,11 @@
 """A training corpus from `documents` in five stages, each written as Parquet and read again by the next.
 
-ORACLE_SQL is None: trained classifiers and SentencePiece can't be expressed in SQL; tests hold every stage against
-brute force or known answers instead.
+ORACLE_SQL is None: trained classifiers and SentencePiece can't be expressed in SQL; a test holds the rows of run() against
+plain loops, the sentencepiece library and SQL for the mix, and others hold every stage against brute force.
+
+Defined results: documents with a null or empty text go with the first stage; repeated rows and equal texts become one
+document, rows without a doc_id are never duplicates of others; a null source is a source of its own; extra columns go
+along, whatever their names, up to the last stage; an empty table gives an empty corpus.
 """
 
 from __future__ import annotations
