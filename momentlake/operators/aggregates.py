@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.lineage import cut
+
 
 def upper_median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
     """The element at n div 2 of the sorted values of each group, without collecting a group."""
@@ -185,18 +187,20 @@ def items_of_windows(rows: DataFrame, grid: DataFrame, ask: Callable[[DataFrame]
 def fold(rows: DataFrame, by: str, order: str, text: str, reduce, batch: int = 25):
     """Hierarchical reduction: batches of 25 by position become one row each until every group has at most 25, then one.
 
-    reduce(rows, keys) turns the texts of a batch, in order, into one text; it is a DataFrame step, so a level is one
-    shuffle.  Yields (layer, DataFrame of by, position, text); the last layer has one row a group."""
+    reduce(rows) turns the texts of a batch, in order, into one text; it is a DataFrame step, so a level is one shuffle.
+    Each level is written before the next begins, so that a model behind reduce is asked once a batch.  Yields (layer,
+    DataFrame of by, position, text); the last layer has one row a group."""
     w = Window.partitionBy(by).orderBy(order)
     now = rows.select(by, (F.row_number().over(w) - 1).alias("position"), F.col(text).alias("text"))
+    most = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     layer = 0
     while True:
-        most = now.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
         final = most <= batch
         step = F.lit(0).cast("long") if final else F.floor(F.col("position") / batch)
         grouped = now.withColumn("batch", step).groupBy(by, "batch").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("items"))
-        now = reduce(grouped.select(by, F.col("batch").alias("position"), F.transform("items", lambda i: i["text"]).alias("texts"))).select(by, "position", "text")
-        layer += 1
+        made = reduce(grouped.select(by, F.col("batch").alias("position"), F.transform("items", lambda i: i["text"]).alias("texts")))
+        now = cut(made.select(by, "position", "text"), "fold")
+        most, layer = -(-most // batch), layer + 1
         yield layer, now
         if final:
             return

@@ -19,7 +19,7 @@ def calls(sampled: DataFrame, questions: DataFrame) -> DataFrame:
 
     sampled: video_id, chunk_id, sampler, frame_index; questions: sampler, question, position (few rows)."""
     runs = sampled.groupBy("video_id", "chunk_id", "sampler").agg(F.array_sort(F.collect_set("frame_index")).alias("frame_indexes"))
-    asked = runs.join(F.broadcast(questions), "sampler")
+    asked = runs.join(questions, "sampler")
     return asked.withColumn("sampler_id", T.answer_id(F.col("sampler"), F.col("question"))).withColumn("frame_count", F.size("frame_indexes"))
 
 
