@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from momentlake.lineage import cut, discard, shared_dir
 from momentlake.session import ship
 
+__all__ = ["SPACE", "broadcast_rows", "cut", "discard", "extended", "release", "shared_dir", "ship", "slices", "small_side", "table", "utf8", "word_bounds"]
+
 #: Bytes of a side that may be broadcast, as rows of about so many bytes each in a JVM hash relation.
 BROADCAST_BYTES = 32_000_000
 
@@ -23,39 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="momentlake-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/momentlake-{sc.applicationId}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again.
-
-    The plan above starts from that table: a lost executor costs its own tasks only, and the sizes are known to
-    the optimizer.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._momentlake_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a cut() that no later plan reads."""
-    path = getattr(df, "_momentlake_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def broadcast_rows(df: DataFrame) -> int:
     """How many rows of df may be broadcast: a million of two longs, fewer of wider ones."""
     width = {"string": 48, "binary": 64}
