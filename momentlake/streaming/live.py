@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,6 +73,42 @@ def live_frames(stream: DataFrame, samplers: Callable[[], list[Sampler]], per_se
     return stream.groupBy("video_id").transformWithStateInPandas(LiveSampler(samplers, per_second, chunk_s, gap_s), KEPT, "Append", "None")
 
 
+FRAME = "video_id string, arrival long, raw double, value double"
+
+
+def source(spark: SparkSession, url: str, files: int = 100) -> DataFrame:
+    """Lines of a live source as a stream with `line`: tcp://host:port, a folder of files (file://... or a path of any
+    store), or rate://n for n lines a second that stand for frames."""
+    scheme, _, rest = url.partition("://")
+    if scheme == "tcp":
+        host, _, port = rest.partition(":")
+        if not host or not port.isdigit():
+            raise Refused(f"{url!r} names no host and port")
+        return spark.readStream.format("socket").option("host", host).option("port", int(port)).load().select(F.col("value").alias("line"))
+    if scheme == "rate":
+        r = spark.readStream.format("rate").option("rowsPerSecond", int(rest or 1)).load()
+        return r.select(F.to_json(F.struct(F.lit("rate").alias("video_id"), F.col("value").alias("arrival"), F.col("value").cast("double").alias("raw"), F.col("value").cast("double").alias("value"))).alias("line"))
+    return spark.readStream.option("maxFilesPerTrigger", files).text(url).select(F.col("value").alias("line"))
+
+
+def parsed(lines: DataFrame, video_id: str | None = None) -> DataFrame:
+    """FRAME and `corrupt` of every line: one that is no frame has corrupt and nothing else."""
+    f = F.from_json("line", FRAME)
+    bad = f["raw"].isNull()
+    name = F.lit(video_id) if video_id else f["video_id"]
+    return lines.select(F.when(~bad, name).alias("video_id"), f["arrival"].alias("arrival"), f["raw"].alias("raw"), f["value"].alias("value"), bad.alias("corrupt"))
+
+
+def recorded(lines: DataFrame, folder: str, checkpoint: str):
+    """Start a query that keeps the lines of a source as they come, beside what else reads it."""
+    return lines.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def frames(spark: SparkSession, url: str, samplers: Callable[[], list[Sampler]], per_second: float = 1.0, chunk_s: float = 20.0, gap_s: float = 2.0, video_id: str | None = None) -> DataFrame:
+    """The kept frames of a live source; lines that are no frames are skipped."""
+    return live_frames(parsed(source(spark, url), video_id).filter("NOT corrupt").drop("corrupt"), samplers, per_second, chunk_s, gap_s)
+
+
 CONTEXT = "video_id string, frame_index long, media_ts double, before array<long>, after array<long>, flushed boolean"
 
 

@@ -205,6 +205,32 @@ def test_a_live_run_stops_and_is_finished(spark, tmp_path):
     assert live.send(spark.range(5).withColumn("media_ts", F.col("id") * 1.0), str(tmp_path / "sent"), speed=1000.0, slice_s=2.0) == 3
 
 
+def test_a_source_of_lines(spark, tmp_path):
+    lines = [json.dumps({"video_id": "v", "arrival": k, "raw": k / 2, "value": float(k)}) for k in range(6)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join([*lines[:3], '{"torn": ', *lines[3:]]) + "\n")
+    q = live.parsed(live.source(spark, str(tmp_path / "in")), "cam").writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("parsed").collect()
+    assert sum(r.corrupt for r in got) == 1 and sorted(r.raw for r in got if not r.corrupt) == [k / 2 for k in range(6)] and {r.video_id for r in got} == {"cam", None}
+    live.recorded(live.source(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "r")).awaitTermination()
+    assert spark.read.text(str(tmp_path / "out")).count() == 7
+    q = live.frames(spark, str(tmp_path / "in"), lambda: [sampling.ScalarSampler(2.0)]).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.frame_index, r.media_ts) for r in spark.table("kept").collect()) == [(0, 0.0), (2, 1.0), (4, 2.0)]
+    with pytest.raises(Refused):
+        live.source(spark, "tcp://nowhere")
+
+
+def test_answers_are_due_again_for_another_describer(spark):
+    from momentlake.operators import answers
+
+    planned = spark.createDataFrame([("v", c, "yolo", "m1") for c in range(3)], "video_id string, chunk_id long, sampler_id string, describer string")
+    done = planned.filter("chunk_id < 2").withColumn("describer", F.when(F.col("chunk_id") == 0, "m1").otherwise("m0"))
+    assert [r.chunk_id for r in answers.due(planned, done).collect()] == [2]
+    assert sorted(r.chunk_id for r in answers.due(planned, done, same=("describer",)).collect()) == [1, 2]
+
+
 def test_samplers_over_boxes_and_layouts(spark):
     far = [("cat", (0, 0, 10, 10))], [("cat", (100, 100, 110, 110))], [("dog", (0, 0, 10, 10))]
     blind, aware, near = sampling.DetectionSampler(0.3, class_aware=False), sampling.DetectionSampler(0.3), sampling.objects()
