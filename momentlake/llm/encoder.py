@@ -17,6 +17,8 @@ from momentlake.llm.speller import Runs, Speller, joined
 
 #: Words or texts that the library gets at a time: what it returns for each is much larger than the ids.
 ASKED = 10_000
+#: Bytes of words and ids that are remembered: the library is the dear part, so more than elsewhere.
+REMEMBERED = 64_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -51,7 +53,7 @@ class WordEncoder:
         self.by_line = len(self.newline) == 1 and all(
             self._one(f"{a}\n{b}") == self._one(a) + self.newline + self._one(b) for a in ("a", ".", "1", "'s", "é") for b in ("b", " b", "'s", " .", "1")
         )
-        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular)
+        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular, REMEMBERED)
 
     def _one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

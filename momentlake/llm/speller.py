@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from momentlake.llm.common import release, slices
 
 #: Bytes of whole texts whose words are held at a time.
-PART = 2_000_000
+PART = 3_000_000
 #: Bytes of words and ids that are remembered from slice to slice, about.
 REMEMBERED = 24_000_000
 
