@@ -19,6 +19,8 @@ from momentlake.llm.speller import Runs, Speller, joined
 ASKED = 10_000
 #: Bytes of words and ids that are remembered: the library is the dear part, so more than elsewhere.
 REMEMBERED = 64_000_000
+#: Bytes of texts in a slice; in larger slices more words are equal.
+PART = 8_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -53,7 +55,7 @@ class WordEncoder:
         self.by_line = len(self.newline) == 1 and all(
             self._one(f"{a}\n{b}") == self._one(a) + self.newline + self._one(b) for a in ("a", ".", "1", "'s", "é") for b in ("b", " b", "'s", " .", "1")
         )
-        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular, REMEMBERED)
+        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular, REMEMBERED, PART)
 
     def _one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, small_side, table
+from momentlake.llm.common import cut, discard, small_side, table
 from momentlake.llm.quality import judged
 
 WEIGHTS = (5, 2, 1)
@@ -138,7 +138,9 @@ def mix(rows: DataFrame, size: Column, weight: Column) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "source"])
-    return mix(seen.select("doc_id", "source", "__words", "__good"), F.col("__words"), F.col("__good")).select(
+    out = mix(seen.select("doc_id", "source", "__words", "__good"), F.col("__words"), F.col("__good"))
+    discard(seen)  # the mix has a table of its own
+    return out.select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
@@ -155,6 +157,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     seen = judged(docs, table(spark, sf_dir, "labels"), docs.columns)
     out = mix(seen, F.col("__words"), F.col("__good"))
+    discard(seen)  # the mix has a table of its own
     return out.filter(F.col("__copies") > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -201,7 +201,8 @@ def base_rate(model) -> float:
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep, as a written table, with __llr, __words, __host_rate, __path_rate and __good, the posterior.
 
-    Texts are measured once: what comes of them is written and then read for the sites and for the posteriors.
+    Texts are measured once: what comes of them is written and then read for the sites and for the posteriors.  The
+    table may be discarded once nothing reads the result any more.
     """
     model = fit(docs, labels)
     rate = base_rate(model)
@@ -209,7 +210,9 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "tex
     seen = evidence(docs.select(*[F.col(f"`{c}`") for c in [*keep, *more]]), model, text)
     seen = cut(seen.drop(*([text] if text in more else [])), "evidence")
     site = sites(seen.select(F.col("source").alias("host"), F.col("lang").alias("path"), "__llr"), rate)
-    return posterior(seen, site, rate, F.col("source"), F.col("lang"))
+    out = posterior(seen, site, rate, F.col("source"), F.col("lang"))
+    out._momentlake_path = seen._momentlake_path
+    return out
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,8 @@ class Memory:
 class Speller:
     """heads encodes the first word of a text, if that differs; regular says which words may be encoded alone."""
 
-    def __init__(self, words: Encode, heads: Encode | None, whole: Encode, regular: Callable[[pa.Array], np.ndarray], remembered: int = REMEMBERED):
+    def __init__(self, words: Encode, heads: Encode | None, whole: Encode, regular: Callable[[pa.Array], np.ndarray], remembered: int = REMEMBERED, part: int | None = None):
+        self.part = part
         self.memory, self.heads, self.whole, self.regular = Memory(words, remembered), heads, whole, regular
 
     def __call__(self, column: pa.Array, ids: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
@@ -74,7 +75,7 @@ class Speller:
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
-        for a, z in slices(np.concatenate([[0], np.cumsum(size)]), PART):
+        for a, z in slices(np.concatenate([[0], np.cumsum(size)]), self.part or PART):
             gc.disable()  # many small objects, none in a cycle
             try:
                 count, flat = self._spell(column.slice(a, z - a).fill_null("").cast(pa.large_string()), ids)

@@ -82,9 +82,7 @@ ODD = ["a  b", " a", "a ", "it's 's", "\n", "a\nb", "a\n b", "a \nb", "x\r\ny",
 @pytest.mark.parametrize("remembered", [64_000_000, 400])
 @pytest.mark.parametrize("part", [4_000_000, 300])
 def test_encoder_matches_the_library(monkeypatch, remembered, part):
-    from momentlake.llm import speller
-
-    monkeypatch.setattr(speller, "PART", part)
+    monkeypatch.setattr(encoder, "PART", part)
     enc = encoder.WordEncoder(encoder.default_path())
     enc.spell.memory.most = remembered
     r = random.Random(5)
