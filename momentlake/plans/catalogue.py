@@ -626,7 +626,7 @@ def combine_offsets(spark, d):
     return _members(spark, d)[1]
 
 
-@query(f"{OFFSETS} SELECT 'all' AS video_id, first_chunk + chunk_id AS chunk_id, video_id AS member, chunk_id AS member_chunk_id FROM grid JOIN members USING (video_id)")
+@query(f"{OFFSETS} SELECT 'all' AS video_id, first_chunk + chunk_id AS chunk_id, video_id AS member, chunk_id AS member_chunk_id, round(start_ts, 3) AS member_start_ts, round(end_ts, 3) AS member_end_ts FROM grid JOIN members USING (video_id)")
 def combine_origin(spark, d):
     g, m = _members(spark, d)
     return combine.origin(combine.combined_grid(g, m), m)
