@@ -40,10 +40,12 @@ OFFERED = 4
 BLOCK = 512
 ENTRIES, ENTRY_BYTES, ENTRY_EDGES = 256, 16_000_000, 4
 BEAM, STEP = 512, 128
-#: Nodes of a block in which queries' cosines are computed.
-PLACES = 16384
-#: Classes of a beam that are scored anew beyond k: sums in single precision order the beam.
+#: Nodes of a block in which queries are compared.
+PLACES = 4096
+#: Nodes of a beam that are scored anew beyond k: unit vectors in single precision order the beam.
 SPARE = 11
+#: Less than minus any squared distance of unit vectors.
+FAR = -5.0
 EDGES = "u long, v long, s float"
 
 
@@ -64,6 +66,15 @@ def _vectors(column, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims)
 
 
+def _closeness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all rows, themselves last; in double precision, so that near copies are told apart."""
+    x = x.astype(np.float64)
+    n = (x * x).sum(1)
+    s = 2 * (x @ x.T) - n[:, None] - n[None, :]
+    np.fill_diagonal(s, -np.inf)
+    return s
+
+
 def _best(s: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest entries of each row, or all."""
     return np.argpartition(-s, k - 1, 1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
@@ -83,8 +94,8 @@ def read_rows(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def make_nodes(rows: DataFrame) -> DataFrame:
-    """A node per different vector: node (its least row), h1, h2, v, dims, x (unit vector in single precision), half (in half
-    precision, which the graph is built by), c0 and c1 (signs of its random projections)."""
+    """A node per different vector: node (its least row), h1, h2, v, dims, x (unit vector in single precision), c0 and c1
+    (signs of its random projections)."""
     classes = rows.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.first("v").alias("v")).withColumn("dims", F.size("v"))
 
     def run(batches):
@@ -99,10 +110,9 @@ def make_nodes(rows: DataFrame) -> DataFrame:
                 sign = (u @ planes[d] > 0).reshape(len(u), 2, 62)
                 code = sign @ (1 << np.arange(61, -1, -1))
                 x = pa.array([z.tobytes() for z in u.astype(np.float32)], pa.binary())
-                half = pa.array([z.tobytes() for z in u.astype(np.float16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns, x, half, pa.array(code[:, 0]), pa.array(code[:, 1])], [*some.schema.names, "x", "half", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([*some.columns, x, pa.array(code[:, 0]), pa.array(code[:, 1])], [*some.schema.names, "x", "c0", "c1"])
 
-    return cut(classes.mapInArrow(run, "h1 long, h2 long, node long, v array<double>, dims int, x binary, half binary, c0 long, c1 long"), "nodes")
+    return cut(classes.mapInArrow(run, "h1 long, h2 long, node long, v array<double>, dims int, x binary, c0 long, c1 long"), "nodes")
 
 
 def entry_nodes(nodes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -128,8 +138,7 @@ def first_edges(nodes: DataFrame, entries, degree: int = DEGREE, block: int = BL
     """Edges inside blocks of the two orders, and to the nearest entry nodes."""
 
     def compare(ids, x):
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
+        s = _closeness(x)
         k = min(degree, len(ids) - 1)
         if k < 1:
             return None
@@ -166,11 +175,11 @@ def first_edges(nodes: DataFrame, entries, degree: int = DEGREE, block: int = BL
                     continue
                 some = b.filter(pa.array(size == d))
                 ids, (there, y) = some.column("node").to_numpy(), entries.value[d]
-                s = _vectors(some.column("x"), d) @ y.T
-                s[ids[:, None] == there[None, :]] = -np.inf
-                at = _best(s, min(ENTRY_EDGES, len(there)))
-                u, v, s = np.repeat(ids, at.shape[1]), there[at].ravel(), np.take_along_axis(s, at, 1).ravel()
-                yield _edges(u[s > -2], v[s > -2], s[s > -2])
+                x = _vectors(some.column("x"), d)
+                at = _best(x @ y.T, min(ENTRY_EDGES, len(there)))
+                s = -((x[:, None, :] - y[at]) ** 2).sum(2).ravel()
+                u, v = np.repeat(ids, at.shape[1]), there[at].ravel()
+                yield _edges(u[u != v], v[u != v], s[u != v])
 
     out = nodes.select("node", "dims", "x").mapInArrow(attach, EDGES)
     for code in ("c0", "c1"):
@@ -202,18 +211,16 @@ def descend(nodes: DataFrame, edges: DataFrame, degree: int, reverse: int, turn:
     around = both_ways(edges, reverse, turn)
     fresh = around.groupBy("m").agg(F.max("new").alias("any")).filter("any = 1").select("m")
     around = around.join(fresh, "m")
-    bar = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).select(F.col("u").alias("x"), F.when(F.col("n") >= degree, F.col("s")).otherwise(-2.0).cast("float").alias("bar"))
-    body = nodes.select(F.col("node").alias("x"), F.col("half").alias("body")).join(bar, "x", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0).cast("float")))
+    bar = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).select(F.col("u").alias("x"), F.when(F.col("n") >= degree, F.col("s")).otherwise(FAR).cast("float").alias("bar"))
+    body = nodes.select(F.col("node").alias("x"), F.col("x").alias("body")).join(bar, "x", "left").withColumn("bar", F.coalesce("bar", F.lit(FAR).cast("float")))
     work = around.join(body, "x").select("m", "x", "new", "bar", "body").repartition("m").sortWithinPartitions("m", "x")
 
     def compare(ids, new, bar, body):
-        x = np.frombuffer(b"".join(body.to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
+        s = _closeness(np.frombuffer(b"".join(body.to_pylist()), np.float32).reshape(len(ids), -1))
         s[~(new[:, None] | new[None, :]) | (s <= bar[:, None])] = -np.inf
         at = _best(s, min(OFFERED, len(ids)))
         got = np.take_along_axis(s, at, 1).ravel()
-        u, v, on = np.repeat(ids, at.shape[1]), ids[at].ravel(), got > -2
+        u, v, on = np.repeat(ids, at.shape[1]), ids[at].ravel(), got > FAR
         return u[on], v[on], got[on]
 
     def run(batches):
@@ -237,7 +244,7 @@ def descend(nodes: DataFrame, edges: DataFrame, degree: int, reverse: int, turn:
 
 
 def neighbour_graph(nodes: DataFrame, entries, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """u, v, s: about the `degree` nearest nodes v of every node u, by cosine s in single precision."""
+    """u, v, s: about the `degree` nearest nodes v of every node u; s is minus their squared distance as unit vectors."""
     new = F.lit(1).cast("int")
     edges = cut(nearest(first_edges(nodes, entries, degree), degree).withColumn("new", new), "edges")
     for turn in range(rounds):
@@ -267,10 +274,10 @@ def search(nodes: DataFrame, edges: DataFrame, start: DataFrame, entries, most:
         for b in batches:
             out = []
             for q, d, body in zip(*(b.column(c).to_pylist() for c in ("q", "dims", "body")), strict=True):
-                ids, sims = np.array([q]), np.ones(1, np.float32)
+                ids, sims = np.array([q]), np.zeros(1, np.float32)
                 if d in entries.value:
                     there, y = entries.value[d]
-                    s = y @ np.frombuffer(body, np.float32)
+                    s = -((y - np.frombuffer(body, np.float32)) ** 2).sum(1)
                     at = _best(s[None, :], min(step // 2, len(s)))[0]
                     at = at[there[at] != q]
                     ids, sims = np.append(ids, there[at]), np.append(sims, s[at])
@@ -283,7 +290,7 @@ def search(nodes: DataFrame, edges: DataFrame, start: DataFrame, entries, most:
     ended: list[DataFrame] = []
 
     def compare(key, left, right):
-        """The cosines of a block's nodes that queries were led to, at most a beam of each query."""
+        """How close a block's nodes are that queries were led to, of those that the beam can still take in."""
         u, v, out = [], [], []
         ids, size = left["node"].to_numpy(), left["dims"].to_numpy()
         for d in np.unique(right["dims"].to_numpy()).tolist():
@@ -291,10 +298,11 @@ def search(nodes: DataFrame, edges: DataFrame, start: DataFrame, entries, most:
             own = own[np.argsort(ids[own])]
             x, mine = _vectors(left["x"].take(pa.array(own)), d), ids[own]
             some = right.filter(pa.compute.equal(right["dims"], d))
-            for q, body, led in zip(some["q"].to_pylist(), some["body"].to_pylist(), some["led"].to_pylist(), strict=True):
+            for q, body, bar, led in zip(*(some[c].to_pylist() for c in ("q", "body", "bar", "led")), strict=True):
                 at = np.searchsorted(mine, np.array(led))
-                s = x[at] @ np.frombuffer(body, np.float32)
+                s = -((x[at] - np.frombuffer(body, np.float32)) ** 2).sum(1)
                 best = _best(s[None, :], beam)[0]
+                best = best[s[best] >= bar]
                 u.append(np.full(len(best), q))
                 v.append(mine[at[best]])
                 out.append(s[best])
@@ -312,6 +320,7 @@ def search(nodes: DataFrame, edges: DataFrame, start: DataFrame, entries, most:
         at = np.lexsort((ids, -sims))[:beam]
         return pa.Table.from_arrays([pa.array([z], t) for z, t in zip((q, d, body, ids[at].tolist(), sims[at].tolist(), done[at].tolist()), schema.types, strict=True)], schema=schema)
 
+    bar = F.when(F.size("sims") >= beam, F.element_at("sims", -1)).otherwise(F.lit(FAR).cast("float"))
     while True:
         live = state.filter(F.exists("done", lambda x: ~x))
         ended.append(state.filter(~F.exists("done", lambda x: ~x)).select("q", F.explode(F.slice("ids", 1, most)).alias("node")))
@@ -320,7 +329,7 @@ def search(nodes: DataFrame, edges: DataFrame, start: DataFrame, entries, most:
         open_ = F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"])
         front = live.select("q", F.explode(F.slice(F.transform(open_, lambda x: x["ids"]), 1, step)).alias("node"))
         led = front.join(ways, "node").select("q", F.explode("led").alias("v")).withColumn("block", block("v"))
-        led = led.groupBy("block", "q").agg(F.collect_set("v").alias("led")).join(live.select("q", "dims", "body"), "q")
+        led = led.groupBy("block", "q").agg(F.collect_set("v").alias("led")).join(live.select("q", "dims", "body", bar.alias("bar")), "q")
         found = places.groupBy("block").cogroup(led.groupBy("block")).applyInArrow(compare, "q long, v long, s float")
         state = cut(live.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(hop, STATE), "beams")
     out = ended[0]
