@@ -86,6 +86,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the units, without their vectors."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.floor(F.col("doc_id") / 4).cast("long").alias("chunk_id"), F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("sampler_id"), F.col("text").alias("content"))
+
+
 UNITS = """units AS (SELECT source AS video_id, (doc_id // 4)::BIGINT AS chunk_id, lang || ':' || doc_id AS sampler_id, lang AS sampler, label::VARCHAR AS question,
   text AS content, embedding AS vector, doc_id, n_chars FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlake.lineage import cut
+from momentlake.operators.numbering import numbered, same
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
@@ -141,9 +142,13 @@ def sentiment_chunks(pieces: DataFrame, signed: str = "signed", text: str = "pie
 
 
 def sentiment(per_chunk: DataFrame) -> DataFrame:
-    """Per video the mean tone of its chunks, how many are positive and negative, and where the tone turns."""
+    """Per video the mean tone of its chunks, how many are positive and negative, and where the tone turns.
+
+    Tones have four decimals, so the mean is one of whole numbers: the same in whatever order they are added up."""
+    total, n = F.sum(F.round(F.col("signed") * 10000).cast("long")), F.count("signed")
+    mean = F.signum(total) * F.floor((2 * F.abs(total) + n) / (2 * n)) / 10000
     turns = turning_points(per_chunk, ["video_id"], "chunk_id", "signed").groupBy("video_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("turning_points"))
-    g = per_chunk.groupBy("video_id").agg(F.round(F.avg("signed"), 4).alias("mean"), F.count_if(F.col("signed") > 0).alias("positive_chunks"), F.count_if(F.col("signed") < 0).alias("negative_chunks"), F.count("*").alias("chunks_read"))
+    g = per_chunk.groupBy("video_id").agg((mean + F.lit(0.0)).alias("mean"), F.count_if(F.col("signed") > 0).alias("positive_chunks"), F.count_if(F.col("signed") < 0).alias("negative_chunks"), F.count("*").alias("chunks_read"))
     return g.join(turns, "video_id", "left").withColumn("turning_points", F.coalesce("turning_points", F.array().cast("array<bigint>")))
 
 
@@ -187,11 +192,13 @@ def items_of_windows(rows: DataFrame, grid: DataFrame, ask: Callable[[DataFrame]
 def fold(rows: DataFrame, by: str, order: str, text: str, reduce, batch: int = 25):
     """Hierarchical reduction: batches of 25 by position become one row each until every group has at most 25, then one.
 
+    `order` numbers a group's rows and has no ties.  Places are found on keys alone; texts move to their batch.
+
     reduce(rows) turns the texts of a batch, in order, into one text; it is a DataFrame step, so a level is one shuffle.
     Each level is written before the next begins, so that a model behind reduce is asked once a batch.  Yields (layer,
     DataFrame of by, position, text); the last layer has one row a group."""
-    w = Window.partitionBy(by).orderBy(order)
-    now = rows.select(by, (F.row_number().over(w) - 1).alias("position"), F.col(text).alias("text"))
+    keys = numbered(rows.select(by, order), [by], [order], "__place")
+    now = rows.select(by, order, F.col(text).alias("text")).alias("a").join(keys.alias("b"), same([by, order], "a", "b")).select(f"a.{by}", F.col("b.__place").alias("position"), "a.text")
     most = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     layer = 0
     while True:
@@ -208,8 +215,8 @@ def fold(rows: DataFrame, by: str, order: str, text: str, reduce, batch: int = 2
 
 def windows_of(rows: DataFrame, by: str, order: str, size: int = 100) -> DataFrame:
     """rows with the window (of `size` rows by position) that a windowed model call reads."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    keys = numbered(rows.select(by, order), [by], [order], "__place").withColumn("window", F.floor(F.col("__place") / size).cast("long"))
+    return rows.alias("a").join(keys.alias("b"), same([by, order], "a", "b")).select("a.*", "b.window")
 
 
 def entity_summary(mentions: DataFrame, grid: DataFrame, order: str = "signature") -> DataFrame:

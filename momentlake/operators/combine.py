@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.errors import Refused
+from momentlake.operators.numbering import running
 
 
 #: The figures of a manifest that are counts, and so add up.
 COUNTS = ["frames_decimated", "frames_sampled", "chunks", "chunks_with_frames", "stored_frames", "stored_mb", "elapsed_s"]
 
+#: Chunk ids of a join key of `origin`.
+SPAN = 64
+
 
 def offsets(grids: DataFrame, into: str) -> DataFrame:
     """Per recording, in order of id: its first combined chunk, its chunks, and the seconds before it."""
     g = grids.groupBy("video_id").agg(F.count("*").alias("chunk_count"), F.max("end_ts").alias("duration_s"))
-    w = Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a recording of one combination
-    return g.select(
-        F.lit(into).alias("source_id"), "video_id", F.coalesce(F.sum("chunk_count").over(w), F.lit(0)).alias("first_chunk"), "chunk_count", F.coalesce(F.sum("duration_s").over(w), F.lit(0.0)).alias("offset_s"), "duration_s"
-    )
+    g = running(g, [], ["video_id"], {"first_chunk": F.col("chunk_count"), "offset_s": F.col("duration_s")})
+    return g.select(F.lit(into).alias("source_id"), "video_id", "first_chunk", "chunk_count", "offset_s", "duration_s")
 
 
 def combined_grid(grids: DataFrame, members: DataFrame) -> DataFrame:
@@ -77,9 +79,13 @@ def combine(tables: dict[str, DataFrame], into: str, counts: DataFrame | None =
 
 
 def origin(chunks: DataFrame, members: DataFrame) -> DataFrame:
-    """The recording and own chunk id of combined chunks; with start_ts and end_ts also those on its own clock."""
-    m = members.select(F.col("source_id").alias("__s"), F.col("video_id").alias("member"), "first_chunk", "chunk_count", "offset_s")
-    inside = (F.col("video_id") == F.col("__s")) & (F.col("chunk_id") >= F.col("first_chunk")) & (F.col("chunk_id") < F.col("first_chunk") + F.col("chunk_count"))
+    """The recording and own chunk id of combined chunks; with start_ts and end_ts also those on its own clock.
+
+    A recording meets the chunks of its spans of SPAN chunk ids only, so a chunk meets at most SPAN recordings."""
+    span = lambda c: F.floor(c / SPAN).cast("long")
+    last = F.col("first_chunk") + F.col("chunk_count") - 1
+    m = members.filter("chunk_count > 0").select(F.col("source_id").alias("__s"), F.col("video_id").alias("member"), "first_chunk", "chunk_count", "offset_s", F.explode(F.sequence(span(F.col("first_chunk")), span(last))).alias("__span"))
+    inside = (F.col("video_id") == F.col("__s")) & (span(F.col("chunk_id")) == F.col("__span")) & (F.col("chunk_id") >= F.col("first_chunk")) & (F.col("chunk_id") < F.col("first_chunk") + F.col("chunk_count"))
     own = [F.round(F.col(c) - F.col("offset_s"), 3).alias(f"member_{c}") for c in ("start_ts", "end_ts") if c in chunks.columns]
     return chunks.join(m, inside).select("video_id", "chunk_id", "member", (F.col("chunk_id") - F.col("first_chunk")).alias("member_chunk_id"), *own)
 

@@ -7,7 +7,9 @@ or as a table of pairs says.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,89 @@ def mutual_best(scored: DataFrame, bars: DataFrame, by: list[str], group: str |
     return over.withColumn("ri", F.row_number().over(a)).withColumn("rj", F.row_number().over(b)).filter("ri = 1 AND rj = 1").select(*by, "i", "j", "similarity")
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each two rows, summed up in the order in which vectors.cosine does, so that the two agree to the last bit."""
+    dot = lambda a, b: np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+    nx, ny = np.sqrt(dot(x, x)), np.sqrt(dot(y, y))
+    return dot(x, y) / (np.where(nx == 0, 1.0, nx) * np.where(ny == 0, 1.0, ny))
+
+
+def mutual_pairs(x: np.ndarray, left: np.ndarray, own: np.ndarray, y: np.ndarray, right: np.ndarray, other: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i of x and j of y over the bar that are each other's best within the other's answer, and their cosines.
+
+    left, right: the mentions' ids, by the lesser of which ties go; own, other: numbers of their answers; pairs of one answer
+    are none.  All mentions of an answer have to be there.  A matrix product names the contenders, who are compared by
+    their exact cosines."""
+    a, b = np.lexsort((left, own)), np.lexsort((right, other))
+    x, left, own, y, right, other = x[a], left[a], own[a], y[b], right[b], other[b]
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+    s = unit(x) @ unit(y).T
+    s[own[:, None] == other[None, :]] = -np.inf
+    slack = 1e-9
+    begins = lambda g: np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    to_own, to_other = np.cumsum(np.r_[False, own[1:] != own[:-1]]), np.cumsum(np.r_[False, other[1:] != other[:-1]])
+    by_row = np.maximum.reduceat(s, begins(other), 1)[:, to_other]
+    by_column = np.maximum.reduceat(s, begins(own), 0)[to_own]
+    i, j = np.nonzero((s >= bar - slack) & (s > -np.inf) & ((s >= by_row - slack) | (s >= by_column - slack)))
+    exact = np.concatenate([np.zeros(0), *(_cosines(x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
+    over = exact > bar
+    i, j, exact = i[over], j[over], exact[over]
+
+    def first(row, group, tie):
+        order = np.lexsort((tie, -exact, group, row))
+        head = np.r_[True, (row[order][1:] != row[order][:-1]) | (group[order][1:] != group[order][:-1])] if len(order) else np.zeros(0, bool)
+        out = np.zeros(len(order), bool)
+        out[order[head]] = True
+        return out
+
+    best = first(i, to_other[j], right[j]) & first(j, to_own[i], left[i])
+    return a[i[best]], b[j[best]], exact[best]
+
+
+def mutual_links(mentions: DataFrame, by: list[str], apart: list[str], quantile: float | None = None, fixed: float | None = None, field: str | None = None, part: int = PART) -> DataFrame:
+    """by, i, j and similarity of the mutual best pairs, without a row for any other pair of different answers.
+
+    The bar is read off the pairs of one answer, which are few.  A block is dealt into parts by answer, so that both bests
+    of a pair are found where its two parts meet, as a matrix product; only the mutual ones come out."""
+    answer = F.to_json(F.struct(*apart), {"ignoreNullFields": "false"})
+    rows = mentions.filter(F.col("vector").isNotNull()).select(*by, "mention", V.as_double(F.col("vector")).alias("vector"), answer.alias("__answer"), F.size("vector").alias("__dims"), *([F.col(field).alias("__field")] if field else []))
+    if fixed is None:
+        own = pairs(rows.select(*by, "mention", "vector", F.col("__answer").alias("own")), [*by, "own"], [])
+        bars = threshold(own, by, quantile)
+    else:
+        bars = rows.select(*by).distinct().withColumn("bar", F.lit(float(fixed)))
+    rows = rows.join(bars.select(*by, "bar"), by)
+    block = [*by, "__dims", *(["__field"] if field else [])]
+    if field:  # null is a field of its own
+        rows = rows.withColumn("__field", F.to_json(F.struct("__field"), {"ignoreNullFields": "false"}))
+    sizes = rows.groupBy(*block).agg(F.greatest(F.ceil(F.count("*") / part), F.lit(1)).cast("int").alias("__k"))
+    dealt = rows.join(sizes, block).withColumn("__p", F.pmod(F.xxhash64("__answer"), F.col("__k")).cast("int"))
+    left = dealt.withColumn("__a", F.col("__p")).withColumn("__b", F.explode(F.sequence(F.col("__p"), F.col("__k") - 1)))
+    right = dealt.withColumn("__b", F.col("__p")).withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__p"))))
+    kinds = dict(dealt.dtypes)
+    names = [*block, "__a", "__b"]
+    arrow = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("similarity", pa.float64())])
+
+    def run(key, a, b):
+        if not len(a) or not len(b):
+            return pa.Table.from_arrays([*(pa.array([], key[k].type) for k in range(len(by))), *(pa.array([], t) for t in arrow.types)], [*by, *arrow.names])
+        same = key[len(block)].as_py() == key[len(block) + 1].as_py()
+        answers = {x: k for k, x in enumerate(sorted({*a["__answer"].to_pylist(), *b["__answer"].to_pylist()}))}
+        number = lambda t: np.array([answers[x] for x in t["__answer"].to_pylist()])
+        matrix = lambda t: np.asarray(t["vector"].combine_chunks().flatten()).reshape(len(t), -1)
+        l, r = a["mention"].to_numpy(), b["mention"].to_numpy()
+        i, j, s = mutual_pairs(matrix(a), l, number(a), matrix(b), r, number(b), a["bar"][0].as_py())
+        i, j = l[i], r[j]
+        if same:  # each pair was found twice
+            once = i < j
+            i, j, s = i[once], j[once], s[once]
+        return pa.Table.from_arrays([*(pa.array([key[k].as_py()] * len(i), key[k].type) for k in range(len(by))), pa.array(np.minimum(i, j), pa.int64()), pa.array(np.maximum(i, j), pa.int64()), pa.array(s, pa.float64())], [*by, *arrow.names])
+
+    send = [*names, "mention", "vector", "__answer", "bar"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", i long, j long, similarity double"
+    return left.select(*send).groupBy(*names).cogroup(right.select(*[F.col(c).alias(c) for c in send]).groupBy(*names)).applyInArrow(run, schema)
+
+
 def mutual_best_by_mask(scored: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
     """As mutual_best, where a mention's rivals are those that the pairs `different` name."""
     over = over_bar(scored, bars, by).select(*by, "i", "j", "similarity")
@@ -178,6 +263,8 @@ def link(
     """by, mention and group.  scored: pairs with a similarity of another measure, in place of the vectors' cosine."""
     names = [apart] if isinstance(apart, str) else list(apart)
     names = [*names, *([field] if field and field not in names else [])]
+    if mutual and mask is None and scored is None:
+        return grouped(mentions, mutual_links(mentions, [by], names, quantile, fixed, field), by, names)
     if scored is None:
         scored = pairs(mentions, [by], names, field, mask)
     bars = threshold(scored, [by], quantile, fixed)

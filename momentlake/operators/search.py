@@ -19,6 +19,7 @@ from momentlake.errors import Refused, UnknownOption
 from momentlake.functions import text as T
 from momentlake.functions import times
 from momentlake.functions import vectors as V
+from momentlake.functions.stems import english
 from momentlake.operators import grid as G
 
 RRF_K = 60
@@ -42,7 +43,8 @@ class SearchRequest:
     """What to look for.  Empty filters don't filter.
 
     sampler_id is one pairing, question the question whoever asked it, sampler all that one sampler gave.  after, before
-    (media seconds) and chunk_ids name chunks, `window` adds their neighbours."""
+    (media seconds) and chunk_ids name chunks, `window` adds their neighbours.  stemmed: words of a text match by their
+    English stems."""
 
     limit: int = 5
     candidates: int = 20
@@ -57,6 +59,7 @@ class SearchRequest:
     after: float | None = None
     before: float | None = None
     window: int = 0
+    stemmed: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "video_ids", scope_of(self.video_ids))
@@ -83,9 +86,9 @@ class SearchRequest:
 
 def structured_matches(structured: Column, wanted: dict[str, str]) -> Column:
     """Every wanted field equals the stored one, or is an element of it if that is a list."""
-    out = F.lit(True)
+    out, fields = F.lit(True), F.from_json(structured, "map<string,string>")
     for key, value in wanted.items():
-        have = F.get_json_object(structured, f"$.{key}")
+        have = F.try_element_at(fields, F.lit(key))
         as_list = F.from_json(have, "array<string>")
         out = out & F.coalesce((have == str(value)) | F.array_contains(as_list, str(value)), F.lit(False))
     return out
@@ -172,12 +175,17 @@ def parse_query(text: str) -> list[tuple[list[str], bool]]:
     return out
 
 
-def text_rank(units: DataFrame, query: str, keys: list[str], limit: int, content: str = "content") -> DataFrame:
+def query_terms(text: str, stemmed: bool = False) -> list[tuple[list[str], bool]]:
+    """The terms of a query as parse_query gives them; stemmed: with the stems of their words."""
+    return [([english(w) for w in found], negated) for found, negated in parse_query(text)] if stemmed else parse_query(text)
+
+
+def text_rank(units: DataFrame, query: str, keys: list[str], limit: int, content: str = "content", stemmed: bool = False) -> DataFrame:
     """Units that match any term of the query and hold at least min(2, query lexemes) of its lexemes, by how often the
     terms that aren't negated occur (each occurrence is a cover of its own, as terms are alternatives).
 
     The query is a value of the driver: units are scored in place, nothing but the best is shuffled."""
-    terms = parse_query(query)
+    terms = query_terms(query, stemmed)
     lexemes = list(dict.fromkeys(w for found, _ in terms for w in found))
     if not lexemes:
         return units.select(*keys, F.lit(0).alias("matched"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("text_rank")).filter(F.lit(False))
@@ -190,7 +198,7 @@ def text_rank(units: DataFrame, query: str, keys: list[str], limit: int, content
         phrase = F.array(*map(F.lit, found))
         return F.size(F.filter(at, lambda x: (x["w"] == found[0]) & (F.slice(F.col("w"), x["i"] + 1, len(found)) == phrase)))
 
-    rows = units.select(*keys, T.lexemes(F.coalesce(F.col(content), F.lit(""))).alias("w"))
+    rows = units.select(*keys, T.lexemes(F.coalesce(F.col(content), F.lit("")), stemmed).alias("w"))
     matched = F.size(F.array_intersect("w", wanted)).cast("long")
     tf = sum((occurrences(f) for f, negated in terms if not negated), F.lit(0)).cast("long")
     absent = reduce(lambda x, y: x | y, [occurrences(f) == 0 for f, negated in terms if negated], F.lit(False))
@@ -206,13 +214,15 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, keys: list[str], k: int = RRF
     return j.withColumn("score", part("vector_rank") + part("text_rank"))
 
 
-def ranked_hits(rows: DataFrame, query: DataFrame | Iterable[float], text: str | None, keys: list[str], limit: int) -> DataFrame:
+def ranked_hits(rows: DataFrame, query: DataFrame | Iterable[float], text: str | None, keys: list[str], limit: int, texts: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """keys, vector_rank, text_rank and score of the best `limit` rows; without a text the vector's ranking alone.
 
+    texts: keys and content of the same rows, where they are stored without vectors: no text goes through a join then.
+
     Ties go by vector rank, rows without one last, then by keys."""
     by_vector = vector_rank(rows, query, keys, over_fetch(limit))
     if text and text.strip():
-        fused = fuse(by_vector, text_rank(rows, text, keys, over_fetch(limit)), keys)
+        fused = fuse(by_vector, text_rank(rows if texts is None else texts, text, keys, over_fetch(limit), stemmed=stemmed), keys)
     else:
         fused = by_vector.select(*keys, "vector_rank", F.lit(None).cast("long").alias("text_rank"), (1.0 / (RRF_K + F.col("vector_rank"))).alias("score"))
     return fused.orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *keys).limit(limit)
@@ -224,15 +234,15 @@ def with_content(hits: DataFrame, rows: DataFrame, keys: list[str], columns: Ite
     return hits.join(rows.select(*keys, *own), keys)
 
 
-def hybrid(units: DataFrame, query: DataFrame | Iterable[float], text: str, keys: list[str], limit: int) -> DataFrame:
+def hybrid(units: DataFrame, query: DataFrame | Iterable[float], text: str, keys: list[str], limit: int, texts: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """The best units by fused rank."""
-    return ranked_hits(units, query, text, keys, limit)
+    return ranked_hits(units, query, text, keys, limit, texts, stemmed)
 
 
 def hybrid_search(units: DataFrame, grids: DataFrame, query: DataFrame | Iterable[float], text: str | None, request: SearchRequest) -> DataFrame:
     """The best units with their content and their chunk's times: request.limit rows."""
     found = candidates(units, request, grids)
-    hits = with_content(ranked_hits(found, query, text, UNIT, request.limit), found, UNIT, ("sampler", "question", "content", "structured"))
+    hits = with_content(ranked_hits(found, query, text, UNIT, request.limit, stemmed=request.stemmed), found, UNIT, ("sampler", "question", "content", "structured"))
     return hits.join(grids.select("video_id", "chunk_id", "start_ts", "end_ts"), ["video_id", "chunk_id"], "left").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT)
 
 

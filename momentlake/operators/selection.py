@@ -117,9 +117,8 @@ def answer_ids(definition: str, inputs: list[Input]) -> list[str]:
 
 def vocabulary(answers: DataFrame) -> DataFrame:
     """sampler, question, field and the keys of the field's entries, of all that stored answers carry."""
-    keys = F.json_object_keys("structured")
-    a = answers.select("sampler", "question", "structured", F.explode_outer(keys).alias("field"))
-    entry = F.transform(F.coalesce(F.from_json(F.call_function("get_json_object", F.col("structured"), F.concat(F.lit("$."), F.col("field"))), "array<map<string,string>>"), F.array()), lambda m: F.map_keys(m))
+    a = answers.select("sampler", "question", F.explode_outer(F.from_json("structured", "map<string,string>")).alias("field", "value"))
+    entry = F.transform(F.coalesce(F.from_json("value", "array<map<string,string>>"), F.array()), lambda m: F.coalesce(F.map_keys(m), F.array()))
     return a.select("sampler", "question", "field", F.flatten(entry).alias("k")).groupBy("sampler", "question", "field").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("k")))).alias("keys"))
 
 

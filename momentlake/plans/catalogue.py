@@ -12,7 +12,7 @@ from momentlake import fixtures as X
 from momentlake.functions import text as T
 from momentlake.functions import vectors as V
 from momentlake.models import reduce_with, stub_reduce, stub_sentiment
-from momentlake.operators import aggregates, answers, attributes, combine, grid, linking, sampling, search, segments, speech, units
+from momentlake.operators import aggregates, answers, attributes, combine, grid, linking, sampling, search, segments, speech, text_index, units
 from momentlake.session import ship
 
 QUERIES: dict = {}
@@ -120,7 +120,28 @@ by_text AS (SELECT *, row_number() OVER (ORDER BY tf DESC, video_id, chunk_id, s
 
 @query(f"WITH {TEXT_RANKED} SELECT video_id, chunk_id, sampler_id, matched, tf, text_rank FROM by_text")
 def text_topk(spark, d):
-    return search.text_rank(X.units(spark, d), QUERY_TEXT, search.UNIT, 40)
+    return search.text_rank(X.texts(spark, d), QUERY_TEXT, search.UNIT, 40)
+
+
+INDEXED = 'thonor ention "tion the" -eaing'
+INDEX_SQL = f"""WITH {X.UNITS}, w AS (SELECT video_id, chunk_id, sampler_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({STOPS})) AS w FROM units),
+c AS (SELECT *, len(list_filter(w, lambda x: x = 'thonor')) AS a, len(list_filter(w, lambda x: x = 'ention')) AS b, len(list_filter(w, lambda x: x = 'tion')) AS p, len(list_filter(w, lambda x: x = 'eaing')) AS n FROM w),
+hits AS (SELECT video_id, chunk_id, sampler_id, ((a > 0)::INT + (b > 0)::INT + (p > 0)::INT + (n > 0)::INT)::BIGINT AS matched, (a + b + p)::BIGINT AS tf, n FROM c)
+SELECT video_id, chunk_id, sampler_id, matched, tf, row_number() OVER (ORDER BY tf DESC, video_id, chunk_id, sampler_id) AS text_rank FROM hits
+WHERE matched >= 2 AND (tf > 0 OR n = 0) QUALIFY text_rank <= 40"""
+
+
+@query(INDEX_SQL)
+def index_search(spark, d):
+    """The best 40 units by a stored index, built of all texts.  The phrase's second word is a stop word, so it is one word."""
+    index = text_index.build(X.texts(spark, d), search.UNIT, stemmed=False)
+    return text_index.top(spark, index, INDEXED, 40)
+
+
+@query()
+def index_search_stems(spark, d):
+    index = text_index.build(X.texts(spark, d), search.UNIT)
+    return text_index.top(spark, index, "thonors entions tion", 40)
 
 
 @query(
@@ -130,7 +151,7 @@ SELECT video_id, chunk_id, sampler_id, vector_rank, text_rank, coalesce(1.0::DOU
 FROM by_vector FULL JOIN by_text USING (video_id, chunk_id, sampler_id) ORDER BY score DESC, vector_rank NULLS LAST, video_id, chunk_id, sampler_id LIMIT 10"""
 )
 def hybrid_rrf(spark, d):
-    return search.hybrid(X.units(spark, d), X.query_vector(spark, d), QUERY_TEXT, search.UNIT, 10)
+    return search.hybrid(X.units(spark, d), X.query_vector(spark, d), QUERY_TEXT, search.UNIT, 10, X.texts(spark, d))
 
 
 def _observations(spark, d):
@@ -532,8 +553,7 @@ def standardised_scores(spark, d):
 SELECT video_id, i, j FROM o QUALIFY row_number() OVER (PARTITION BY video_id, i, chunk_id_j ORDER BY similarity DESC, j) = 1 AND row_number() OVER (PARTITION BY video_id, j, chunk_id_i ORDER BY similarity DESC, i) = 1"""
 )
 def mutual_best(spark, d):
-    p = _pairs(spark, d)
-    return linking.mutual_best(p, linking.threshold(p, ["video_id"], 0.95), ["video_id"], "chunk_id").select("video_id", "i", "j")
+    return linking.mutual_links(X.mentions(spark, d), ["video_id"], ["chunk_id"], 0.95).select("video_id", "i", "j")
 
 
 @query()

@@ -85,12 +85,12 @@ def sentiment_chunks(spark, d):
 
 @query(
     f"""WITH {SIGNED}, r AS (SELECT video_id, chunk_id, round(s, 4) AS signed FROM c), l AS (SELECT *, lag(signed) OVER (PARTITION BY video_id ORDER BY chunk_id) AS b FROM r)
-SELECT video_id, count(*) FILTER (signed > 0) AS positive_chunks, count(*) FILTER (signed < 0) AS negative_chunks, count(*) AS chunks_read,
+SELECT video_id, sign(sum(round(signed * 10000)::BIGINT)) * ((2 * abs(sum(round(signed * 10000)::BIGINT)) + count(*)) // (2 * count(*)))::DOUBLE / 10000 + 0.0 AS mean,
+count(*) FILTER (signed > 0) AS positive_chunks, count(*) FILTER (signed < 0) AS negative_chunks, count(*) AS chunks_read,
 coalesce(string_agg(CASE WHEN b IS NOT NULL AND (b < 0) <> (signed < 0) THEN chunk_id::VARCHAR END, ',' ORDER BY chunk_id), '') AS turning_points FROM l GROUP BY video_id"""
 )
 def sentiment_document(spark, d):
-    # without the mean: of two tones of four decimals it is often a tie of the fourth, which sums in another order break
-    return aggregates.sentiment(_tones(spark, d)).drop("mean").withColumn("turning_points", F.array_join(F.transform("turning_points", lambda c: c.cast("string")), ","))
+    return aggregates.sentiment(_tones(spark, d)).withColumn("turning_points", F.array_join(F.transform("turning_points", lambda c: c.cast("string")), ","))
 
 
 @query(f"{FG} SELECT video_id, count(*) AS chunks, round(min(end_ts - start_ts), 3) AS shortest_s, round(max(end_ts - start_ts), 3) AS longest_s, round(max(end_ts), 3) AS duration_s FROM grid GROUP BY video_id")
@@ -258,7 +258,7 @@ def arrival_stamps(spark, d):
     return X.table(spark, d, "events").select("event_id", times.iso_millis(F.col("ts").cast("timestamp")).alias("seen_at"))
 
 
-BOXES = "b AS (SELECT event_id, user_id, (value % 50)::DOUBLE AS x1, (value % 30)::DOUBLE AS y1, (value % 50 + 5 + event_id % 20)::DOUBLE AS x2, (value % 30 + 4 + event_id % 10)::DOUBLE AS y2 FROM events WHERE event_id % 7 = 0 OR event_id % 7 = 1)"
+BOXES = "b AS (SELECT event_id, user_id, (value % 50)::DOUBLE AS x1, (value % 30)::DOUBLE AS y1, (value % 50 + 5 + event_id % 20)::DOUBLE AS x2, (value % 30 + 4 + event_id % 10)::DOUBLE AS y2 FROM events)"
 
 
 @query(
@@ -267,7 +267,7 @@ k AS (SELECT *, greatest(least(ax2, x2) - greatest(ax1, x1), 0) * greatest(least
 SELECT event_id, round(i / (s + t - i), 6) AS iou, round(least(s, t) / greatest(s, t) / (1 + sqrt(((ax1 + ax2) / 2 - (x1 + x2) / 2) ** 2 + ((ay1 + ay2) / 2 - (y1 + y2) / 2) ** 2) / ((sqrt((ax2 - ax1) ** 2 + (ay2 - ay1) ** 2) + sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) / 2)), 6) AS proximity FROM k""".replace("a.user_id = b.user_id AND ", "")
 )
 def box_similarity(spark, d):
-    e = X.table(spark, d, "events").filter("event_id % 7 IN (0, 1)")
+    e = X.table(spark, d, "events")
     at = lambda m, plus: (F.col("value") % m + plus).cast("double")
     box = F.struct(at(50, 0).alias("x1"), at(30, 0).alias("y1"), at(50, 5 + F.col("event_id") % 20).alias("x2"), at(30, 4 + F.col("event_id") % 10).alias("y2"))
     b = e.select("event_id", box.alias("a"))
@@ -281,7 +281,16 @@ def row_lines(spark, d):
     return e.select("event_id", T.row_line(F.col("user_id"), F.col("value"), F.col("value") + 10, F.concat_ws(": ", "event_type", "props")).alias("line"))
 
 
-@query("SELECT DISTINCT lang AS sampler, source AS question, 'text' AS field FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query(
+    """WITH a AS (SELECT lang, source, doc_id, unnest(['size', 'part ' || doc_id % 7]) AS k FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+v AS (SELECT lang AS sampler, 'q' || doc_id % 3 AS question, source AS field, k FROM a UNION ALL SELECT lang, 'q' || doc_id % 3, 'note.n', NULL FROM a)
+SELECT sampler, question, field, coalesce(string_agg(DISTINCT k, ',' ORDER BY k), '') AS keys FROM v GROUP BY ALL"""
+)
 def vocabulary(spark, d):
-    a = X.table(spark, d, "documents").select(F.col("lang").alias("sampler"), F.col("source").alias("question"), F.to_json(F.struct(F.lit("x").alias("text"))).alias("structured"))
-    return selection.vocabulary(a).select("sampler", "question", "field")
+    """Answers made of the documents: a field named by the source that lists an entry, and one with a dot in its name."""
+    t = X.table(spark, d, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    entry = F.create_map(F.lit("size"), F.col("n_chars").cast("string"), F.concat(F.lit("part "), F.col("doc_id") % 7), F.col("lang"))
+    fields = F.to_json(F.create_map("source", F.array(entry)))
+    structured = F.concat(F.expr("left(s, length(s) - 1)"), F.lit(',"note.n":"said"}'))
+    a = t.withColumn("s", fields).select(F.col("lang").alias("sampler"), F.concat(F.lit("q"), F.col("doc_id") % 3).alias("question"), structured.alias("structured"))
+    return selection.vocabulary(a).withColumn("keys", F.array_join("keys", ","))

@@ -60,6 +60,23 @@ def folded(duck, got, columns):
     assert sorted((r[at[0]], r[at[1]]) for r in got) == sorted((k, x[0]) for k, x in texts.items())
 
 
+def stemmed(duck, got, columns):
+    """The 40 units with most words of the query's stems, of those that hold two of them at least."""
+    from momentlake.functions.stems import english
+    from momentlake.functions.text import STOP_WORDS
+
+    wanted = {english(w) for w in ("thonors", "entions", "tion")}
+    hits = []
+    for source, i, lang, text in duck.execute("SELECT source, doc_id, lang, text FROM documents").fetchall():
+        own = [english(w) for w in re.findall(r"[^\W_]+", (text or "").lower()) if w not in STOP_WORDS]
+        tf, matched = sum(w in wanted for w in own), len(wanted.intersection(own))
+        if matched >= 2:
+            hits.append((-tf, source, i // 4, f"{lang}:{i}", matched))
+    want = [(v, c, s, m, -n, k) for k, (n, v, c, s, m) in enumerate(sorted(hits)[:40], 1)]
+    at = [columns.index(x) for x in ("video_id", "chunk_id", "sampler_id", "matched", "tf", "text_rank")]
+    assert sorted(tuple(r[k] for k in at) for r in got) == sorted(want) and len(want) > 10
+
+
 def linked(duck, got, columns):
     import numpy as np
     from test_answers import plain_links
@@ -110,7 +127,7 @@ def pieced(duck, got, columns):
             assert len(a) + 1 + len(first) > limit or re.search(r"[^.!?]$", a) or len(first) == limit or len(a) + len(b) > limit
 
 
-PLAIN = {"greedy_sampler": greedy, "stub_summary": folded, "linker_groups": linked, "segments_merged": merged, "sentence_pieces": pieced}
+PLAIN = {"index_search_stems": stemmed, "greedy_sampler": greedy, "stub_summary": folded, "linker_groups": linked, "segments_merged": merged, "sentence_pieces": pieced}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
