@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from momentlake.lineage import cut, discard, shared_dir
 from momentlake.session import ship
 
-__all__ = ["SPACE", "broadcast_rows", "cut", "discard", "extended", "release", "shared_dir", "ship", "slices", "small_side", "table", "utf8", "word_bounds"]
+__all__ = ["SPACE", "broadcast_rows", "cut", "discard", "extended", "release", "scaled", "shared_dir", "ship", "slices", "small_side", "table", "utf8", "word_bounds"]
 
 #: Bytes of a side that may be broadcast, as rows of about so many bytes each in a JVM hash relation.
 BROADCAST_BYTES = 32_000_000
@@ -59,6 +59,12 @@ def slices(offsets: np.ndarray, most: int = 2_000_000):
         a = b
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their greatest component to about 1, which is exact: squares of tiny or huge
+    components are lost otherwise."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 _libc = None
 
 

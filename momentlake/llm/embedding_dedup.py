@@ -17,7 +17,7 @@ Per pair of blocks come the number of links of each class and a spanning forest
 up and the forests joined to components.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose label is null,
-link with nothing and keep themselves, as do rows without vec_id (their component_id is null); repeated rows count
+link with nothing and keep themselves, as do rows without vec_id (their component_id is null); components may be of any size that doubles have; repeated rows count
 as vectors of their own that are linked with each other; ties don't arise, as the bound is inclusive.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm.common import cut, extended, ship, table
+from momentlake.llm.common import cut, discard, extended, scaled, ship, table
 from momentlake.llm.components import components
 
 COSINE = 0.98
@@ -52,7 +52,7 @@ def directions(rows: DataFrame, dims: int, k: int = DIRECTIONS, max_fit: int = M
     def moments(batches):
         total, square, count = np.zeros(dims), np.zeros((dims, dims)), 0
         for b in batches:
-            x = np.asarray(b.column(0).flatten()).reshape(-1, dims)
+            x = scaled(np.asarray(b.column(0).flatten()).reshape(-1, dims))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             total, square, count = total + x.sum(0), square + x.T @ x, count + len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array([r.tolist() for r in [*square, total]]), pa.array(np.full(dims + 1, count))], ["i", "r", "n"])
@@ -137,15 +137,18 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
 
     def project(batches):
         for b in batches:
-            k = b.column("v")
-            cells, coords = [], []
-            for z in k.to_pylist():
-                z = np.array(z)
+            k = b.schema.get_field_index("v")
+            cells, coords, vectors = [], [], []
+            for z in b.column(k).to_pylist():
+                z = scaled(np.array([z]))[0]
+                vectors.append(z)
                 p = z / np.linalg.norm(z)
                 p = p @ turn.value[len(z)] if len(z) in turn.value else p[:DIRECTIONS]
                 coords.append(p.tolist())
                 cells.append(np.floor(p / eps).astype(int).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coords, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "p", "cell"])
+            columns = list(b.columns)
+            columns[k] = pa.array(vectors, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(coords, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "p", "cell"])
 
     placed = classes.mapInArrow(project, extended(classes, p="array<double>", cell="array<int>")).withColumn("dims", F.size("v"))
     ordered = placed.repartitionByRange("label", "dims", "cell", "rep").sortWithinPartitions("label", "dims", "cell", "rep")
@@ -235,6 +238,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, vector: str = "embe
     comp = components(found.filter(F.col("v").isNotNull()).select("u", "v"))
     known = classes.join(links, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = cut(known.select(*same, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    for done in (classes, blocks, pairs, found):
+        discard(done)
     linked = src.filter("good").select("vec_id", *same).join(known, same).select("vec_id", "n_links", "component_id")
     alone = src.filter(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
