@@ -19,7 +19,8 @@ Defined results: vectors that are null or hold a null or non-finite component ta
 scores are between vectors of one length, also of none.  Every row stands for itself: all rows but the query's own are
 its candidates, so repeated rows are candidates of each other, and a repeated query row gets its ranks once for each
 time that it occurs; rows without vec_id are candidates, the last among equal scores, and are no queries.  Fewer than k
-candidates are all returned; equal scores go to the smaller vec_id.
+candidates are all returned; equal scores go to the smaller vec_id.  Sums that floats don't hold exactly (from 2^52 on) are
+taken with whole numbers, without bounds; a score beyond the range of a long is its nearest end.
 """
 
 from __future__ import annotations
@@ -46,6 +47,13 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return own.withColumn("row", F.monotonically_increasing_id())
 
 
+def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The integer inner products of rows that floats can't sum exactly; beyond the range of a long, its nearest end."""
+    whole = [int(x) for x in q.tolist()]
+    sums = [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in v.tolist()]
+    return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
+
+
 def search_block(q_row: np.ndarray, q: np.ndarray, row: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, first: float = FIRST, few: int = FEW, scored: list | None = None):
     """Of each query the k best of this block but its own row: arrays of query index, vector index and score.
 
@@ -83,7 +91,7 @@ def search_block(q_row: np.ndarray, q: np.ndarray, row: np.ndarray, vid: np.ndar
                 if exact:
                     score = (v[c] @ q[todo[r]]).astype(np.int64)
                 else:
-                    score = (v[c].astype(np.int64) * q[todo[r]].astype(np.int64)).sum(1)
+                    score = _exact(v[c], q[todo[r]])
                 best = np.lexsort((vid[c], -score))[:k]
                 out_q.append(np.full(len(best), todo[r]))
                 out_v.append(c[best])
