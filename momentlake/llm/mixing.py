@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from momentlake.llm.common import cut, discard, small_side, table
 from momentlake.llm.quality import judged
+from momentlake.operators.numbering import numbered, running
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -43,25 +44,24 @@ def keyed(rows: DataFrame, size: Column, weight: Column) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size and target, from source and source_size; one row a source, so these windows are small.
+    """source, source_size and target, from source and source_size; sources may be very many, so they are numbered and
+    summed up by ranges (`running`), and only the level is one value.
 
     With r = most * size / weight, the sources under the level x are at their limit and the others get x * weight;
     x is the only level at which all targets sum to the total.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("__rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1).withColumn("__w", w)
+    ranked = numbered(sizes.withColumn("__last", F.col("source").isNull()), [], ["__last", "source"], "__rank").drop("__last").withColumn("__w", w)
     ranked = ranked.withColumn("__r", most * F.col("source_size") / F.col("__w"))
-    up = Window.orderBy("__r", "__rank").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    ranked = (
-        ranked.withColumn("__full", F.coalesce(F.sum(most * F.col("source_size")).over(up), F.lit(0)))
-        .withColumn("__total", F.sum("source_size").over(every))
-        .withColumn("__rest", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(up), F.lit(0.0)))
-        .withColumn("__x", (F.col("__total") - F.col("__full")) / F.col("__rest"))
-    )
+    total = ranked.agg(F.sum("source_size").alias("size"), F.sum("__w").alias("w")).first()
+    if total.size is None:
+        return ranked.select("source", "source_size", F.lit(0.0).alias("target"))
+    ranked = cut(running(ranked, [], ["__r", "__rank"], {"__full": most * F.col("source_size"), "__before": F.col("__w")}), "ranked")
+    ranked = ranked.withColumn("__x", (F.lit(total.size) - F.col("__full")) / (F.lit(total.w) - F.col("__before")))
     # the level is the first that doesn't exceed its own source's limit
-    level = F.min(F.when(F.col("__x") <= F.col("__r"), F.struct("__r", "__rank", "__x"))).over(every)["__x"]
-    target = F.least((most * F.col("source_size")).cast("double"), F.coalesce(level, F.col("__r")) * F.col("__w"))
+    level = ranked.filter(F.col("__x") <= F.col("__r")).agg(F.min(F.struct("__r", "__rank", "__x")).alias("m")).first().m
+    x = F.lit(level["__x"]) if level else F.col("__r")
+    target = F.least((most * F.col("source_size")).cast("double"), x * F.col("__w"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
