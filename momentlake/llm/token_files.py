@@ -1,6 +1,7 @@
 """Token-ID / binary output (8): shards of independent zstandard frames with a trailing seek table.
 
-A shard holds a run of documents in ascending doc_id order (null first; ties by text).  File layout:
+A shard holds a run of documents in ascending doc_id order (null first; ties by a hash of the text, so that the rows of
+one id are many shards too, then by the text).  File layout:
 
     frame 0 .. frame n-1   one zstandard frame a document: its ids as little-endian unsigned integers, 2 or 4 bytes
     index frame            a skippable frame (magic 0x184D2A50): width u8, n u64, then n doc_ids i64, n null flags u8
@@ -34,10 +35,16 @@ INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
 
 
+#: Schemes that Hadoop calls otherwise than pyarrow's file systems.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
+
 def _filesystem(uri: str):
+    """The file system of a folder by Hadoop's name, and the path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if found else uri)
 
 
 class ShardWriter:
@@ -117,7 +124,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     ship(docs.sparkSession)
     path = path or E.default_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def run(batches):
         from pyspark import TaskContext
