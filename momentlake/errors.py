@@ -13,6 +13,10 @@ class ModelUnavailable(Unavailable):
     """A model can't be used as configured."""
 
 
+class Moved(EngineError):
+    """Another writer published a table meanwhile."""
+
+
 class MissingArtifact(Unavailable):
     """A document that a step reads was never written."""
 

@@ -235,12 +235,14 @@ def entity_summary(mentions: DataFrame, grid: DataFrame, order: str = "signature
 
 
 def together(mentions: DataFrame, most: int = 50) -> DataFrame:
-    """Pairs of groups seen in the same chunk, by how many chunks they share; the first `most` of each video."""
+    """Pairs of groups seen in the same chunk, by how many chunks they share, and these; the first `most` of each video."""
     m = mentions.select("video_id", "chunk_id", "group").distinct()
     a, b = m.withColumnRenamed("group", "a"), m.withColumnRenamed("group", "b")
     pairs = a.join(b, ["video_id", "chunk_id"]).filter(F.col("a") < F.col("b")).groupBy("video_id", "a", "b").agg(F.count("*").alias("shared"))
     w = Window.partitionBy("video_id").orderBy(F.desc("shared"), "a", "b")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
+    best = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
+    where = best.join(a, ["video_id", "a"]).join(b, ["video_id", "b", "chunk_id"]).groupBy("video_id", "a", "b").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    return best.join(where, ["video_id", "a", "b"])
 
 
 def too_many_images(rows: DataFrame, by: list[str], images: str, most: int) -> DataFrame:

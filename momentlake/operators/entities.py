@@ -150,7 +150,7 @@ def linked(profile: Profile, found: DataFrame, grid: DataFrame, tell: Callable[[
     told_of = found.drop("vector").join(groups, ["video_id", "mention"])
     entities = aggregates.entity_summary(told_of, grid, "sampler_id")
     entities = entities.join(told_of.groupBy("video_id", "group").agg(F.min_by("field", "mention").alias("field")), ["video_id", "group"])
-    rank = F.row_number().over(Window.partitionBy("video_id", F.col("appearances") >= profile.min_appearances).orderBy("entity_id"))
+    rank = F.row_number().over(Window.partitionBy("video_id", F.col("appearances") >= profile.min_appearances).orderBy(F.length("entity_id"), "entity_id"))
     entities = entities.withColumn("present", F.col("appearances") >= profile.min_appearances).withColumn("narrated", F.col("present") & (rank <= profile.max_narratives))
     seen = told_of.join(entities.select("video_id", "group", "entity_id", "present", "narrated"), ["video_id", "group"])
     place = F.row_number().over(Window.partitionBy("video_id", "entity_id").orderBy("chunk_id", "sampler_id", "mention"))

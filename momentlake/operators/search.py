@@ -257,23 +257,53 @@ def moments(hits: DataFrame, limit: int) -> DataFrame:
     return g.orderBy(F.desc("score"), "video_id", "chunk_id").limit(limit)
 
 
-def search(units: DataFrame, query: DataFrame | Iterable[float], request: SearchRequest, text: str = "", grid: DataFrame | None = None, visual: tuple[DataFrame, Iterable[float]] | None = None) -> DataFrame:
+HIT = ("sampler", "question", "content", "structured")
+
+
+def search(units: DataFrame, query: DataFrame | Iterable[float], request: SearchRequest, text: str = "", grid: DataFrame | None = None, visual: tuple[DataFrame, Iterable[float]] | None = None, details: bool = False) -> DataFrame:
     """Moments that answer a query: one lazy plan.
 
     visual: units of another vector space, such as frames, and the query in that space.  Each space is then ranked for
-    itself and its hits are scored by their places, as scores of two spaces aren't on one scale."""
-    hits = ranked_hits(candidates(units, request, grid), query, text if request.mode == "hybrid" else None, UNIT, request.candidates)
+    itself and its hits are scored by their places, as scores of two spaces aren't on one scale.
+    details: with `found`, what a moment is made of, the best first: sampler_id, score, the ranks by vector and text, and what
+    the unit says (HIT)."""
+    hits = ranked_hits(candidates(units, request, grid), query, text if request.mode == "hybrid" else None, UNIT, request.candidates, stemmed=request.stemmed)
+    said = candidates(units, request, grid)
     if visual is not None:
+        said = said.unionByName(candidates(visual[0], request, grid), allowMissingColumns=True)
         seen = ranked_hits(candidates(visual[0], request, grid), visual[1], None, UNIT, request.candidates)
         order = [F.desc("score"), F.asc_nulls_last("vector_rank"), *UNIT]
         both = hits.withColumn("space", F.lit(0)).unionByName(seen.withColumn("space", F.lit(1)))
         hits = both.withColumn("score", 1.0 / (RRF_K + F.row_number().over(Window.partitionBy("space").orderBy(*order)))).drop("space")
     out = moments(hits, request.limit)
+    if details:
+        out = with_hits(out, hits, said)
     if grid is not None:
         out = out.join(grid.select("video_id", "chunk_id", "start_ts", "end_ts"), ["video_id", "chunk_id"], "left")
     return out
 
 
+def with_hits(found: DataFrame, hits: DataFrame, units: DataFrame) -> DataFrame:
+    """Moments with `found`, their hits as an array of structs, the best first.  Hits are few; units are read for them only."""
+    chunk = ["video_id", "chunk_id"]
+    own = hits.join(found.select(*chunk), chunk, "left_semi")
+    own = with_content(own, units, UNIT, HIT)
+    place = F.struct((-F.col("score")).alias("s"), F.coalesce("vector_rank", F.lit(1 << 60)).alias("v"), F.col("sampler_id").alias("k"))
+    what = F.struct("sampler_id", "score", "vector_rank", "text_rank", *[c for c in HIT if c in own.columns])
+    listed = own.groupBy(*chunk).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), what.alias("hit")))), lambda x: x["hit"]).alias("found"))
+    return found.join(listed, chunk)
+
+
+def search_notes(request: SearchRequest, found: int, empty_spaces: Iterable[str] = ()) -> list[str]:
+    """What to know about a result of `found` moments: the request's notes, what matched nothing, and which of several
+    vector spaces had nothing to rank."""
+    narrowed = request.narrows_chunks or request.sampler_id or request.question or request.sampler or request.structured or request.video_ids
+    out = [f"nothing is indexed for {space} in this scope; only the other space was ranked" for space in empty_spaces]
+    if not found:
+        out.append("nothing matched those filters; if that embedder never indexed these recordings, embed them first" if narrowed else "nothing is indexed for this embedder")
+    return out + request.notes()
+
+
 def search_observations(
     observations: DataFrame, query: DataFrame | Iterable[float], limit: int = 10, after=None, before=None, since=None, until=None, text: str | None = None,
     embedder: str | None = None, video_id: str | Iterable[str] | None = None, sampler_id: str | None = None, question: str | None = None, sampler: str | None = None, structured: dict[str, str] | None = None,

@@ -78,6 +78,17 @@ def moments_dense(spark, d):
     return search.search(X.units(spark, d), X.query_vector(spark, d), search.SearchRequest(limit=5, candidates=20))
 
 
+@query(
+    f"""{RANKED}, placed AS (SELECT *, 1.0::DOUBLE / (10 + rank) AS s, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY rank) AS place FROM ranked WHERE rank <= 20),
+best AS (SELECT video_id, chunk_id, max(s) FILTER (place = 1) + 0.5 * coalesce(max(s) FILTER (place = 2), 0) AS score FROM placed GROUP BY video_id, chunk_id ORDER BY score DESC, video_id, chunk_id LIMIT 5)
+SELECT video_id, chunk_id, round(score, 6) AS score, place - 1 AS at, sampler_id, rank AS vector_rank, question, length(content) AS characters FROM placed JOIN best USING (video_id, chunk_id)"""
+)
+def moments_hits(spark, d):
+    found = search.search(X.units(spark, d), X.query_vector(spark, d), search.SearchRequest(limit=5, candidates=20), details=True)
+    hit = found.select("video_id", "chunk_id", F.round("score", 6).alias("score"), F.posexplode("found").alias("at", "hit"))
+    return hit.select("video_id", "chunk_id", "score", F.col("at").cast("long").alias("at"), "hit.sampler_id", "hit.vector_rank", "hit.question", F.length("hit.content").cast("long").alias("characters"))
+
+
 @query(RANKED.replace("WHERE vector IS NOT NULL", "WHERE vector IS NOT NULL AND sampler = 'en' AND question IN ('3')") + MOMENTS)
 def moments_filtered(spark, d):
     return search.search(X.units(spark, d), X.query_vector(spark, d), search.SearchRequest(limit=5, candidates=20, sampler="en", question="3"))
@@ -565,13 +576,13 @@ TOGETHER = "m AS (SELECT DISTINCT user_id::VARCHAR AS video_id, value::BIGINT //
 
 
 @query(
-    f"""WITH {TOGETHER}, p AS (SELECT a.video_id, a.g AS a, b.g AS b, count(*) AS shared FROM m a JOIN m b ON a.video_id = b.video_id AND a.chunk_id = b.chunk_id AND a.g < b.g GROUP BY ALL)
+    f"""WITH {TOGETHER}, p AS (SELECT a.video_id, a.g AS a, b.g AS b, count(*) AS shared, string_agg(a.chunk_id::VARCHAR, ',' ORDER BY a.chunk_id) AS chunk_ids FROM m a JOIN m b ON a.video_id = b.video_id AND a.chunk_id = b.chunk_id AND a.g < b.g GROUP BY ALL)
 SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY shared DESC, a, b) <= 50""".replace("value::BIGINT // 50", "floor(value / 50)::BIGINT")
 )
 def together(spark, d):
     e = X.table(spark, d, "events")
     m = e.select(F.col("user_id").cast("string").alias("video_id"), F.floor(F.col("value") / 50).alias("chunk_id"), F.col("event_type").alias("group"))
-    return aggregates.together(m)
+    return aggregates.together(m).withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda c: c.cast("long").cast("string")), ","))
 
 
 @query(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.errors import EngineError, MissingArtifact, Unsupported
+from momentlake.errors import MissingArtifact, Moved, Unsupported
 from momentlake.operators.units import insert_absent, upsert
 
 #: Table -> key.  Rows of a table are replaced by key.
@@ -57,9 +58,14 @@ class ParquetStore(Store):
     version moves last, by a rename, so that readers see the old or the new one whole.
 
     Tables by recording or source are kept in partitions of BUCKETS buckets of that id: a merge reads and writes the
-    buckets that the new rows touch, and the new version refers to the others where they are."""
+    buckets that the new rows touch, and the new version refers to the others where they are; so do `replace` and
+    `delete_stale`, which look for the rows that go by their keys alone.  A bucket is as many files as its size asks for
+    (the session's advisory size of a partition).
 
-    BUCKETS = 64
+    A writer publishes the state after the one that it read.  If another was there first, it merges its staged rows
+    again, with the new state, up to RETRIES times."""
+
+    BUCKETS, RETRIES = 64, 20
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -76,23 +82,28 @@ class ParquetStore(Store):
         return sorted(s.getPath().getName() for s in found or [])
 
     def _current(self, table: str) -> dict[int, str] | None:
+        return self._state(table)[1]
+
+    def _state(self, table: str) -> tuple[int, dict[int, str] | None]:
+        """The number of the current state, -1 without one, and where its buckets are."""
         names = self._pointers(table)
         if not names:
-            return None
+            return -1, None
         # the newest pointer counts; older ones are deleted after it is in place
         lines = self.spark.read.text(f"{self.folder}/{table}/{names[-1]}").collect()  # at most BUCKETS lines
-        return {int(k): at for k, _, at in (r[0].partition(" ") for r in lines if r[0])}
+        return int(names[-1].rpartition("-")[2]), {int(k): at for k, _, at in (r[0].partition(" ") for r in lines if r[0])}
 
-    def _move(self, table: str, buckets: dict[int, str]) -> None:
-        old = self._pointers(table)
-        number = int(old[-1].rpartition("-")[2]) + 1 if old else 0
+    def _move(self, table: str, buckets: dict[int, str], after: int) -> None:
+        """Publish a state as the one after `after`."""
+        old = [x for x in self._pointers(table) if int(x.rpartition("-")[2]) <= after]
+        number = after + 1
         fs, tmp = self._fs(f"{self.folder}/{table}/.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp)
         out.write(bytearray("\n".join(f"{k} {at}" for k, at in sorted(buckets.items())).encode()))
         out.close()
         if not fs.rename(tmp, self._fs(f"{self.folder}/{table}/pointer-{number:012d}")[1]):
             fs.delete(tmp, False)
-            raise EngineError(f"another writer moved {table} meanwhile")
+            raise Moved(f"another writer moved {table} meanwhile")
         for name in old[:-1]:  # the one before stays for readers that have just looked
             fs.delete(self._fs(f"{self.folder}/{table}/{name}")[1], False)
 
@@ -125,17 +136,39 @@ class ParquetStore(Store):
             raise MissingArtifact(f"no rows of {table} in {self.folder}")
         return self._read(table, now)
 
-    def _publish(self, table: str, rows: DataFrame, touched: list[int], now: dict[int, str]) -> None:
-        """rows, all of the touched buckets, as their new content."""
+    def _publish(self, table: str, rows: DataFrame, touched: list[int], now: dict[int, str], after: int) -> None:
+        """rows, all of the touched buckets, as their new content in the state after `after`."""
         at = f"v-{uuid.uuid4().hex}"
-        self._bucketed(table, rows).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{table}/{at}")
+        self._bucketed(table, rows).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{table}/{at}")
         fs, p = self._fs(f"{self.folder}/{table}/{at}/__bucket=*")
         made = {int(s.getPath().getName().partition("=")[2]) for s in fs.globStatus(p) or []}
         left = {k: x for k, x in now.items() if k not in touched}
         if not made and not left:  # an empty table keeps its columns
             rows.limit(0).write.parquet(f"{self.folder}/{table}/{at}/__bucket=0")
             made = {0}
-        self._move(table, left | {k: f"{at}/__bucket={k}" for k in made})
+        try:
+            self._move(table, left | {k: f"{at}/__bucket={k}" for k in made}, after)
+        except Moved:
+            fs, p = self._fs(f"{self.folder}/{table}/{at}")
+            fs.delete(p, True)
+            raise
+
+    def _again(self, step: Callable[[], None]) -> None:
+        """step, from the state that is current by then, as often as another writer is first."""
+        for k in range(self.RETRIES):
+            try:
+                return step()
+            except Moved:
+                if k == self.RETRIES - 1:
+                    raise
+
+    def _holding(self, table: str, now: dict[int, str], rows: DataFrame, keys: list[str], how: str) -> list[int]:
+        """The buckets that hold a stored row with (left_semi) or without (left_anti) the keys of a row of rows."""
+        if not now:
+            return []
+        owner = self._owner(table)
+        stored = self._bucketed(table, self._read(table, now)).select("__bucket", *dict.fromkeys([*keys, *([owner] if owner else [])]))
+        return [r[0] for r in stored.join(rows.select(*keys).distinct(), keys, how).select("__bucket").distinct().collect()]  # at most BUCKETS
 
     def _staged(self, table: str, rows: DataFrame) -> tuple[DataFrame, list[int], str]:
         """rows written once, so that a model behind them is asked once and a choice among repeated keys is one choice."""
@@ -147,31 +180,51 @@ class ParquetStore(Store):
 
     def write(self, table: str, rows: DataFrame) -> None:
         keys = TABLES[table]
-        held, touched, at = self._staged(table, rows.dropDuplicates(keys))
-        now = self._current(table)
-        old = {k: x for k, x in (now or {}).items() if k in touched}
-        if old:
-            stored = self._read(table, old)
-            held = insert_absent(stored, held, keys) if table in APPEND_ONLY else upsert(stored, held, keys)
-        if touched or now is None:
-            self._publish(table, held, touched, now or {})
+        staged, touched, at = self._staged(table, rows.dropDuplicates(keys))
+
+        def step() -> None:
+            after, now = self._state(table)
+            old = {k: x for k, x in (now or {}).items() if k in touched}
+            held = staged
+            if old:
+                stored = self._read(table, old)
+                held = insert_absent(stored, held, keys) if table in APPEND_ONLY else upsert(stored, held, keys)
+            if touched or now is None:
+                self._publish(table, held, touched, now or {}, after)
+
+        self._again(step)
         fs, p = self._fs(at)
         fs.delete(p, True)
 
     def replace(self, table: str, rows: DataFrame, scope: DataFrame, keys: list[str]) -> None:
         """rows in place of all stored rows that have the keys of a row of scope (an answer, say), and of those of their own key."""
-        now = self._current(table) or {}
-        if now:
-            kept = self._read(table, now).join(scope.select(*keys).distinct(), keys, "left_anti")
-            rows = upsert(kept, rows.dropDuplicates(TABLES[table]), TABLES[table])
-        held, _, at = self._staged(table, rows.dropDuplicates(TABLES[table]))
-        self._publish(table, held, list(now), now)
+        own = TABLES[table]
+        staged, new, at = self._staged(table, rows.dropDuplicates(own))
+
+        def step() -> None:
+            after, now = self._state(table)
+            touched = sorted({*new, *self._holding(table, now or {}, scope, keys, "left_semi")})
+            old = {k: x for k, x in (now or {}).items() if k in touched}
+            held = upsert(self._read(table, old).join(scope.select(*keys).distinct(), keys, "left_anti"), staged, own) if old else staged
+            if touched or now is None:
+                self._publish(table, held, touched, now or {}, after)
+
+        self._again(step)
         fs, p = self._fs(at)
         fs.delete(p, True)
 
     def delete_stale(self, table: str, keep: DataFrame, keys: list[str]) -> None:
-        now = self._current(table) or {}
-        self._publish(table, self.read(table).join(keep.select(*keys).distinct(), keys, "left_semi"), list(now), now)
+        """Delete stored rows that don't have the keys of a row of keep."""
+        def step() -> None:
+            after, now = self._state(table)
+            if now is None:
+                raise MissingArtifact(f"no rows of {table} in {self.folder}")
+            touched = self._holding(table, now, keep, keys, "left_anti")
+            if touched:
+                old = {k: now[k] for k in touched}
+                self._publish(table, self._read(table, old).join(keep.select(*keys).distinct(), keys, "left_semi"), touched, now, after)
+
+        self._again(step)
 
     def spans(self, video_id: str) -> DataFrame:
         """The grid of a recording, in order."""

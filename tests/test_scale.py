@@ -163,3 +163,89 @@ def test_filters_on_keys_of_any_name(spark):
     df = spark.createDataFrame([(1, '{"a.b": "x", "it\'s": ["p", "q"], "n": 7}'), (2, '{"a": {"b": "x"}}'), (3, None), (4, "no json")], "id int, s string")
     ids = lambda wanted: [x.id for x in df.filter(search.structured_matches(F.col("s"), wanted)).collect()]
     assert ids({"a.b": "x"}) == [1] and ids({"it's": "q"}) == [1] and ids({"n": "7"}) == [1] and ids({"a.b": "x", "n": "8"}) == []
+
+
+def state(store, table):
+    return store._current(table)
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    from momentlake.sources.store import ParquetStore
+
+    store = ParquetStore(spark, f"file://{tmp_path}/s")
+    rows = lambda ids, x: spark.createDataFrame([(f"v{i}", c, f"{x}{i}") for i in ids for c in range(3)], "video_id string, chunk_id int, label string")
+    store.write("chunks", rows(range(200), "a"))
+    first = state(store, "chunks")
+    assert len(first) > 40
+    store.write("chunks", rows([7], "b"))
+    second = state(store, "chunks")
+    moved = {k for k in second if second[k] != first.get(k)}
+    assert len(moved) == 1
+    # replace in a scope that isn't the owner's: the rows that go are found by their keys
+    store.replace("chunks", rows([7], "c").limit(1), spark.createDataFrame([("b7",)], "label string"), ["label"])
+    third = state(store, "chunks")
+    assert {k for k in third if third[k] != second.get(k)} == moved
+    assert sorted((r.chunk_id, r.label) for r in store.read("chunks").filter("video_id = 'v7'").collect()) == [(0, "c7")]
+    store.delete_stale("chunks", store.read("chunks").filter("video_id <> 'v9'").select("video_id"), ["video_id"])
+    fourth = state(store, "chunks")
+    assert len({k for k in {*third, *fourth} if fourth.get(k) != third.get(k)}) == 1 and store.read("chunks").count() == 199 * 3 + 1 - 3
+    store.delete_stale("chunks", store.read("chunks").select("video_id"), ["video_id"])
+    assert state(store, "chunks") == fourth  # nothing was stale
+    assert {r.video_id for r in store.live_ids().collect()} == set() if state(store, "observations") else True
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from momentlake.errors import Moved
+    from momentlake.sources.store import ParquetStore
+
+    folder = f"file://{tmp_path}/s"
+    rows = lambda k: spark.createDataFrame([(f"v{i}", k, f"w{k}") for i in range(5)], "video_id string, chunk_id int, label string")
+    ParquetStore(spark, folder).write("chunks", rows(0))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: ParquetStore(spark, folder).write("chunks", rows(k)), range(1, 5)))
+    store = ParquetStore(spark, folder)
+    assert sorted((r.video_id, r.chunk_id) for r in store.read("chunks").collect()) == sorted((f"v{i}", k) for i in range(5) for k in range(5))
+    # a state that isn't the current one any more can't be built upon
+    after, now = store._state("chunks")
+    with pytest.raises(Moved):
+        store._publish("chunks", rows(9), list(now), now, after - 1)
+    assert store._state("chunks") == (after, now)
+
+
+def test_large_buckets_are_several_files(spark, tmp_path):
+    from momentlake.sources.store import ParquetStore
+
+    store = ParquetStore(spark, f"file://{tmp_path}/s")
+    df = spark.range(60_000).selectExpr("'one' AS video_id", "cast(id AS int) AS chunk_id", "repeat(md5(cast(id AS string)), 4) AS label")
+    try:
+        for k, v in (("advisoryPartitionSizeInBytes", "1m"), ("coalescePartitions.minPartitionSize", "64k")):
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        store.write("chunks", df)
+    finally:
+        for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"):
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    at = next(iter(state(store, "chunks").values()))
+    assert len(list((tmp_path / "s/chunks" / at).glob("*.parquet"))) > 2 and store.read("chunks").count() == 60_000
+
+
+def test_moments_with_their_hits(spark):
+    units = spark.createDataFrame([("v", c, s, "frames", q, f"{s} of {c}", v, None) for c, s, q, v in [(0, "a", "who", [1.0, 0.0]), (0, "b", "what", [0.9, 0.1]), (1, "a", "who", [0.5, 0.5]), (2, "a", "who", [0.0, 1.0])]], "video_id string, chunk_id int, sampler_id string, sampler string, question string, content string, vector array<double>, structured string")
+    got = search.search(units, [1.0, 0.0], search.SearchRequest(limit=2), details=True).orderBy(F.desc("score")).collect()
+    assert [(r.chunk_id, [(h.sampler_id, h.vector_rank, h.text_rank, h.question, h.content) for h in r.found]) for r in got] == [(0, [("a", 1, None, "who", "a of 0"), ("b", 2, None, "what", "b of 0")]), (1, [("a", 3, None, "who", "a of 1")])]
+    assert search.search_notes(search.SearchRequest(sampler="x"), 0)[0].startswith("nothing matched") and search.search_notes(search.SearchRequest(), 0)[0] == "nothing is indexed for this embedder"
+    assert "only the other space" in search.search_notes(search.SearchRequest(video_ids="v"), 3, ["frames:512"])[0]
+
+
+def test_entities_are_told_of_by_number(spark):
+    """e1000 comes after e101."""
+    from momentlake.operators import entities as E
+
+    turn = 2 * math.pi / 1100
+    rows = [("v", c, "s", "f", 0, f"thing {g}", {"k": f"{g}"}, f"c{c}", 2 * g + k, [math.cos(g * turn), math.sin(g * turn)]) for g in range(1100) for k, c in enumerate((g, 2000 + g))]
+    found = spark.createDataFrame(rows, "video_id string, chunk_id int, sampler_id string, field string, index int, signature string, entry map<string,string>, key string, mention long, vector array<double>")
+    grid = spark.createDataFrame([("v", c, float(c), c + 1.0) for c in range(3200)], "video_id string, chunk_id int, start_ts double, end_ts double")
+    out = E.linked(E.Profile("things", "f", ("k",), fixed=0.99999, max_narratives=105), found, grid)
+    told = [r.entity_id for r in out.entities.filter("narrated").collect()]
+    assert sorted(told) == [f"e{k:03d}" for k in range(105)] and out.entities.count() == 1100
