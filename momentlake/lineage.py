@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more.  It does so when the driver's objects are
+    collected as garbage, which may otherwise come long after they have filled the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a cut() that no later plan reads."""
     path = getattr(df, "_momentlake_path", None)
