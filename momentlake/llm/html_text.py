@@ -1,27 +1,30 @@
 """HTML extraction (3) by site template removal.
 
-1. Every page is parsed into a tree.  Each block's subtree, inside the article or outside, is hashed (tag, attributes,
-   text and the hashes of its children), and Spark counts per host in how many different bodies each hash occurs: a
-   body is the text that is read of a page, without the subtree itself.
-2. Subtrees that occur in at least MIN_BODIES different bodies of their host are the site's template and are deleted,
-   as are elements that are boilerplate by what they are: navigation, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles and reader comments, by tag, role, or a whole class or id.  No name drops
-   what holds the page's main, its only articles or most of its text.
+1. Every page is parsed into a tree.  Each block's subtree, whatever it is called, is hashed (tag, attributes, text and the
+   hashes of its children), and Spark counts per host in how many different bodies each hash occurs: a body is the text
+   that is read of a page, without the subtree itself.
+2. Subtrees that occur in at least MIN_BODIES different bodies of their host are the site's template and are deleted.
+   What a page's own count can't tell, such as a menu with other entries on each page, is deleted by what it is:
+   navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag, role, or a
+   whole class or id.  No name drops what holds the page's main, its only articles or most of its text.
 3. What is left of the article (or of the body, where a page has no article or main element) is read as blocks.
 
-A story that a host publishes on many pages is no template: around each of its parts the body is the same.  Near copies
-of it, such as with a counter of readers, have different bodies; so a page of which the template would take nearly all
-of a long text keeps it.  A page whose own text is short beside long notices so keeps these as well.
+Plain prose of an article (a paragraph or quotation without class and id) is never counted: an author's or licence line
+recurs on a host without being its template.  A story that a host publishes on many pages is no template either: around
+each of its parts the body is the same.  Near copies of it have bodies that differ, but have most shingles (three words of
+a string) in common; so bodies are also counted by the least hash of their shingles, by the mean over HASHES hashes, which
+bodies of similarity s share with a chance of s: of MIN_BODIES bodies or more, a quarter are to differ in it.
 
 Defined results: null or empty html gives an empty text; a null url makes a host of its own; repeated rows count
-once; unclosed and stray tags are repaired as browsers do in the common cases; character references are
-decoded once; other columns are ignored.
+once; unclosed and stray tags are repaired as browsers do in the common cases, elements more than DEPTH deep are siblings;
+parsing takes time in proportion to the page; character references are decoded once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as H
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,19 @@ from momentlake.llm.common import broadcast_rows, cut, ship, table
 
 #: A subtree is template if it occurs in so many different bodies of its host, whatever the host's size.
 MIN_BODIES = 10
-#: Deletions of MUCH characters that leave less than LEAST of a page's text are taken back, see near copies above.
-LEAST, MUCH = 0.2, 500
+#: Of the different bodies, this share is to differ in the least hash of its shingles too, in the mean over HASHES.
+OWN_SHARE = 1 / 4
+HASHES = 8
+_TURNS = np.random.default_rng(3).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Prose and blocks without a name are counted if they have so many characters.
 MIN_CHARS = 20
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
+#: Elements stand in one another at most so deep.
+DEPTH = 512
+
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_IN_TAG = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -52,7 +62,7 @@ _UNITS = _BLOCK - set("html body article main h1 h2 h3 h4 h5 h6 hgroup hr captio
 _PROSE = {"p", "pre", "blockquote", "address", "center"}
 #: An opening tag ends these if one is open within the given bounds.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_DROP_TAGS = set("head nav header footer aside form script style noscript template iframe svg math canvas button select input textarea option dialog object embed audio video applet map menu noembed noframes xmp title".split())
+_DROP_TAGS = set("head nav header footer aside form script style noscript template iframe svg button select input textarea option dialog embed audio video applet menu noembed noframes xmp title".split())
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _DROP_WORDS = set(
     "ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -67,11 +77,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class _Node:
     """size: characters of text, without what is boilerplate by its tag; holds: 2 a main, 1 an article, 0 neither."""
 
-    __slots__ = ("tag", "attrs", "items", "size", "holds")
+    __slots__ = ("tag", "attrs", "items", "size", "holds", "drops")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.items = tag, attrs, []
         self.size = self.holds = 0
+        self.drops: list[bool | None] = [None, None]  # what boilerplate() said, without and with spare
 
 
 def _measured(root: _Node) -> _Node:
@@ -91,62 +102,122 @@ def _measured(root: _Node) -> _Node:
     return root
 
 
+class _Scanner:
+    """The tags of a text, one after another; every character is looked at a bounded number of times."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, {q: text.rfind(q) for q in ("\"", "'", "]]>", "-->")}
+
+    def end(self, at: int) -> int:
+        """Where the tag's > is, beyond quoted values; -1 without one.  A quote that isn't closed is a character."""
+        text = self.text
+        while m := _IN_TAG.search(text, at):
+            q = m[0]
+            if q == ">":
+                return m.start()
+            at = text.index(q, m.end()) + 1 if m.start() < self.last[q] else m.end()
+        return -1
+
+    def skip(self, at: int) -> int:
+        """Where the comment, declaration or section that begins at `at` ends; -1 if it takes the rest."""
+        text = self.text
+        for mark, close in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if text.startswith(mark, at):
+                if at < self.last[close]:
+                    return text.index(close, at) + 3
+                if mark == "<!--":
+                    return -1
+        return text.find(">", at) + 1 or -1
+
+
+class _Stack:
+    """The elements that are open, and how many there are of each tag."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.open = [root], Counter()
+
+    def push(self, node: _Node) -> None:
+        if len(self.nodes) <= DEPTH:
+            self.nodes.append(node)
+            self.open[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        self.open.subtract(x.tag for x in self.nodes[k:])
+        del self.nodes[k:]
+
+    def close(self, tag: str) -> None:
+        """An end tag; an inline one doesn't end the block that it stands in."""
+        if self.open[tag] <= 0:
+            return
+        for k in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[k].tag == tag:
+                return self.cut(k)
+            if tag not in _BLOCK and self.nodes[k].tag in _BLOCK:
+                return
+
+    def begin(self, tag: str) -> None:
+        """What an opening tag ends."""
+        if tag in _CLOSES_P and self.open["p"] > 0:
+            for k in range(len(self.nodes) - 1, 0, -1):
+                if self.nodes[k].tag == "p":
+                    self.cut(k)
+                    break
+                if self.nodes[k].tag in _BLOCK:
+                    break
+        if tag in _ENDS:
+            ended, bounds = _ENDS[tag]
+            for k in range(len(self.nodes) - 1, 0, -1):
+                if self.nodes[k].tag in bounds or not any(self.open[x] > 0 for x in ended):
+                    break
+                if self.nodes[k].tag in ended:
+                    self.cut(k)
+
+
 def parse(text: str) -> _Node:
     """A tree of nodes whose items are strings (decoded) and nodes."""
     root = _Node("", "")
-    stack = [root]
-    at = 0
-    end = len(text)
+    stack, scan = _Stack(root), _Scanner(text)
+    at, end = 0, len(text)
     while at < end:
-        m = _TOKEN.search(text, at)
+        top = stack.nodes[-1]
+        m = _OPEN.search(text, at)
         if m is None:
-            stack[-1].items.append(H.unescape(text[at:]))
+            top.items.append(H.unescape(text[at:]))
             break
         if m.start() > at:
-            stack[-1].items.append(H.unescape(text[at : m.start()]))
+            top.items.append(H.unescape(text[at : m.start()]))
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        name = _NAME.match(text, at)
+        if name is None:  # a comment, a declaration, or an end tag without a name
+            at = scan.skip(m.start())
+            if at < 0:
+                break
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
-                    break  # an inline end tag doesn't end the block that it stands in
+        close, tag = name[1], name[2].lower()
+        stop = scan.end(name.end())
+        if stop < 0:
+            break
+        at = stop + 1
+        if close:
+            stack.close(tag)
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
-        if tag in _ENDS:
-            ended, bounds = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ended:
-                    del stack[k:]
-        node = _Node(tag, m[3].strip())
-        stack[-1].items.append(node)
+        stack.begin(tag)
+        node = _Node(tag, text[name.end() : stop].strip())
+        stack.nodes[-1].items.append(node)
         if tag in _VOID or node.attrs.endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
-            stop = close.start() if close else end
+            closed = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
+            stop = closed.start() if closed else end
             raw = text[at:stop]
             node.items.append(H.unescape(raw) if tag in ("title", "textarea") else raw)
-            at = text.find(">", stop) + 1 if close else end
+            at = text.find(">", stop) + 1 if closed else end
             at = at or end
             continue
         if tag == "plaintext":
             node.items.append(text[at:])
             break
-        stack.append(node)
+        stack.push(node)
     return _measured(root)
 
 
@@ -164,18 +235,24 @@ def named(names: str) -> bool:
 
 
 def boilerplate(node: _Node, root: _Node, spare: bool = False) -> bool:
-    """Whether the element is none of the article by its tag, role, class, id or being hidden.
+    """As _boilerplate, asked once."""
+    known = node.drops[spare]
+    if known is None:
+        known = node.drops[spare] = _boilerplate(node, root, spare)
+    return known
+
+
+def _boilerplate(node: _Node, root: _Node, spare: bool) -> bool:
+    """Whether the element is none of the article by its tag, role, class or id.
 
     No name drops an element that holds a main or more than half of the page's text (readers' comments may be more
     than half), nor, with spare, one that holds an article.  A form may be around a whole page, so it counts as a name.
     """
     if node.tag in _DROP_TAGS and node.tag != "form":
         return True
-    a = attributes(node) if node.attrs else {}
-    if node.tag in ("html", "body", "main"):
+    if node.tag in ("html", "body", "main") or not node.attrs and node.tag != "form":
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true":
-        return True
+    a = attributes(node) if node.attrs else {}
     names = f"{a.get('class', '')} {a.get('id', '')}"
     role = a.get("role", "").lower()
     if node.tag == "article":  # a comment, a teaser or an advert
@@ -208,65 +285,107 @@ def heads_of(root: _Node) -> tuple[list[_Node], bool]:
     return heads, spare
 
 
-def subtrees(root: _Node) -> dict[int, tuple[int, int]]:
-    """id(node) -> (hash, hash of the surrounding body) of each element subtree that the count may delete.
+def subtrees(root: _Node, bodies: bool = True) -> dict[int, tuple]:
+    """id(node) -> (hash, hash of the surrounding body, and HASHES least hashes of its shingles) of each element subtree
+    that the count may delete, also of those that a name drops.  Without bodies: (hash,).
 
     These are whole blocks, no phrases, headings, cells or items: a term set in italics, a section title or a table's
-    zero recurs in different articles without being template.  Prose is to have MIN_CHARS characters, as do blocks
-    without class and id.  The body is the text that is read of the page, without what is boilerplate by its name and
-    without the subtree; its hash is a sum over its strings, from which a subtree's own part can be taken away.
+    zero recurs in different articles without being template; nor is plain prose inside of an article.  Blocks without
+    class and id are to have MIN_CHARS characters.  The body is the text that is read of the page, without what is
+    boilerplate by its name and without the subtree; its hash is a sum over its strings, from which a subtree's own part can
+    be taken away, and strings are in the order in which a subtree's are neighbours, so that the least hash beside them is
+    that of what stands before and of what comes after.
     """
     heads, spare = heads_of(root)
-    order: list[tuple[_Node, bool]] = []
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        if node is not root and boilerplate(node, root, spare):
-            continue
-        inside = inside or any(node is x for x in heads)
-        order.append((node, inside))
-        todo += [(x, inside) for x in node.items if isinstance(x, _Node)]
-    found: dict[int, tuple[int, int, int]] = {}  # hash, sum over the strings, characters
+    tops = {id(x) for x in heads}
+    strings: list[int] = []  # hashes of what is read, in the order of the page
+    hashes: list[int] = []  # and of their words, those of string k from begins[k]
+    begins: list[int] = []
+    found: dict[int, tuple[int, int, int]] = {}  # hash, and where the strings that are read begin and end
+    size: dict[int, int] = {}
     holds: set[int] = set()
     candidates: list[tuple[_Node, bool]] = []
-    for node, inside in reversed(order):  # children before parents
+    todo: list = [(root, False, not heads, None)]  # node, inside an article, read, its begin once its children are done
+    while todo:
+        node, inside, read, begin = todo.pop()
+        if begin is None:
+            if node is not root and read and boilerplate(node, root, spare):
+                read = False
+            elif id(node) in tops:
+                inside = read = True
+            todo.append((node, inside, read, len(strings)))
+            for x in reversed(node.items):
+                todo.append((x, inside, read, None) if isinstance(x, _Node) else (x, inside, read, -1))
+            continue
+        if begin < 0:
+            if not read or not bodies:
+                continue
+            words = node.encode("utf-8", "surrogatepass").split()
+            if words:
+                strings.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                begins.append(len(hashes))
+                hashes += map(xxhash.xxh32_intdigest, words)
+            continue
         h = xxhash.xxh64(f"<{node.tag} {node.attrs}>")
-        total = size = 0
+        n = 0
         for x in node.items:
             if isinstance(x, str):
                 t = " ".join(x.split())
                 if t:
-                    one = xxhash.xxh64_intdigest(t)
-                    total, size = total + one, size + len(t)
-                    h.update(one.to_bytes(8, "little"))
-            elif id(x) in found:
-                part = found[id(x)]
-                total, size = total + part[1], size + part[2]
-                h.update(part[0].to_bytes(8, "little"))
+                    n += len(t)
+                    h.update(xxhash.xxh64_digest(t.encode("utf-8", "surrogatepass")))
+            else:
+                n += size[id(x)]
+                h.update(found[id(x)][0].to_bytes(8, "little"))
                 if id(x) in holds or x.tag in ("article", "main"):
                     holds.add(id(node))
-        found[id(node)] = h.intdigest(), total, size
-        if size and id(node) not in holds and _counted(node, size, inside):
+        size[id(node)] = n
+        found[id(node)] = h.intdigest(), begin, len(strings)
+        if n and id(node) not in holds and _counted(node, n, inside):
             candidates.append((node, inside))
-    body = sum(found[id(x)][1] for x in heads or [root])
+    if not candidates or not bodies:
+        return {id(node): found[id(node)][:1] for node, _ in candidates}
+    m = len(strings)
+    total = [0]
+    for x in strings:
+        total.append(total[-1] + x)
+    # least hashes by string, and of the strings before each and from each on
+    none = np.full((1, HASHES), 2**32, np.uint64)
+    least = np.minimum.reduceat((_shingles(hashes, begins)[:, None] * _TURNS) >> np.uint64(32), begins) if m else none[:0]
+    before = np.concatenate([none, np.minimum.accumulate(least)])
+    after = np.concatenate([np.minimum.accumulate(least[::-1])[::-1], none])
     out = {}
-    for node, inside in candidates:
-        h, total, _ = found[id(node)]
-        out[id(node)] = h, (body - (total if inside or not heads else 0)) % 2**64
+    for node, _ in candidates:
+        h, a, z = found[id(node)]
+        out[id(node)] = h, (total[m] - total[z] + total[a]) % 2**64, *np.minimum(before[a], after[z]).tolist()
     return out
 
 
+def _shingles(words: list[int], begins: list[int]) -> np.ndarray:
+    """A hash of each word and the two after it in its string, of fewer at its end."""
+    out, w = np.zeros((3, len(words)), np.uint64), np.array(words, np.uint64) + np.uint64(1)
+    string = np.zeros(len(words), np.int64)
+    string[begins] = 1
+    string = np.cumsum(string)
+    out[0] = w
+    for k in (1, 2):
+        out[k, :-k] = np.where(string[k:] == string[:-k], w[k:], 0)
+    out = (out * _TURNS[:3, None]).sum(0, dtype=np.uint64)
+    return out ^ (out >> np.uint64(29))
+
+
 def _counted(node: _Node, size: int, inside: bool) -> bool:
     if node.tag == "li":  # an entry of a menu
         return not inside and all(x.tag == "a" if isinstance(x, _Node) else not x.strip() for x in node.items)
     if node.tag not in _UNITS:
         return False
-    if size >= MIN_CHARS:
-        return True
-    return node.tag not in _PROSE and bool(node.attrs) and not {"class", "id"}.isdisjoint(attributes(node))
+    is_named = bool(node.attrs) and not {"class", "id"}.isdisjoint(attributes(node))
+    if node.tag in _PROSE:
+        return size >= MIN_CHARS and (is_named or not inside)
+    return size >= MIN_CHARS or is_named
 
 
-def _read(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
+def _read(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple] | None = None) -> str:
     heads, spare = heads_of(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -303,14 +422,9 @@ def _read(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple
     return "\n".join(blocks)
 
 
-def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple[int, int]] | None = None) -> str:
+def main_text(root: _Node, template: set[int] | None = None, hashes: dict[int, tuple] | None = None) -> str:
     """The blocks of the article, joined by line breaks; template: hashes of subtrees to delete."""
-    text = _read(root, template, hashes)
-    if template:
-        whole = _read(root)
-        if len(whole) - len(text) >= MUCH and len(text) < LEAST * len(whole):
-            return whole
-    return text
+    return _read(root, template, hashes)
 
 
 def _key(host: str | None, h: int) -> int:
@@ -327,26 +441,31 @@ def templates(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
 
     def packed(batches):
-        keys, bodies = [], []
+        keys, bodies, leasts = [], [], []
+        least = [f"l{k}" for k in range(HASHES)]
 
         def full():
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], ["key", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, bodies, *zip(*leasts, strict=True))], ["key", "body", *least])
 
         for b in batches:
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for h, body in set(subtrees(parse(text or "")).values()):
+                for h, body, *own in set(subtrees(parse(text or "")).values()):
                     keys.append(_key(host, h))
                     bodies.append(body - 2**63)
+                    leasts.append(own)
                 if len(keys) > 50_000:
                     yield full()
-                    keys, bodies = [], []
+                    keys, bodies, leasts = [], [], []
         if keys:
             yield full()
 
     src = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     # a row for each different body first, so that no key of a large host is one task's
-    seen = src.mapInArrow(packed, "key long, body long").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    return seen.filter(F.col("n") >= MIN_BODIES).select("key")
+    seen = src.mapInArrow(packed, "key long, body long, " + ", ".join(f"l{k} long" for k in range(HASHES))).distinct()
+    own = seen.select("key", F.posexplode(F.array(*[f"l{k}" for k in range(HASHES)])).alias("k", "least"))
+    own = own.groupBy("key", "k", "least").agg(F.count("*").alias("n")).groupBy("key", "k").agg(F.sum("n").alias("n"), F.count("*").alias("own"))
+    seen = own.groupBy("key").agg(F.max("n").alias("n"), F.avg("own").alias("own"))
+    return seen.filter((F.col("n") >= MIN_BODIES) & (F.col("own") >= OWN_SHARE * F.col("n"))).select("key")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -361,8 +480,8 @@ def extract(pages: DataFrame) -> DataFrame:
         out = []
         for k, (host, text) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)):
             root = parse(text or "")
-            hashes = subtrees(root)
-            hit = {h for h in {h for h, _ in hashes.values()} if _key(host, h) in sets(k)}
+            hashes = subtrees(root, bodies=False) if sets(k) else {}
+            hit = {h for h in {h for h, *_ in hashes.values()} if _key(host, h) in sets(k)}
             out.append(main_text(root, hit, hashes))
         return pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names)
 
@@ -378,7 +497,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # more templates than may be broadcast: each page gets its own by two joins
     def keys(batches):
         for b in batches:
-            rows = [[_key(host, h) for h in {h for h, _ in subtrees(parse(text or "")).values()}] for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+            rows = [[_key(host, h) for h in {h for h, *_ in subtrees(parse(text or ""), bodies=False).values()}] for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page"), pa.array(rows, pa.list_(pa.int64()))], ["page", "keys"])
 
     src = src.withColumn("page", F.xxhash64("page_id", "url", "html"))

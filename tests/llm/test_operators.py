@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -223,12 +224,13 @@ def test_html_names_are_whole_and_spare_the_main_text():
 
 
 def test_html_counts_templates_inside_articles(spark):
-    page = '<body><{0}><div class="x7">Subscribe now</div><p>Story {1} with <i>in vitro</i> data</p><p>This text stands under all of them.</p><h2>Results</h2><p>Yes.</p></{0}></body>'
-    rows = [(i, f"http://h.org/{i}", page.format(("article", "main")[i % 2], i)) for i in range(24)]
+    own = lambda i: " ".join(f"{w}{i}" for w in "each has a text of its own that no other page of this host repeats".split())
+    page = '<body><{0}><div class="x7">Subscribe now</div><p>Story {1} with <i>in vitro</i> data: {2}</p><p class="x8">This text stands under all of them.</p><p>A licence line of the author ends it.</p><h2>Results</h2><p>Yes.</p></{0}></body>'
+    rows = [(i, f"http://h.org/{i}", page.format(("article", "main")[i % 2], i, own(i))) for i in range(24)]
     story = "<article><div>Once upon a time there was a story.</div><p>It was told on every page of a host.</p></article><div>{}</div>"
     rows += [(100 + i, f"http://copies.org/{i}", story.format(i)) for i in range(24)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"Story {i} with in vitro data\nResults\nYes." for i in range(24))
+    assert all(got[i] == f"Story {i} with in vitro data: {own(i)}\nA licence line of the author ends it.\nResults\nYes." for i in range(24))
     assert all(got[100 + i] == "Once upon a time there was a story.\nIt was told on every page of a host." for i in range(24))
 
 
@@ -262,14 +264,15 @@ def test_html_count_equals_plain_sets(spark):
         host = (url or "").partition("://")[2].partition("/")[0]
         trees = html_text.subtrees(html_text.parse(h or ""))
         hosts[i] = host
-        for t, body in trees.values():
-            seen.setdefault((host, t), set()).add(body)
-    template = {k for k, bodies in seen.items() if len(bodies) >= html_text.MIN_BODIES}
+        for t, *body in trees.values():
+            seen.setdefault((host, t), set()).add(tuple(body))
+    own = {k: np.mean([len(set(least)) for least in list(zip(*bodies, strict=True))[1:]]) for k, bodies in seen.items()}
+    template = {k for k, bodies in seen.items() if len(bodies) >= html_text.MIN_BODIES and own[k] >= html_text.OWN_SHARE * len(bodies)}
     want, plain = {}, {}
     for i, _, h in rows:
         root = html_text.parse(h or "")
         trees = html_text.subtrees(root)
-        want[i] = html_text.main_text(root, {t for t, _ in trees.values() if (hosts[i], t) in template}, trees)
+        want[i] = html_text.main_text(root, {t for t, *_ in trees.values() if (hosts[i], t) in template}, trees)
         plain[i] = html_text.main_text(root)
     got = {x.page_id: x for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("key", F.lit(1)).repartition(6)).collect()}
     assert {i: x.text for i, x in got.items()} == want and all(x.n_chars == len(x.text) for x in got.values())
@@ -278,6 +281,36 @@ def test_html_count_equals_plain_sets(spark):
     assert len(changed) > 20 and notes(want, "a.org") < notes(plain, "a.org") / 4 and notes(want, "c.org") > 0
 
 
+def test_html_takes_a_long_notice_from_short_pages(spark):
+    notice = "<div><p>" + "</p><p>".join(f"Sentence {k} of a notice that is longer than all else." for k in range(12)) + "</p></div>"
+    rows = [(i, f"http://h.org/{i}", f"<body>{notice}<p>{sentence(random.Random(i), 8)}</p></body>") for i in range(24)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: sentence(random.Random(i), 8) for i in range(24)}
+
+
+def test_html_counts_what_names_drop_too():
+    """Menus and footers are counted as any other subtree; a list of links that has no name is deleted by the count alone."""
+    page = html_text.parse("<body><nav><ul><li><a href=/a>Products of ours and prices</a></li></ul></nav><article><p>Text</p></article><footer>Printed by a printer</footer></body>")
+    trees = html_text.subtrees(page)
+    tags = {x.tag for x in walk(page) if id(x) in trees}
+    assert {"nav", "ul", "footer"} <= tags and "p" not in tags
+
+
+def walk(node):
+    yield node
+    for x in node.items:
+        if not isinstance(x, str):
+            yield from walk(x)
+
+
+@pytest.mark.parametrize("text", ["<b>" * 150_000 + "</i>" * 150_000, "<a b=\"" * 150_000, "<a b='\"" * 100_001, "<div>" * 100_000 + "<li>x" * 100_000, "<![CDATA[" * 100_000, "<!--" * 200_000, "<" * 500_000, "<p a=\"" + "x" * 900_000, "<article>x</article>" * 40_000, "<i><div>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000])
+def test_html_of_a_megabyte_takes_seconds(text):
+    began = time.process_time()
+    root = html_text.parse(text)
+    html_text.main_text(root, {1}, html_text.subtrees(root))
+    assert time.process_time() - began < 8
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h.org/{i}", PAGE.format(f"<div><p>Own text {i}</p></div>")) for i in range(20)]
     monkeypatch.setattr(html_text, "broadcast_rows", lambda _: 0)
@@ -390,6 +423,59 @@ def test_embedding_dedup(spark, block, leaf, group):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], E)).count() == 0
 
 
+def test_topk_beyond_exact_floats(spark):
+    rows = [(50, [2.0**40, 1.0, 3.0], 1), (1, [2.0**40, 2.0, 1.0], 1), (2, [2.0**40, 2.0, 2.0], 1), (3, [-(2.0**40), 0.0, 0.0], 1), (4, [1e300, 0.0, 0.0], 1), (5, [-1e300, 0.0, 0.0], 1)]
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    q = [int(256 * x) for x in rows[0][1]]
+    score = lambda v: min(max(sum(a * int(np.floor(256 * b)) for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1)
+    assert got == [(k, i, s) for k, (s, i) in enumerate(sorted(((score(v), i) for i, v, _ in rows[1:]), key=lambda x: (-x[0], x[1])), 1)]
+
+
+def test_mixing_targets_of_many_sources(spark):
+    r = random.Random(6)
+    size = {f"s{k:04d}": r.choice([0, 1, 7, 50, 400]) for k in range(500)} | {None: 90}
+    rows = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, source_size long").repartition(7)
+    got = {x.source: x.target for x in mixing.targets(rows).collect()}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
+    want, free, total = {}, set(order), sum(size.values())
+    while True:  # those above their limit stop there, the rest shares what is left
+        level = (total - sum(want.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > mixing.MOST * size[s]}
+        want |= {s: mixing.MOST * size[s] for s in over}
+        free -= over
+        if not over or not free:
+            break
+    want |= {s: weight[s] * level for s in free}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(total)
+    assert mixing.targets(rows.limit(0)).collect() == []
+
+
+def test_token_files_of_one_id_and_by_hadoops_schemes(spark, tmp_path):
+    rows = [(7, f"text {i}", 1) for i in range(300)] + [(None, f"none {i}", 1) for i in range(300)] + [(1, None, 1), (9, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small shards
+    shards = token_files.write_shards(df, f"file://{tmp_path}/tokens")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.count() > 2
+    got = sorted(token_files.read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [1] + [7] * 300 + [9]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert token_files.SCHEMES["s3a"] == "s3"
+
+
+def test_embedding_dedup_of_tiny_and_huge_components(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(g.normal(size=(300, 4)))]
+    rows += [(400, [1e-170] * 4, 1), (401, [2e-170] * 4, 1), (402, [1e200] * 4, 1), (403, [2e200] * 4, 1), (404, [5e-324] * 4, 1), (405, [1e300, -1e300, 1e300, -1e300], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = lambda v: np.ldexp(v, -np.frexp(np.abs(v).max())[1]) / np.linalg.norm(np.ldexp(v, -np.frexp(np.abs(v).max())[1]))
+    u = {i: unit(np.array(v)) for i, v, _ in rows}
+    linked = {i: [j for j in u if j != i and u[i] @ u[j] >= 0.98] for i in u}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in linked.items()}
+    assert {400, 401, 402, 403, 404} <= set(linked[400]) | {400} and got[403][1] == got[400][1] and got[405][0] == len(linked[405])
+
+
 def test_blocks_are_joined_recursively():
     """Intervals that are provably far apart are skipped, others are halved down to the leaf; no pair is lost."""
     g = np.random.default_rng(3)
