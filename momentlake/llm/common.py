@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlake.lineage import cut, discard, shared_dir
+from momentlake.lineage import cut, discard, shared_dir, sweep
 from momentlake.session import ship
 
-__all__ = ["SPACE", "broadcast_rows", "cut", "discard", "extended", "release", "scaled", "shared_dir", "ship", "slices", "small_side", "table", "utf8", "word_bounds"]
+__all__ = ["SPACE", "broadcast_rows", "cut", "discard", "extended", "release", "scaled", "shared_dir", "ship", "slices", "small_side", "sweep", "table", "utf8", "word_bounds"]
 
 #: Bytes of a side that may be broadcast, as rows of about so many bytes each in a JVM hash relation.
 BROADCAST_BYTES = 32_000_000

@@ -145,6 +145,35 @@ class DetectionSampler(Sampler):
         return whole + crops
 
 
+class DescriptorSampler(Sampler):
+    """Keeps a frame in which somebody is unlike everybody of the reference, by the cosine of their descriptors.
+
+    A value is a list of vectors, one for each that is seen.  The score is the weakest best match, so one who is new is
+    enough, however many others stay.  A frame without any leaves the reference; a reference without any lets a frame with
+    some pass."""
+
+    name = "yolo"
+
+    def __init__(self, threshold: float = 0.83, **limits):
+        super().__init__(**limits)
+        self.threshold = threshold
+
+    def propose(self, value) -> bool:
+        if value is None or not len(value):
+            self.last_score = 1.0
+            return False
+        if self.reference is None or not len(self.reference):
+            self.last_score = 0.0
+            return True
+        unit = lambda x: (v := np.asarray(x, float)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        self.last_score = float((unit(value) @ unit(self.reference).T).max(1).min())
+        return self.last_score < self.threshold
+
+    def remember(self, value) -> None:
+        if value is not None and len(value):
+            self.reference = value
+
+
 class LayoutSampler(ChangeSampler):
     """Keeps a frame whose text stands elsewhere or reads otherwise: the cosine of masked pictures, see `text_layout`.
 
@@ -170,11 +199,9 @@ class LayoutSampler(ChangeSampler):
 # the ready samplers over detections, with their fixed thresholds
 
 
-def people(threshold: float = 0.83, **limits) -> ChangeSampler:
-    """Over the mean descriptor of the people that are seen."""
-    out = ChangeSampler(threshold, **limits)
-    out.name = "yolo"
-    return out
+def people(threshold: float = 0.83, **limits) -> DescriptorSampler:
+    """Over the descriptors of the people that are seen, one each (see `crops`)."""
+    return DescriptorSampler(threshold, **limits)
 
 
 def objects(threshold: float = 0.30, metric: str = "proximity", **limits) -> DetectionSampler:
@@ -185,6 +212,18 @@ def text(threshold: float = 0.92, **limits) -> LayoutSampler:
     return LayoutSampler(threshold, **limits)
 
 
+def crops(picture: np.ndarray, boxes: list, embed, pad: float = 0.08, batch: int = 64) -> list[np.ndarray]:
+    """The descriptor of each box's part of a picture (rows x columns, with or without colours), padded by a share of its
+    size and cut at the edges.  embed: a list of pictures -> their vectors; it gets at most `batch` at a time."""
+    h, w = picture.shape[:2]
+    parts = []
+    for x1, y1, x2, y2 in boxes:
+        px, py = (x2 - x1) * pad, (y2 - y1) * pad
+        left, top = int(max(0, min(x1 - px, w - 1))), int(max(0, min(y1 - py, h - 1)))
+        parts.append(picture[top : max(top + 1, int(min(h, y2 + py))), left : max(left + 1, int(min(w, x2 + px)))])
+    return [v for k in range(0, len(parts), batch) for v in embed(parts[k : k + batch])]
+
+
 def text_layout(picture: np.ndarray, boxes: list, grid: int = 128, pad: float = 0.04) -> np.ndarray:
     """A grey picture (rows x columns) masked to its text boxes, on a grid x grid raster, centred, of norm 1; empty without boxes."""
     if not boxes:

@@ -249,3 +249,28 @@ def test_entities_are_told_of_by_number(spark):
     out = E.linked(E.Profile("things", "f", ("k",), fixed=0.99999, max_narratives=105), found, grid)
     told = [r.entity_id for r in out.entities.filter("narrated").collect()]
     assert sorted(told) == [f"e{k:03d}" for k in range(105)] and out.entities.count() == 1100
+
+
+def test_people_are_compared_one_by_one():
+    """One of two who is replaced is seen although the mean stays; nobody in shot leaves the reference."""
+    from momentlake.operators import sampling
+
+    a, b, c, d = np.eye(4)
+    frames = [[a, b], [b, a], [], [a, c], [a], [c, a, b], [], [0.9 * a + 0.1 * b, c], [d]]
+    sampler, kept, scores = sampling.people(0.83), [], []
+    for k, value in enumerate(frames):
+        if sampler.offer(float(k), value):
+            kept.append(k)
+        scores.append(sampler.last_score)
+    reference, want = frames[0], [0]  # the plain rule
+    for k, value in enumerate(frames[1:], 1):
+        if value and min(max(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) for y in reference) for x in value) < 0.83:
+            want.append(k)
+            reference = value
+    assert kept == want == [0, 3, 5, 8] and scores[2] == 1.0
+    # the mean of these two frames is the same, the people are not
+    one, two = [a + b, c + d], [a + c, b + d]
+    other = sampling.people(0.83)
+    assert other.offer(0.0, one) and np.allclose(sum(one), sum(two)) and other.offer(1.0, two)
+    got = sampling.crops(np.arange(100).reshape(10, 10), [(0, 0, 4, 4), (8, 8, 30, 30), (3, 3, 3, 3)], lambda ps: [p.shape for p in ps], pad=0.5, batch=2)
+    assert got == [(6, 6), (10, 10), (1, 1)]
