@@ -259,27 +259,36 @@ def plane_change(planes, previous) -> float:
     return float(np.mean([np.abs(np.asarray(a, float) - np.asarray(b, float)).mean() for a, b in zip(planes, previous, strict=True)]))
 
 
-def picture_scores(frames: DataFrame, planes: Callable[[bytes], np.ndarray], stride: int = 1) -> DataFrame:
+#: Pictures of a recording that one run of `picture_scores` reads in order.
+PICTURES = 256
+
+
+def picture_scores(frames: DataFrame, planes: Callable[[bytes], np.ndarray], stride: int = 1, span: int = PICTURES) -> DataFrame:
     """video_id, at and score: how much every stride-th picture differs from the one scored before; the first has none.
 
-    frames: video_id, frame_index, media_ts and image; planes: an image -> its planes (3 x rows x columns).  A recording's
-    pictures are read in order by one task, an Arrow batch at a time."""
+    frames: video_id, frame_index, media_ts and image; planes: an image -> its planes (3 x rows x columns).  A recording is
+    cut into spans of `span` pictures, each with the last picture before it, so that a long one is read by many tasks."""
     if stride < 1:
         raise Refused("every first frame at least")
 
     def run(batches):
-        video = before = None
+        at = before = None
         for b in batches:
             out = []
-            for v, ts, image in zip(b["video_id"], b["media_ts"], b["image"], strict=True):
+            for v, part, ts, image in zip(b["video_id"], b["span"], b["media_ts"], b["image"], strict=True):
                 now = planes(bytes(image))
-                if v == video:
+                if (v, part) == at:
                     out.append((v, ts, plane_change(now, before)))
-                video, before = v, now
+                at, before = (v, part), now
             yield pd.DataFrame(out, columns=["video_id", "at", "score"])
 
-    rows = frames.filter(F.col("frame_index") % stride == 0).select("video_id", "frame_index", "media_ts", "image")
-    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").drop("frame_index").mapInPandas(run, "video_id string, at double, score double")
+    key = ["video_id", "frame_index"]
+    rows = frames.filter(F.col("frame_index") % stride == 0).select(*key, F.floor(F.col("frame_index") / (stride * span)).alias("span"), "media_ts", "image")
+    lasts = rows.groupBy("video_id", "span").agg(F.max("frame_index").alias("frame_index"))
+    after = F.lead("span").over(Window.partitionBy("video_id").orderBy("span"))  # one row a span
+    carried = rows.drop("span").join(lasts.select(*key, after.alias("span")).filter("span IS NOT NULL"), key).select(*rows.columns)
+    order = ["video_id", "span", "frame_index"]
+    return rows.unionByName(carried).repartition("video_id", "span").sortWithinPartitions(*order).drop("frame_index").mapInPandas(run, "video_id string, at double, score double")
 
 
 def iou(a, b) -> float:

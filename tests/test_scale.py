@@ -274,3 +274,19 @@ def test_people_are_compared_one_by_one():
     assert other.offer(0.0, one) and np.allclose(sum(one), sum(two)) and other.offer(1.0, two)
     got = sampling.crops(np.arange(100).reshape(10, 10), [(0, 0, 4, 4), (8, 8, 30, 30), (3, 3, 3, 3)], lambda ps: [p.shape for p in ps], pad=0.5, batch=2)
     assert got == [(6, 6), (10, 10), (1, 1)]
+
+
+@pytest.mark.parametrize("stride", [1, 3])
+def test_picture_scores_of_a_cut_recording(spark, stride):
+    from momentlake.operators import sampling
+
+    r = random.Random(9)
+    rows = [(v, i, float(i), bytes([r.randint(0, 255)])) for v in ("a", "b") for i in range(60) if r.random() < 0.8 or i % 20 == 7]
+    frames = spark.createDataFrame(rows, "video_id string, frame_index long, media_ts double, image binary").repartition(4)
+    planes = lambda b: np.full((3, 2, 2), b[0], float)
+    want = []
+    for v in ("a", "b"):
+        own = [x for x in rows if x[0] == v and x[1] % stride == 0]
+        want += [(v, y[2], sampling.plane_change(planes(y[3]), planes(x[3]))) for x, y in zip(own, own[1:], strict=False)]
+    for span in (4, 7, 1000):
+        assert sorted(tuple(x) for x in sampling.picture_scores(frames, planes, stride, span).collect()) == sorted(want)
