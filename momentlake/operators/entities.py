@@ -127,27 +127,54 @@ class Linked:
     figures: DataFrame
 
 
-def linked(profile: Profile, found: DataFrame, grid: DataFrame, tell: Callable[[DataFrame], DataFrame] | None = None, heard: DataFrame | None = None, most: int = 50) -> Linked:
-    """Entities of numbered mentions with vectors.
+def keyed_texts(profile: Profile, found: DataFrame) -> DataFrame:
+    """video_id, mention, name and text of what the profile's weights compare: one row a mention and key, blanks left out."""
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.trim(F.coalesce(F.col("entry")[k], F.lit(""))).alias("text")) for k in profile.weights]))
+    return found.select("video_id", "mention", parts.alias("p")).select("video_id", "mention", "p.name", "p.text").filter("text <> ''")
 
-    found: MENTION, key, mention and vector (of the signature).  tell: (video_id, entity_id, lines, spoken) -> (video_id,
+
+def linked(
+    profile: Profile, found: DataFrame, grid: DataFrame, tell: Callable[[DataFrame], DataFrame] | None = None, heard: DataFrame | None = None, most: int = 50,
+    keyed: DataFrame | None = None, unknown: list[float] | None = None,
+) -> Linked:
+    """Entities of numbered mentions with vectors; a recording's only mention is none.
+
+    found: MENTION, key, mention and vector (of the signature).  For a profile with weights also keyed: video_id, mention,
+    name and vector of each of the keyed_texts, and unknown, the vector of the text that stands for a blank; the weighted
+    mean of the keys' cosines then takes the place of the signature's.  tell: (video_id, entity_id, lines, spoken) -> (video_id,
     entity_id, account map<string,string>, doubts array<struct<observation:int,reason:string>>), asked for entities with
     enough appearances, at most max_narratives a recording.  An entity of which every observation is doubted has no
     account."""
     by, answer = ["video_id"], ["chunk_id", "sampler_id", "field"]
     scored = linking.pairs(found, by, answer, "field")
+    measures = ["text"] if profile.weights or profile.attributes else []
+    if profile.weights:
+        from momentlake.operators.attributes import keyed_similarity
+
+        if keyed is None or unknown is None:
+            raise Refused(f"profile {profile.name!r} weighs keys: give their vectors, and that of a blank")
+        names = {k: f"__k{n}" for n, k in enumerate(profile.weights)}
+        wide = keyed.groupBy("video_id", "mention").agg(*[F.first(F.when(F.col("name") == k, F.col("vector")), ignorenulls=True).alias(c) for k, c in names.items()])
+        wide = found.select("video_id", "mention").join(wide, ["video_id", "mention"], "left")
+        text = keyed_similarity(wide, by, {names[k]: w for k, w in profile.weights.items()}, unknown)
+        scored = scored.drop("similarity").join(text.withColumnRenamed("similarity", "text"), ["video_id", "i", "j"])
+    elif profile.attributes:
+        scored = scored.withColumnRenamed("similarity", "text")
     if profile.attributes:
         from momentlake.operators.attributes import attribute_similarity
 
         named = [*profile.attributes, *profile.shared]
         plain = found.select("video_id", "mention", F.concat_ws("/", *[F.col(c).cast("string") for c in answer]).alias("__answer"), *[F.col("entry")[k].alias(k) for k in dict.fromkeys(named)])
         other = attribute_similarity(plain, by, "__answer", profile.attributes, profile.shared, list(profile.near))
-        scored = scored.withColumnRenamed("similarity", "text").join(other.select("video_id", "i", "j", F.col("similarity").alias("attributes")), ["video_id", "i", "j"])
-        scored = linking.blended(scored, by, ["text", "attributes"])
+        scored = scored.join(other.select("video_id", "i", "j", F.col("similarity").alias("attributes")), ["video_id", "i", "j"])
+        measures.append("attributes")
+    if measures:
+        scored = linking.blended(scored, by, measures)
     bars = linking.threshold(scored, by, linking.RULES[profile.rule], profile.fixed)
     links = linking.mutual_best(scored, bars, by, answer) if profile.mutual else linking.over_bar(scored, bars, by).select("video_id", "i", "j", "similarity")
     groups = linking.grouped(found, links, "video_id", answer)
-    told_of = found.drop("vector").join(groups, ["video_id", "mention"])
+    several = found.groupBy("video_id").agg(F.count("*").alias("mentions"))
+    told_of = found.drop("vector").join(groups, ["video_id", "mention"]).join(several.filter("mentions > 1"), "video_id", "left_semi")
     entities = aggregates.entity_summary(told_of, grid, "sampler_id")
     entities = entities.join(told_of.groupBy("video_id", "group").agg(F.min_by("field", "mention").alias("field")), ["video_id", "group"])
     rank = F.row_number().over(Window.partitionBy("video_id", F.col("appearances") >= profile.min_appearances).orderBy(F.length("entity_id"), "entity_id"))
@@ -169,8 +196,8 @@ def linked(profile: Profile, found: DataFrame, grid: DataFrame, tell: Callable[[
     pairs = aggregates.together(seen.filter("present").select("video_id", "chunk_id", F.col("entity_id").alias("group")), most)
     candidates = linking.over_bar(scored, bars, by).groupBy("video_id").agg(F.count("*").alias("over_bar"))
     figures = entities.groupBy("video_id").agg(F.count("*").alias("count"), F.count_if("present").alias("linked"), F.count_if("narrated").alias("narrated"), F.sum("doubted").alias("doubted"))
-    figures = figures.join(found.groupBy("video_id").agg(F.count("*").alias("mentions")), "video_id").join(bars, "video_id", "left").join(links.groupBy("video_id").agg(F.count("*").alias("candidate_pairs")), "video_id", "left").join(candidates, "video_id", "left")
-    figures = figures.fillna({"calibration_pairs": 0, "candidate_pairs": 0, "over_bar": 0})
+    figures = several.join(figures, "video_id", "left").join(bars, "video_id", "left").join(links.groupBy("video_id").agg(F.count("*").alias("candidate_pairs")), "video_id", "left").join(candidates, "video_id", "left")
+    figures = figures.fillna({"count": 0, "linked": 0, "narrated": 0, "doubted": 0, "calibration_pairs": 0, "candidate_pairs": 0, "over_bar": 0})
     return Linked(entities.drop("group", "present"), seen.drop("group", "present", "narrated"), pairs, figures)
 
 

@@ -290,3 +290,57 @@ def test_picture_scores_of_a_cut_recording(spark, stride):
         want += [(v, y[2], sampling.plane_change(planes(y[3]), planes(x[3]))) for x, y in zip(own, own[1:], strict=False)]
     for span in (4, 7, 1000):
         assert sorted(tuple(x) for x in sampling.picture_scores(frames, planes, stride, span).collect()) == sorted(want)
+
+
+def test_weights_of_keys_change_the_groups(spark):
+    """A profile with weights compares its keys one by one, standardised by the pairs of one answer; a lone mention is no entity."""
+    from momentlake.errors import Refused
+    from momentlake.operators import entities as E
+
+    axis = {"red": [1.0, 0.0, 0.0], "blue": [0.0, 1.0, 0.0], "tall": [0.6, 0.8, 0.0], "short": [0.0, 0.6, 0.8], None: [0.1, 0.1, 0.9]}
+    people = {0: [("red", "tall"), ("blue", "short")], 1: [("red", "short"), ("blue", None)], 2: [("blue", "tall")]}
+    rows, keyed = [], []
+    for c, own in people.items():
+        for k, (coat, build) in enumerate(own):
+            m = len(rows)
+            entry = {"coat": coat} | ({"build": build} if build else {})
+            rows.append(("v", c, "s/q", "people", k, "; ".join(entry.values()), entry, f"c{c}/{k}", m, [float(m), 1.0, 1.0]))
+            keyed += [("v", m, name, axis[value]) for name, value in entry.items()]
+    rows.append(("w", 0, "s/q", "people", 0, "red", {"coat": "red"}, "c0/0", 0, [1.0, 0.0, 0.0]))
+    found = spark.createDataFrame(rows, "video_id string, chunk_id int, sampler_id string, field string, index int, signature string, entry map<string,string>, key string, mention long, vector array<double>")
+    vectors = spark.createDataFrame(keyed, "video_id string, mention long, name string, vector array<double>")
+    grid = spark.createDataFrame([(v, c, float(c), c + 1.0) for v in "vw" for c in range(3)], "video_id string, chunk_id int, start_ts double, end_ts double")
+
+    def groups(weights):
+        out = E.linked(E.Profile("people", "people", ("coat", "build"), weights=weights), found, grid, keyed=vectors, unknown=axis[None])
+        by = {}
+        for r in out.mentions.collect():
+            by.setdefault((r.video_id, r.entity_id), set()).add(r.mention)
+        assert not any(v == "w" for v, _ in by)
+        assert {(r.video_id, r.mentions, r["count"]) for r in out.figures.collect()} == {("v", 5, len(by)), ("w", 1, 0)}
+        return sorted(sorted(x) for x in by.values())
+
+    def plain(weights):
+        v = [[np.array(axis[e.get(k)]) for k in weights] for *_, e in [(r[6],) for r in rows[:5]]]
+        cos = lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+        sim = {(i, j): sum(w * cos(a, b) for w, a, b in zip(weights.values(), v[i], v[j], strict=True)) / sum(weights.values()) for i in range(5) for j in range(5) if i < j}
+        known = [s for (i, j), s in sim.items() if rows[i][1] == rows[j][1]]
+        z = {p: (s - np.mean(known)) / (np.std(known) or 1.0) for p, s in sim.items()}
+        bar = max(z[p] for p in z if rows[p[0]][1] == rows[p[1]][1])
+        of = lambda i, j: z[min(i, j), max(i, j)]
+        best = lambda i, c: max((j for j in range(5) if rows[j][1] == c), key=lambda j: (of(i, j), -j))
+        links = sorted(((-z[i, j], i, j) for i, j in z if rows[i][1] != rows[j][1] and z[i, j] > bar and best(i, rows[j][1]) == j and best(j, rows[i][1]) == i))
+        return sorted(map(sorted, _grouped(linking.merge_greedily(list(range(5)), [r[1] for r in rows[:5]], [(-s, i, j) for s, i, j in links]))))
+
+    assert groups({"coat": 1.0}) == plain({"coat": 1.0}) and groups({"coat": 1.0, "build": 3.0}) == plain({"coat": 1.0, "build": 3.0})
+    assert groups({"coat": 1.0}) != groups({"build": 1.0})
+    assert {(r.mention, r.name, r.text) for r in E.keyed_texts(E.Profile("p", "people", ("coat",), weights={"build": 1.0}), found).collect()} == {(0, "build", "tall"), (1, "build", "short"), (2, "build", "short"), (4, "build", "tall")}
+    with pytest.raises(Refused):
+        E.linked(E.Profile("people", "people", ("coat",), weights={"coat": 1.0}), found, grid)
+
+
+def _grouped(heads):
+    out = {}
+    for i, h in heads.items():
+        out.setdefault(h, []).append(i)
+    return out.values()
