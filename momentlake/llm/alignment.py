@@ -198,10 +198,9 @@ def code_blocks(docs: DataFrame, paths: tuple[str, str], text: str = "text", par
     ship(docs.sparkSession)
 
     def run(batches):
-        import zstandard
         from pyspark import TaskContext
 
-        pair, task, count, zstd = tokenizer_pair(*paths), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        pair, task, count = tokenizer_pair(*paths), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b.column(1)
             size = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
@@ -212,9 +211,13 @@ def code_blocks(docs: DataFrame, paths: tuple[str, str], text: str = "text", par
                     own = np.fromiter([known.setdefault(s, len(known)) for s in pair.segments(t)], np.int32)
                     codes.append(own)
                     n.append(len(own))
-                frame = zstd.compress(np.concatenate(codes).tobytes())
+                flat = np.concatenate(codes)
+                order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")  # the commonest get the least numbers
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order))
+                words = pa.array(list(known), pa.string()).take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + count]), pa.array([b.column(0).slice(a, z - a).to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())), pa.array([frame]), pa.array([list(known)], pa.list_(pa.string()))],
+                    [pa.array([(task << 32) + count]), pa.array([b.column(0).slice(a, z - a).to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())), pa.array([_squeezed(place[flat])]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
                     ["block", "doc_ids", "n", "codes", "segments"],
                 )
                 count += 1
@@ -319,20 +322,37 @@ def _per_document(values: np.ndarray, codes: np.ndarray, off: np.ndarray) -> np.
     return total[off[1:]] - total[off[:-1]]
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def _coded(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's codes and where each document's begin."""
+    n = np.array(block["n"][0].as_py(), np.int64)
+    return _plain(block["codes"][0].as_py(), np.int32), np.concatenate([[0], np.cumsum(n)])
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """A zstandard frame of an array's bytes, the first of all numbers first, then the second, which compresses better."""
     import zstandard
 
-    zstd = zstandard.ZstdCompressor(level=1)
-    return b"".join(len(z).to_bytes(8, "little") + z for z in (zstd.compress(np.ascontiguousarray(x).tobytes()) for x in arrays))
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
-def _unpacked(raw: bytes, *kinds) -> list[np.ndarray]:
+def _plain(raw: bytes, kind) -> np.ndarray:
     import zstandard
 
-    zstd, out, at = zstandard.ZstdDecompressor(), [], 0
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return b"".join(len(z).to_bytes(8, "little") + z for z in map(_squeezed, arrays))
+
+
+def _unpacked(raw: bytes, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
     for kind in kinds:
         n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(zstd.decompress(raw[at + 8 : at + 8 + n]), kind))
+        out.append(_plain(raw[at + 8 : at + 8 + n], kind))
         at += 8 + n
     return out
 
@@ -345,11 +365,8 @@ def compose(blocks: DataFrame, alignments: DataFrame, paths: tuple[str, str]) ->
     the block hold it linked, and a row with what sums over links need."""
 
     def run(key, left, right):
-        import zstandard
-
-        block, n = key[0].as_py(), np.array(left["n"][0].as_py(), np.int64)
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(left["codes"][0].as_py()), np.int32) if n.sum() else np.zeros(0, np.int32)
-        off, docs = np.concatenate([[0], np.cumsum(n)]), len(n)
+        block, (codes, off) = key[0].as_py(), _coded(left)
+        n, docs = np.diff(off), len(off) - 1
         own = _Segments(right, tokenizer_pair(*paths))
         del right
         ids, width = own.ids, max(1, len(own.fits))
