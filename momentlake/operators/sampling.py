@@ -300,21 +300,25 @@ def iou(a, b) -> float:
 
 
 def sample(frames: DataFrame, make: Callable[[], list[Sampler]], value: str) -> DataFrame:
-    """The frames that each sampler keeps, of all samplers in one pass; they start anew with every chunk, so a chunk is
-    a group of its own and a long recording spreads over tasks."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        out = []
-        for s in make():
-            s.reset()
-            for video, chunk, index, ts, v in zip(pdf["video_id"], pdf["chunk_id"], pdf["frame_index"], pdf["media_ts"], pdf["value"], strict=True):
-                if s.offer(ts, v):
-                    out.append((video, chunk, s.name, index, ts, s.last_score))
-        return pd.DataFrame(out, columns=["video_id", "chunk_id", "sampler", "frame_index", "media_ts", "change"])
-
-    small = frames.select("video_id", "chunk_id", "frame_index", "media_ts", F.col(value).alias("value"))
-    return small.groupBy("video_id", "chunk_id").applyInPandas(run, "video_id string, chunk_id long, sampler string, frame_index long, media_ts double, change double")
+    """The frames that each sampler keeps, of all samplers in one pass; they start anew with every chunk, so a long recording
+    spreads over tasks.  Chunks are many and short: a task reads its own ones in order, many to a batch."""
+
+    def run(batches):
+        at, samplers = None, []
+        for b in batches:
+            out = []
+            for video, chunk, index, ts, v in zip(b["video_id"], b["chunk_id"], b["frame_index"], b["media_ts"], b["value"], strict=True):
+                chunk = None if chunk != chunk else int(chunk)
+                if (video, chunk) != at:
+                    at, samplers = (video, chunk), make()
+                    for s in samplers:
+                        s.reset()
+                out += [(video, chunk, s.name, index, ts, s.last_score) for s in samplers if s.offer(ts, v)]
+            yield pd.DataFrame(out, columns=["video_id", "chunk_id", "sampler", "frame_index", "media_ts", "change"])
+
+    key = ["video_id", "chunk_id"]
+    small = frames.select(*key, "frame_index", "media_ts", F.col(value).alias("value"))
+    return small.repartition(*key).sortWithinPartitions(*key, "frame_index").mapInPandas(run, "video_id string, chunk_id long, sampler string, frame_index long, media_ts double, change double")
 
 
 def context(frames: DataFrame, before: int, after: int) -> DataFrame:
