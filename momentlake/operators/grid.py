@@ -1,4 +1,7 @@
-"""Time grids: building them, and finding the chunk of a time."""
+"""Time grids: building them, and finding the chunk of a time.
+
+A grid has as many rows as its recordings have chunks, which the optimizer takes for the size of the durations that it is
+made of: joins with one are told to shuffle and merge, as it would be broadcast whole otherwise."""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlake.errors import Refused, UnknownOption
+from momentlake.functions.numbers import rounded
 
 TAIL = 0.25
 
@@ -19,7 +23,8 @@ def uniform(durations: DataFrame, chunk_s: float = 20.0) -> DataFrame:
     d = durations.select("video_id", "duration_s", n.alias("n"))
     d = d.withColumn("n", F.when((F.col("n") > 1) & (tail < TAIL * chunk_s), F.col("n") - 1).otherwise(F.col("n")))
     g = d.select("video_id", "duration_s", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("chunk_id"))
-    return g.select("video_id", "chunk_id", (F.col("chunk_id") * chunk_s).alias("start_ts"), F.when(F.col("chunk_id") == F.col("n") - 1, F.col("duration_s")).otherwise((F.col("chunk_id") + 1) * chunk_s).alias("end_ts"))
+    g = g.select("video_id", "chunk_id", (F.col("chunk_id") * chunk_s).alias("start_ts"), F.when(F.col("chunk_id") == F.col("n") - 1, F.col("duration_s")).otherwise((F.col("chunk_id") + 1) * chunk_s).alias("end_ts"))
+    return g.hint("merge")
 
 
 def spans_between(cuts: DataFrame, durations: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def split_long(spans: DataFrame, max_s: float) -> DataFrame:
     n = F.greatest(F.ceil((F.col("end_ts") - F.col("start_ts")) / max_s), F.lit(1)).cast("long")
     s = spans.withColumn("n", n).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     step = (F.col("end_ts") - F.col("start_ts")) / F.col("n")
-    return s.select("video_id", (F.col("start_ts") + F.col("part") * step).alias("start_ts"), F.when(F.col("part") == F.col("n") - 1, F.col("end_ts")).otherwise(F.col("start_ts") + (F.col("part") + 1) * step).alias("end_ts"))
+    return s.select("video_id", (F.col("start_ts") + F.col("part") * step).alias("start_ts"), F.when(F.col("part") == F.col("n") - 1, F.col("end_ts")).otherwise(F.col("start_ts") + (F.col("part") + 1) * step).alias("end_ts")).hint("merge")
 
 
 def merge_tail(spans: DataFrame, least: float) -> DataFrame:
@@ -84,11 +89,11 @@ def build(policy: str, durations: DataFrame, cuts: DataFrame | None = None, chun
 
 def _by_bucket(rows: DataFrame, spans: DataFrame, at: str, bucket_s: float | None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with a bucket of time as one more join key, so that a row meets the few spans of its bucket instead of
-    all of its recording's, and a long recording is dealt out to many tasks."""
+    all of its recording's, and a long recording is dealt out to many tasks.  The spans are for a merge join."""
     if not bucket_s:
-        return rows, spans, []
+        return rows, spans.hint("merge"), []
     number = lambda c: F.floor(F.col(c) / bucket_s)
-    return rows.withColumn("__b", number(at)), spans.withColumn("__c", F.explode(F.sequence(number("__s"), number("__e")))), ["__b", "__c"]
+    return rows.withColumn("__b", number(at)), spans.withColumn("__c", F.explode(F.sequence(number("__s"), number("__e")))).hint("merge"), ["__b", "__c"]
 
 
 def with_chunk(rows: DataFrame, grid: DataFrame, at: str, how: str = "inner", bucket_s: float | None = None) -> DataFrame:
@@ -166,4 +171,4 @@ def retune(scores: DataFrame, threshold: float) -> DataFrame:
 def boundary_stats(grid: DataFrame) -> DataFrame:
     """Per video: chunks, shortest and longest chunk, duration."""
     length = F.col("end_ts") - F.col("start_ts")
-    return grid.groupBy("video_id").agg(F.count("*").alias("chunks"), F.round(F.min(length), 3).alias("shortest_s"), F.round(F.max(length), 3).alias("longest_s"), F.round(F.max("end_ts"), 3).alias("duration_s"))
+    return grid.groupBy("video_id").agg(F.count("*").alias("chunks"), rounded(F.min(length), 3).alias("shortest_s"), rounded(F.max(length), 3).alias("longest_s"), rounded(F.max("end_ts"), 3).alias("duration_s"))
