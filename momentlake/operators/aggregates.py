@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.functions.numbers import rounded
 from momentlake.lineage import cut
 from momentlake.operators.numbering import numbered, same
 
@@ -55,8 +56,8 @@ def stats(grid: DataFrame, frames: DataFrame | None = None, answers: DataFrame |
     video_id, policy and derived_from.  What isn't given counts as nothing."""
     key, length = ["video_id"], F.col("end_ts") - F.col("start_ts")
     g = grid.withColumn("len", length)
-    out = g.groupBy(*key).agg(F.max("end_ts").alias("d"), F.count("*").alias("chunks"), F.round(F.min("len"), 3).alias("chunk_min"), F.round(F.max("len"), 3).alias("chunk_max"))
-    out = out.join(upper_median(g, key, "len", "m").select("video_id", F.round("m", 3).alias("chunk_median")), key)
+    out = g.groupBy(*key).agg(F.max("end_ts").alias("d"), F.count("*").alias("chunks"), rounded(F.min("len"), 3).alias("chunk_min"), rounded(F.max("len"), 3).alias("chunk_max"))
+    out = out.join(upper_median(g, key, "len", "m").select("video_id", rounded("m", 3).alias("chunk_median")), key)
     if timelines is not None:
         out = out.join(timelines.select("video_id", "policy", "derived_from"), key, "left")
     if frames is not None:
@@ -70,8 +71,8 @@ def stats(grid: DataFrame, frames: DataFrame | None = None, answers: DataFrame |
     by_sampler = F.coalesce("descriptions_by_sampler", F.create_map().cast("map<string,bigint>")) if answers is not None else F.create_map().cast("map<string,bigint>")
     named = [F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ("policy", "derived_from")]
     return out.select(
-        "video_id", F.round("d", 3).alias("duration_s"), "chunks", "chunk_min", "chunk_median", "chunk_max", *named, have("frames_sampled").alias("frames_sampled"), by_sampler.alias("descriptions_by_sampler"),
-        have("words").alias("words"), have("chunks_with_speech").alias("chunks_with_speech"), F.when(F.col("d") > 0, F.round(have("words") / (F.col("d") / 60), 1)).otherwise(0.0).alias("words_per_minute"),
+        "video_id", rounded("d", 3).alias("duration_s"), "chunks", "chunk_min", "chunk_median", "chunk_max", *named, have("frames_sampled").alias("frames_sampled"), by_sampler.alias("descriptions_by_sampler"),
+        have("words").alias("words"), have("chunks_with_speech").alias("chunks_with_speech"), F.when(F.col("d") > 0, rounded(have("words") / (F.col("d") / 60), 1)).otherwise(0.0).alias("words_per_minute"),
     )
 
 
@@ -83,10 +84,10 @@ def speakers(turns: DataFrame, durations: DataFrame) -> DataFrame:
     shares = said.join(turns.groupBy("video_id", "speaker").agg(F.min("position").alias("first")), ["video_id", "speaker"])
     by = shares.groupBy("video_id").agg(F.count("*").alias("speakers"), F.sum("seconds").alias("speech"), F.array_sort(F.collect_list(item)).alias("items"))
     out = durations.select("video_id", "duration_s").join(by, "video_id", "left").join(handovers(turns), "video_id", "left").fillna({"speakers": 0, "speech": 0.0, "handovers": 0, "turns": 0})
-    parts = F.transform(F.col("items"), lambda i: F.struct(i["speaker"].alias("speaker"), F.round(i["seconds"], 3).alias("seconds"), F.coalesce(F.round(i["share"], 4), F.lit(0.0)).alias("share")))
+    parts = F.transform(F.col("items"), lambda i: F.struct(i["speaker"].alias("speaker"), rounded(i["seconds"], 3).alias("seconds"), F.coalesce(rounded(i["share"], 4), F.lit(0.0)).alias("share")))
     return out.select(
-        "video_id", "speakers", "turns", "handovers", ((F.col("speakers") <= 1) & (F.col("handovers") == 0)).alias("monologue"), F.round("speech", 3).alias("speech_s"),
-        F.when(F.col("duration_s") > 0, F.round(F.col("speech") / F.col("duration_s"), 4)).otherwise(0.0).alias("speech_ratio"), parts.alias("by_speaker"), F.col("items")[0]["speaker"].alias("dominant"),
+        "video_id", "speakers", "turns", "handovers", ((F.col("speakers") <= 1) & (F.col("handovers") == 0)).alias("monologue"), rounded("speech", 3).alias("speech_s"),
+        F.when(F.col("duration_s") > 0, rounded(F.col("speech") / F.col("duration_s"), 4)).otherwise(0.0).alias("speech_ratio"), parts.alias("by_speaker"), F.col("items")[0]["speaker"].alias("dominant"),
     )
 
 
@@ -138,7 +139,7 @@ def sentiment_chunks(pieces: DataFrame, signed: str = "signed", text: str = "pie
     """Per chunk the tone of its pieces, weighted by their length: label, score, signed (rounded) and how many pieces."""
     size = F.length(text)
     g = pieces.groupBy("video_id", "chunk_id").agg((F.sum(F.col(signed) * size) / F.sum(size)).alias("s"), F.count("*").alias("pieces"))
-    return g.select("video_id", "chunk_id", F.when(F.col("s") >= 0, "positive").otherwise("negative").alias("label"), F.round(F.abs("s"), 4).alias("score"), F.round("s", 4).alias("signed"), "pieces")
+    return g.select("video_id", "chunk_id", F.when(F.col("s") >= 0, "positive").otherwise("negative").alias("label"), rounded(F.abs("s"), 4).alias("score"), rounded("s", 4).alias("signed"), "pieces")
 
 
 def sentiment(per_chunk: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def items_of_windows(rows: DataFrame, grid: DataFrame, ask: Callable[[DataFrame]
     rows: video_id, chunk_id, line; ask: (video_id, window, lines) -> (video_id, window, chunk_id, fields ...), a DataFrame step."""
     w = windows_of(rows, "video_id", "chunk_id", size)
     lines = w.groupBy("video_id", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "line"))), lambda i: i["line"]).alias("lines"))
-    found = ask(lines).join(grid.select("video_id", "chunk_id", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts")), ["video_id", "chunk_id"], "left")
+    found = ask(lines).join(grid.select("video_id", "chunk_id", rounded("start_ts", 3).alias("start_ts"), rounded("end_ts", 3).alias("end_ts")), ["video_id", "chunk_id"], "left")
     return found.withColumn("position", F.row_number().over(Window.partitionBy("video_id").orderBy("start_ts", "window", "chunk_id")) - 1)
 
 

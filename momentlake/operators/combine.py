@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.errors import Refused
+from momentlake.functions.numbers import rounded
 from momentlake.operators.numbering import running
 
 
@@ -51,7 +52,7 @@ def combined_transcript(grids: DataFrame, spoken: DataFrame, members: DataFrame)
 def combined_timeline(timelines: DataFrame, members: DataFrame) -> DataFrame:
     """One row a combination: its policy (mixed, if its recordings' differ), duration, chunks and members in order."""
     t = timelines.select("video_id", "policy").join(members, "video_id")
-    item = F.struct("first_chunk", F.struct("video_id", "first_chunk", "chunk_count", F.round("offset_s", 3).alias("offset_s"), F.round("duration_s", 3).alias("duration_s"), "policy").alias("m"))
+    item = F.struct("first_chunk", F.struct("video_id", "first_chunk", "chunk_count", rounded("offset_s", 3).alias("offset_s"), rounded("duration_s", 3).alias("duration_s"), "policy").alias("m"))
     one = F.when(F.min("policy") == F.max("policy"), F.min("policy")).otherwise("mixed")
     return t.groupBy(F.col("source_id").alias("video_id")).agg(one.alias("policy"), F.lit("combined").alias("derived_from"), F.sum("duration_s").alias("duration_s"), F.sum("chunk_count").alias("chunk_count"), F.transform(F.array_sort(F.collect_list(item)), lambda i: i["m"]).alias("combined"))
 
@@ -86,7 +87,7 @@ def origin(chunks: DataFrame, members: DataFrame) -> DataFrame:
     last = F.col("first_chunk") + F.col("chunk_count") - 1
     m = members.filter("chunk_count > 0").select(F.col("source_id").alias("__s"), F.col("video_id").alias("member"), "first_chunk", "chunk_count", "offset_s", F.explode(F.sequence(span(F.col("first_chunk")), span(last))).alias("__span"))
     inside = (F.col("video_id") == F.col("__s")) & (span(F.col("chunk_id")) == F.col("__span")) & (F.col("chunk_id") >= F.col("first_chunk")) & (F.col("chunk_id") < F.col("first_chunk") + F.col("chunk_count"))
-    own = [F.round(F.col(c) - F.col("offset_s"), 3).alias(f"member_{c}") for c in ("start_ts", "end_ts") if c in chunks.columns]
+    own = [rounded(F.col(c) - F.col("offset_s"), 3).alias(f"member_{c}") for c in ("start_ts", "end_ts") if c in chunks.columns]
     return chunks.join(m, inside).select("video_id", "chunk_id", "member", (F.col("chunk_id") - F.col("first_chunk")).alias("member_chunk_id"), *own)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from momentlake.errors import Refused
 from momentlake.functions import text as T
+from momentlake.functions.numbers import rounded
 from momentlake.operators import units as U
 from momentlake.operators.grid import span_of
 
@@ -20,11 +21,11 @@ def sources(grid: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """source_id, video_ids, members, duration_s and chunk_count: one row a grid.
 
     members: source_id, video_id, first_chunk, chunk_count and offset_s of combinations; a grid without is its own member."""
-    g = grid.groupBy(F.col("video_id").alias("source_id")).agg(F.count("*").alias("chunk_count"), F.round(F.max("end_ts"), 3).alias("duration_s"))
+    g = grid.groupBy(F.col("video_id").alias("source_id")).agg(F.count("*").alias("chunk_count"), rounded(F.max("end_ts"), 3).alias("duration_s"))
     member = lambda v, f, n, o: F.struct(v.alias("video_id"), f.cast("long").alias("first_chunk"), n.cast("long").alias("chunk_count"), o.cast("double").alias("offset_s"))
     own = F.array(member(F.col("source_id"), F.lit(0), F.col("chunk_count"), F.lit(0.0)))
     if members is not None:
-        item = F.struct("first_chunk", member(F.col("video_id"), F.col("first_chunk"), F.col("chunk_count"), F.round("offset_s", 3)).alias("m"))
+        item = F.struct("first_chunk", member(F.col("video_id"), F.col("first_chunk"), F.col("chunk_count"), rounded("offset_s", 3)).alias("m"))
         held = members.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["m"]).alias("members"))
         g = g.join(held, "source_id", "left").withColumn("members", F.coalesce("members", own))
     else:
@@ -50,16 +51,16 @@ def items(found: DataFrame, grid: DataFrame, name: str, kind: str, fields: list[
         F.coalesce(F.col(fields[0]).cast("string"), F.lit("")).alias("label") if fields else F.lit("").alias("label"), "chunk_ids", own.alias("data"),
     )
     text = T.render(F.col("data")["summary"], F.map_filter("data", lambda k, _: k != "summary"))
-    spans = span_of(rows, ["aggregate_id", "item_id"], "chunk_ids", grid).select("video_id", "aggregate_id", "item_id", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts"))
+    spans = span_of(rows, ["aggregate_id", "item_id"], "chunk_ids", grid).select("video_id", "aggregate_id", "item_id", rounded("start_ts", 3).alias("start_ts"), rounded("end_ts", 3).alias("end_ts"))
     return rows.withColumn("text", text).join(spans, ["video_id", "aggregate_id", "item_id"], "left").withColumnRenamed("video_id", "source_id").withColumn("kind", F.lit(kind))
 
 
 def entity_items(entities: DataFrame, seen: DataFrame, aggregate_id: str) -> tuple[DataFrame, DataFrame]:
     """The items and the mentions of linked entities, as `entities.linked` gives them."""
-    data = F.map_from_arrays(F.array(*map(F.lit, ("field", "appearances", "observed_s"))), F.array("field", F.col("appearances").cast("string"), F.round("observed_s", 3).cast("string")))
+    data = F.map_from_arrays(F.array(*map(F.lit, ("field", "appearances", "observed_s"))), F.array("field", F.col("appearances").cast("string"), rounded("observed_s", 3).cast("string")))
     made = entities.select(
         F.col("video_id").alias("source_id"), F.lit(aggregate_id).alias("aggregate_id"), F.col("entity_id").alias("item_id"), F.lit("entity").alias("item_kind"), F.coalesce("label", F.lit("")).alias("label"),
-        "chunk_ids", data.alias("data"), T.account_text(F.col("account"), F.col("label")).alias("text"), F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts"), F.lit("link").alias("kind"),
+        "chunk_ids", data.alias("data"), T.account_text(F.col("account"), F.col("label")).alias("text"), rounded("start_ts", 3).alias("start_ts"), rounded("end_ts", 3).alias("end_ts"), F.lit("link").alias("kind"),
     )
     mentions = seen.select(F.col("video_id").alias("source_id"), F.lit(aggregate_id).alias("aggregate_id"), F.col("entity_id").alias("item_id"), F.col("key").alias("mention_key"), "chunk_id", "sampler_id", "entry", "doubt")
     return made, mentions

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from momentlake.errors import Refused
 from momentlake.functions import vectors as V
+from momentlake.functions.numbers import rounded
 
 
 def gap_similarity(rows: DataFrame, by: str = "video_id", order: str = "position", vector: str = "vector") -> DataFrame:
@@ -115,7 +116,7 @@ def chapters(rows: DataFrame, grid: DataFrame, shortest: float = 30.0, most: int
     -> (video_id, segment, fields ...), a DataFrame step behind which a model may be."""
     found = rows.join(segment(rows, shortest, most), ["video_id", "position"])
     placed = chunks_of(found.select("video_id", "segment", "chunk_id"), grid)
-    spans = placed.groupBy("video_id", "segment").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"), F.round(F.min("start_ts"), 3).alias("start_ts"), F.round(F.max("end_ts"), 3).alias("end_ts"))
+    spans = placed.groupBy("video_id", "segment").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"), rounded(F.min("start_ts"), 3).alias("start_ts"), rounded(F.max("end_ts"), 3).alias("end_ts"))
     missing = grid.join(placed.select("video_id", "chunk_id"), ["video_id", "chunk_id"], "left_anti").groupBy("video_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("uncovered"))
     spans = spans.withColumn("count", F.count("*").over(Window.partitionBy("video_id"))).join(missing, "video_id", "left")
     spans = spans.withColumn("uncovered", F.coalesce("uncovered", F.array().cast("array<bigint>"))).withColumn("covers_all", F.size("uncovered") == 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.functions.numbers import rounded
 from momentlake.operators.grid import _by_bucket, with_chunk
 
 
@@ -86,14 +87,14 @@ def chunk_turns(words: DataFrame, grid: DataFrame, bucket_s: float | None = None
     milliseconds.  words: video_id, position, word_position, text, start, end, speaker."""
     placed = with_chunk(words.withColumn("mid", midpoint()), grid, "mid", bucket_s=bucket_s)
     t = islands(placed, ["video_id", "chunk_id"], ["start", "position", "word_position"])
-    return t.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3))
+    return t.withColumn("start", rounded("start", 3)).withColumn("end", rounded("end", 3))
 
 
 def raw_transcript_stats(words: DataFrame, segments: DataFrame, turns: DataFrame) -> DataFrame:
     """Per video: segments, words, words with a speaker, turns, speakers, and the seconds of all turns."""
     w = words.groupBy("video_id").agg(F.count("*").alias("words"), F.count("speaker").alias("attributed"))
     s = segments.groupBy("video_id").agg(F.count("*").alias("segments"))
-    t = turns.groupBy("video_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("speech_s"))
+    t = turns.groupBy("video_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), rounded(F.sum(F.col("end") - F.col("start")), 3).alias("speech_s"))
     out = s.join(w, "video_id", "full_outer").join(t, "video_id", "full_outer")
     zero = {c: 0 for c in ("segments", "words", "attributed", "turns", "speakers")} | {"speech_s": 0.0}
     return out.fillna(zero)

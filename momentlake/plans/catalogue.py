@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from momentlake import fixtures as X
 from momentlake.functions import text as T
 from momentlake.functions import vectors as V
+from momentlake.functions.numbers import rounded
 from momentlake.models import reduce_with, stub_reduce, stub_sentiment
 from momentlake.operators import aggregates, answers, attributes, combine, grid, linking, sampling, search, segments, speech, text_index, units
 from momentlake.session import ship
@@ -65,7 +66,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, video_id, chun
 @query(f"{RANKED} SELECT video_id, chunk_id, sampler_id, rank AS vector_rank, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 40")
 def vector_topk(spark, d):
     out = search.vector_rank(X.units(spark, d), X.query_vector(spark, d), search.UNIT, search.over_fetch(10))
-    return out.withColumn("similarity", F.round("similarity", 5))
+    return out.withColumn("similarity", rounded("similarity", 5))
 
 
 MOMENTS = """, placed AS (SELECT *, 1.0::DOUBLE / (10 + rank) AS s, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY rank) AS place FROM ranked WHERE rank <= 20)
@@ -85,7 +86,7 @@ SELECT video_id, chunk_id, round(score, 6) AS score, place - 1 AS at, sampler_id
 )
 def moments_hits(spark, d):
     found = search.search(X.units(spark, d), X.query_vector(spark, d), search.SearchRequest(limit=5, candidates=20), details=True)
-    hit = found.select("video_id", "chunk_id", F.round("score", 6).alias("score"), F.posexplode("found").alias("at", "hit"))
+    hit = found.select("video_id", "chunk_id", rounded("score", 6).alias("score"), F.posexplode("found").alias("at", "hit"))
     return hit.select("video_id", "chunk_id", "score", F.col("at").cast("long").alias("at"), "hit.sampler_id", "hit.vector_rank", "hit.question", F.length("hit.content").cast("long").alias("characters"))
 
 
@@ -290,7 +291,7 @@ def _raw(spark, d):
 
 @query(f"{CLOCK} SELECT video_id, arrival, round(raw - origin + shift, 3) AS media_ts, rewinds::BIGINT AS rewinds FROM s")
 def media_clock(spark, d):
-    return sampling.media_clock(_raw(spark, d), gap_s=7200.0).select("video_id", "arrival", F.round("media_ts", 3).alias("media_ts"), "rewinds")
+    return sampling.media_clock(_raw(spark, d), gap_s=7200.0).select("video_id", "arrival", rounded("media_ts", 3).alias("media_ts"), "rewinds")
 
 
 @query(f"{CLOCK} SELECT video_id, arrival FROM s WHERE delta < 0 OR delta > 7200")
@@ -508,7 +509,7 @@ def _signed(spark, d):
 
 @query(f"WITH {SIGNED} SELECT video_id, round(sum(signed * weight) / sum(weight), 9) AS mean, sum(weight)::BIGINT AS weight FROM s GROUP BY video_id")
 def sentiment_mean(spark, d):
-    return aggregates.weighted_mean(_signed(spark, d), ["video_id"], "signed", "weight").withColumn("mean", F.round("mean", 9))
+    return aggregates.weighted_mean(_signed(spark, d), ["video_id"], "signed", "weight").withColumn("mean", rounded("mean", 9))
 
 
 @query(f"WITH {SIGNED}, l AS (SELECT *, lag(signed) OVER (PARTITION BY video_id ORDER BY position) AS b FROM s) SELECT video_id, position FROM l WHERE b IS NOT NULL AND (b < 0) <> (signed < 0)")
@@ -543,12 +544,12 @@ def _pairs(spark, d):
 
 @query(f"{PAIRS} SELECT video_id, i, j, different, round(similarity, 5) AS similarity FROM pairs")
 def pair_scores(spark, d):
-    return _pairs(spark, d).select("video_id", "i", "j", "different", F.round("similarity", 5).alias("similarity"))
+    return _pairs(spark, d).select("video_id", "i", "j", "different", rounded("similarity", 5).alias("similarity"))
 
 
 @query(f"{PAIRS} SELECT video_id, round(bar, 5) AS bar, calibration_pairs FROM bars")
 def calibrated_threshold(spark, d):
-    return linking.threshold(_pairs(spark, d), ["video_id"], 0.95).withColumn("bar", F.round("bar", 5))
+    return linking.threshold(_pairs(spark, d), ["video_id"], 0.95).withColumn("bar", rounded("bar", 5))
 
 
 @query(
@@ -556,7 +557,7 @@ def calibrated_threshold(spark, d):
 SELECT video_id, i, j, round((similarity - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 4) + 0.0 AS z FROM pairs JOIN w USING (video_id)"""
 )
 def standardised_scores(spark, d):
-    return linking.standardised(_pairs(spark, d), ["video_id"]).select("video_id", "i", "j", (F.round("z", 4) + F.lit(0.0)).alias("z"))
+    return linking.standardised(_pairs(spark, d), ["video_id"]).select("video_id", "i", "j", (rounded("z", 4) + F.lit(0.0)).alias("z"))
 
 
 @query(
@@ -595,7 +596,7 @@ def entity_summary(spark, d):
     f = X.frames(spark, d)
     g = _grid(f)
     m = grid.with_chunk(f, g, "media_ts", bucket_s=X.CHUNK_S).select("video_id", "chunk_id", F.col("sampler").alias("group"), F.col("structured").alias("signature"))
-    out = aggregates.entity_summary(m, g).withColumn("observed_s", F.round("observed_s", 3))
+    out = aggregates.entity_summary(m, g).withColumn("observed_s", rounded("observed_s", 3))
     return out.withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ","))
 
 
@@ -614,7 +615,7 @@ def _sequence(spark, d):
 
 @query(f"WITH {SEQ} SELECT video_id, position, round(similarity, 5) AS similarity FROM gaps")
 def gap_similarity(spark, d):
-    return segments.gap_similarity(_sequence(spark, d)).withColumn("similarity", F.round("similarity", 5))
+    return segments.gap_similarity(_sequence(spark, d)).withColumn("similarity", rounded("similarity", 5))
 
 
 DEEP = f"""WITH {X.FRAMES}, a AS (SELECT *, lag(score) OVER (PARTITION BY video_id ORDER BY frame_index) AS p FROM frames),
@@ -625,7 +626,7 @@ deep AS (SELECT video_id, frame_index, score, (l - score) + (r - score) AS depth
 
 @query(f"{DEEP} SELECT video_id, frame_index, score, round(depth, 6) AS depth FROM deep")
 def valley_depths(spark, d):
-    return segments.depths(X.frames(spark, d), order="frame_index", value="score").withColumn("depth", F.round("depth", 6))
+    return segments.depths(X.frames(spark, d), order="frame_index", value="score").withColumn("depth", rounded("depth", 6))
 
 
 @query(
@@ -711,7 +712,7 @@ SELECT item_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6)
 )
 def hash_embedding(spark, d):
     v = V.hash_embed(X.table(spark, d, "benchmark"), ["item_id"], "text", 16)
-    return v.select("item_id", F.posexplode("vector").alias("slot", "weight")).filter("weight > 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.round("weight", 6).alias("weight"))
+    return v.select("item_id", F.posexplode("vector").alias("slot", "weight")).filter("weight > 0").select("item_id", F.col("slot").cast("long").alias("slot"), rounded("weight", 6).alias("weight"))
 
 
 @query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN ({DETAIL_STOPS}))))::INT AS n_words FROM documents")
@@ -798,7 +799,7 @@ def fenced_replies(spark, d):
 @query("SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def revenue_by_segment(spark, d):
     o, c = X.table(spark, d, "orders"), X.table(spark, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("orders"), rounded(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -809,7 +810,7 @@ def customers_without_large_orders(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty, round(avg(l_discount), 6) AS avg_disc FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def pricing_summary(spark, d):
-    return X.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"))
+    return X.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"), rounded(F.avg("l_discount"), 6).alias("avg_disc"))
 
 
 # more queries register themselves in the same tables

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from momentlake import fixtures as X
 from momentlake.functions import boxes, times
 from momentlake.functions import text as T
+from momentlake.functions.numbers import rounded
 from momentlake.models import stub_sentiment
 from momentlake.operators import aggregates, combine, export, grid, search, segments, selection, speech
 from momentlake.plans.catalogue import FG, PLACED, RANKED, SEQ, TG, WORD_SPEAKER, _grid, _placed, _sequence, _turn_grid, query
@@ -272,7 +273,7 @@ def box_similarity(spark, d):
     box = F.struct(at(50, 0).alias("x1"), at(30, 0).alias("y1"), at(50, 5 + F.col("event_id") % 20).alias("x2"), at(30, 4 + F.col("event_id") % 10).alias("y2"))
     b = e.select("event_id", box.alias("a"))
     p = b.join(b.select((F.col("event_id") - 1).alias("event_id"), F.col("a").alias("b")), "event_id")
-    return p.select("event_id", F.round(boxes.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(boxes.proximity(F.col("a"), F.col("b")), 6).alias("proximity"))
+    return p.select("event_id", rounded(boxes.iou(F.col("a"), F.col("b")), 6).alias("iou"), rounded(boxes.proximity(F.col("a"), F.col("b")), 6).alias("proximity"))
 
 
 @query("SELECT event_id, '[' || user_id || '] ' || round_even(value, 0)::BIGINT || '-' || round_even(value + 10, 0)::BIGINT || 's  ' || event_type || ': ' || props AS line FROM events")
