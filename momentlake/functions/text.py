@@ -60,6 +60,23 @@ def lexemes(text: Column, stemmed: bool = False) -> Column:
     return stems(kept) if stemmed else kept
 
 
+def tallied(found: Column) -> Column:
+    """The different words of an array, by word, each with its positions in order: an array of (lexeme, positions).
+
+    A row is sorted in itself and cut where the word changes: nothing is shuffled to count the words of one text."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    word = lambda s, i: F.get(s, i)["lexeme"]
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~word(s, i).eqNullSafe(word(s, i - 1)))
+        after = lambda e, k: F.coalesce(F.get(e, k + 1), F.size(s))
+        positions = lambda e, a, k: F.transform(F.slice(s, a + 1, after(e, k) - a), lambda x: x["position"])
+        return let(first, lambda e: F.transform(e, lambda a, k: F.struct(word(s, a).alias("lexeme"), positions(e, a, k).alias("positions"))))
+
+    placed = F.transform(found, lambda w, i: F.struct(w.alias("lexeme"), i.alias("position")))
+    return F.when(F.size(found) > 0, let(F.sort_array(placed), runs))
+
+
 def render(summary: Column, structured: Column) -> Column:
     """A summary and then `key: value` of a string map by key, blanks left out, joined by `. `."""
     pairs = F.filter(F.array_sort(F.map_entries(structured)), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")

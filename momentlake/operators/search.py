@@ -20,7 +20,9 @@ from momentlake.functions import text as T
 from momentlake.functions import times
 from momentlake.functions import vectors as V
 from momentlake.functions.stems import english
+from momentlake.lineage import cut
 from momentlake.operators import grid as G
+from momentlake.operators.numbering import same
 
 RRF_K = 60
 #: A moment's score: 1 / (MOMENT_K + best rank) + SECOND / (MOMENT_K + second rank).
@@ -160,10 +162,27 @@ def vector_rank(units: DataFrame, query: DataFrame | Iterable[float], keys: list
     return _ranked(scored, [F.desc("similarity"), *map(F.col, keys)], limit, "vector_rank")
 
 
+def tallies(units: DataFrame, keys: list[str], found: Column, repeated: DataFrame | None = None) -> DataFrame:
+    """keys, lexeme and positions of every unit, from an array of its words; rows of equal keys count as one unit.
+
+    Words are counted inside of their row; only rows whose keys occur again (repeated: these keys, once each) are
+    shuffled to be put together."""
+    if repeated is None:
+        again = units.select(*keys).groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+        repeated = cut(again.select(*keys), "repeated")
+    counted = lambda rows: rows.withColumn("__words", found).select(*keys, F.inline(T.tallied(F.col("__words"))))
+    if repeated.isEmpty():
+        return counted(units)
+    one = units.alias("a").join(repeated.alias("b"), same(keys, "a", "b"), "left_anti")
+    more = units.alias("a").join(repeated.alias("b"), same(keys, "a", "b"), "left_semi")
+    merged = counted(more).groupBy(*keys, "lexeme").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return counted(one).unionByName(merged)
+
+
 def postings(units: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """One row a unit and lexeme: how often it occurs and where first."""
-    words = units.select(*keys, F.posexplode(T.lexemes(F.col(content))).alias("position", "lexeme"))
-    return words.groupBy(*keys, "lexeme").agg(F.count("*").alias("tf"), F.min("position").alias("first_position"))
+    words = tallies(units, keys, T.lexemes(F.col(content)))
+    return words.select(*keys, "lexeme", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].alias("first_position"))
 
 
 def parse_query(text: str) -> list[tuple[list[str], bool]]:

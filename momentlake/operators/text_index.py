@@ -2,7 +2,8 @@
 
 A posting is a lexeme of a unit with its positions.  Postings are kept by bucket (of the lexeme's hash) and level, the
 logarithm of how often the lexeme occurs in the unit, in files sorted by lexeme and unit: a level is a block of postings
-whose greatest score is known from its name.  Beside them stands how many postings each lexeme has in each level.
+whose greatest score is known from its name.  Beside them stands how many postings each lexeme has in each level, and which
+keys a unit has: a posting names its unit by a hash, which is seen to be a unit's own before any posting is written.
 
 A search reads levels from the top.  What is unread of a lexeme occurs less than 2^level times in a unit, which bounds
 the score of units that weren't met, or not by all lexemes; once the limit-th score beats the bound of units that
@@ -19,6 +20,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from momentlake.operators import search as S
 BUCKETS = 64
 #: Units whose postings are looked up by a list of their hashes; more are joined.
 LISTED = 1000
+#: Units whose postings of a bucket and level are one file.
+FILE_UNITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,9 @@ class TextIndex:
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/postings")
 
+    def units(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/units")
+
     def levels(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/levels")
 
@@ -56,20 +63,28 @@ def bucket_of(lexeme: str, buckets: int) -> int:
 def build(units: DataFrame, keys: list[str], folder: str | None = None, content: str = "content", buckets: int = BUCKETS, stemmed: bool = True) -> TextIndex:
     """The index of every unit with a text.  keys name a unit; rows of equal keys count as one unit with all their words.
 
-    Ranges of (bucket, level, lexeme, unit) make the files, so a lexeme of most units is dealt to many tasks."""
+    A level of a bucket is dealt by units to as many parts as there are FILE_UNITS, so that a lexeme of most units is written by
+    many tasks.  Texts stay where they are; of a posting the lexeme, the unit's hash and the positions are shuffled."""
     if buckets < 1:
         raise Refused("an index has at least one bucket")
-    index = TextIndex(folder or f"{shared_dir(units.sparkSession)}/index-{uuid.uuid4().hex}", tuple(keys), buckets, stemmed)
-    words = units.select(*keys, F.posexplode(T.lexemes(F.coalesce(F.col(content), F.lit("")), stemmed)).alias("position", "lexeme"))
-    rows = words.groupBy(*keys, "lexeme").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    rows = rows.withColumns({
-        "u": F.xxhash64(*keys), "tf": F.size("positions").cast("long"), "level": F.floor(F.log2(F.size("positions"))).cast("int"),
-        "bucket": F.pmod(F.crc32(F.col("lexeme").cast("binary")), F.lit(buckets)).cast("int"),
-    })
+    spark = units.sparkSession
+    index = TextIndex(folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", tuple(keys), buckets, stemmed)
+    for seed in count():
+        u = F.xxhash64(F.lit(seed), *[x for k in keys for x in (F.col(k), F.col(k).isNull())])
+        units.groupBy(*keys).agg(F.count("*").alias("rows")).select(*keys, u.alias("u"), "rows").write.mode("overwrite").parquet(f"{index.folder}/units")
+        known = index.units(spark)
+        if known.groupBy("u").count().filter("count > 1").isEmpty():
+            break  # no two units have one hash
+    words = T.lexemes(F.coalesce(F.col(content), F.lit("")), stemmed)
+    rows = S.tallies(units.select(u.alias("u"), content), ["u"], words, known.filter("rows > 1").select("u"))
+    level = F.floor(F.log2(F.size("positions"))).cast("int")
+    bucket = F.pmod(F.crc32(F.col("lexeme").cast("binary")), F.lit(buckets)).cast("int")
+    part = F.pmod(F.col("u"), F.lit(1 + known.count() // FILE_UNITS))
     order = ["bucket", "level", "lexeme", "u"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket", "level").parquet(f"{index.folder}/postings")
-    count = index.postings(units.sparkSession).groupBy("bucket", "lexeme", "level").agg(F.count("*").alias("units"))
-    count.repartitionByRange("bucket", "lexeme").sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").parquet(f"{index.folder}/levels")
+    dealt = rows.repartition(bucket, level, part).withColumns({"level": level, "bucket": bucket})
+    dealt.sortWithinPartitions(*order).write.partitionBy("bucket", "level").parquet(f"{index.folder}/postings")
+    sizes = index.postings(spark).groupBy("bucket", "lexeme", "level").agg(F.count("*").alias("units"))
+    sizes.repartitionByRange("bucket", "lexeme").sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").parquet(f"{index.folder}/levels")
     return index
 
 
@@ -83,11 +98,11 @@ class _Query:
         self.whole = {w for found, negated in self.terms for w in found if len(found) > 1 or negated}
         self.least = min(2, len(self.lexemes))
 
-    def scored(self, rows: DataFrame, keys: tuple[str, ...], bounds: dict[str, int]) -> DataFrame:
-        """keys, u, matched, tf, hit and most (the greatest tf that unread postings may make of it), from postings."""
+    def scored(self, rows: DataFrame, bounds: dict[str, int]) -> DataFrame:
+        """u, matched, tf, hit and most (the greatest tf that unread postings may make of it), from postings."""
         one = {w: F.first(F.when(F.col("lexeme") == w, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, w in enumerate(self.lexemes)}
         at = {w: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, w in enumerate(self.lexemes)}
-        units = rows.groupBy(*keys, "u").agg(*one.values())
+        units = rows.groupBy("u").agg(*one.values())
 
         def occurrences(found: list[str]) -> Column:
             rest = list(enumerate(found[1:], 1))
@@ -103,9 +118,9 @@ class _Query:
             absent = absent | (occurrences(found) == 0) if negated else absent
         matched = add((F.size(at[w]) > 0).cast("long") for w in self.lexemes)
         unread = add(F.when(F.size(at[w]) == 0, F.lit(b)).otherwise(0) for w, b in bounds.items())
-        out = units.select(*keys, "u", matched.alias("matched"), tf.alias("tf"), absent.alias("absent"), unread.alias("unread"))
+        out = units.select("u", matched.alias("matched"), tf.alias("tf"), absent.alias("absent"), unread.alias("unread"))
         hit = (F.col("matched") >= self.least) & ((F.col("tf") > 0) | F.col("absent"))
-        return out.select(*keys, "u", "matched", "tf", hit.alias("hit"), (F.col("tf") + F.col("unread")).alias("most"))
+        return out.select("u", "matched", "tf", hit.alias("hit"), (F.col("tf") + F.col("unread")).alias("most"))
 
 
 def top(spark: SparkSession, index: TextIndex, text: str, limit: int, seen: list | None = None) -> DataFrame:
@@ -113,13 +128,14 @@ def top(spark: SparkSession, index: TextIndex, text: str, limit: int, seen: list
     query, keys = _Query(text, index.stemmed), index.keys
     every = index.postings(spark)
     if not query.lexemes:
-        return every.select(*keys, F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("text_rank")).filter(F.lit(False))
+        return index.units(spark).select(*keys, F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("text_rank")).filter(F.lit(False))
     own = F.col("bucket").isin(*sorted({bucket_of(w, index.buckets) for w in query.lexemes})) & F.col("lexeme").isin(*query.lexemes)
     postings = every.filter(own)
     # at most some thirty rows a lexeme of the query
     sizes = {(r.lexeme, r.level): r.units for r in index.levels(spark).filter(own).collect()}
     levels = sorted({level for w, level in sizes if w in query.single and w not in query.whole}, reverse=True)
-    rank = lambda rows: S._ranked(rows.filter("hit").select(*keys, "matched", "tf"), [F.desc("tf"), *map(F.col, keys)], limit, "text_rank")
+    named = index.units(spark).select("u", *keys)
+    rank = lambda rows, units: S._ranked(rows.filter("hit").select("u", "matched", "tf").join(units, "u").select(*keys, "matched", "tf"), [F.desc("tf"), *map(F.col, keys)], limit, "text_rank")
     for level in [x for x in levels if x > 0]:
         if sum(n for (_, x), n in sizes.items() if x >= level) < limit:
             continue
@@ -133,14 +149,14 @@ def top(spark: SparkSession, index: TextIndex, text: str, limit: int, seen: list
             read = read | F.col("lexeme").isin(*query.whole)
         if seen is not None:
             seen.append(level)
-        known = query.scored(postings.filter(read), keys, bounds)
+        known = query.scored(postings.filter(read), bounds)
         best = [r.tf for r in known.filter("hit").select("tf").orderBy(F.desc("tf")).limit(limit).collect()]
         if len(best) < limit or sum(bounds.values()) >= best[-1]:
             continue  # a unit that wasn't met may be one of the best
         left = known.filter(F.col("most") >= best[-1]).select("u")
         few = [r.u for r in left.limit(LISTED + 1).collect()]
-        mine = postings.filter(F.col("u").isin(*few)) if len(few) <= LISTED else postings.join(left.distinct(), "u", "left_semi")
-        return rank(query.scored(mine, keys, {}))
+        those = (lambda rows: rows.filter(F.col("u").isin(*few))) if len(few) <= LISTED else (lambda rows: rows.join(left.distinct(), "u", "left_semi"))
+        return rank(query.scored(those(postings), {}), those(named))
     if seen is not None:
         seen.append(0)
-    return rank(query.scored(postings, keys, {}))
+    return rank(query.scored(postings, {}), named)
