@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words that carry no meaning for matching and search, by the common English list of text search.
 STOP_WORDS = (
@@ -194,10 +199,31 @@ def split_pieces(text: str, limit: int) -> list[str]:
     return [*out, held] if held else out
 
 
-def pieces(rows: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
-    """keys, piece_no and piece of every row, by batches."""
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_pieces(t or "", limit))
+#: Characters of the texts that a task turns into Python strings at once; a longer text is one part.
+PART = 1_000_000
+
 
-    return rows.select(*keys, F.posexplode(cut(F.col(text))).alias("piece_no", "piece"))
+def parts(texts: pa.Array, most: int = PART) -> Iterator[tuple[int, list[str]]]:
+    """A batch's texts (null: empty) as lists of about `most` characters, each with the row that it begins at."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
+        a = b
+
+
+def pieces(rows: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
+    """keys, piece_no and piece of every row, by parts of a batch: no task holds the pieces of many texts."""
+    named = rows.select(*keys, F.col(text).alias("piece"))
+    schema = StructType(named.schema.fields[:-1]).add("piece_no", "integer").add("piece", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in parts(b.column(len(keys))):
+                found = [split_pieces(t, limit) for t in texts]
+                of = pa.array(np.repeat(np.arange(start, start + len(texts)), [len(x) for x in found]))
+                number, piece = pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([p for x in found for p in x], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.take(of) for c in b.columns[: len(keys)]), number, piece], schema.names)
+
+    return named.mapInArrow(run, schema)

@@ -12,8 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from momentlake.errors import ModelUnavailable, Refused
 
@@ -39,15 +41,49 @@ def stub_sentiment(text):
     return ((n % 7) - 3) / 3.0
 
 
+#: Characters that a reducer's model is asked with at a time.
+ASKED = 1_000_000
+
+
 def reduce_with(complete: Callable[[list[str]], list[str]]):
-    """A reducer for `aggregates.fold`: (by, position, texts) -> (by, position, text), by batches."""
+    """A reducer for `aggregates.fold`: (by, position, texts) -> (by, position, text).
+
+    Texts reach Python one a row, as a batch of rows that hold many each may be of any size; they are put together there, and
+    `complete` is asked with at most `ASKED` characters at a time, or one batch of texts that is longer."""
 
     def reduce(rows: DataFrame) -> DataFrame:
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series(complete(["\n".join(t) for t in texts]))
+        keep = [c for c in rows.columns if c != "texts"]
+        # the rows of one list stay neighbours: nothing is shuffled on the way to Python
+        flat = rows.select(*keep, F.size("texts").alias("__n"), F.posexplode_outer("texts").alias("__at", "text"))
+        schema = StructType(rows.select(*keep).schema.fields).add("text", "string")
 
-        return rows.withColumn("text", run("texts")).drop("texts")
+        def run(batches):
+            held, ready, heads, size = [], [], [], 0
+
+            def answered(types):
+                columns = zip(*heads, strict=True) if keep else ()
+                return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(complete(ready), pa.string())], schema.names)
+
+            types = []
+            for b in batches:
+                types = [c.type for c in b.columns[: len(keep)]]
+                many, at = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
+                for k, (n, i) in enumerate(zip(many, at, strict=True)):
+                    t = b.column(len(keep) + 2)[k].as_py()
+                    if t is not None:
+                        held.append(t)
+                        size += len(t)
+                    if i is None or i == n - 1:
+                        ready.append("\n".join(held))
+                        heads.append([c[k].as_py() for c in b.columns[: len(keep)]])
+                        held = []
+                        if size >= ASKED:
+                            yield answered(types)
+                            ready, heads, size = [], [], 0
+            if ready:
+                yield answered(types)
+
+        return flat.mapInArrow(run, schema)
 
     return reduce
 

@@ -6,11 +6,16 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from momentlake.functions import text as T
 
+#: Pieces of texts that a recogniser sees at a time.
+PIECES = 512
+
 CALL = ["video_id", "chunk_id", "sampler_id"]
 
 
@@ -71,17 +76,22 @@ def string_leaves(document: Column) -> Column:
 def ner(rows: DataFrame, by: str, chunk: str, text: str, recognise: Callable[[list[str]], list[list[tuple[str, str]]]], limit: int = 1000) -> DataFrame:
     """by, text, label, mentions, chunk_ids and rank of the named entities of all texts.
 
-    recognise: texts -> for each, (entity, label) pairs; it sees pieces of at most `limit` characters in batches.
+    recognise: texts -> for each, (entity, label) pairs; it sees at most PIECES pieces of at most `limit` characters at a time.
     Entities are counted before they are shuffled; ranks are by mentions, then by text in lower case."""
-    pieces = T.pieces(rows, [by, chunk], text, limit)
-    kinds = dict(rows.dtypes)
+    named = rows.select(by, chunk, F.col(text).alias("text"))
+    schema = StructType(named.schema.fields[:2]).add("text", "string").add("label", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = recognise(b["piece"].tolist())
-            yield pd.DataFrame([(v, c, e, label) for v, c, es in zip(b[by], b[chunk], found, strict=True) for e, label in es], columns=[by, chunk, "text", "label"])
-
-    seen = pieces.mapInPandas(run, f"`{by}` {kinds[by]}, `{chunk}` {kinds[chunk]}, text string, label string")
+            for start, texts in T.parts(b.column(2)):
+                pieces = [(start + k, p) for k, t in enumerate(texts) for p in T.split_pieces(t, limit)]
+                for a in range(0, len(pieces), PIECES):
+                    own = pieces[a : a + PIECES]
+                    found = [(k, e, label) for (k, _), es in zip(own, recognise([p for _, p in own]), strict=True) for e, label in es]
+                    of = pa.array([k for k, _, _ in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array([e for _, e, _ in found], pa.string()), pa.array([x for _, _, x in found], pa.string())], schema.names)
+
+    seen = named.mapInArrow(run, schema)
     out = seen.groupBy(by, "text", "label").agg(F.count("*").alias("mentions"), F.sort_array(F.collect_set(chunk)).alias("chunk_ids"))
     w = Window.partitionBy(by).orderBy(F.desc("mentions"), F.lower("text"), "text", "label")
     return out.withColumn("rank", F.row_number().over(w))
