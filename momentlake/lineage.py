@@ -24,15 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/momentlake-{sc.applicationId}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", compression: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     The plan above starts from that table: a lost executor costs its own tasks only, and the sizes are known to
-    the optimizer.
+    the optimizer.  compression: a codec other than that of the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._momentlake_path = path
     return out

@@ -225,7 +225,7 @@ def code_blocks(docs: DataFrame, paths: tuple[str, str], text: str = "text", par
                 release()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return cut(src.mapInArrow(run, "block long, doc_ids array<long>, n array<int>, codes binary, segments array<string>"), "blocks")
+    return cut(src.mapInArrow(run, "block long, doc_ids array<long>, n array<int>, codes binary, segments array<string>"), "blocks", "zstd")
 
 
 def align_segments(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
@@ -421,11 +421,11 @@ def align(docs: DataFrame, text: str = "text", paths: tuple[str, str] | None = N
     paths = paths or default_paths()
     blocks = code_blocks(docs, paths, text, part)
     segments = blocks.select("block", F.posexplode("segments").alias("code", "segment"))
-    rows = cut(compose(blocks, align_segments(segments, paths), paths), "composed")
+    rows = cut(compose(blocks, align_segments(segments, paths), paths), "composed", "zstd")
     discard(blocks)
     sweep(docs.sparkSession)
     pairs = rows.filter(F.col("n").isNotNull()).select("block", "a", "b", "n")
-    counts = cut(pairs.groupBy("a", "b").agg(F.sum("n").alias("c")), "counts")
+    counts = cut(pairs.groupBy("a", "b").agg(F.sum("n").alias("c")), "counts", "zstd")
     top = counts.groupBy("a").agg(F.max("c").alias("top"))
     weights = counts.join(top, "a").select("a", "b", "c", (F.col("c") == F.col("top")).cast("long").alias("best"))
     known = pairs.select("block", "a", "b").join(small_side(weights), ["a", "b"])
