@@ -1,8 +1,12 @@
-"""A byte-level BPE encoder for whole texts: the tokenizers library, asked once for each different word.
+"""A byte-level BPE encoder for whole texts: the tokenizers library, asked once for each different part of a word.
 
 The pre-tokenizer of such vocabularies always begins a new piece at a single space between two non-space
 characters, so a text is the sum of its words there, each but the first with its space.  Texts with other runs of
 white space go to the library whole.
+
+It also begins one where letters, digits and other characters meet (but for letters after an apostrophe) and around a
+single line break, so that a word is the sum of its parts there.  Cuts are made only between characters whose kind no
+version of Unicode changes: printable ASCII and the letters from U+00C0 to U+017F; others stay with what is beside them.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from momentlake.llm.common import utf8
 from momentlake.llm.speller import Runs, Speller, joined
 
 #: Words or texts that the library gets at a time: what it returns for each is much larger than the ids.
@@ -22,6 +27,14 @@ REMEMBERED = 64_000_000
 #: Bytes of texts in a slice; in larger slices more words are equal.
 PART = 8_000_000
 
+#: Kinds of characters by their byte; 0: unknown, not cut from what is beside it.
+LETTER, DIGIT, MARK, BREAK = 1, 2, 3, 4
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[*range(0x30, 0x3A)]] = DIGIT
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+APOSTROPHE, NEWLINE = 0x27, 0x0A
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -43,6 +56,19 @@ def _regular(words: pa.Array) -> np.ndarray:
     return np.asarray(pc.and_(pc.equal(pc.utf8_trim_whitespace(words), words), pc.greater(pc.binary_length(words), 0)))
 
 
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where parts begin inside of words, which are the UTF-8 bytes of one after another, each with a space before it."""
+    kind = KIND[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))  # U+00C0 to U+017F
+    lead = lead[(raw[lead] != 0xC3) | ((raw[lead + 1] | 0x20) != 0xB7)]  # without the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = LETTER
+    lines = np.flatnonzero(raw == NEWLINE)
+    around = np.concatenate([kind, [0]])
+    kind[lines[(around[lines - 1] > 0) & (around[lines + 1] > 0)]] = BREAK
+    a, b = kind[:-1], kind[1:]
+    return np.flatnonzero((a != b) & (a > 0) & (b > 0) & ((raw[:-1] != APOSTROPHE) | (b != LETTER))) + 1
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,11 +81,42 @@ class WordEncoder:
         self.by_line = len(self.newline) == 1 and all(
             self._one(f"{a}\n{b}") == self._one(a) + self.newline + self._one(b) for a in ("a", ".", "1", "'s", "é") for b in ("b", " b", "'s", " .", "1")
         )
-        self.spell = Speller(lambda words: self._words([f" {w}" for w in words]), self._words, self._texts, _regular, REMEMBERED, PART)
+        self.by_part = self._cuts_hold()
+        self.spell = Speller(self._words, self._words, self._texts, _regular, REMEMBERED, PART, self._parts)
 
     def _one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _cuts_hold(self) -> bool:
+        """Does the pre-tokenizer of this vocabulary cut where _cuts does?"""
+        if self.library.normalizer is not None or self.library.pre_tokenizer is None:
+            return False
+        pieces = lambda text: [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        some = ["a", "Z", "s", "é", "ſ", "0", "7", *(chr(c) for c in range(0x21, 0x7F) if KIND[c] == MARK)]
+        for a in some:
+            for b in some:
+                for pair in (f" {a}{b}", f" {a}\n{b}"):
+                    at = _cuts(np.frombuffer(pair.encode(), np.uint8))
+                    raw = [x.tobytes().decode() for x in np.split(np.frombuffer(pair.encode(), np.uint8), at)]
+                    if pieces(pair) != [x for part in raw for x in pieces(part)]:
+                        return False
+        return True
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words, each with a space before it, cut where the pre-tokenizer always cuts; none that holds an added token."""
+        words = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), words, pa.scalar("", pa.large_string()))
+        if not self.by_part:
+            return words, np.ones(len(words), np.int64)
+        raw, off = utf8(words)
+        at = _cuts(raw)
+        for t in self.added:
+            holds = np.asarray(pc.match_substring(words, t))
+            if holds.any():
+                at = at[~holds[np.searchsorted(off, at, "right") - 1]]
+        starts = np.sort(np.concatenate([off[:-1], at]))
+        ends = np.concatenate([starts, off[-1:]])
+        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(raw)), np.diff(np.searchsorted(ends, off))
+
     def _texts(self, texts: list[str]) -> Runs:
         out: list[np.ndarray] = []
         for k in range(0, len(texts), ASKED):
@@ -67,8 +124,10 @@ class WordEncoder:
         return joined(out)
 
     def _words(self, words: list[str]) -> Runs:
-        """Words without white space at their ends, but for the space that some begin with."""
-        alone = [k for k, w in enumerate(words) if "\n" in w or any(t in w for t in self.added)] if self.by_line else range(len(words))
+        """Words or parts without white space at their ends, but for the space that some begin with, or line breaks."""
+        every = "".join(words)
+        added = [t for t in self.added if t in every]
+        alone = range(len(words)) if not self.by_line else [k for k, w in enumerate(words) if "\n" in w or any(t in w for t in added)] if added or "\n" in every else []
         rest = set(alone)
         lines = [w for k, w in enumerate(words) if k not in rest] if rest else words
         flat, count = [], [np.zeros(0, np.int64)]

@@ -2,8 +2,9 @@
 
 `Speller` holds for encoders of which a text's ids are those of its words, one after another.  Words and ids stay in
 Arrow and numpy arrays: splitting, finding the different words and putting their ids together cost no Python object a
-word, only words not met before do.  The memory of words is bounded in bytes; a slice of a batch holds at most PART
-bytes of text, or one text that is longer.
+word, only words not met before do.  Where an encoder cuts words further, their parts are what is remembered and asked for:
+texts have fewer of them than words.  The memory is bounded in bytes; a slice of a batch holds at most PART bytes of
+text, or one text that is longer.
 
 Rows that hold a word which `regular` refuses go to `whole`, so an encoder may leave any odd text to its library.
 """
@@ -27,6 +28,14 @@ REMEMBERED = 24_000_000
 Runs = tuple[np.ndarray, np.ndarray]
 #: Words to their ids, one after another, and how many each has.
 Encode = Callable[[list[str]], Runs]
+#: Words to parts of which their ids are those, one after another: the parts of all words, and how many each has.
+Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids that begin at start and have count ids, one after another, and where each begins there."""
+    out = np.cumsum(count) - count
+    return ids[np.repeat(start - out, count) + np.arange(int(count.sum()))], out
 
 
 def joined(runs: list[np.ndarray]) -> Runs:
@@ -34,15 +43,27 @@ def joined(runs: list[np.ndarray]) -> Runs:
 
 
 class Memory:
-    """The ids of words met before."""
+    """The ids of words met before, or of their parts."""
 
-    def __init__(self, encode: Encode, most: int = REMEMBERED):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Encode, most: int = REMEMBERED, cut: Cut | None = None):
+        self.encode, self.most, self.cut = encode, most, cut
         self.words = pa.array([], pa.large_string())
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def __call__(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and count of each word's ids, and the ids; often: how often each word occurs."""
+        if self.cut is None or not len(words):
+            return self._known(words, often)
+        parts, n = self.cut(words)
+        coded = parts.dictionary_encode()
+        which = np.asarray(coded.indices)
+        start, count, ids = self._known(coded.dictionary, np.bincount(which, np.repeat(often, n)))
+        length = count[which]
+        ids, _ = gathered(ids, start[which], length)
+        total = np.add.reduceat(length, np.cumsum(n) - n)
+        return np.cumsum(total) - total, total, ids
+
+    def _known(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = pc.index_in(words, value_set=self.words)
         new = np.asarray(at.is_null())
         at = np.asarray(at.fill_null(0)).astype(np.int64)
@@ -58,17 +79,18 @@ class Memory:
             again = often > 1
             k = at[again]
             self.words, self.count = words.filter(pa.array(again)), count[k]
-            self.start = np.cumsum(self.count) - self.count
-            self.ids = ids[np.repeat(start[k] - self.start, self.count) + np.arange(int(self.count.sum()))]
+            self.ids, self.start = gathered(ids, start[k], self.count)
         return start[at], count[at], ids
 
 
 class Speller:
-    """heads encodes the first word of a text, if that differs; regular says which words may be encoded alone."""
+    """heads encodes the first word of a text, if that differs; regular says which words may be encoded alone; words gets the parts that cut makes of words, if there is one."""
 
-    def __init__(self, words: Encode, heads: Encode | None, whole: Encode, regular: Callable[[pa.Array], np.ndarray], remembered: int = REMEMBERED, part: int | None = None):
+    def __init__(
+        self, words: Encode, heads: Encode | None, whole: Encode, regular: Callable[[pa.Array], np.ndarray], remembered: int = REMEMBERED, part: int | None = None, cut: Cut | None = None
+    ):
         self.part = part
-        self.memory, self.heads, self.whole, self.regular = Memory(words, remembered), heads, whole, regular
+        self.memory, self.heads, self.whole, self.regular = Memory(words, remembered, cut), heads, whole, regular
 
     def __call__(self, column: pa.Array, ids: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
         """For one slice of rows after another: first row, end, ids per row, and with `ids` the ids themselves."""
@@ -91,10 +113,12 @@ class Speller:
         n = int(off[-1] - off[0])
         coded = parts.flatten().dictionary_encode()
         words, which = coded.dictionary, np.asarray(coded.indices)
-        row = np.repeat(np.arange(len(texts)), np.diff(off))
-        odd = np.zeros(len(texts), bool)
-        odd[row[~self.regular(words)[which]]] = True
-        asked = ~odd[row]
+        odd, asked = np.zeros(len(texts), bool), np.ones(n, bool)
+        regular = self.regular(words)
+        if not regular.all():
+            row = np.repeat(np.arange(len(texts)), np.diff(off))
+            odd[row[~regular[which]]] = True
+            asked = ~odd[row]
         if self.heads:
             asked[first] = False
         often = np.bincount(which[asked], minlength=len(words))
@@ -119,5 +143,4 @@ class Speller:
         per_row = np.add.reduceat(length, first) if n else np.zeros(len(texts), np.int64)
         if not wanted:
             return per_row, None
-        out = np.cumsum(length) - length
-        return per_row, np.concatenate(more)[np.repeat(begin - out, length) + np.arange(int(length.sum()))]
+        return per_row, gathered(np.concatenate(more), begin, length)[0]

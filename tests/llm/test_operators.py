@@ -97,6 +97,56 @@ def test_encoder_matches_the_library(monkeypatch, remembered, part):
     assert enc.lengths(pa.array([], pa.string())).tolist() == []
 
 
+class Asked:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.library.encode_batch_fast(texts, **more)
+
+
+def test_encoder_asks_for_parts_of_words():
+    """op8_token_files: each word with its marks and the line after it was asked for, many times what there are of parts."""
+    r = random.Random(8)
+    stems = ["".join(r.choice("abcdefgéñßœ") for _ in range(9)) for _ in range(120)]
+    ends = [",", ".", "###", "7", "'s,", ".\nÜb", "\n", "!?)", "\n("]
+    texts = [f"Z {a}{e}{b} {b}{e}x" for a in stems for e in ends for b in r.sample(stems, 3)]
+    enc = encoder.WordEncoder(encoder.default_path())
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    enc.library = Asked(enc.library)
+    assert spelled(enc.encode, texts) == want
+    different = {w for t in texts for w in t.split(" ")}
+    assert len("\n".join(enc.library.texts)) < sum(map(len, different)) / 4
+
+
+@pytest.mark.parametrize("remembered", [64_000_000, 300])
+def test_encoder_cuts_where_the_library_does(remembered):
+    enc = encoder.WordEncoder(encoder.default_path())
+    enc.spell.memory.most = remembered
+    r = random.Random(9)
+    some = ["a", "Zz", "s", "'", "'s", "'ll", "_", ",", ".", "|>", "<|", "<|endoftext|>", "7", "42", "\n", "\r", "\t", "é", "ß", "×", "÷", "À", "ÿ", "ŉ", "ſ", "ƀ", "¿", "ª", "²", "٣", "…", "’", "e\u0301", "\u00a0", "\u2028", "\x7f", "\x1f", "\0", "日", "я", "😀"]
+    texts = ["".join(r.choices([*some, " "], k=r.randint(1, 12))) for _ in range(4000)]
+    texts += [f"w {a}{b}{c} w" for a in some for b in some for c in ("", "\nA", "\n's", "'t")]
+    assert spelled(enc.encode, texts) == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_of_a_vocabulary_without_cuts_in_words(tmp_path):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(encoder.default_path())
+    other.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(Regex(r" ?\S+|\s+(?!\S)|\s+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    other.save(str(tmp_path / "other.json"))
+    enc = encoder.WordEncoder(str(tmp_path / "other.json"))
+    texts = [t for _, t, *_ in documents()] + ["x word.It's 12ab (c)\nd,e f"]
+    assert not enc.by_part
+    assert spelled(enc.encode, texts) == [enc.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(None, 1, 0), (5, None, 0), (5, 0, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
